@@ -22,7 +22,7 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.rint(c.cast("double") * 10.0**digits) / 10.0**digits + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, TIME)
         elif isinstance(f.dataType, T.DateType):
@@ -57,5 +57,11 @@ def rounded(
     """The SQL select list that matches ``present``."""
     parts = [*plain]
     parts += [f"strftime({t}, '%Y-%m-%d %H:%M:%S') AS {t}" for t in times]
-    parts += [f"round({d}, {digits}) + 0.0 AS {d}" for d in doubles]
+    parts += [f"{rnd(d, digits)} AS {d}" for d in doubles]
     return ", ".join(parts)
+
+
+def rnd(expr: str, digits: int = 6) -> str:
+    """Rounding as in ``present``: scale, round half to even, scale back."""
+    scale = 10**digits
+    return f"(round_even({expr} * {scale}.0::DOUBLE, 0) / {scale}.0::DOUBLE + 0.0::DOUBLE)"

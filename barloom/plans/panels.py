@@ -98,3 +98,310 @@ def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
 EVENT_TICKS = """event_ticks AS (
   SELECT event_type AS ticker, ts, value AS price, CAST(1 + user_id % 10 AS DOUBLE) AS qty, event_id
   FROM events WHERE value > 0)"""
+
+
+# --- daily side tables ----------------------------------------------------
+
+def index_d(spark: SparkSession, sf: str) -> DataFrame:
+    """Two index codes per order day: average and maximum order value."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("timestamp").alias("ts")).agg(
+        F.avg("o_totalprice").alias("AVG"), F.max("o_totalprice").alias("MAX")
+    )
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("code"), F.col(c).alias("close")) for c in ("AVG", "MAX")]
+    )
+    return o.select("ts", F.explode(pairs).alias("p")).select("ts", "p.code", "p.close")
+
+
+INDEX_D = """index_d AS (
+  SELECT o_orderdate AS ts, 'AVG' AS code, avg(o_totalprice) AS close FROM orders GROUP BY o_orderdate
+  UNION ALL SELECT o_orderdate, 'MAX', max(o_totalprice) FROM orders GROUP BY o_orderdate)"""
+
+
+def macro_d(spark: SparkSession, sf: str) -> DataFrame:
+    """One column per order status on the days it has orders of low priority; gaps."""
+    o = table(spark, sf, "orders").filter(F.col("o_orderpriority") == "5-LOW")
+    return o.groupBy(F.col("o_orderdate").cast("timestamp").alias("ts")).agg(
+        *[
+            F.max(F.when(F.col("o_orderstatus") == c.upper(), F.col("o_totalprice"))).alias(c)
+            for c in "ofp"
+        ]
+    )
+
+
+MACRO_D = """macro_raw AS (
+  SELECT o_orderdate AS ts, max(o_totalprice) FILTER (o_orderstatus = 'O') AS o,
+         max(o_totalprice) FILTER (o_orderstatus = 'F') AS f, max(o_totalprice) FILTER (o_orderstatus = 'P') AS p
+  FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY o_orderdate)"""
+
+
+# --- order-flow snapshots per supplier and day -----------------------------
+
+def trade_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Trade-flow snapshot: a trade is a buy when its discount is at least 5%."""
+    t = ticks(spark, sf)
+    tie = F.struct("l_orderkey", "l_linenumber", "l_partkey", "price")
+    buy = F.col("discount") >= 0.05
+
+    def side(c):
+        return {"b": F.sum(F.when(buy, c)), "s": F.sum(F.when(~buy, c))}
+
+    vol, val, one = side(F.col("qty")), side(F.col("value")), side(F.lit(1))
+    out = t.groupBy("ticker", "ts").agg(
+        F.min_by("price", tie).alias("pr_open"),
+        F.max("price").alias("pr_high"),
+        F.min("price").alias("pr_low"),
+        F.max_by("price", tie).alias("pr_close"),
+        F.sum("qty").alias("vol"),
+        F.sum("value").alias("val"),
+        F.count("*").alias("trades"),
+        F.stddev_pop("price").alias("pr_std"),
+        *[F.coalesce(vol[s], F.lit(0.0)).alias(f"vol_{s}") for s in "bs"],
+        *[F.coalesce(val[s], F.lit(0.0)).alias(f"val_{s}") for s in "bs"],
+        *[F.coalesce(one[s], F.lit(0)).alias(f"trades_{s}") for s in "bs"],
+    )
+    out = out.withColumns(
+        {
+            "pr_vwap": F.col("val") / F.col("vol"),
+            "pr_vwap_b": F.col("val_b") / F.nullif(F.col("vol_b"), F.lit(0.0)),
+            "pr_vwap_s": F.col("val_s") / F.nullif(F.col("vol_s"), F.lit(0.0)),
+            "pr_change": F.col("pr_close") - F.col("pr_open"),
+            "disb": (F.col("vol_b") - F.col("vol_s")) / F.col("vol"),
+        }
+    )
+    sector = t.groupBy("ts").agg((F.sum("value") / F.sum("qty")).alias("sec_pr_close"))
+    return out.join(sector, "ts")
+
+
+_SIDES = {"b": "discount >= 0.05", "s": "discount < 0.05"}
+
+
+def _split(c: str, name: str, flags: dict[str, str]) -> str:
+    return ", ".join(f"coalesce(sum({c}) FILTER ({w}), 0) AS {name}_{s}" for s, w in flags.items())
+
+
+TRADE_FLOW = f"""{TICKS}, flow0 AS (
+  SELECT ticker, ts, arg_min(price, row(l_orderkey, l_linenumber, l_partkey, price)) AS pr_open,
+         arg_max(price, row(l_orderkey, l_linenumber, l_partkey, price)) AS pr_close,
+         max(price) AS pr_high, min(price) AS pr_low,
+         sum(qty) AS vol, sum(value) AS val, CAST(count(*) AS DOUBLE) AS trades, stddev_pop(price) AS pr_std,
+         {_split('qty', 'vol', _SIDES)}, {_split('value', 'val', _SIDES)}, {_split('1.0::DOUBLE', 'trades', _SIDES)}
+  FROM ticks GROUP BY ticker, ts),
+trade_flow AS (SELECT *, val / vol AS pr_vwap, val_b / nullif(vol_b, 0) AS pr_vwap_b,
+    val_s / nullif(vol_s, 0) AS pr_vwap_s, pr_close - pr_open AS pr_change, (vol_b - vol_s) / vol AS disb FROM flow0)"""
+
+
+def order_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Order-flow snapshot: every line places, lines of pending orders cancel;
+    priorities 1 and 2 are the buy side."""
+    lines = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"),
+        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("value"), "l_orderkey",
+    )
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        (F.col("o_orderstatus") == "P").alias("cancelled"),
+        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("buy"),
+    )
+    j = lines.join(o, "l_orderkey")
+    aggs = {}
+    for act, cond in (("put", F.lit(True)), ("cancel", F.col("cancelled"))):
+        for sfx, side in (("", F.lit(True)), ("_b", F.col("buy")), ("_s", ~F.col("buy"))):
+            for unit, c in (("vol", F.col("qty")), ("val", F.col("value")), ("orders", F.lit(1.0))):
+                aggs[f"{act}_{unit}{sfx}"] = F.coalesce(
+                    F.sum(F.when(cond & side, c)), F.lit(0.0)
+                )
+    out = j.groupBy("ticker", "ts").agg(*[a.alias(n) for n, a in aggs.items()])
+    return out.withColumns(
+        {
+            f"{act}_vwap{s}": F.col(f"{act}_val{s}") / F.nullif(F.col(f"{act}_vol{s}"), F.lit(0.0))
+            for act in ("put", "cancel") for s in ("", "_b", "_s")
+        }
+    )
+
+
+_ACTS = {"put": "true", "cancel": "o_orderstatus = 'P'"}
+_OSIDES = {
+    "": "true", "_b": "o_orderpriority IN ('1-URGENT', '2-HIGH')",
+    "_s": "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')",
+}
+_OAGG = ", ".join(
+    f"coalesce(sum({c}) FILTER ({w} AND {s}), 0) AS {a}_{u}{sfx}"
+    for a, w in _ACTS.items() for sfx, s in _OSIDES.items()
+    for u, c in (("vol", "l_quantity"), ("val", "l_extendedprice"), ("orders", "1.0::DOUBLE"))
+)
+_OVWAP = ", ".join(
+    f"{a}_val{s} / nullif({a}_vol{s}, 0) AS {a}_vwap{s}" for a in _ACTS for s in _OSIDES
+)
+ORDER_FLOW = f"""oflow0 AS (SELECT 'S' || l_suppkey AS ticker, l_shipdate AS ts, {_OAGG}
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+order_flow AS (SELECT *, {_OVWAP} FROM oflow0)"""
+
+
+def book(spark: SparkSession, sf: str) -> DataFrame:
+    """Book snapshot per supplier and week: spreads from the price range, depth
+    and distinct price levels by side."""
+    t = ticks(spark, sf).withColumn("ts", F.date_trunc("week", F.col("ts")))
+    buy = F.col("discount") >= 0.05
+    side = {"b": buy, "s": ~buy}
+    out = t.groupBy("ticker", "ts").agg(
+        ((F.max("price") + F.min("price")) / 2).alias("mid_price"),
+        (F.max("price") - F.min("price")).alias("spread_1mio"),
+        *[F.countDistinct(F.when(c, F.col("l_partkey"))).alias(f"levels_{s}") for s, c in side.items()],
+        *[
+            F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0.0)).alias(f"{n}_{s}")
+            for s, c in side.items() for n, x in (("vol", "qty"), ("val", "value"))
+        ],
+        *[F.max(F.when(c, F.col("price"))).alias(f"vwap_{s}_1mio") for s, c in side.items()],
+    )
+    return out.withColumns(
+        {
+            "spread_bbo": F.col("spread_1mio") / 4,
+            "spread_lv10": F.col("spread_1mio") / 2,
+            "vwap_b": F.col("val_b") / F.nullif(F.col("vol_b"), F.lit(0.0)),
+            "vwap_s": F.col("val_s") / F.nullif(F.col("vol_s"), F.lit(0.0)),
+            "imbalance_vol": (F.col("vol_b") - F.col("vol_s")) / (F.col("vol_b") + F.col("vol_s")),
+            "imbalance_val": (F.col("val_b") - F.col("val_s")) / (F.col("val_b") + F.col("val_s")),
+            "imbalance_vol_bbo": F.signum(F.col("vol_b") - F.col("vol_s")),
+            "imbalance_val_bbo": F.signum(F.col("val_b") - F.col("val_s")),
+        }
+    )
+
+
+BOOK_ONLY = f"""book0 AS (SELECT ticker, date_trunc('week', ts) AS ts, (max(price) + min(price)) / 2 AS mid_price,
+    max(price) - min(price) AS spread_1mio,
+    {', '.join(f'count(DISTINCT l_partkey) FILTER ({w}) AS levels_{s}' for s, w in _SIDES.items())},
+    {_split('qty', 'vol', _SIDES)}, {_split('value', 'val', _SIDES)},
+    {', '.join(f'max(price) FILTER ({w}) AS vwap_{s}_1mio' for s, w in _SIDES.items())}
+  FROM ticks GROUP BY ticker, date_trunc('week', ts)),
+book AS (SELECT *, spread_1mio / 4 AS spread_bbo, spread_1mio / 2 AS spread_lv10,
+    val_b / nullif(vol_b, 0) AS vwap_b, val_s / nullif(vol_s, 0) AS vwap_s,
+    (vol_b - vol_s) / (vol_b + vol_s) AS imbalance_vol, (val_b - val_s) / (val_b + val_s) AS imbalance_val,
+    CAST(sign(vol_b - vol_s) AS DOUBLE) AS imbalance_vol_bbo, CAST(sign(val_b - val_s) AS DOUBLE) AS imbalance_val_bbo
+  FROM book0)"""
+BOOK = f"{TICKS}, {BOOK_ONLY}"
+
+
+def conc(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily concentration per supplier, long: squared part shares at 18:40."""
+    t = ticks(spark, sf)
+    buy = F.col("discount") >= 0.05
+    by_part = t.groupBy("ticker", "ts", "l_partkey").agg(
+        F.sum("qty").alias("v"),
+        F.coalesce(F.sum(F.when(buy, F.col("qty"))), F.lit(0.0)).alias("b"),
+        F.coalesce(F.sum(F.when(~buy, F.col("qty"))), F.lit(0.0)).alias("s"),
+    )
+    daily = by_part.groupBy("ticker", "ts").agg(
+        *[
+            (F.sum(F.col(c) * F.col(c)) / F.nullif(F.sum(c) * F.sum(c), F.lit(0.0))).alias(n)
+            for n, c in (("hhi_volume", "v"), ("hhi_buy", "b"), ("hhi_sell", "s"))
+        ]
+    )
+    pairs = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+            for m in ("hhi_volume", "hhi_buy", "hhi_sell")
+        ]
+    )
+    return daily.select(
+        "ticker",
+        F.date_format("ts", "yyyy-MM-dd").alias("tradedate"),
+        F.lit("18:40:00").alias("tradetime"),
+        F.explode(pairs).alias("p"),
+    ).select("ticker", "tradedate", "tradetime", "p.metric", "p.value").filter(F.col("value").isNotNull())
+
+
+CONC = """conc0 AS (SELECT 'S' || l_suppkey AS ticker, l_shipdate AS ts, l_partkey, sum(l_quantity) AS v,
+    coalesce(sum(l_quantity) FILTER (l_discount >= 0.05), 0) AS b,
+    coalesce(sum(l_quantity) FILTER (l_discount < 0.05), 0) AS s FROM lineitem GROUP BY 1, 2, 3),
+conc1 AS (SELECT ticker, strftime(ts, '%Y-%m-%d') AS tradedate, '18:40:00' AS tradetime,
+    sum(v * v) / nullif(sum(v) * sum(v), 0) AS hhi_volume, sum(b * b) / nullif(sum(b) * sum(b), 0) AS hhi_buy,
+    sum(s * s) / nullif(sum(s) * sum(s), 0) AS hhi_sell FROM conc0 GROUP BY 1, 2),
+conc AS (SELECT * FROM (UNPIVOT conc1 ON hhi_volume, hhi_buy, hhi_sell INTO NAME metric VALUE value) WHERE value IS NOT NULL)"""
+
+
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Position snapshots: line status is the session half, segment the group."""
+    lines = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("tradedate"),
+        F.when(F.col("l_linestatus") == "O", "10:00:00").otherwise("18:40:00").alias("tradetime"),
+        (F.col("l_discount") >= 0.05).alias("long"),
+        F.col("l_quantity").cast("bigint").alias("qty"), "l_orderkey",
+    )
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    c = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("o_custkey"),
+        F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "YUR").otherwise("FIZ").alias("clgroup"),
+    )
+    zero = F.lit(0).cast("bigint")
+    out = lines.join(o, "l_orderkey").join(c, "o_custkey").groupBy(
+        "ticker", "tradedate", "tradetime", "clgroup"
+    ).agg(
+        F.coalesce(F.sum(F.when(F.col("long"), F.col("qty"))), zero).alias("pos_long"),
+        F.coalesce(-F.sum(F.when(~F.col("long"), F.col("qty"))), zero).alias("pos_short"),
+        F.count_if("long").alias("pos_long_num"),
+        F.count_if(~F.col("long")).alias("pos_short_num"),
+    )
+    return out.withColumn("pos", F.col("pos_long") + F.col("pos_short"))
+
+
+POSITIONS = """pos0 AS (SELECT 'S' || l_suppkey AS ticker, strftime(l_shipdate, '%Y-%m-%d') AS tradedate,
+    CASE WHEN l_linestatus = 'O' THEN '10:00:00' ELSE '18:40:00' END AS tradetime,
+    CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'YUR' ELSE 'FIZ' END AS clgroup,
+    CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_discount >= 0.05), 0) AS BIGINT) AS pos_long,
+    CAST(coalesce(-sum(CAST(l_quantity AS BIGINT)) FILTER (l_discount < 0.05), 0) AS BIGINT) AS pos_short,
+    count(*) FILTER (l_discount >= 0.05) AS pos_long_num, count(*) FILTER (l_discount < 0.05) AS pos_short_num
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4),
+pos AS (SELECT *, pos_long + pos_short AS pos FROM pos0)"""
+
+
+def calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """Trading calendar over the order days: holidays, transferred days, weekends."""
+    d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("tradedate")).distinct()
+    md = F.date_format("tradedate", "MM-dd")
+    reason = (
+        F.when(md.isin("01-01", "03-08"), "H")
+        .when(md.isin("04-27", "11-02"), "T")
+        .when(F.weekday("tradedate") >= 5, "W")
+        .otherwise("N")
+    )
+    return d.withColumn("reason", reason).withColumn(
+        "is_traded", (~F.col("reason").isin("H", "W")).cast("int")
+    )
+
+
+CALENDAR = """cal0 AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
+cal1 AS (SELECT day, CASE WHEN strftime(day, '%m-%d') IN ('01-01', '03-08') THEN 'H'
+    WHEN strftime(day, '%m-%d') IN ('04-27', '11-02') THEN 'T' WHEN isodow(day) >= 6 THEN 'W' ELSE 'N' END AS reason FROM cal0),
+cal AS (SELECT *, CAST(reason NOT IN ('H', 'W') AS INT) AS is_traded FROM cal1)"""
+
+
+def dividends(spark: SparkSession, sf: str) -> DataFrame:
+    """A payment where a supplier ships a line at the top discount."""
+    return table(spark, sf, "lineitem").filter(F.col("l_discount") >= 0.1).select(
+        F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"),
+        F.col("l_shipdate").cast("timestamp").alias("registryclosedate"),
+        F.col("l_quantity").alias("value"),
+    )
+
+
+DIVIDENDS = """divs AS (SELECT 'S' || l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS day, l_quantity AS value
+  FROM lineitem WHERE l_discount >= 0.1)"""
+
+
+def expirations(spark: SparkSession, sf: str) -> DataFrame:
+    """Quarterly expirations on order days, two assets."""
+    d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    code = F.when(F.date_format("d", "MM-dd").isin("03-15", "09-15"), "GOLD").when(
+        F.date_format("d", "MM-dd").isin("06-15", "12-15"), "SI"
+    )
+    return d.select(
+        code.alias("asset_code"), F.date_format("d", "yyyy-MM-dd").alias("expiration_date")
+    ).filter(F.col("asset_code").isNotNull())
+
+
+EXPIRATIONS = """exps AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day,
+    CASE WHEN strftime(o_orderdate, '%m-%d') IN ('03-15', '09-15') THEN 'GOLD' ELSE 'SI' END AS asset_code
+  FROM orders WHERE strftime(o_orderdate, '%m-%d') IN ('03-15', '06-15', '09-15', '12-15'))"""

@@ -14,6 +14,7 @@ def local_session(cores: str = "8", app: str = "barloom") -> SparkSession:
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cores)
         .getOrCreate()
     )
