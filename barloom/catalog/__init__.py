@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_indicators", "q_bars", "q_features")
+MODULES = ("q_indicators", "q_bars", "q_features", "q_targets")
 
 
 def load():

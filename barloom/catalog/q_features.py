@@ -146,9 +146,11 @@ def q_positioning_daily_close(spark, sf):
     return P.positioning_daily_close(S.positions(spark, sf))
 
 
-@query(f"WITH {S.POSITIONS}, {_CLOSE}, {_WIDE} SELECT ticker, {_DAY}, {', '.join(f'{p}_{g}' for p in POS for g in P.GROUPS)} FROM wide")
+@query(f"WITH {S.POSITIONS}, {_CLOSE}, {_WIDE} SELECT ticker, {_DAY}, {', '.join(f'CAST({p}_{g} AS DOUBLE) AS {p}_{g}' for p in POS for g in P.GROUPS)} FROM wide")
 def q_positioning_pivot(spark, sf):
-    return P.positioning_pivot(P.positioning_daily_close(S.positions(spark, sf)))
+    wide = P.positioning_pivot(P.positioning_daily_close(S.positions(spark, sf)))
+    cols = [F.col(f"{p}_{g}").cast("double").alias(f"{p}_{g}") for p in POS for g in P.GROUPS]
+    return wide.select("ticker", "day", *cols)
 
 
 @query(f"WITH {S.POSITIONS}, {_CLOSE}, {_WIDE}, {_FEAT} SELECT ticker, {_DAY}, {', '.join(f'{rnd(c)} AS {c}' for c in _F_COLS)} FROM feat")

@@ -19,14 +19,15 @@ SPLITS = 32
 
 
 def _spread(
-    df: DataFrame, group: Sequence[str], value: str, splits: int
+    df: DataFrame, group: Sequence[str], value: str, splits: int,
+    extra: dict[str, Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Counted distinct values with their sub-range, and the sub-range totals."""
     keys = list(group)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count("*").alias("cnt"))
+        .agg(F.count("*").alias("cnt"), *[c.alias(n) for n, c in (extra or {}).items()])
     )
     probs = [i / splits for i in range(1, splits)]
     cuts = counts.groupBy(*keys).agg(
@@ -58,14 +59,15 @@ def _positions(placed: DataFrame, ranges: DataFrame, keys: list[str], value: str
 
 
 def value_positions(
-    df: DataFrame, group: Sequence[str], value: str, splits: int = SPLITS
+    df: DataFrame, group: Sequence[str], value: str, splits: int = SPLITS,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Per (group, distinct value): ``cnt`` rows and ``below`` rows of lower value.
 
-    Null values are left out.
+    ``extra`` adds aggregates per distinct value.  Null values are left out.
     """
     keys = list(group)
-    placed, ranges = _spread(df, keys, value, splits)
+    placed, ranges = _spread(df, keys, value, splits, extra)
     return _positions(placed, ranges, keys, value).drop("_sub", "_lower", "_n")
 
 

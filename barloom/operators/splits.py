@@ -197,7 +197,7 @@ def forward_folds(
     Blocks are equal by row position in ``order``; fold k is trained on all rows
     before its block.  The remainder of the division goes to the first block.
     """
-    idx = index_rows(df, (), list(order))
+    idx = index_rows(df, (), list(order), bucket=C(ts))
     n = idx.agg(F.count("*").alias("_n"))
     size = F.floor(C("_n") / (n_splits + 1))
     first = C("_n") - n_splits * size

@@ -77,21 +77,32 @@ def cost_labels(
     smooth_label(F.lit(0.0), label_smoothing)  # argument check
 
     def build(df: DataFrame, b: HaloBlocks) -> DataFrame:
-        entry = F.lead("open", 1).over(b.window)
-        out = {}
-        for h in horizons:
-            lr = trade_log_return(
-                entry, F.lead("close", h).over(b.window), entry_cost, exit_cost,
-                direction == "short",
-            ).cast("float")
-            hard = F.when(lr.isNotNull(), (lr > 0).cast("double"))
-            out[f"target_h{h}"] = smooth_label(hard, label_smoothing).cast("float")
-            out[f"lr_h{h}"] = lr
-        return df.withColumns(out)
+        return df.withColumns(
+            label_columns(
+                b, horizons, entry_cost, exit_cost, label_smoothing, direction == "short"
+            )
+        )
 
     return over_blocks(bars, build, back=0, ahead=max(horizons), key=key, ts=ts, **blocks)
 
 
+def label_columns(
+    b: HaloBlocks, horizons: Sequence[int], cost_in: float, cost_out: float,
+    smoothing: float = 0.0, short: bool = False,
+) -> dict[str, Column]:
+    """The label step on open blocks, for use inside a larger panel."""
+    entry = F.lead("open", 1).over(b.window)
+    out = {}
+    for h in horizons:
+        lr = trade_log_return(
+            entry, F.lead("close", h).over(b.window), cost_in, cost_out, short
+        ).cast("float")
+        hard = F.when(lr.isNotNull(), (lr > 0).cast("double"))
+        out[f"target_h{h}"] = smooth_label(hard, smoothing).cast("float")
+        out[f"lr_h{h}"] = lr
+    return out
+
+
 def cost_labels_long(bars: DataFrame, horizons=HORIZONS, **kw) -> DataFrame:
     return cost_labels(bars, horizons, direction="long", **kw)
 

@@ -405,3 +405,83 @@ def expirations(spark: SparkSession, sf: str) -> DataFrame:
 EXPIRATIONS = """exps AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day,
     CASE WHEN strftime(o_orderdate, '%m-%d') IN ('03-15', '09-15') THEN 'GOLD' ELSE 'SI' END AS asset_code
   FROM orders WHERE strftime(o_orderdate, '%m-%d') IN ('03-15', '06-15', '09-15', '12-15'))"""
+
+
+# --- predictions and outcomes ----------------------------------------------
+
+PRED_HORIZONS = {1: 1.0, 3: 0.8, 6: 0.6, 12: 0.4}
+COST = 0.0005
+
+
+def model_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Features, targets and prices of every bar from one set of halo blocks."""
+    from barloom.operators import indicators as I
+    from barloom.operators.blocks import over_blocks
+    from barloom.operators.targets import label_columns
+
+    def build(df, b):
+        df = I.logret_sums.build(df, b, windows=(5,))
+        df = I.rolling_volatility.build(df, b, windows=(12,))
+        return df.withColumns(label_columns(b, list(PRED_HORIZONS), COST, COST))
+
+    return over_blocks(bars(spark, sf), build, back=14, ahead=12)
+
+
+def predictions(spark: SparkSession, sf: str, kind: str = "long") -> DataFrame:
+    """Deterministic stand-in for model output: (ts, ticker, horizon, mean, std)."""
+    hs = F.array(
+        *[
+            F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("k"))
+            for h, k in PRED_HORIZONS.items()
+        ]
+    )
+    rows = (
+        model_panel(spark, sf)
+        .filter(F.col("lr_5").isNotNull() & F.col("vol_12").isNotNull())
+        .select("ts", "ticker", "lr_5", "vol_12", "volume", F.explode(hs).alias("h"))
+    )
+    score = F.col("h.k") * F.col("lr_5")
+    if kind == "short":
+        score = -score - 0.1
+    elif kind == "meta":
+        score = 0.5 * score + (F.col("volume") - 40.0) / 40.0
+    return rows.select(
+        "ts", "ticker", "h.horizon", (1.0 / (1.0 + F.exp(-score))).alias("mean"),
+        (F.col("vol_12") / 4.0).alias("std"),
+    )
+
+
+def actuals(spark: SparkSession, sf: str, what: str = "lr_h") -> DataFrame:
+    """Realised log-returns after costs (``lr_h``) or labels (``target_h``)."""
+    from barloom.operators.targets import targets_long
+
+    return targets_long(model_panel(spark, sf), list(PRED_HORIZONS), what)
+
+
+_W12 = "OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"
+_W5 = "OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+
+
+def _lr(h: int) -> str:
+    return (
+        f"CAST(ln(greatest(lead(close, {h}) OVER s * (1.0::DOUBLE - {COST}::DOUBLE)"
+        f" / greatest(lead(open) OVER s * (1.0::DOUBLE + {COST}::DOUBLE), 1e-8), 1e-8)) AS FLOAT)"
+    )
+
+
+PANEL = f"""{BARS}, p0 AS (SELECT *, ln(close / nullif(lag(close) OVER s, 0)) AS lr_1,
+    {', '.join(f"CASE WHEN lead(open) OVER s IS NOT NULL AND lead(close, {h}) OVER s IS NOT NULL THEN {_lr(h)} END AS lr_h{h}" for h in PRED_HORIZONS)}
+  FROM bars WINDOW s AS (PARTITION BY ticker ORDER BY ts)),
+panel AS (SELECT *, CASE WHEN count(lr_1) {_W5} = 5 THEN sum(lr_1) {_W5} END AS lr_5,
+    CASE WHEN count(lr_1) {_W12} = 12 THEN stddev_samp(lr_1) {_W12} END AS vol_12,
+    {', '.join(f"CAST(CASE WHEN lr_h{h} > 0 THEN 1 WHEN lr_h{h} IS NOT NULL THEN 0 END AS FLOAT) AS target_h{h}" for h in PRED_HORIZONS)}
+  FROM p0)"""
+PREDS = f"""{PANEL}, ks(horizon, k) AS (VALUES {', '.join(f'({h}, {k}::DOUBLE)' for h, k in PRED_HORIZONS.items())}),
+pr AS (SELECT ts, ticker, horizon, k * lr_5 AS score, vol_12 / 4 AS std, volume FROM panel, ks
+       WHERE lr_5 IS NOT NULL AND vol_12 IS NOT NULL),
+preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-score)) AS mean, std FROM pr),
+short_preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-(-score - 0.1::DOUBLE))) AS mean, std FROM pr),
+meta_preds AS (SELECT ts, ticker, horizon,
+    1 / (1 + exp(-(0.5::DOUBLE * score + (volume - 40.0::DOUBLE) / 40.0::DOUBLE))) AS mean, std FROM pr),
+actuals AS ({' UNION ALL '.join(f"SELECT ts, ticker, {h} AS horizon, CAST(lr_h{h} AS DOUBLE) AS actual FROM panel WHERE lr_h{h} IS NOT NULL" for h in PRED_HORIZONS)}),
+labels_l AS (SELECT ts, ticker, horizon, CAST(actual > 0 AS INT)::DOUBLE AS actual FROM actuals)"""
