@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_indicators", "q_bars", "q_features", "q_targets")
+MODULES = ("q_indicators", "q_bars", "q_features", "q_targets", "q_evaluation", "q_decisions")
 
 
 def load():

@@ -91,7 +91,7 @@ _FIT = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) <= 1e-12 THEN 1
 
 
 @query(f"""WITH {S.PANEL}, {_SPLIT}, fit AS (SELECT {_FIT} FROM split WHERE split = 'train'), t AS (
-  {' UNION ALL '.join(f"SELECT '{c}' AS "column", m_{c} AS mean, s_{c} AS std FROM fit" for c in _FEAT)})
+  {' UNION ALL '.join(f'''SELECT '{c}' AS "column", m_{c} AS mean, s_{c} AS std FROM fit''' for c in _FEAT)})
   SELECT "column", {rnd('mean', 5)} AS mean, {rnd('std', 5)} AS std FROM t""", digits=5)
 def q_scaler_fit(spark, sf):
     return G.scaler_fit(split_panel(spark, sf).filter("split = 'train'"), _FEAT)

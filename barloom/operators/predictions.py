@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import clip, logistic
 from barloom.operators.blocks import IDX, index_rows
 from barloom.operators.ranks import average_ranks, quantiles, value_positions
+from barloom.session import materialize
 
 C = F.col
 KEY3 = ["ts", "ticker", "horizon"]
@@ -134,9 +135,11 @@ def permutation_null(
     known = df.filter(C(score).isNotNull() & C(actual).isNotNull())
     idx = index_rows(known, (group,), ["ts", "ticker"], bucket=C("ts"))
     p = clip(score, PROB_EPS, 1.0 - PROB_EPS)
-    rows = idx.select(
-        group, IDX, _positive(actual).alias("_y"),
-        F.log(p / (1 - p)).alias("_odds"), F.log(1 - p).alias("_base"),
+    rows = materialize(
+        idx.select(
+            group, IDX, _positive(actual).alias("_y"),
+            F.log(p / (1 - p)).alias("_odds"), F.log(1 - p).alias("_base"),
+        )
     )
     totals = rows.groupBy(group).agg(
         F.count("*").alias("n"),
@@ -230,7 +233,11 @@ def rank_ic(
     if not 0.0 < bound <= 1.0:
         raise ValueError(f"bound must be in (0, 1], got {bound}")
     keys = list(group)
-    both = joined.filter(C("mean").isNotNull() & C("actual").isNotNull())
+    both = materialize(
+        joined.filter(C("mean").isNotNull() & C("actual").isNotNull()).select(
+            *keys, "mean", "actual"
+        )
+    )
     ranked = average_ranks(average_ranks(both, keys, "mean", "_rp"), keys, "actual", "_ra")
     return ranked.groupBy(*keys).agg(F.corr("_rp", "_ra").alias("rank_ic")).withColumn(
         "rank_ic_clipped", clip("rank_ic", -bound, bound)

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+
 SPLITS = 32
 
 
@@ -29,6 +31,7 @@ def _spread(
         .groupBy(*keys, value)
         .agg(F.count("*").alias("cnt"), *[c.alias(n) for n, c in (extra or {}).items()])
     )
+    counts = materialize(counts)
     probs = [i / splits for i in range(1, splits)]
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx(value, probs, 1000).alias("_cuts")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import clip
 from barloom.operators.predictions import KEY3
 from barloom.operators.ranks import quantiles
+from barloom.session import materialize
 
 C = F.col
 COLS = ["ts", "ticker", "horizon", "mean", "std", "action", "signal"]
@@ -193,7 +194,7 @@ def signal_funnel(
     predictions: DataFrame, signals: DataFrame, *, threshold: float, std_cap: float
 ) -> DataFrame:
     """How many best-horizon rows pass each stage, and the quantiles of both inputs."""
-    best = best_horizon(predictions)
+    best = materialize(best_horizon(predictions).select("mean", "std"))
     over, calm = C("mean") > threshold, C("std") <= std_cap
     n = F.count("*")
     stages = best.agg(

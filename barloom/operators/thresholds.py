@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import clip
 from barloom.operators.predictions import KEY3
 from barloom.operators.ranks import quantiles
+from barloom.session import materialize
 
 C = F.col
 
@@ -61,6 +62,7 @@ def _beyond(c: Column) -> dict[str, Column]:
 
 def calibrate_bayes(joined: DataFrame, cost: float) -> DataFrame:
     """One row: gain, threshold and what lies at or above it."""
+    joined = materialize(joined.select("mean", "actual"))
     t = expected_gain(joined).withColumn("threshold", bayes_threshold("gain", cost))
     return joined.crossJoin(F.broadcast(t.select("gain", "threshold"))).groupBy(
         "gain", "threshold"
@@ -92,6 +94,7 @@ def calibrate_quantile(
     """First quantile of the prediction whose mean outcome is twice the cost,
     else the one with the best mean outcome (the lower of equals)."""
     probs = sorted(probs)
+    joined = materialize(joined.select("mean", "actual"))
     q = quantiles(joined, [], "mean", probs)
     cuts = q.agg(
         F.array_sort(
@@ -210,6 +213,8 @@ def joint_threshold_grid(
     of equals in grid order.
     """
 
+    merged = materialize(merged.select("primary", "meta", "lr"))
+
     def tops(col: str, pcts: Sequence[float]) -> DataFrame:
         levels = [1.0 - p / 100.0 for p in pcts]
         q = quantiles(merged, [], col, sorted(set(levels)))

@@ -427,7 +427,9 @@ def model_panel(spark: SparkSession, sf: str) -> DataFrame:
     return over_blocks(bars(spark, sf), build, back=14, ahead=12)
 
 
-def predictions(spark: SparkSession, sf: str, kind: str = "long") -> DataFrame:
+def predictions(
+    spark: SparkSession, sf: str, kind: str = "long", panel: DataFrame | None = None
+) -> DataFrame:
     """Deterministic stand-in for model output: (ts, ticker, horizon, mean, std)."""
     hs = F.array(
         *[
@@ -436,7 +438,7 @@ def predictions(spark: SparkSession, sf: str, kind: str = "long") -> DataFrame:
         ]
     )
     rows = (
-        model_panel(spark, sf)
+        (model_panel(spark, sf) if panel is None else panel)
         .filter(F.col("lr_5").isNotNull() & F.col("vol_12").isNotNull())
         .select("ts", "ticker", "lr_5", "vol_12", "volume", F.explode(hs).alias("h"))
     )
@@ -451,11 +453,14 @@ def predictions(spark: SparkSession, sf: str, kind: str = "long") -> DataFrame:
     )
 
 
-def actuals(spark: SparkSession, sf: str, what: str = "lr_h") -> DataFrame:
+def actuals(
+    spark: SparkSession, sf: str, what: str = "lr_h", panel: DataFrame | None = None
+) -> DataFrame:
     """Realised log-returns after costs (``lr_h``) or labels (``target_h``)."""
     from barloom.operators.targets import targets_long
 
-    return targets_long(model_panel(spark, sf), list(PRED_HORIZONS), what)
+    source = model_panel(spark, sf) if panel is None else panel
+    return targets_long(source, list(PRED_HORIZONS), what)
 
 
 _W12 = "OVER (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"

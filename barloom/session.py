@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "barloom") -> SparkSession:
@@ -36,5 +37,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = current.get() if current.isDefined() else None
     if not configured:
         configured = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Store a frame that several passes read, and continue from the stored copy.
+
+    A parquet table under the cluster's checkpoint folder: lost executors reread
+    it, later passes still prune columns, and its size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/barloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
