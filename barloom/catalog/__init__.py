@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("q_indicators", "q_bars", "q_features", "q_targets", "q_evaluation", "q_decisions")
+MODULES = (
+    "q_indicators", "q_bars", "q_features", "q_targets", "q_evaluation", "q_decisions", "q_backtest",
+)
 
 
 def load():

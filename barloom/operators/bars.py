@@ -55,18 +55,20 @@ def resample_ohlcv(
     ts: str = "ts",
     tie: Sequence[str] = (),
     start: Column | None = None,
+    order: Column | None = None,
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Left-closed, left-labelled bars; ``tie`` orders rows of equal time.
 
-    First and last skip nulls.  One aggregation with map-side combine: no sort,
+    A primitive ``order`` column (instead of ``ts`` and ``tie``) keeps the
+    aggregation hash-based.  First and last skip nulls.  One aggregation with map-side combine: no sort,
     so a bar fed by a third of all ticks is reduced where the ticks are read.
     """
     if minutes <= 1 and start is None:
         return df
     if start is None and minutes < DAY_MINUTES and DAY_MINUTES % minutes:
         raise ValueError("a bar must divide a day, or be a day or longer")
-    when = F.struct(ts, *tie)
+    when = order if order is not None else F.struct(ts, *tie) if tie else F.col(ts)
     bar = bar_start(ts, minutes) if start is None else start
     aggs = {
         "open": F.min_by("open", F.when(F.col("open").isNotNull(), when)),

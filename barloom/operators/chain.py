@@ -1,0 +1,92 @@
+"""Order-dependent state over long series, one block at a time.
+
+Some replays are sequential by definition: what happens at a row depends on the
+state left by all earlier rows.  Running one task per series would put a hot
+series into a single task.  Instead
+
+1. every block of rows is summarised, in parallel, by the map it applies to an
+   unknown incoming state,
+2. the maps of a series are applied one after another (a few bytes per block),
+3. every block is replayed, in parallel, from its now known incoming state.
+
+Steps 1 and 3 hold all the work on rows and see at most one block at a time.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Callable, Sequence
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from barloom.operators.blocks import BLK, IDX
+
+Summarise = Callable[[pd.DataFrame], Any]
+Advance = Callable[[Any, Any], Any]
+Replay = Callable[[pd.DataFrame, Any], pd.DataFrame]
+
+
+def replay_blocks(
+    indexed: DataFrame,
+    *,
+    key: Sequence[str],
+    columns: Sequence[str],
+    initial: Any,
+    summarise: Summarise,
+    advance: Advance,
+    replay: Replay,
+    output: str,
+    size: int = 4096,
+) -> DataFrame:
+    """Add the ``output`` columns of a sequential replay over ``IDX`` order.
+
+    ``columns`` are the inputs the replay reads.  Only they, the key and the
+    row position travel to Python; results are joined back by position.
+    """
+    keys = list(key)
+    rows = indexed.select(*keys, IDX, *columns).withColumn(BLK, F.floor(F.col(IDX) / size))
+    fields = {f.name: f for f in indexed.schema.fields}
+    key_schema = T.StructType([fields[k] for k in keys])
+
+    def to_map(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(IDX)
+        head = pdf.iloc[:1][[*keys, BLK]].copy()
+        head["_map"] = [pickle.dumps(summarise(pdf))]
+        return head
+
+    map_schema = T.StructType(
+        [*key_schema.fields, T.StructField(BLK, T.LongType()), T.StructField("_map", T.BinaryType())]
+    )
+    maps = rows.groupBy(*keys, BLK).applyInPandas(to_map, map_schema)
+
+    def to_states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLK)
+        state, states = initial, []
+        for m in pdf["_map"]:
+            states.append(pickle.dumps(state))
+            state = advance(pickle.loads(m), state)
+        return pdf[[*keys, BLK]].assign(_state=states)
+
+    state_schema = T.StructType(
+        [*key_schema.fields, T.StructField(BLK, T.LongType()), T.StructField("_state", T.BinaryType())]
+    )
+    states = maps.groupBy(*keys).applyInPandas(to_states, state_schema)
+
+    def to_rows(k: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(IDX).reset_index(drop=True)
+        made = replay(pdf, pickle.loads(state["_state"].iloc[0]))
+        return pd.concat([pdf[[*keys, IDX]], made], axis=1)
+
+    out_schema = T.StructType(
+        [*key_schema.fields, T.StructField(IDX, T.LongType()), *T.StructType.fromDDL(output).fields]
+    )
+    replayed = (
+        rows.groupBy(*keys, BLK)
+        .cogroup(states.groupBy(*keys, BLK))
+        .applyInPandas(to_rows, out_schema)
+    )
+    return indexed.join(replayed, [*keys, IDX])

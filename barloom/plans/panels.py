@@ -7,12 +7,11 @@ the number of bars grow with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import resample_ohlcv, ticks_as_bars
 
-TIE = ["l_orderkey", "l_linenumber", "l_partkey", "price"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,7 +31,18 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
-    )
+    ).withColumn("seq", trade_order())
+
+
+def trade_order() -> Column:
+    """Trade order as one number: day, then order and line, then part."""
+    day = F.unix_date(F.to_date("ts")).cast("decimal(6,0)")
+    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(16,0)")
+    return (
+        day * F.lit("1" + "0" * 28).cast("decimal(30,0)")
+        + line * F.lit("1" + "0" * 12).cast("decimal(13,0)")
+        + F.col("l_partkey").cast("decimal(12,0)")
+    ).cast("decimal(38,0)")
 
 
 TICKS = """ticks AS (
@@ -44,7 +54,7 @@ TICKS = """ticks AS (
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
     return resample_ohlcv(
-        ticks_as_bars(ticks(spark, sf)), 7 * 1440, tie=TIE,
+        ticks_as_bars(ticks(spark, sf)), 7 * 1440, order=F.col("seq"),
         start=F.date_trunc("week", F.col("ts")),
     )
 
@@ -69,8 +79,8 @@ def days(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
         "l_orderkey", "l_linenumber", "l_partkey",
-    )
-    return resample_ohlcv(ticks_as_bars(t), 1440, tie=TIE)
+    ).withColumn("seq", trade_order())
+    return resample_ohlcv(ticks_as_bars(t), 1440, order=F.col("seq"))
 
 
 DAYS = """days AS (
@@ -140,7 +150,7 @@ MACRO_D = """macro_raw AS (
 def trade_flow(spark: SparkSession, sf: str) -> DataFrame:
     """Trade-flow snapshot: a trade is a buy when its discount is at least 5%."""
     t = ticks(spark, sf)
-    tie = F.struct("l_orderkey", "l_linenumber", "l_partkey", "price")
+    tie = F.col("seq")
     buy = F.col("discount") >= 0.05
 
     def side(c):
