@@ -86,7 +86,7 @@ def q_exit_reasons(spark, sf):
 
 
 @query(f"""WITH {TR}, o AS (SELECT ticker, entry_bar, least(0.1::DOUBLE * 1000000, 1000000.0::DOUBLE) AS invested, 100000.0::DOUBLE * return_pct AS pnl FROM t1)
-  SELECT ticker, entry_bar, {sel(['invested', 'pnl'], 4)} FROM o""", digits=4)
+  SELECT ticker, entry_bar, {sel(['invested', 'pnl'], 2)} FROM o""", digits=2)
 def q_position_budget(spark, sf):
     return R.position_budget(trades_of(spark, sf)[0]).select("ticker", "entry_bar", "invested", "pnl")
 
@@ -103,7 +103,7 @@ BOOK = f"WITH RECURSIVE {TR}, {_WALK}, cap AS (SELECT 1000000.0::DOUBLE / count(
 
 
 @query(f"""{BOOK}, o AS (SELECT ticker, entry_bar, exit_bar, stake * c AS invested, stake * c * return_pct AS pnl, cash * c AS cash FROM walk, cap WHERE taken)
-  SELECT ticker, entry_bar, exit_bar, {sel(['invested', 'pnl', 'cash'], 4)} FROM o""", digits=4)
+  SELECT ticker, entry_bar, exit_bar, {sel(['invested', 'pnl', 'cash'], 2)} FROM o""", digits=2)
 def q_per_series_book(spark, sf):
     book, _ = book_of(spark, sf)
     return book.select("ticker", "entry_bar", "exit_bar", "invested", "pnl", "cash")
@@ -156,7 +156,7 @@ def equity_of(spark, sf):
     return materialize(R.book_equity(sized, prices, run=["horizon"])), sized
 
 
-@query(f"WITH {EQ} SELECT horizon, bar, {rnd('equity', 3)} AS equity FROM equity", digits=3)
+@query(f"WITH {EQ} SELECT horizon, bar, {rnd('equity', 2)} AS equity FROM equity", digits=2)
 def q_book_equity(spark, sf):
     return equity_of(spark, sf)[0].drop("ts")
 
@@ -183,7 +183,7 @@ _TM = """SELECT horizon, count(*) AS n_trades, avg(CAST(pnl > 0 AS INT)) AS win_
   sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor, sum(pnl) AS total_pnl FROM sized GROUP BY horizon"""
 
 
-@query(f"WITH {EQ}, o AS ({_TM}) SELECT horizon, n_trades, {sel(['win_rate', 'profit_factor'])}, {rnd('total_pnl', 6)} AS total_pnl FROM o")
+@query(f"WITH {EQ}, o AS ({_TM}) SELECT horizon, n_trades, {sel(['win_rate', 'profit_factor'])}, {rnd('total_pnl', 2)} AS total_pnl FROM o", money=("total_pnl", "final_equity"))
 def q_trade_metrics(spark, sf):
     return P.trade_metrics(R.position_budget(trades_of(spark, sf)[0]), ["horizon"])
 
@@ -193,14 +193,14 @@ _ENDS = """SELECT horizon, count(*) AS n_bars, arg_max(equity, bar) AS final_equ
 _EC = ["final_equity", "total_return", "annualized_return"]
 
 
-@query(f"WITH {EQ}, o AS ({_ENDS}) SELECT horizon, n_bars, {sel(_EC)} FROM o")
+@query(f"WITH {EQ}, o AS ({_ENDS}) SELECT horizon, n_bars, {sel(_EC[1:])}, {rnd('final_equity', 2)} AS final_equity FROM o", money=("total_pnl", "final_equity"))
 def q_total_return(spark, sf):
     return P.total_return(equity_of(spark, sf)[0], ["horizon"])
 
 
 @query(f"""WITH {EQ}, a AS ({_ENDS}), b AS ({_TM}), c AS (SELECT horizon, {_SH} AS sharpe, min(drawdown) AS max_drawdown FROM rets GROUP BY horizon)
-  SELECT horizon, n_bars, n_trades, {sel([*_EC, 'sharpe', 'max_drawdown', 'win_rate', 'profit_factor', 'total_pnl'])}
-  FROM a JOIN b USING (horizon) JOIN c USING (horizon)""")
+  SELECT horizon, n_bars, n_trades, {sel([*_EC[1:], 'sharpe', 'max_drawdown', 'win_rate', 'profit_factor'])}, {sel(['final_equity', 'total_pnl'], 2)}
+  FROM a JOIN b USING (horizon) JOIN c USING (horizon)""", money=("total_pnl", "final_equity"))
 def q_metrics_report(spark, sf):
     equity, sized = equity_of(spark, sf)
     return P.metrics_report(equity, sized, ["horizon"])
@@ -220,7 +220,7 @@ agents AS (SELECT agent::INT AS agent, count(entry_price) AS n_trades,
   FROM (SELECT unnest(range(100)) AS agent) LEFT JOIN nt USING (agent) GROUP BY agent)"""
 
 
-@query(f"WITH {S.BARS}, {NULLS} SELECT agent, n_trades, {rnd('final_equity', 4)} AS final_equity FROM agents", digits=4)
+@query(f"WITH {S.BARS}, {NULLS} SELECT agent, n_trades, {rnd('final_equity', 2)} AS final_equity FROM agents", money=("final_equity",))
 def q_random_entry_null(spark, sf):
     return P.random_entry_null(materialize(S.bars(spark, sf)))
 
@@ -255,9 +255,9 @@ _SW = ["final_equity", "total_return", "sharpe", "max_drawdown", "win_rate", "pr
 
 @query(f"""WITH {SWEEP_EQ}, a AS ({_ENDS.replace('horizon', 'threshold')}), b AS ({_TM.replace('horizon', 'threshold')}),
   c AS (SELECT threshold, {_SH} AS sharpe, min(drawdown) AS max_drawdown FROM rets GROUP BY threshold)
-  SELECT threshold, n_buy_signals, coalesce(n_trades, 0) AS n_trades, {rnd('coalesce(final_equity, 1000000)', 5)} AS final_equity,
+  SELECT threshold, n_buy_signals, coalesce(n_trades, 0) AS n_trades, {rnd('coalesce(final_equity, 1000000)', 2)} AS final_equity,
     {', '.join(f'{rnd(f"coalesce({x}, 0)", 5)} AS {x}' for x in _SW[1:])}
-  FROM nb LEFT JOIN a USING (threshold) LEFT JOIN b USING (threshold) LEFT JOIN c USING (threshold)""", digits=5)
+  FROM nb LEFT JOIN a USING (threshold) LEFT JOIN b USING (threshold) LEFT JOIN c USING (threshold)""", digits=5, money=("final_equity",))
 def q_threshold_sweep(spark, sf):
     panel = stored(spark, sf)
     return W.threshold_sweep(S.predictions(spark, sf, panel=panel), prices_of(panel))
@@ -276,7 +276,7 @@ _PAIRS_G = (
     p_short > t_short AND NOT p_long > t_long AS close_long FROM cons, (SELECT unnest({_GRID}::DOUBLE[]) AS t_long), (SELECT unnest({_GRID}::DOUBLE[]) AS t_short)), {_PAIRS_G},
   s AS (SELECT t_long, t_short, count(*) AS n_trades, avg(CAST(return_pct > 0 AS INT)) AS win_rate, avg(return_pct) AS mean_return,
     sum(100000.0::DOUBLE * return_pct) AS total_pnl FROM o6 GROUP BY 1, 2)
-  SELECT t_long, t_short, n_trades, {sel(_CS, 5)} FROM s""", digits=5)
+  SELECT t_long, t_short, n_trades, {sel(_CS[:2], 5)}, {rnd('total_pnl', 2)} AS total_pnl FROM s""", digits=5, money=("total_pnl",))
 def q_consensus_sweep(spark, sf):
     panel = stored(spark, sf)
     frame = G.consensus_frame(S.predictions(spark, sf, panel=panel), S.predictions(spark, sf, "short", panel))
@@ -293,7 +293,7 @@ x AS (SELECT t1.horizon, lv.sl, lv.pt, why, (1 - {FEE}) * CASE why WHEN 's' THEN
     ELSE exit_price END / entry_price * (1 - {FEE}) - 1 AS r FROM t1 CROSS JOIN lv LEFT JOIN hits h ON h.ticker = t1.ticker AND h.entry_bar = t1.entry_bar
     AND h.horizon = t1.horizon AND h.sl = lv.sl AND h.pt = lv.pt),
 sweep AS (SELECT horizon, sl AS sl_pct, pt AS pt_pct, count(*) AS n_trades, count(*) FILTER (why = 's') AS sl_exits, count(*) FILTER (why = 'p') AS pt_exits,
-  avg(CAST(r > 0 AS INT)) AS win_rate, avg(r) AS mean_return, avg(r) / nullif(stddev_pop(r), 0) AS sharpe FROM x GROUP BY 1, 2, 3)"""
+  avg(CAST(r > 0 AS INT)) AS win_rate, avg(r) AS mean_return, CASE WHEN stddev_pop(r) > 1e-12 THEN avg(r) / stddev_pop(r) END AS sharpe FROM x GROUP BY 1, 2, 3)"""
 _BS = ["win_rate", "mean_return", "sharpe"]
 
 
@@ -332,14 +332,14 @@ _FR = [0.05, 0.1, 0.2]
 @query(f"""WITH {TR}, f AS (SELECT unnest({_FR}::DOUBLE[]) AS fraction), z AS (SELECT horizon, fraction, fraction * 1000000.0::DOUBLE * return_pct AS pnl FROM t1, f),
   o AS (SELECT horizon, fraction, count(*) AS n_trades, avg(CAST(pnl > 0 AS INT)) AS win_rate, sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0) AS profit_factor,
     sum(pnl) AS total_pnl, sum(pnl) / 1000000.0::DOUBLE AS return_on_capital FROM z GROUP BY 1, 2)
-  SELECT horizon, fraction, n_trades, {sel(['win_rate', 'profit_factor', 'total_pnl', 'return_on_capital'], 5)} FROM o""", digits=5)
+  SELECT horizon, fraction, n_trades, {sel(['win_rate', 'profit_factor', 'return_on_capital'], 5)}, {rnd('total_pnl', 2)} AS total_pnl FROM o""", digits=5, money=("total_pnl",))
 def q_sizing_sweep(spark, sf):
     return W.sizing_sweep(trades_of(spark, sf)[0], _FR)
 
 
 @query(f"""{BOOK}, o AS (SELECT ticker, count(*) AS n_trades, avg(CAST(return_pct > 0 AS INT)) AS win_rate, arg_max(cash, entry_bar) - 1 AS total_return,
     arg_max(cash, entry_bar) * any_value(c) AS final_equity FROM walk, cap WHERE taken GROUP BY ticker)
-  SELECT ticker, n_trades, {sel(['win_rate', 'total_return', 'final_equity'], 4)} FROM o""", digits=4)
+  SELECT ticker, n_trades, {sel(['win_rate', 'total_return'], 4)}, {rnd('final_equity', 2)} AS final_equity FROM o""", digits=4, money=("final_equity",))
 def q_report_tables(spark, sf):
     book, _ = book_of(spark, sf)
     per = book.groupBy("ticker").agg(

@@ -69,7 +69,7 @@ def q_predictions_long(spark, sf):
     p = S.model_panel(spark, sf).filter("lr_5 IS NOT NULL AND vol_12 IS NOT NULL")
     arrays = p.select(
         "ts", "ticker",
-        F.array(*[1 / (1 + F.exp(-k * F.col("lr_5"))) for k in S.PRED_HORIZONS.values()]).alias("mean"),
+        F.array(*[1 / (1 + F.exp(-(k * F.col("lr_5") + 0.1 * (F.pmod(F.day("ts") * h, F.lit(7)) - 3)))) for h, k in S.PRED_HORIZONS.items()]).alias("mean"),
         F.array(*[F.col("vol_12") / 4 for _ in HS]).alias("std"),
     )
     return H.predictions_long(arrays, HS)

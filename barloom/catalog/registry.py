@@ -16,13 +16,17 @@ ORACLES: dict[str, str] = {}
 TIME = "yyyy-MM-dd HH:mm:ss"
 
 
-def present(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Comparable output: rounded doubles without -0.0, text times, integer flags."""
+def present(df: DataFrame, digits: int = 6, money: Sequence[str] = ()) -> DataFrame:
+    """Comparable output: rounded doubles without -0.0, text times, integer flags.
+
+    ``money`` names large sums, rounded to cents.
+    """
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.rint(c.cast("double") * 10.0**digits) / 10.0**digits + F.lit(0.0)
+            scale = 10.0 ** (2 if f.name in money else digits)
+            c = F.rint(c.cast("double") * scale) / scale + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, TIME)
         elif isinstance(f.dataType, T.DateType):
@@ -33,12 +37,14 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def query(sql: str | None = None, name: str | None = None, digits: int = 6):
+def query(
+    sql: str | None = None, name: str | None = None, digits: int = 6, money: Sequence[str] = ()
+):
     def register(fn: Query) -> Query:
         key = name or fn.__name__.removeprefix("q_")
 
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            return present(fn(tune(spark), sf), digits)
+            return present(fn(tune(spark), sf), digits, money)
 
         run.__name__ = key
         run.__doc__ = fn.__doc__

@@ -1,0 +1,326 @@
+"""Online conformal thresholds: each label moves the level for the next row.
+
+The level of a horizon moves by ``a += g * (target - miss)`` within bounds, and
+a miss depends on the level, so the replay is sequential.  Here every row is
+first reduced, in parallel, to the one number the replay needs: the level above
+which the row counts as missed.  The replay then runs over blocks (``chain``),
+and thresholds are looked up in parallel from the levels.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from barloom.functions.columns import clip
+from barloom.operators.asof import asof
+from barloom.operators.blocks import IDX, index_rows, running
+from barloom.operators.chain import replay_blocks
+from barloom.operators.predictions import KEY3, with_actuals
+from barloom.operators.signals import act, best_horizon
+from barloom.session import materialize
+
+C = F.col
+
+# Target miss rate, step sizes and bounds of the level.
+TARGET = 0.1
+STEP = 0.005
+STEPS = (0.001, 0.005, 0.01, 0.05)
+LOW, HIGH = 0.001, 0.5
+ETA = 0.1
+SCORE_BUCKETS = 1024
+
+
+def calibration_scores(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Sorted scores ``1 - p`` of a horizon's positives (of all rows if it has
+    none): (horizon, score, rank, n), ranks from 0, ties in any order."""
+    joined = with_actuals(predictions, actuals).filter(C("mean").isNotNull())
+    any_pos = joined.groupBy("horizon").agg(F.max((C("actual") >= 0.5).cast("int")).alias("_any"))
+    used = joined.join(any_pos, "horizon").filter((C("_any") == 0) | (C("actual") >= 0.5))
+    scored = materialize(used.select("horizon", (1.0 - C("mean")).alias("score"), "ts", "ticker"))
+    ranked = index_rows(
+        scored, ["horizon"], ["score", "ts", "ticker"],
+        bucket=F.floor(C("score") * SCORE_BUCKETS), name="rank",
+    )
+    sizes = scored.groupBy("horizon").agg(F.count("*").alias("n"))
+    return materialize(ranked.join(sizes, "horizon").select("horizon", "score", "rank", "n"))
+
+
+def critical_level(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """Add ``critical``: a positive row is missed while the level is above it.
+
+    The threshold at level a is one minus the score quantile at
+    ``(1-a)(1+1/n)``; it exceeds p exactly while that quantile is below 1-p.
+    """
+    probe = rows.withColumn("score", 1.0 - C("mean"))
+    bucket = F.floor(C("score") * SCORE_BUCKETS)
+    # distinct scores with how many lie below and up to them
+    steps = scores.groupBy("horizon", "score").agg(
+        F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("n").alias("n")
+    ).withColumn("at", C("score"))
+    points = probe.select("horizon", "score").distinct()
+    lower = asof(
+        points, steps, key=("horizon",), ts="score", values=["at", "last"],
+        bucket=bucket,
+    ).withColumnsRenamed({"at": "_lo", "last": "_lo_last"})
+    upper = asof(
+        points, steps, key=("horizon",), ts="score", values=["at", "first"],
+        direction="forward", bucket=bucket,
+    ).withColumnsRenamed({"at": "_up", "first": "_up_first"})
+    sizes = scores.groupBy("horizon").agg(F.max("n").alias("n"))
+    v = C("score")
+    # smallest quantile level whose value reaches v, in [0, 1]; beyond the
+    # largest score no level does
+    inside = (C("_lo_last") + (v - C("_lo")) / (C("_up") - C("_lo"))) / (C("n") - 1)
+    level = (
+        F.when(C("_up").isNull(), F.lit(float("inf")))
+        .when(C("_up") == v, F.when(C("n") > 1, C("_up_first") / (C("n") - 1)).otherwise(0.0))
+        .when(C("_lo").isNull(), F.lit(0.0))
+        .otherwise(inside)
+    )
+    table = (
+        lower.join(upper, ["horizon", "score"])
+        .join(sizes, "horizon")
+        .select(
+            "horizon", "score",
+            # the level itself is capped at 1, so a value beyond it is never reached
+            F.when(level > 1.0, F.lit(-1.0))
+            .otherwise(1.0 - level * C("n") / (C("n") + 1.0))
+            .alias("critical"),
+        )
+    )
+    return probe.join(table, ["horizon", "score"], "left").drop("score")
+
+
+def _level_map(crit: np.ndarray, live: np.ndarray, g: float, target: float, lo: float, hi: float):
+    """A block as a map of the incoming level: pieces (start, slope, offset)."""
+    start, slope, off = np.array([lo]), np.array([1.0]), np.array([0.0])
+    end = hi
+    up, down = g * target, g * (target - 1.0)
+    for c, alive in zip(crit, live):
+        if not alive:
+            continue
+        if not np.isnan(c):
+            # split the piece in which the outgoing level crosses c; levels up
+            # to c itself are covered, so the cut lies just above it
+            stop = np.append(start[1:], end)
+            first, last = slope * start + off, slope * stop + off
+            cut = (slope > 0) & (first <= c) & (c < last)
+            if cut.any():
+                at = np.nextafter((c - off[cut]) / slope[cut], np.inf)
+                at = np.minimum(at, stop[cut])
+                start = np.concatenate([start, at])
+                slope = np.concatenate([slope, slope[cut]])
+                off = np.concatenate([off, off[cut]])
+                order = np.argsort(start, kind="stable")
+                start, slope, off = start[order], slope[order], off[order]
+            missed = slope * start + off > c
+            off = off + np.where(missed, down, up)
+        else:
+            off = off + up
+        # bounds: a piece that leaves them is cut and held there
+        stop = np.append(start[1:], end)
+        first, last = slope * start + off, slope * stop + off
+        for bound, outside in ((lo, first < lo), (hi, last > hi)):
+            if not outside.any():
+                continue
+            new_start, new_slope, new_off = [], [], []
+            for s, e, k, o in zip(start, np.append(start[1:], end), slope, off):
+                a, b = k * s + o, k * e + o
+                if (a < bound) == (b < bound) or k == 0:
+                    held = (bound == lo and max(a, b) < lo) or (bound == hi and min(a, b) > hi)
+                    new_start.append(s)
+                    new_slope.append(0.0 if held else k)
+                    new_off.append(bound if held else o)
+                else:
+                    m = min(max((bound - o) / k, s), e)
+                    below = (0.0, lo) if bound == lo else (k, o)
+                    above = (k, o) if bound == lo else (0.0, hi)
+                    new_start += [s, m]
+                    new_slope += [below[0], above[0]]
+                    new_off += [below[1], above[1]]
+            start, slope, off = np.array(new_start), np.array(new_slope), np.array(new_off)
+            same = np.append(False, (slope[1:] == slope[:-1]) & (off[1:] == off[:-1]))
+            start, slope, off = start[~same], slope[~same], off[~same]
+    return start, slope, off
+
+
+def replay_levels(
+    rows: DataFrame, g: float, *, target: float = TARGET, low: float = LOW, high: float = HIGH,
+    name: str = "alpha", size: int = 1024,
+) -> DataFrame:
+    """Add the level before each row and whether the row was missed.
+
+    ``rows``: horizon, row position, ``critical`` and ``actual`` (null: the label
+    is not known, the level stays).
+    """
+
+    def inputs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        y = pdf["actual"].to_numpy(dtype=float)
+        crit = np.where(y >= 0.5, pdf["critical"].to_numpy(dtype=float), np.nan)
+        return crit, ~np.isnan(y)
+
+    def summarise(pdf: pd.DataFrame):
+        crit, live = inputs(pdf)
+        return _level_map(crit, live, g, target, low, high)
+
+    def advance(m, a: float) -> float:
+        start, slope, off = m
+        i = max(int(np.searchsorted(start, a, side="right")) - 1, 0)
+        return float(min(max(slope[i] * a + off[i], low), high))
+
+    def replay(pdf: pd.DataFrame, a: float) -> pd.DataFrame:
+        crit, live = inputs(pdf)
+        levels, missed = np.empty(len(crit)), np.zeros(len(crit), dtype=np.int32)
+        for i in range(len(crit)):
+            levels[i] = a
+            if not live[i]:
+                continue
+            missed[i] = int(a > crit[i])  # false for a row without a positive label
+            a = min(max(a + g * (target - missed[i]), low), high)
+        return pd.DataFrame({name: levels, f"_miss_{name}": missed})
+
+    return replay_blocks(
+        rows, key=["horizon"], columns=["critical", "actual"], initial=target,
+        summarise=summarise, advance=advance, replay=replay,
+        output=f"{name} double, _miss_{name} int", size=size,
+    )
+
+
+def threshold_at(rows: DataFrame, scores: DataFrame, alpha: str = "alpha") -> DataFrame:
+    """Add ``threshold``: one minus the score quantile at the level of each row."""
+    sizes = scores.groupBy("horizon").agg(F.max("n").alias("_n"))
+    at = F.least(F.lit(1.0), (1.0 - C(alpha)) * (1.0 + 1.0 / C("_n"))) * (C("_n") - 1)
+    placed = rows.join(sizes, "horizon", "left").withColumns(
+        {"_at": at, "_f": F.floor(at), "_c": F.least(F.ceil(at), C("_n") - 1)}
+    )
+    lo = scores.select("horizon", C("rank").alias("_f"), C("score").alias("_slo"))
+    hi = scores.select("horizon", C("rank").alias("_c"), C("score").alias("_shi"))
+    out = placed.join(lo, ["horizon", "_f"], "left").join(hi, ["horizon", "_c"], "left")
+    q = C("_slo") + (C("_shi") - C("_slo")) * (C("_at") - C("_f"))
+    return out.withColumn(
+        "threshold", F.coalesce(clip(1.0 - q, 0.0, 1.0), F.lit(1.0))
+    ).drop("_n", "_at", "_f", "_c", "_slo", "_shi")
+
+
+def _stream(predictions: DataFrame, actuals: DataFrame, scores: DataFrame) -> DataFrame:
+    """Rows in replay order with their critical level; horizons without
+    calibration are left out."""
+    joined = with_actuals(predictions, actuals, "left")
+    known = joined.join(scores.select("horizon").distinct(), "horizon", "left_semi")
+    ready = critical_level(known, scores)
+    return materialize(index_rows(ready, ["horizon"], ["ts", "ticker"], bucket=C("ts")))
+
+
+def _finish(rows: DataFrame, scores: DataFrame, everything: DataFrame, target: float) -> DataFrame:
+    """Thresholds, signals and misses; uncalibrated horizons never signal."""
+    done = threshold_at(rows, scores).select(*KEY3, "alpha", "threshold")
+    out = everything.join(done, KEY3, "left").withColumns(
+        {
+            "alpha": F.coalesce("alpha", F.lit(target)),
+            "threshold": F.coalesce("threshold", F.lit(1.0)),
+            "_known": C("alpha").isNotNull(),
+        }
+    )
+    signal = (C("_known") & (C("mean") > C("threshold"))).cast("int")
+    missed = C("_known") & (C("actual") >= 0.5) & (signal == 0)
+    return out.withColumn("signal", signal).withColumn(
+        "miscovered", F.coalesce(missed, F.lit(False)).cast("int")
+    ).drop("_known")
+
+
+def aci_replay(
+    predictions: DataFrame,
+    actuals: DataFrame,
+    val_predictions: DataFrame,
+    val_actuals: DataFrame,
+    *,
+    target: float = TARGET,
+    g: float = STEP,
+    low: float = LOW,
+    high: float = HIGH,
+    size: int = 1024,
+) -> DataFrame:
+    """Adaptive replay per horizon in (ts, ticker) order; the label of a row moves
+    the level right after it."""
+    _check(target, low, high)
+    scores = calibration_scores(val_predictions, val_actuals)
+    rows = _stream(predictions, actuals, scores)
+    levels = replay_levels(rows, g, target=target, low=low, high=high, size=size)
+    return _finish(levels, scores, with_actuals(predictions, actuals, "left"), target)
+
+
+def dtaci_replay(
+    predictions: DataFrame,
+    actuals: DataFrame,
+    val_predictions: DataFrame,
+    val_actuals: DataFrame,
+    *,
+    target: float = TARGET,
+    steps: Sequence[float] = STEPS,
+    eta: float = ETA,
+    low: float = LOW,
+    high: float = HIGH,
+    size: int = 1024,
+) -> DataFrame:
+    """Several step sizes, each with its own level, mixed by exponential weights
+    on their running pinball losses."""
+    _check(target, low, high)
+    if not steps or any(s <= 0 for s in steps):
+        raise ValueError(f"all step sizes must be > 0, got {steps}")
+    if eta <= 0:
+        raise ValueError(f"eta must be > 0, got {eta}")
+    scores = calibration_scores(val_predictions, val_actuals)
+    rows = _stream(predictions, actuals, scores)
+    names = [f"_a{i}" for i in range(len(steps))]
+    for n, g in zip(names, steps):
+        rows = replay_levels(rows, g, target=target, low=low, high=high, name=n, size=size)
+    # each expert's loss on a row, summed over all earlier rows
+    for n in names:
+        miss = C(f"_miss_{n}")
+        loss = F.when(
+            C("actual").isNotNull(), C(n) * (1 - miss) + (1.0 - C(n)) * miss
+        ).otherwise(0.0)
+        rows = rows.withColumn(f"_l{n}", loss)
+    summed = running(
+        materialize(rows), ["horizon"], IDX,
+        {f"_cum{n}": ("sum", f"_l{n}") for n in names},
+        bucket=F.floor(C(IDX) / 4096),
+    )
+    before = [C(f"_cum{n}") - C(f"_l{n}") for n in names]
+    least = F.least(*before)
+    weights = [F.exp(-eta * (b - least)) for b in before]
+    total: Column = weights[0]
+    mixed: Column = weights[0] * C(names[0])
+    for w, n in zip(weights[1:], names[1:]):
+        total, mixed = total + w, mixed + w * C(n)
+    levels = summed.withColumn("alpha", mixed / total)
+    return _finish(levels, scores, with_actuals(predictions, actuals, "left"), target)
+
+
+def _check(target: float, low: float, high: float) -> None:
+    if not 0.0 < target < 1.0:
+        raise ValueError(f"target_alpha must be in (0, 1), got {target}")
+    if not 0.0 < low < high < 1.0:
+        raise ValueError(f"need 0 < low < high < 1, got {low}, {high}")
+
+
+def aci_actions(replayed: DataFrame, max_positions: int = 5) -> DataFrame:
+    """Best horizon, top-k, BUY where the replay signals."""
+    best = best_horizon(replayed).withColumnRenamed("signal", "_on")
+    return act(best, max_positions, C("_on") == 1).select(
+        "ts", "ticker", "horizon", "mean", "std", "action", C("signal")
+    )
+
+
+def final_levels(replayed: DataFrame) -> DataFrame:
+    """Last level and miss rate per horizon."""
+    return replayed.groupBy("horizon").agg(
+        F.max_by("alpha", F.struct("ts", "ticker")).alias("alpha"),
+        F.avg("miscovered").alias("miss_rate"),
+        F.count("actual").alias("n_observed"),
+    )

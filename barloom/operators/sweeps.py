@@ -175,7 +175,9 @@ def barrier_sweep(
         F.count_if(reached).alias("pt_exits"),
         F.avg((C("return_pct") > 0).cast("double")).alias("win_rate"),
         F.avg("return_pct").alias("mean_return"),
-        (F.avg("return_pct") / F.nullif(F.stddev_pop("return_pct"), F.lit(0.0))).alias("sharpe"),
+        F.when(
+            F.stddev_pop("return_pct") > 1e-12, F.avg("return_pct") / F.stddev_pop("return_pct")
+        ).alias("sharpe"),
     )
 
 

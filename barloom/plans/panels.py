@@ -452,7 +452,8 @@ def predictions(
         .filter(F.col("lr_5").isNotNull() & F.col("vol_12").isNotNull())
         .select("ts", "ticker", "lr_5", "vol_12", "volume", F.explode(hs).alias("h"))
     )
-    score = F.col("h.k") * F.col("lr_5")
+    cycle = F.pmod(F.day("ts") * F.col("h.horizon"), F.lit(7)) - 3
+    score = F.col("h.k") * F.col("lr_5") + 0.1 * cycle
     if kind == "short":
         score = -score - 0.1
     elif kind == "meta":
@@ -492,7 +493,7 @@ panel AS (SELECT *, CASE WHEN count(lr_1) {_W5} = 5 THEN sum(lr_1) {_W5} END AS
     {', '.join(f"CAST(CASE WHEN lr_h{h} > 0 THEN 1 WHEN lr_h{h} IS NOT NULL THEN 0 END AS FLOAT) AS target_h{h}" for h in PRED_HORIZONS)}
   FROM p0)"""
 PREDS = f"""{PANEL}, ks(horizon, k) AS (VALUES {', '.join(f'({h}, {k}::DOUBLE)' for h, k in PRED_HORIZONS.items())}),
-pr AS (SELECT ts, ticker, horizon, k * lr_5 AS score, vol_12 / 4 AS std, volume FROM panel, ks
+pr AS (SELECT ts, ticker, horizon, k * lr_5 + 0.1::DOUBLE * ((day(ts) * horizon) % 7 - 3) AS score, vol_12 / 4 AS std, volume FROM panel, ks
        WHERE lr_5 IS NOT NULL AND vol_12 IS NOT NULL),
 preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-score)) AS mean, std FROM pr),
 short_preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-(-score - 0.1::DOUBLE))) AS mean, std FROM pr),
