@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "q_indicators", "q_bars", "q_features", "q_targets", "q_evaluation", "q_decisions", "q_backtest", "q_sources",
+    "q_models",
 )
 
 

@@ -25,6 +25,8 @@ def _spread(
     extra: dict[str, Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Counted distinct values with their sub-range, and the sub-range totals."""
+    if splits < 2:
+        raise ValueError(f"splits must be at least 2, got {splits}")
     keys = list(group)
     counts = (
         df.filter(F.col(value).isNotNull())

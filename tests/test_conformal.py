@@ -1,0 +1,94 @@
+"""The block-wise replay against a plain row-by-row one."""
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from barloom.operators import conformal as O
+
+
+def stream(seed, n_ts, horizons=(1, 3), tickers=("a", "b", "c")):
+    rng = np.random.default_rng(seed)
+    ts = pd.date_range("2024-01-01", periods=n_ts, freq="D")
+    rows = [(t, k, h) for t in ts for k in tickers for h in horizons]
+    df = pd.DataFrame(rows, columns=["ts", "ticker", "horizon"])
+    df["mean"] = rng.uniform(0.2, 0.8, len(df)).round(3)
+    df["std"] = 0.1
+    y = (rng.uniform(size=len(df)) < df["mean"]).astype(float)
+    act = df[["ts", "ticker", "horizon"]].assign(actual=y)
+    return df, act
+
+
+def threshold(scores, a):
+    n = len(scores)
+    q = np.quantile(scores, min(1.0, (1 - a) * (1 + 1 / n)))
+    return float(np.clip(1 - q, 0, 1))
+
+
+def walk(pred, act, scores, g, target=0.1, lo=0.001, hi=0.5):
+    m = pred.merge(act, how="left").sort_values(["ts", "ticker", "horizon"])
+    level = {h: target for h in scores}
+    out = []
+    for r in m.itertuples():
+        if r.horizon not in scores:
+            out.append((target, 1.0, 0))
+            continue
+        a = level[r.horizon]
+        t = threshold(scores[r.horizon], a)
+        out.append((a, t, int(r.mean > t)))
+        if not np.isnan(r.actual):
+            miss = r.actual >= 0.5 and r.mean < t
+            level[r.horizon] = float(np.clip(a + g * (target - miss), lo, hi))
+    m[["alpha", "threshold", "signal"]] = out
+    return m
+
+
+def scores_of(pred, act):
+    m = pred.merge(act)
+    return {
+        h: np.sort(1 - s.loc[s.actual >= 0.5, "mean"].to_numpy()) for h, s in m.groupby("horizon")
+    }
+
+
+@pytest.mark.parametrize("g,size", [(0.005, 7), (0.05, 16), (0.05, 1000)])
+def test_aci_replay_equals_walk(spark, g, size):
+    vp, va = stream(1, 40)
+    tp, ta = stream(2, 60, horizons=(1, 3, 9))
+    ta.loc[ta.index % 11 == 0, "actual"] = np.nan
+    want = walk(tp, ta, scores_of(vp, va), g)
+    got = O.aci_replay(
+        spark.createDataFrame(tp), spark.createDataFrame(ta.astype({"actual": float})).replace(float("nan"), None),
+        spark.createDataFrame(vp), spark.createDataFrame(va), g=g, size=size,
+    ).toPandas().sort_values(["ts", "ticker", "horizon"])
+    assert len(got) == len(want)
+    np.testing.assert_allclose(got["alpha"], want["alpha"], atol=1e-9)
+    np.testing.assert_allclose(got["threshold"], want["threshold"], atol=1e-9)
+    assert (got["signal"].to_numpy() == want["signal"].to_numpy()).mean() > 0.999
+    assert got.loc[got.horizon == 9, "threshold"].eq(1.0).all()
+
+
+def test_dtaci_mixes_experts(spark):
+    vp, va = stream(3, 40, horizons=(1,))
+    tp, ta = stream(4, 50, horizons=(1,))
+    steps, eta = (0.005, 0.05), 0.1
+    sc = scores_of(vp, va)[1]
+    m = tp.merge(ta).sort_values(["ts", "ticker"])
+    levels, cum, want = np.full(2, 0.1), np.zeros(2), []
+    for r in m.itertuples():
+        w = np.exp(-eta * (cum - cum.min()))
+        want.append(float((w * levels).sum() / w.sum()))
+        for k, g in enumerate(steps):
+            miss = int(r.actual >= 0.5 and r.mean < threshold(sc, levels[k]))
+            cum[k] += levels[k] * (1 - miss) + (1 - levels[k]) * miss
+            levels[k] = np.clip(levels[k] + g * (0.1 - miss), 0.001, 0.5)
+    got = O.dtaci_replay(
+        *[spark.createDataFrame(x) for x in (tp, ta, vp, va)], steps=steps, eta=eta, size=9
+    ).toPandas().sort_values(["ts", "ticker"])
+    np.testing.assert_allclose(got["alpha"], want, atol=1e-9)
+
+
+def test_arguments(spark):
+    with pytest.raises(ValueError):
+        O.aci_replay(None, None, None, None, target=1.5)
+    with pytest.raises(ValueError):
+        O.dtaci_replay(None, None, None, None, steps=())
