@@ -8,6 +8,7 @@ from barloom.catalog.registry import query, rnd, rounded
 from barloom.operators import splits as G
 from barloom.operators import targets as T
 from barloom.plans import panels as S
+from barloom.session import materialize
 
 K = ["ticker"]
 H = list(S.PRED_HORIZONS)
@@ -73,7 +74,7 @@ _PURGED = """purged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def split_panel(spark, sf):
-    return G.chrono_split(S.model_panel(spark, sf))
+    return G.chrono_split(materialize(S.model_panel(spark, sf)))
 
 
 @query(f"WITH {S.PANEL}, {_SPLIT} SELECT ticker, {TS}, split FROM split")
@@ -101,7 +102,7 @@ def q_scaler_fit(spark, sf):
   o AS (SELECT ticker, ts, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _FEAT)} FROM split, fit)
   SELECT {rounded(_FEAT, K)} FROM o""")
 def q_scaler_transform(spark, sf):
-    df = split_panel(spark, sf)
+    df = materialize(split_panel(spark, sf))
     params = G.scaler_fit(df.filter("split = 'train'"), _FEAT)
     return G.scaler_transform(df, params, _FEAT).select("ticker", "ts", *_FEAT)
 

@@ -44,8 +44,9 @@ def index_rows(
     order: Sequence[str] | str,
     bucket: Column | None = None,
     name: str = IDX,
+    from_end: bool = False,
 ) -> DataFrame:
-    """Add the 0-based position of each row inside its series.
+    """Add the 0-based position of each row inside its series, or from its end.
 
     ``order`` must be unique inside a series and ``bucket`` monotone in it.  The
     positions of a bucket start at the row count of all earlier buckets, so the
@@ -56,7 +57,8 @@ def index_rows(
     keys = list(key)
     rows = df.withColumn(BKT, bucket)
     counts = rows.groupBy(*keys, BKT).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(BKT).rowsBetween(
+    outer = F.col(BKT).desc() if from_end else F.col(BKT)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(outer).rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = counts.select(
@@ -67,7 +69,8 @@ def index_rows(
     cond = F.col(BKT) == F.col("_k_bkt")
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_k_{k}"))
-    here = Window.partitionBy(*keys, BKT).orderBy(*order)
+    inner = [F.col(c).desc() for c in order] if from_end else order
+    here = Window.partitionBy(*keys, BKT).orderBy(*inner)
     return (
         rows.join(starts, cond)
         .withColumn(name, F.col("_start") + F.row_number().over(here) - 1)

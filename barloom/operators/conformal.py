@@ -62,28 +62,30 @@ def critical_level(rows: DataFrame, scores: DataFrame) -> DataFrame:
     steps = scores.groupBy("horizon", "score").agg(
         F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("n").alias("n")
     ).withColumn("at", C("score"))
-    points = probe.select("horizon", "score").distinct()
+    points = probe.groupBy("horizon", "score").agg(F.min("mean").alias("_p"))
     lower = asof(
         points, steps, key=("horizon",), ts="score", values=["at", "last"],
         bucket=bucket,
     ).withColumnsRenamed({"at": "_lo", "last": "_lo_last"})
     upper = asof(
-        points, steps, key=("horizon",), ts="score", values=["at", "first"],
+        points, steps, key=("horizon",), ts="score", values=["at", "first", "last"],
         direction="forward", bucket=bucket,
-    ).withColumnsRenamed({"at": "_up", "first": "_up_first"})
+    ).withColumnsRenamed({"at": "_up", "first": "_up_first", "last": "_up_last"})
     sizes = scores.groupBy("horizon").agg(F.max("n").alias("n"))
     v = C("score")
     # smallest quantile level whose value reaches v, in [0, 1]; beyond the
     # largest score no level does
     inside = (C("_lo_last") + (v - C("_lo")) / (C("_up") - C("_lo"))) / (C("n") - 1)
+    # where the value itself is a score, 1 - (1 - p) decides: it can round above p
+    edge = F.when(1.0 - v > C("_p"), C("_up_last")).otherwise(C("_up_first"))
     level = (
         F.when(C("_up").isNull(), F.lit(float("inf")))
-        .when(C("_up") == v, F.when(C("n") > 1, C("_up_first") / (C("n") - 1)).otherwise(0.0))
+        .when(C("_up") == v, F.when(C("n") > 1, edge / (C("n") - 1)).otherwise(0.0))
         .when(C("_lo").isNull(), F.lit(0.0))
         .otherwise(inside)
     )
     table = (
-        lower.join(upper, ["horizon", "score"])
+        lower.drop("_p").join(upper, ["horizon", "score"])
         .join(sizes, "horizon")
         .select(
             "horizon", "score",
@@ -118,7 +120,8 @@ def _level_map(crit: np.ndarray, live: np.ndarray, g: float, target: float, lo:
                 off = np.concatenate([off, off[cut]])
                 order = np.argsort(start, kind="stable")
                 start, slope, off = start[order], slope[order], off[order]
-            missed = slope * start + off > c
+            # after the cut no piece straddles c, so its middle decides
+            missed = slope * (start + np.append(start[1:], end)) / 2.0 + off > c
             off = off + np.where(missed, down, up)
         else:
             off = off + up

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import TINY, or_zero, zero_to_null
-from barloom.operators.ranks import average_ranks
+from barloom.operators.ranks import value_positions
+from barloom.session import materialize
 
 logger = logging.getLogger(__name__)
 
@@ -28,7 +29,7 @@ def panel_wide(
     )
 
 
-def _moments(df: DataFrame, cols: Sequence[str], ts: str) -> DataFrame:
+def _moments(rows: DataFrame, df: DataFrame, cols: Sequence[str], ts: str) -> DataFrame:
     stats = df.groupBy(F.col(ts).alias("_ts")).agg(
         *[
             agg.alias(f"_{n}_{c}")
@@ -40,7 +41,7 @@ def _moments(df: DataFrame, cols: Sequence[str], ts: str) -> DataFrame:
             )
         ]
     )
-    return df.join(stats, F.col(ts) == F.col("_ts"))
+    return rows.join(stats, F.col(ts) == F.col("_ts"))
 
 
 def _unmoment(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -83,10 +84,20 @@ def xs_features(
             logger.warning("cross-section: feature %s not found", c)
     if relative_mode not in (None, "ratio", "diff"):
         raise ValueError(f"mode must be 'ratio' or 'diff', got {relative_mode!r}")
-    out = _moments(df, cols, ts)
+    out = df
     if rank:
+        df = materialize(df)
+        out = df
         for c in cols:
-            out = average_ranks(out, [ts], c, f"_r_{c}", splits=4)
+            # ranks of the stored rows, so no pass repeats an earlier join
+            pos = value_positions(df, [ts], c, splits=4).select(
+                F.col(ts).alias("_rts"), F.col(c).alias("_rv"),
+                (F.col("below") + (F.col("cnt") + 1) / 2.0).alias(f"_r_{c}"),
+            )
+            out = out.join(
+                pos, (F.col(ts) == F.col("_rts")) & (F.col(c) == F.col("_rv")), "left"
+            ).drop("_rts", "_rv")
+    out = _moments(out, df, cols, ts)
     made = {}
     for c in cols:
         if rank:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import or_zero, zero_to_null
 from barloom.operators.asof import asof
 from barloom.operators.blocks import HaloBlocks, over_blocks
+from barloom.session import materialize
 
 # Participant groups, position columns and contract names.
 GROUPS = ("YUR", "FIZ")
@@ -91,9 +92,8 @@ def smart_divergence(features: DataFrame) -> DataFrame:
 
 
 def build_positioning(df: DataFrame, key: Sequence[str] = KEY, **blocks) -> DataFrame:
-    return smart_divergence(
-        positioning_features(positioning_pivot(positioning_daily_close(df, key), key), key, **blocks)
-    )
+    panel = materialize(positioning_pivot(positioning_daily_close(df, key), key))
+    return smart_divergence(positioning_features(panel, key, **blocks))
 
 
 def positioning_asof(
@@ -109,6 +109,7 @@ def positioning_asof(
     right = features.withColumn(
         ts, F.col("day").cast("timestamp") + F.make_dt_interval(F.lit(delay_days))
     )
+    right = materialize(right.select(*key, ts, *cols))
     joined = asof(bars.select(*key, ts), right, key=key, ts=ts, values=cols)
     return joined.select(*key, ts, *[or_zero(c).alias(c) for c in cols])
 

@@ -60,18 +60,8 @@ def purge_tail(
     if k <= 0:
         return df
     part = F.when(C("split").isin(list(splits)), C("split"))
-    idx = index_rows(df, [*key, "split"], ts)
-    sizes = idx.groupBy(*[C(c).alias(f"_{c}") for c in (*key, "split")]).agg(
-        F.count("*").alias("_n")
-    )
-    cond = C("split") == C("_split")
-    for c in key:
-        cond = cond & (C(c) == C(f"_{c}"))
-    return (
-        idx.join(sizes, cond)
-        .filter(part.isNull() | (C(IDX) < C("_n") - k))
-        .drop(IDX, "_n", "_split", *[f"_{c}" for c in key])
-    )
+    left = index_rows(df, [*key, "split"], ts, from_end=True)
+    return left.filter(part.isNull() | (C(IDX) >= k)).drop(IDX)
 
 
 def scaler_fit(train: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import resample_ohlcv, ticks_as_bars
+from barloom.session import materialize
 
 
 
@@ -434,7 +435,7 @@ def model_panel(spark: SparkSession, sf: str) -> DataFrame:
         df = I.rolling_volatility.build(df, b, windows=(12,))
         return df.withColumns(label_columns(b, list(PRED_HORIZONS), COST, COST))
 
-    return over_blocks(bars(spark, sf), build, back=14, ahead=12)
+    return over_blocks(materialize(bars(spark, sf)), build, back=14, ahead=12)
 
 
 def predictions(

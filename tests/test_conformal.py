@@ -12,7 +12,7 @@ def stream(seed, n_ts, horizons=(1, 3), tickers=("a", "b", "c")):
     ts = pd.date_range("2024-01-01", periods=n_ts, freq="D")
     rows = [(t, k, h) for t in ts for k in tickers for h in horizons]
     df = pd.DataFrame(rows, columns=["ts", "ticker", "horizon"])
-    df["mean"] = rng.uniform(0.2, 0.8, len(df)).round(3)
+    df["mean"] = rng.uniform(0.2, 0.8, len(df))
     df["std"] = 0.1
     y = (rng.uniform(size=len(df)) < df["mean"]).astype(float)
     act = df[["ts", "ticker", "horizon"]].assign(actual=y)
