@@ -63,15 +63,11 @@ def q_scan_parquet(spark, sf):
 
 @query(_BARS)
 def q_scan_ticker_files(spark, sf):
-    """Lands the bars as one CSV file per ticker, then reads the folder."""
+    """Lands the bars as CSV files per ticker, then reads the folder."""
     root = landing(spark, "moved")
     text = S.bars(spark, sf).select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), *OHLCV)
     text.repartition("ticker").write.partitionBy("ticker").option("header", True).csv(root)
-    # partition folders carry the ticker; the flat layout is covered in tests
-    raw = spark.read.option("header", True).option("basePath", root).schema(
-        "ts string, open double, high double, low double, close double, volume double, ticker string"
-    ).csv(f"{root}/*")
-    return L._timed(raw, "ts").filter(F.col("close").isNotNull())
+    return L.scan_ticker_files(spark, root, files="ticker=*/*.csv", ticker="ticker=([^/]+)/")
 
 
 def envelopes(spark, sf):

@@ -35,17 +35,18 @@ def scan_raw_csv(
 
 
 def scan_ticker_files(
-    spark: SparkSession, root: str, columns: Sequence[str] = BAR_COLUMNS, ts: str = "ts"
+    spark: SparkSession, root: str, columns: Sequence[str] = BAR_COLUMNS, ts: str = "ts",
+    files: str = "*.csv", ticker: str = r"([^/]+)\.csv$",
 ) -> DataFrame:
-    """All ``<root>/<ticker>.csv`` as one table, ticker from the file name.
+    """All ``<root>/<ticker>.csv`` as one table, ticker from the path.
 
-    Tickers without a file are simply not there; rows without a close drop out.
+    ``files`` and ``ticker`` (a pattern on the path) fit other layouts.  Tickers without a file are simply not there; rows without a close drop out.
     """
     raw = (
         spark.read.option("header", True)
         .schema(csv_schema(columns, ts))
-        .csv(f"{root}/*.csv")
-        .withColumn("ticker", F.regexp_extract(C("_metadata.file_name"), r"^(.*)\.csv$", 1))
+        .csv(f"{root}/{files}")
+        .withColumn("ticker", F.regexp_extract(C("_metadata.file_path"), ticker, 1))
     )
     return _timed(raw, ts).filter(C("close").isNotNull())
 
