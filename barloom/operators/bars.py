@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from barloom.functions.columns import num, or_zero
 from barloom.operators.asof import asof, forward_fill
@@ -47,6 +48,24 @@ def ticks_as_bars(df: DataFrame, price: str = "price", qty: str = "qty") -> Data
     )
 
 
+def order_key(ts: str | Column, tie: str | Column) -> Column:
+    """Time and an integer tie as one sortable number."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    k = F.col(tie) if isinstance(tie, str) else tie
+    return (
+        F.unix_micros(t.cast("timestamp")).cast("decimal(17,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)")
+        + k.cast("decimal(20,0)")
+    ).cast("decimal(38,0)")
+
+
+def _row_order(df: DataFrame, ts: str, tie: Sequence[str]) -> Column:
+    if not tie:
+        return F.col(ts)
+    if len(tie) == 1 and isinstance(df.schema[tie[0]].dataType, IntegralType):
+        return order_key(ts, tie[0])
+    return F.struct(ts, *tie)
+
+
 def resample_ohlcv(
     df: DataFrame,
     minutes: int,
@@ -61,14 +80,14 @@ def resample_ohlcv(
     """Left-closed, left-labelled bars; ``tie`` orders rows of equal time.
 
     A primitive ``order`` column (instead of ``ts`` and ``tie``) keeps the
-    aggregation hash-based.  First and last skip nulls.  One aggregation with map-side combine: no sort,
+    aggregation hash-based; one integer ``tie`` is turned into such a column.  First and last skip nulls.  One aggregation with map-side combine: no sort,
     so a bar fed by a third of all ticks is reduced where the ticks are read.
     """
     if minutes <= 1 and start is None:
         return df
     if start is None and minutes < DAY_MINUTES and DAY_MINUTES % minutes:
         raise ValueError("a bar must divide a day, or be a day or longer")
-    when = order if order is not None else F.struct(ts, *tie) if tie else F.col(ts)
+    when = order if order is not None else _row_order(df, ts, tie)
     bar = bar_start(ts, minutes) if start is None else start
     aggs = {
         "open": F.min_by("open", F.when(F.col("open").isNotNull(), when)),

@@ -42,6 +42,7 @@ def top_k(best: DataFrame, k: int) -> DataFrame:
 def act(best: DataFrame, k: int, qualifies: Column, gate: Column | None = None) -> DataFrame:
     """Mark BUY where a top-k row qualifies; ``gate`` may use ``top_mean``,
     the highest mean of the time."""
+    best = materialize(best)
     top = top_k(best, k)
     if gate is not None:
         top = top.withColumn("top_mean", F.max("mean").over(Window.partitionBy("ts"))).filter(gate)
@@ -90,6 +91,7 @@ def two_stage_signals(
     classify = mode == "classification"
     base = threshold if threshold is not None else (0.55 if classify else 0.0005)
     cap = std_cap if std_cap is not None else (0.25 if classify else 0.02)
+    predictions = materialize(predictions.select(*KEY3, "mean", "std"))
     n_h = predictions.agg(F.countDistinct("horizon").alias("_n"))
     t = n_h.select(
         effective_threshold(base, C("_n"), mode=mode, correction=correction, factor=factor).alias("_t")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from barloom.operators.bars import order_key
 from barloom.operators.signals import alerts
 
 C = F.col
@@ -27,8 +28,8 @@ def stream_bars(
     lateness: str = "10 minutes", order: str | None = None,
 ) -> DataFrame:
     """Tumbling OHLCV bars; a bar is emitted once the watermark passes it, rows
-    later than that are dropped.  ``order`` breaks ties of equal times."""
-    when: Column = F.struct(ts, order) if order else C(ts)
+    later than that are dropped.  ``order``, an integer, breaks ties of equal times."""
+    when: Column = order_key(ts, order) if order else C(ts)
     return (
         ticks.withWatermark(ts, lateness)
         .groupBy(*key, F.window(ts, f"{minutes} minutes").alias("_w"))
