@@ -19,6 +19,7 @@ from barloom.operators.asof import asof
 from barloom.operators.blocks import IDX, index_rows, running
 from barloom.operators.chain import replay_blocks
 from barloom.operators.splits import time_index
+from barloom.session import materialize
 
 C = F.col
 BAR_BLOCK = 4096
@@ -69,7 +70,7 @@ def trade_outcomes(
     entry = indexed.select(
         "ticker", C("bar").alias("entry_bar"), C("ts").alias("open_ts"), C("open").alias("entry_price")
     ).filter(C("entry_price") > 0)
-    opened = buys.join(entry, ["ticker", "entry_bar"])
+    opened = materialize(buys.join(entry, ["ticker", "entry_bar"]))
     # leaving: the first bar of the ticker at or after the due bar
     quotes = indexed.select(
         "ticker", "bar", C("bar").alias("exit_bar"), C("ts").alias("close_ts"), C("open").alias("exit_price")
@@ -98,7 +99,7 @@ def trade_outcomes(
         .drop("_end_ts")
     )
     if (stop_loss > 0 or profit_target > 0) and {"high", "low"} <= set(prices.columns):
-        trades = barrier_exit(trades, indexed, stop_loss, profit_target)
+        trades = barrier_exit(materialize(trades), indexed, stop_loss, profit_target)
     return trades.withColumn("return_pct", net_return(cost)).drop("due_bar")
 
 
@@ -218,6 +219,7 @@ def signal_exit_pairs(
     quotes = indexed.select(
         "ticker", "bar", C("bar").alias("exit_bar"), C("ts").alias("close_ts"), C("open").alias("exit_price")
     )
+    paired = materialize(paired)
     due = paired.select("ticker", (C("_stop") + 1).alias("bar")).distinct()
     leave = asof(
         due, quotes, key=("ticker",), ts="bar", direction="forward", bucket=_bucket(),
