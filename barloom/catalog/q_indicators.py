@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from barloom.catalog.registry import query, rounded
 from barloom.operators import indicators as I
@@ -246,4 +245,3 @@ def q_hurst_rs(spark, sf):
     return I.hurst_rs(bars(spark, sf)).select("ticker", "ts", "hurst_60")
 
 
-_time = ["time_sin_daily", "time_cos_daily", "dow_sin", "dow_cos", "dom_sin", "dom_cos"]
