@@ -71,20 +71,22 @@ def crc_mod(c: Column, n: int) -> Column:
 
 
 def add_columns(
-    docs: DataFrame, keep: Sequence[str], new: str, make: Callable[[], Callable[[list], dict]], text: str = "text"
+    docs: DataFrame, keep: Sequence[str], new: str, make: Callable[[], Callable[..., dict]], text: str = "text",
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """One Arrow pass: rows keep the columns ``keep`` and get the columns ``new``.
 
     ``make()`` runs once a task and returns a function from the batch's texts
-    (UTF-8 bytes, null as empty) to a dict of column values. Columns of the
-    input with the name of a new one are replaced. Inputs of any width are
-    read only in ``keep`` and the text.
+    (UTF-8 bytes, null as empty) and the columns ``extra`` to a dict of column
+    values. Columns of the input with the name of a new one are replaced. Inputs
+    of any width are read only in ``keep``, ``extra`` and the text.
     """
     added = T._parse_datatype_string(new) if isinstance(new, str) else new
     names = {f.name for f in added}
     carried = [c for c in dict.fromkeys(keep) if c not in names]
     schema = T.StructType([docs.schema[c] for c in carried] + list(added))
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").cast("binary").alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").cast("binary").alias("__text"), *[F.col(f"`{c}`") for c in extra])
+    n = len(carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -92,8 +94,8 @@ def add_columns(
             if not b.num_rows:
                 continue
             work = work or make()
-            got = work([x or b"" for x in b.column(len(carried)).to_pylist()])
-            cols = [b.column(i) for i in range(len(carried))]
+            got = work([x or b"" for x in b.column(n).to_pylist()], *[b.column(n + 1 + i).to_pylist() for i in range(len(extra))])
+            cols = [b.column(i) for i in range(n)]
             cols += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], arrow_type(f.dataType)) for f in added]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import arrow_ids, pieces, quality, toxicity
+from barloom.llm import arrow_ids, line_dedup, pieces, quality, secrets, toxicity
 from barloom.llm.common import crc_mod, table
 
 
@@ -16,6 +16,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(toxicity.score(docs, model, ["doc_id"]), 0.5)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that ten documents hold leave every document."""
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.LineIndex.build(docs).drop_lines(docs, ["doc_id"], digest=True)
+
+
+LINES_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+  k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+  m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, scanned once per blob and rule version."""
+    return secrets.per_document(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the vote of its nearest labelled documents."""
     docs = table(spark, sf_dir, "documents")
@@ -42,5 +62,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op7_quality, op9_arrow_ids, op10_pieces)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_line_dedup, op5_secrets, op7_quality, op9_arrow_ids, op10_pieces)}
+ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL}
