@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import arrow_ids, line_dedup, pieces, quality, secrets, toxicity
+from barloom.llm import arrow_ids, line_dedup, permutation_index, pieces, quality, secrets, toxicity
 from barloom.llm.common import crc_mod, table
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector by inner product."""
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the recurrent network."""
     docs = table(spark, sf_dir, "documents")
@@ -62,5 +67,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_line_dedup, op5_secrets, op7_quality, op9_arrow_ids, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op4_line_dedup, op5_secrets, op7_quality, op9_arrow_ids, op10_pieces)}
 ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL}
