@@ -70,6 +70,11 @@ def crc_mod(c: Column, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Names a row by its id and text, so that repeated rows share it and null ids have one."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("string"))
+
+
 def add_columns(
     docs: DataFrame, keep: Sequence[str], new: str, make: Callable[[], Callable[..., dict]], text: str = "text",
     extra: Sequence[str] = (),

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import add_columns, stored
+from barloom.llm.common import add_columns, row_key, stored
 
 MIN_DOCS, SHARD_KEYS, BROADCAST_BYTES = 10, 25_000, 8 << 20
 
@@ -217,7 +217,7 @@ class LineIndex:
         if n * 8 <= BROADCAST_BYTES:
             made = filters_of(frequent.withColumn("shard", shard_of(max(1, n // SHARD_KEYS))))
             probe = docs.sparkSession.sparkContext.broadcast([bytes(r["filter"]) for r in made.collect()])
-        row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.xxhash64(F.coalesce("text", F.lit(""))).cast("string"))
+        row = row_key()
         lines = docs.select(row.alias("row"), F.col("text").cast("binary").alias("text"))
 
         def emit(batches):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import arrow_ids, line_dedup, permutation_index, pieces, quality, secrets, simhash, toxicity
+from barloom.llm import arrow_ids, decontaminate, line_dedup, permutation_index, pieces, quality, secrets, simhash, toxicity
 from barloom.llm.common import crc_mod, table
 
 
@@ -63,6 +63,12 @@ def judged(scores: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with their best place."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.marked(docs, benchmark, ["doc_id"])
+
+
 def op9_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as Arrow sequence files and read back."""
     return arrow_ids.read(*arrow_ids.write(table(spark, sf_dir, "documents")))
@@ -73,5 +79,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op7_quality, op9_arrow_ids, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces)}
 ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL}
