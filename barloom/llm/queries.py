@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import arrow_ids, decontaminate, line_dedup, permutation_index, pieces, quality, secrets, simhash, toxicity
+from barloom.llm import arrow_ids, decontaminate, language_model, line_dedup, permutation_index, pieces, quality, secrets, simhash, toxicity
 from barloom.llm.common import crc_mod, table
 
 
@@ -47,6 +47,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.per_document(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model likelihood of every document."""
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the vote of its nearest labelled documents."""
     docs = table(spark, sf_dir, "documents")
@@ -79,5 +84,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op6_language_model, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces)}
 ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL}
