@@ -2,14 +2,15 @@
 
 Texts are encoded with a word-level BPE tokenizer, an end id follows each document, and
 the ids of ascending doc_ids form one stream. Each range of doc_ids becomes one shard
-file in Arrow's random-access format: record batches of ``fixed_size_list<uint32>[L]``
-ids and ``fixed_size_list<uint8>[L]`` masks (1: an id, 0: padding after the last id of
-the shard). A reader maps the file and gets any sequence as a view of it, without a copy.
+file in Arrow's random-access format: record batches of ``fixed_size_list<uint16>[L]`` ids
+(uint32 where the vocabulary needs it) and ``fixed_size_list<bool>[L]`` masks (true: an id,
+false: padding after the last id of the shard), one bit each. A reader maps the file and
+gets any sequence and its mask as views of it, without a copy.
 
 Words are encoded once: text is cut at ASCII white space, which no token of the tokenizer
 spans, and each distinct word (ASCII letters in lower case, since the tokenizer lowers
-them anyway) is encoded by the library and kept in the Python worker; the table is emptied
-at ``TABLE_ENTRIES``. A task writes under a temporary name and renames, so a repeated
+them anyway) is encoded by the library and kept in the Python worker, in two halves of which the
+older goes when the younger has ``TABLE_ENTRIES``. A task writes under a temporary name and renames, so a repeated
 task leaves the same file. Texts are shuffled once, by ranges of doc_id (even under a hot
 source; a doc_id repeated very often stays in one range). Offsets across shards are sums
 of one number per shard.
@@ -19,9 +20,10 @@ Null and empty texts hold the end id only. Null doc_ids come first, equal ones b
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.ipc
@@ -33,9 +35,8 @@ from barloom.llm.common import new_path, quiet_tokenizers, stored, tokenizer_fil
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 LENGTH, SEQUENCES = 512, 256  #: ids in a sequence, sequences in a record batch
-TABLE_ENTRIES, LONG, JOINED = 400_000, 64, 24
-_LETTERS = re.compile(rb"[a-z]+\Z")
-_STEM = re.compile(rb"([a-z]+)([.,!?;:%&*$#]+)\Z")
+TABLE_ENTRIES, LONG, JOINED = 450_000, 64, 128
+MARKS = ".,!?;:%&*$#|"  #: trailing characters that end a group of letters
 _workers: dict[str, WordTable] = {}
 
 
@@ -48,62 +49,64 @@ class WordTable:
 
         self.tok = Tokenizer.from_file(path)
         self.specials = any(True for _ in self.tok.get_added_tokens_decoder())
-        self.ends = {i for p, i in self.tok.get_vocab().items() if p.endswith("</w>")}
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for p, i in self.tok.get_vocab().items() if p.endswith("</w>")]] = True
         self.table: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def plain(self, words: list[bytes]) -> list[list[int]]:
-        got = self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [e.ids for e in got]
+    def plain(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def letters(self, words: list[bytes]) -> list[list[int]]:
-        """Words of letters only, several to one call: each ends at its end-of-word id."""
-        out: list[list[int]] = []
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters only, many to one call: each ends at its end-of-word id."""
+        out: list[bytes] = []
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        for group, ids in zip(groups, self.plain([b" ".join(g) for g in groups])):
-            cuts = [0, *(k + 1 for k, i in enumerate(ids) if i in self.ends)]
-            if len(cuts) == len(group) + 1 and cuts[-1] == len(ids):
-                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for group, ids in zip(groups, self.plain([" ".join(g) for g in groups])):
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 4).tolist()
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
             else:
                 out += self.plain(group)
         return out
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Words missing from the table; trailing punctuation is a token group of its own."""
-        pure, split, rest = set(), {}, []
-        for w in words:
-            if _LETTERS.match(w):
-                pure.add(w)
-            elif m := _STEM.match(w):
-                split[w] = m.groups()
-            else:
-                rest.append(w)
-        stems = pure.union(s for s, _ in split.values())
-        stems = [s for s in stems if s not in self.table]
-        marks = [p for p in {p for _, p in split.values()} if p not in self.table]
-        new = {w: pack(i) for w, i in zip(stems, self.letters(stems))}
-        new |= {w: pack(i) for w, i in zip(rest + marks, self.plain(rest + marks))}
-        at = lambda w: new[w] if w in new else self.table[w]
-        new |= {w: at(s) + at(p) for w, (s, p) in split.items()}
+        texts = [w.decode("utf-8", "replace") for w in words]
+        pure, split, rest = {s for s in texts if s.isalpha()}, {}, []
+        for s in texts:
+            if s not in pure:
+                stem = s.rstrip(MARKS)
+                if stem.isalpha():
+                    split[s] = stem, s[len(stem) :]
+                else:
+                    rest.append(s)
+        table = self.table
+        stems = [*pure, *(x for x in {x for x, _ in split.values()} - pure if x.encode() not in table)]
+        rest += [m for m in {m for _, m in split.values()} if m.encode() not in table]
+        new = dict(zip((s.encode() for s in stems), self.letters(stems)))
+        new.update(zip((s.encode() for s in rest), self.plain(rest)))
+        at = {**{s: table.get(s.encode()) for s, _ in split.values()}, **{m: table.get(m.encode()) for _, m in split.values()}}
+        at = {s: i if i is not None else new[s.encode()] for s, i in at.items()}
+        new.update((w.encode(), at[s] + at[m]) for w, (s, m) in split.items())
         return new
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of every text."""
+        texts = [t if t.isascii() else t.decode("utf-8", "replace").encode() for t in texts]
         parts = [(t if self.specials and b"<|" in t else t.lower()).split() for t in texts]
         if len(self.table) > TABLE_ENTRIES:
-            self.table.clear()
-        seen = set().union(*parts)
-        new = self.learn([w for w in seen if w not in self.table])
-        self.table.update((w, i) for w, i in new.items() if len(w) <= LONG)
+            self.old, self.table = self.table, {}
+        missing = set().union(*parts).difference(self.table)
+        back = missing.intersection(self.old)
+        self.table.update((w, self.old[w]) for w in back)
+        new = self.learn([*missing.difference(back)])
         at = self.table
-        if any(len(w) > LONG for w in new):
-            at = {w: self.table.get(w) or new.get(w, b"") for w in seen}
-        return [b"".join([at[w] for w in p]) for p in parts]
-
-
-def pack(ids: list[int]) -> bytes:
-    import struct
-
-    return struct.pack(f"<{len(ids)}I", *ids)
+        if max(map(len, new), default=0) > LONG:
+            at.update((w, i) for w, i in new.items() if len(w) <= LONG)
+            at = {w: at[w] if w in at else new[w] for p in parts for w in p}
+        else:
+            at.update(new)
+        return [b"".join(map(at.__getitem__, p)) for p in parts]
 
 
 def table_of(path: str) -> WordTable:
@@ -112,44 +115,44 @@ def table_of(path: str) -> WordTable:
     return _workers[path]
 
 
-def file_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def file_schema(length: int, wide: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class SequenceWriter:
     """Cuts a stream of ids into equal-length sequences and writes them batch by batch."""
 
-    def __init__(self, folder: str, name: str, length: int = LENGTH, sequences: int = SEQUENCES):
+    def __init__(self, folder: str, name: str, length: int = LENGTH, sequences: int = SEQUENCES, wide: bool = False):
         self.fs, root = pa.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
         self.final = f"{root}/{name}"
         self.part = f"{self.final}.{id(self)}.tmp"
         self.length, self.sequences = length, sequences
+        self.schema, self.dtype = file_schema(length, wide), np.dtype("<u4" if wide else "<u2")
         self.sink = self.fs.open_output_stream(self.part)
-        self.out = pa.ipc.new_file(self.sink, file_schema(length))
-        self.rest = bytearray()
-
-    def add(self, ids: bytes) -> None:
-        self.rest += ids
-        full = 4 * self.length * self.sequences
-        while len(self.rest) >= full:
-            self._write(bytes(self.rest[:full]), self.length * self.sequences)
-            del self.rest[:full]
-
-    def _write(self, ids: bytes, real: int) -> None:
-        n = len(ids) // 4
-        mask = b"\x01" * real + b"\x00" * (n - real)
-        cols = [
-            pa.FixedSizeListArray.from_arrays(pa.Array.from_buffers(t, n, [None, pa.py_buffer(b)]), self.length)
-            for t, b in ((pa.uint32(), ids), (pa.uint8(), mask))
-        ]
-        self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=file_schema(self.length)))
+        self.out = pa.ipc.new_file(self.sink, self.schema)
+        self.rest, self.held = [], 0
+
+    def add(self, ids: np.ndarray) -> None:
+        self.rest.append(ids.astype(self.dtype))
+        self.held += len(ids)
+        full = self.length * self.sequences
+        if self.held >= full:
+            flat = np.concatenate(self.rest)
+            for i in range(0, len(flat) - full + 1, full):
+                self._write(flat[i : i + full], full)
+            self.rest = [flat[len(flat) // full * full :]]
+            self.held = len(self.rest[0])
+
+    def _write(self, ids: np.ndarray, real: int) -> None:
+        cols = [pa.array(ids), pa.array(np.arange(len(ids)) < real)]
+        cols = [pa.FixedSizeListArray.from_arrays(c, self.length) for c in cols]
+        self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
     def close(self) -> None:
-        if self.rest:
-            real = len(self.rest) // 4
-            pad = -real % self.length
-            self._write(bytes(self.rest) + b"\x00" * (4 * pad), real)
+        if self.held:
+            pad = np.zeros(-self.held % self.length, self.dtype)
+            self._write(np.concatenate([*self.rest, pad]), self.held)
         self.out.close()
         self.sink.close()
         self.fs.move(self.part, self.final)
@@ -171,10 +174,10 @@ class SequenceFile:
         return 0 if not n else (n - 1) * self.first + self.file.get_batch(n - 1).num_rows
 
     def __getitem__(self, k: int):
-        """Sequence ``k``: views of its ids and of its mask."""
-        batch, at = self.file.get_batch(k // self.first), k % self.first
-        cut = slice(at * self.length, (at + 1) * self.length)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True)[cut] for c in batch.columns)
+        """Sequence ``k``: views of its ids (numpy) and of its mask (Arrow bits)."""
+        batch, at = self.file.get_batch(k // self.first), k % self.first * self.length
+        ids, mask = (c.flatten().slice(at, self.length) for c in batch.columns)
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def ids(self, start: int, count: int):
         """Pieces of the ids ``start`` to ``start + count``, one view for each batch they lie in."""
@@ -198,15 +201,15 @@ def write(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end
         from pyspark import TaskContext
 
         shard, out, at = TaskContext.get().partitionId(), None, 0
-        table, end = table_of(path), pack([end_id])
+        table, end = table_of(path), array("I", [end_id]).tobytes()
+        wide = table.tok.get_vocab_size() > 1 << 16 or end_id >= 1 << 16
         for b in batches:
             if not b.num_rows:
                 continue
-            out = out or SequenceWriter(folder, f"shard-{shard:06d}.arrow", length)
+            out = out or SequenceWriter(folder, f"shard-{shard:06d}.arrow", length, wide=wide)
             starts, counts = [], []
             for ids in table.encode([x or b"" for x in b.column(1).to_pylist()]):
-                out.add(ids)
-                out.add(end)
+                out.add(np.frombuffer(ids + end, "<u4"))
                 starts.append(at)
                 counts.append(len(ids) // 4 + 1)
                 at += counts[-1]
@@ -246,7 +249,7 @@ def read(folder: str, index: DataFrame) -> DataFrame:
                     files = {s: SequenceFile(folder, f"shard-{s:06d}.arrow")}
                 crc = 0
                 for piece in files[s].ids(a, k):
-                    crc = zlib.crc32(piece.astype("<u4", copy=False), crc)
+                    crc = zlib.crc32(piece.astype("<u4"), crc)
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(crcs, pa.int64())], names=["doc_id", "shard", "at", "n_tokens", "ids_crc32"])
 

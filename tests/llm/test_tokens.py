@@ -60,7 +60,7 @@ def test_arrow_ids_equal_the_library(docs, tmp_path):
         for k in range(len(f)):
             ids, mask = f[k]
             assert len(ids) == 64 and not ids.flags.owndata
-            flat += ids[mask == 1].tolist()
+            flat += ids[mask.to_numpy(zero_copy_only=False)].tolist()
     assert flat == stream
 
 
