@@ -17,8 +17,11 @@ their own result; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from barloom.llm.common import add_columns, tokenizer_file
@@ -30,7 +33,7 @@ _workers: dict[str, ChunkTable] = {}
 
 
 class ChunkTable:
-    """Distinct marked words of one model: chunk -> (number of ids, ids as text, decoded text)."""
+    """Distinct marked words of one model: chunk -> (ids as bytes, ids as text, decoded text)."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -40,13 +43,13 @@ class ChunkTable:
         if crossing:
             raise ValueError(f"pieces cross whitespace markers: {crossing[:3]}")
         self.alone = self.sp.piece_to_id("▁")
-        self.table: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.table: dict[bytes, tuple[bytes, bytes, bytes]] = {}
 
-    def segment(self, chunks: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+    def segment(self, chunks: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
         ids = self.sp.encode([c.decode("utf-8", "replace") for c in chunks], num_threads=1)
         ids = [x or [self.alone] for x in ids]  # only the lone marker has an empty remainder
         texts = self.sp.decode(ids, num_threads=1)
-        return [(len(i), ",".join(map(str, i)).encode(), t.encode()) for i, t in zip(ids, texts)]
+        return [(array("i", i).tobytes(), ",".join(map(str, i)).encode(), t.encode()) for i, t in zip(ids, texts)]
 
     def chunks(self, text: bytes) -> list[bytes]:
         """Marked words without their first marker; the library's own leading marker counts."""
@@ -58,7 +61,7 @@ class ChunkTable:
             return [m[1:] for m in _RUN.findall(b" " + text)]
         return text.split(b" ")
 
-    def rows(self, texts: list[bytes]) -> list[list[tuple[int, bytes, bytes]]]:
+    def rows(self, texts: list[bytes]) -> list[list[tuple[bytes, bytes, bytes]]]:
         parts = [self.chunks(t) for t in texts]
         if len(self.table) > TABLE_ENTRIES:
             self.table.clear()
@@ -85,8 +88,10 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model: str | No
 
         def work(texts):
             rows = table.rows(texts)
+            flat = [b"".join([i for i, _, _ in r]) for r in rows]
+            ends = np.cumsum([0, *(len(f) // 4 for f in flat)], dtype=np.int32)
             return {
-                "ids": [[int(i) for _, s, _ in r for i in s.split(b",")] for r in rows],
+                "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(flat), np.int32))),
                 "decoded": [b" ".join(d for _, _, d in r).decode() for r in rows],
             }
 
@@ -105,7 +110,7 @@ def digests(docs: DataFrame, keep: list[str], text: str = "text", model: str | N
         def work(texts):
             rows = table.rows(texts)
             return {
-                "n_tokens": [sum(n for n, _, _ in r) for r in rows],
+                "n_tokens": [sum([len(i) for i, _, _ in r]) // 4 for r in rows],
                 "ids_sha256": [sha256(b",".join([s for _, s, _ in r])).hexdigest() for r in rows],
                 "decoded_sha256": [sha256(b" ".join([d for _, _, d in r])).hexdigest() for r in rows],
             }

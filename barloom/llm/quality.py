@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     return fit([bytes(r.text or b"") for r in rows], [r["__y"] for r in rows])
 
 
-def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``keep`` plus ``score`` (0 to 1) for every row."""
+def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` plus the score (0 to 1) of every row as column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return add_columns(docs, keep, "score double", lambda: lambda texts: {"score": vote(shared.value, texts)})
+    return add_columns(docs, keep, f"{name} double", lambda: lambda texts: {name: vote(shared.value, texts)})

@@ -228,12 +228,12 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars)
 
 
-def groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id of the component) of every row."""
-    rows = stored(fingerprints(docs, ["doc_id"], text, shingle), "fingerprints")
+def groups(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, ``keep``, fp, component_id (least doc_id of the component) of every row."""
+    rows = stored(fingerprints(docs, ["doc_id", *keep], text, shingle), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
     roots = stored(components(links(nodes)), "roots")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", *keep, "fp", "component_id")

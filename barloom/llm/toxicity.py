@@ -279,13 +279,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
     return fit([bytes(r.text or b"") for r in rows], [r["__y"] for r in rows])
 
 
-def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``keep`` plus ``score`` (0 to 1) for every row."""
+def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` plus the score (0 to 1) of every row as column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         scorer = Scorer(shared.value) if shared.value["p"] is not None else None
         prior = shared.value["prior"]
-        return lambda texts: {"score": scorer.scores(texts) if scorer else np.full(len(texts), prior)}
+        return lambda texts: {name: scorer.scores(texts) if scorer else np.full(len(texts), prior)}
 
-    return add_columns(docs, keep, "score double", make)
+    return add_columns(docs, keep, f"{name} double", make)
