@@ -91,39 +91,38 @@ def q_position_budget(spark, sf):
     return R.position_budget(trades_of(spark, sf)[0]).select("ticker", "entry_bar", "invested", "pnl")
 
 
-# one position per ticker: the oracle walks each ticker's trades
-_WALK = f"""n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY entry_bar) AS i FROM t1),
-walk AS (SELECT ticker, i, entry_bar, exit_bar, return_pct, 1.0::DOUBLE AS stake, 1.0::DOUBLE + return_pct AS cash, exit_bar AS free, true AS taken FROM n WHERE i = 1
-  UNION ALL
-  SELECT n.ticker, n.i, n.entry_bar, n.exit_bar, n.return_pct, least(w.cash, 1.0::DOUBLE),
-    CASE WHEN n.entry_bar - 1 >= w.free THEN w.cash + least(w.cash, 1.0::DOUBLE) * n.return_pct ELSE w.cash END,
-    CASE WHEN n.entry_bar - 1 >= w.free THEN n.exit_bar ELSE w.free END, n.entry_bar - 1 >= w.free
-  FROM walk w JOIN n ON n.ticker = w.ticker AND n.i = w.i + 1)"""
-BOOK = f"WITH RECURSIVE {TR}, {_WALK}, cap AS (SELECT 1000000.0::DOUBLE / count(DISTINCT ticker) AS c FROM bars)"
-
-
-@query(f"""{BOOK}, o AS (SELECT ticker, entry_bar, exit_bar, stake * c AS invested, stake * c * return_pct AS pnl, cash * c AS cash FROM walk, cap WHERE taken)
-  SELECT ticker, entry_bar, exit_bar, {sel(['invested', 'pnl', 'cash'], 2)} FROM o""", digits=2)
+BOOK = f"""{TR}, cap AS (SELECT 1000000.0::DOUBLE / count(DISTINCT ticker) AS c FROM t1),
+book AS (SELECT *, c * 0.1::DOUBLE AS invested, c * 0.1::DOUBLE * return_pct AS pnl,
+  c + sum(c * 0.1::DOUBLE * return_pct) OVER (PARTITION BY ticker ORDER BY exit_bar RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash FROM t1, cap)"""
+
+
+@query(f"WITH {BOOK} SELECT ticker, horizon, entry_bar, exit_bar, {sel(['invested', 'pnl', 'cash'], 2)} FROM book", digits=2)
 def q_per_series_book(spark, sf):
-    book, _ = book_of(spark, sf)
-    return book.select("ticker", "entry_bar", "exit_bar", "invested", "pnl", "cash")
+    return R.per_series_book(trades_of(spark, sf)[0]).select("ticker", "horizon", "entry_bar", "exit_bar", "invested", "pnl", "cash")
 
 
-def book_of(spark, sf):
-    trades, prices = trades_of(spark, sf)
-    n = prices.select("ticker").distinct().agg(F.count("*").alias("_n"))
-    taken = R.non_overlapping(materialize(trades), size=64).crossJoin(F.broadcast(n))
-    return R.compounding_cash(taken, F.lit(R.INITIAL_CAPITAL) / F.col("_n"), size=64), prices
+@query(f"""WITH {TR}, z AS (SELECT t1.*, CAST(least(0.2::DOUBLE, greatest(0, t1.mean - 0.5::DOUBLE) / 0.5::DOUBLE
+    * (greatest(0, m.mean - 0.5::DOUBLE) / 0.5::DOUBLE) * 0.5::DOUBLE) AS FLOAT)::DOUBLE AS f FROM t1 JOIN meta_preds m ON m.ts = t1.signal_ts AND m.ticker = t1.ticker AND m.horizon = t1.horizon),
+  o AS (SELECT ticker, horizon, entry_bar, least(f, 0.1::DOUBLE) * 1000000.0::DOUBLE AS invested, least(f, 0.1::DOUBLE) * 1000000.0::DOUBLE * return_pct AS pnl FROM z WHERE f > 0)
+  SELECT ticker, horizon, entry_bar, {sel(['invested', 'pnl'], 2)} FROM o""", digits=2)
+def q_kelly_budget(spark, sf):
+    """Positions of the signal's own Kelly share, capped at a tenth of the capital."""
+    panel = stored(spark, sf)
+    signals = G.threshold_signals(S.predictions(spark, sf, panel=panel), T).filter("action = 'BUY'")
+    meta = S.predictions(spark, sf, "meta", panel).select("ts", "ticker", "horizon", F.col("mean").alias("meta"))
+    sized = G.kelly_size(signals.join(meta, ["ts", "ticker", "horizon"]))
+    trades = R.trade_outcomes(sized, prices_of(panel), keep=["size_fraction"])
+    return R.position_budget(trades, mode="signal_kelly", cap=0.1).select("ticker", "horizon", "entry_bar", "invested", "pnl")
 
 
 PAIRS = f"""{AXIS}, d AS (SELECT dec.*, bar FROM dec JOIN axis USING (ts)),
-o1 AS (SELECT ticker, ts AS signal_ts, bar + 1 AS entry_bar, p_long FROM d WHERE open_long),
+o1 AS MATERIALIZED (SELECT ticker, ts AS signal_ts, bar + 1 AS entry_bar, p_long FROM d WHERE open_long),
 o2 AS (SELECT o1.*, ix.open AS entry_price, ix.ts AS open_ts FROM o1 JOIN ix ON ix.ticker = o1.ticker AND ix.bar = entry_bar WHERE ix.open > 0),
-o3 AS (SELECT o2.*, c.bar AS cb FROM o2 ASOF LEFT JOIN (SELECT ticker, bar FROM d WHERE close_long) c ON o2.ticker = c.ticker AND o2.entry_bar <= c.bar),
+o3 AS MATERIALIZED (SELECT o2.*, c.bar AS cb FROM o2 ASOF LEFT JOIN (SELECT ticker, bar FROM d WHERE close_long) c ON o2.ticker = c.ticker AND o2.entry_bar <= c.bar),
 o4 AS (SELECT *, least(coalesce(cb, entry_bar + 12), entry_bar + 12) AS stop, CASE WHEN cb <= entry_bar + 12 THEN 'signal' ELSE 'max_hold' END AS exit_reason FROM o3),
 o5 AS (SELECT o4.*, stop - entry_bar AS horizon, coalesce(ix.bar, last) AS exit_bar, coalesce(ix.open, entry_price) AS exit_price FROM o4 CROSS JOIN lastbar
   ASOF LEFT JOIN ix ON o4.ticker = ix.ticker AND o4.stop + 1 <= ix.bar),
-o6 AS (SELECT *, (1 - {FEE}) * exit_price / entry_price * (1 - {FEE}) - 1 AS return_pct FROM o5)"""
+o6 AS MATERIALIZED (SELECT *, (1 - {FEE}) * exit_price / entry_price * (1 - {FEE}) - 1 AS return_pct FROM o5)"""
 
 
 @query(f"""WITH {CONS}, {PAIRS} SELECT ticker, strftime(signal_ts, '%Y-%m-%d %H:%M:%S') AS signal_ts, entry_bar, exit_bar, horizon, exit_reason,
@@ -144,7 +143,7 @@ held AS (SELECT horizon, ticker, entry_price, invested, invested * (1 - {FEE}) /
 marked AS (SELECT horizon, h.bar, sum(q * coalesce(ix.close, entry_price) - invested) AS op FROM held h LEFT JOIN ix ON ix.ticker = h.ticker AND ix.bar = h.bar GROUP BY 1, 2),
 real AS (SELECT horizon, exit_bar AS bar, sum(pnl) AS pnl FROM sized GROUP BY 1, 2),
 grid AS (SELECT horizon, axis.ts, axis.bar FROM axis, (SELECT DISTINCT horizon FROM sized)),
-equity AS (SELECT horizon, ts, bar, 1000000.0::DOUBLE + sum(coalesce(pnl, 0)) OVER (PARTITION BY horizon ORDER BY bar) + coalesce(op, 0) AS equity
+equity AS MATERIALIZED (SELECT horizon, ts, bar, 1000000.0::DOUBLE + sum(coalesce(pnl, 0)) OVER (PARTITION BY horizon ORDER BY bar) + coalesce(op, 0) AS equity
   FROM grid LEFT JOIN marked USING (horizon, bar) LEFT JOIN real USING (horizon, bar)),
 rets AS (SELECT *, coalesce(equity / lag(equity) OVER (PARTITION BY horizon ORDER BY bar) - 1, 0) AS ret,
   equity / max(equity) OVER (PARTITION BY horizon ORDER BY bar) - 1 AS drawdown FROM equity)"""
@@ -209,10 +208,13 @@ def q_metrics_report(spark, sf):
 # --- null distribution --------------------------------------------------------
 
 _DRAW = "((({s} + agent::BIGINT * {a} + bar * {b}) % 2147483648) / 2147483648.0::DOUBLE)"
-NULLS = f"""{AXIS}, num AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS number, count(*) OVER () AS nt FROM (SELECT DISTINCT ticker FROM bars)),
+RATES = """rates AS (SELECT CASE WHEN nb > 0 THEN greatest(least(nb / (bars * 5.0::DOUBLE), 1), 1e-4) ELSE 0.05 END AS prob,
+    CAST(coalesce(round_even((SELECT avg(horizon) FROM t1), 0), 5) AS BIGINT) AS avg_h
+  FROM (SELECT count(*) AS nb FROM buys), (SELECT count(DISTINCT ts) AS bars FROM bars))"""
+NULLS = f"""{TR}, {RATES}, num AS (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS number, count(*) OVER () AS nt FROM (SELECT DISTINCT ticker FROM bars)),
 draws AS (SELECT agent, bar, floor({_DRAW.format(s=11, a=69069, b=1664525)} * (SELECT max(nt) FROM num))::BIGINT AS number,
-    3 + floor({_DRAW.format(s=13, a=22695477, b=1013904)} * 5)::BIGINT AS hold
-  FROM axis, (SELECT unnest(range(100))::BIGINT AS agent) WHERE {_DRAW.format(s=7, a=1103515245, b=12345)} < 0.05),
+    greatest(avg_h - 2, 1) + floor({_DRAW.format(s=13, a=22695477, b=1013904)} * (greatest(avg_h + 3, 2) - greatest(avg_h - 2, 1)))::BIGINT AS hold
+  FROM axis, rates, (SELECT unnest(range(100))::BIGINT AS agent) WHERE {_DRAW.format(s=7, a=1103515245, b=12345)} < prob),
 nt AS (SELECT d.*, e.close AS entry_price, coalesce(x.close, e.close) AS exit_price FROM draws d CROSS JOIN lastbar JOIN num USING (number)
   JOIN ix e ON e.ticker = num.ticker AND e.bar = d.bar LEFT JOIN ix x ON x.ticker = num.ticker AND x.bar = d.bar + hold WHERE d.bar + hold <= last),
 agents AS (SELECT agent::INT AS agent, count(entry_price) AS n_trades,
@@ -220,19 +222,32 @@ agents AS (SELECT agent::INT AS agent, count(entry_price) AS n_trades,
   FROM (SELECT unnest(range(100)) AS agent) LEFT JOIN nt USING (agent) GROUP BY agent)"""
 
 
-@query(f"WITH {S.BARS}, {NULLS} SELECT agent, n_trades, {rnd('final_equity', 2)} AS final_equity FROM agents", money=("final_equity",))
+@query(f"WITH {NULLS} SELECT agent, n_trades, {rnd('final_equity', 2)} AS final_equity FROM agents", money=("final_equity",))
 def q_random_entry_null(spark, sf):
-    return P.random_entry_null(materialize(S.bars(spark, sf)))
+    """Agents that enter as often and hold as long as the threshold strategy."""
+    return null_of(spark, sf)[0]
+
+
+def null_of(spark, sf):
+    panel = stored(spark, sf)
+    signals = materialize(G.threshold_signals(S.predictions(spark, sf, panel=panel), T))
+    trades = materialize(R.trade_outcomes(signals, prices_of(panel)))
+    rates = P.strategy_rates(signals, trades, prices_of(panel))
+    return P.random_entry_null(prices_of(panel), rates=rates), trades, panel
 
 
 _Z = ["null_mean", "null_std", "strategy_final", "threshold", "z_score"]
 
 
-@query(f"""WITH {S.BARS}, {NULLS}, o AS (SELECT avg(final_equity) AS null_mean, stddev_pop(final_equity) AS null_std, 1200000.0::DOUBLE AS strategy_final,
-    avg(final_equity) + 3 * stddev_pop(final_equity) AS threshold, (1200000.0::DOUBLE - avg(final_equity)) / stddev_pop(final_equity) AS z_score FROM agents)
+@query(f"""WITH {NULLS}, f AS (SELECT 1000000.0::DOUBLE + sum(100000.0::DOUBLE * return_pct) AS strategy_final FROM t1),
+  o AS (SELECT avg(final_equity) AS null_mean, stddev_pop(final_equity) AS null_std, any_value(strategy_final) AS strategy_final,
+    avg(final_equity) + 3 * stddev_pop(final_equity) AS threshold, (any_value(strategy_final) - avg(final_equity)) / stddev_pop(final_equity) AS z_score FROM agents, f)
   SELECT {sel(_Z, 4)}, CAST(strategy_final >= threshold AS INT) AS significant FROM o""", digits=4)
 def q_three_sigma_test(spark, sf):
-    return P.three_sigma_test(P.random_entry_null(materialize(S.bars(spark, sf))), 1_200_000.0)
+    """The final equity of the threshold strategy against the agents."""
+    agents, trades, panel = null_of(spark, sf)
+    equity = R.book_equity(materialize(R.position_budget(trades)), prices_of(panel))
+    return P.three_sigma_test(agents, P.total_return(equity).select("final_equity"))
 
 
 @query(f"""WITH {TR}, s AS (SELECT min(return_pct) AS lo, max(return_pct) AS hi FROM t1), b AS (
@@ -253,34 +268,65 @@ SWEEP_EQ = f"""{SWEEP}, {EQ.split('held AS', 1)[1].join(['held AS', '']).replace
 _SW = ["final_equity", "total_return", "sharpe", "max_drawdown", "win_rate", "profit_factor"]
 
 
-@query(f"""WITH {SWEEP_EQ}, a AS ({_ENDS.replace('horizon', 'threshold')}), b AS ({_TM.replace('horizon', 'threshold')}),
-  c AS (SELECT threshold, {_SH} AS sharpe, min(drawdown) AS max_drawdown FROM rets GROUP BY threshold)
-  SELECT threshold, n_buy_signals, coalesce(n_trades, 0) AS n_trades, {rnd('coalesce(final_equity, 1000000)', 2)} AS final_equity,
-    {', '.join(f'{rnd(f"coalesce({x}, 0)", 5)} AS {x}' for x in _SW[1:])}
-  FROM nb LEFT JOIN a USING (threshold) LEFT JOIN b USING (threshold) LEFT JOIN c USING (threshold)""", digits=5, money=("final_equity",))
+# the null distribution is of the strategy at T; its trades and the sweep's share the names, so it goes first
+_NULL = f"WITH {NULLS} SELECT avg(final_equity) AS m, stddev_pop(final_equity) AS s FROM agents"
+
+
+@query(f"""WITH nulls AS ({_NULL}), {SWEEP_EQ}, a AS ({_ENDS.replace('horizon', 'threshold')}), b AS ({_TM.replace('horizon', 'threshold')}),
+  c AS (SELECT threshold, {_SH} AS sharpe, min(drawdown) AS max_drawdown FROM rets GROUP BY threshold),
+  o AS (SELECT threshold, n_buy_signals, coalesce(n_trades, 0) AS n_trades, coalesce(final_equity, 1000000) AS final_equity,
+    {', '.join(f"coalesce({x}, 0) AS {x}" for x in _SW[1:])}, CASE WHEN n_buy_signals > 0 THEN (coalesce(final_equity, 1000000) - m) / s ELSE 0 END AS z_score
+  FROM nb LEFT JOIN a USING (threshold) LEFT JOIN b USING (threshold) LEFT JOIN c USING (threshold), nulls)
+  SELECT threshold, n_buy_signals, n_trades, {rnd('final_equity', 2)} AS final_equity, {sel([*_SW[1:], 'z_score'], 5)}, CAST(z_score >= 3 AS INT) AS significant
+  FROM o""", digits=5, money=("final_equity",))
 def q_threshold_sweep(spark, sf):
-    panel = stored(spark, sf)
-    return W.threshold_sweep(S.predictions(spark, sf, panel=panel), prices_of(panel))
+    null, _, panel = null_of(spark, sf)
+    return W.threshold_sweep(S.predictions(spark, sf, panel=panel), prices_of(panel), null=materialize(null))
 
 
-_GRID = [0.45, 0.5, 0.55]
-_CS = ["win_rate", "mean_return", "total_pnl"]
+_GRID = list(W.CONSENSUS_GRID)
 _PAIRS_G = (
-    PAIRS.replace("ON ix.ticker = o1.ticker", "ON ix.ticker = o1.ticker")
-    .replace("SELECT ticker, ts AS signal_ts, bar + 1 AS entry_bar, p_long FROM d", "SELECT ticker, t_long, t_short, ts AS signal_ts, bar + 1 AS entry_bar, p_long FROM d")
-    .replace("(SELECT ticker, bar FROM d WHERE close_long) c ON o2.ticker = c.ticker", "(SELECT ticker, t_long, t_short, bar FROM d WHERE close_long) c ON o2.ticker = c.ticker AND o2.t_long = c.t_long AND o2.t_short = c.t_short")
+    PAIRS.replace("SELECT ticker, ts AS signal_ts, bar + 1 AS entry_bar, p_long FROM d", "SELECT ticker, pair, ts AS signal_ts, bar + 1 AS entry_bar, p_long FROM d")
+    .replace("(SELECT ticker, bar FROM d WHERE close_long) c ON o2.ticker = c.ticker", "(SELECT ticker, pair, bar FROM d WHERE close_long) c ON o2.ticker = c.ticker AND o2.pair = c.pair")
 )
-
-
-@query(f"""WITH {CONS.split('dec AS', 1)[0]} dec AS (SELECT cons.*, t_long, t_short, p_long > t_long AND NOT p_short > t_short AS open_long,
-    p_short > t_short AND NOT p_long > t_long AS close_long FROM cons, (SELECT unnest({_GRID}::DOUBLE[]) AS t_long), (SELECT unnest({_GRID}::DOUBLE[]) AS t_short)), {_PAIRS_G},
-  s AS (SELECT t_long, t_short, count(*) AS n_trades, avg(CAST(return_pct > 0 AS INT)) AS win_rate, avg(return_pct) AS mean_return,
-    sum(100000.0::DOUBLE * return_pct) AS total_pnl FROM o6 GROUP BY 1, 2)
-  SELECT t_long, t_short, n_trades, {sel(_CS[:2], 5)}, {rnd('total_pnl', 2)} AS total_pnl FROM s""", digits=5, money=("total_pnl",))
+_EQ_TAIL = EQ.split("held AS", 1)[1].join(["held AS", ""])
+
+
+@query(f"""WITH {CONS.split('dec AS', 1)[0]} pairs AS (SELECT t_long, t_short, row_number() OVER (ORDER BY t_long, t_short) AS pair
+    FROM (SELECT unnest({_GRID}::DOUBLE[]) AS t_long), (SELECT unnest({_GRID}::DOUBLE[]) AS t_short)),
+  dec AS MATERIALIZED (SELECT cons.*, pair, p_long > t_long AND NOT p_short > t_short AS open_long,
+    p_short > t_short AND NOT p_long > t_long AS close_long FROM cons, pairs), {_PAIRS_G},
+  sized AS (SELECT *, 100000.0::DOUBLE AS invested, 100000.0::DOUBLE * return_pct AS pnl FROM o6), {_EQ_TAIL.replace('horizon', 'pair')},
+  n AS (SELECT pair, count(*) FILTER (open_long) AS n_open_signals, count(*) FILTER (close_long) AS n_close_signals FROM dec GROUP BY pair),
+  a AS ({_ENDS.replace('horizon', 'pair')}), b AS ({_TM.replace('horizon', 'pair')}),
+  c AS (SELECT pair, {_SH} AS sharpe, min(drawdown) AS max_drawdown FROM rets GROUP BY pair),
+  o AS (SELECT t_long, t_short, n_open_signals, n_close_signals, coalesce(n_trades, 0) AS n_trades, coalesce(final_equity, 1000000) AS final_equity,
+    {', '.join(f"coalesce({x}, 0) AS {x}" for x in ('total_return', 'sharpe', 'max_drawdown', 'win_rate'))}
+    FROM pairs LEFT JOIN n USING (pair) LEFT JOIN a USING (pair) LEFT JOIN b USING (pair) LEFT JOIN c USING (pair))
+  SELECT t_long, t_short, n_open_signals, n_close_signals, n_trades, {rnd('final_equity', 2)} AS final_equity,
+    {sel(['total_return', 'sharpe', 'max_drawdown', 'win_rate'], 5)} FROM o""", digits=5, money=("final_equity",))
 def q_consensus_sweep(spark, sf):
     panel = stored(spark, sf)
     frame = G.consensus_frame(S.predictions(spark, sf, panel=panel), S.predictions(spark, sf, "short", panel))
-    return W.consensus_sweep(frame, prices_of(panel), _GRID, _GRID, max_hold=12)
+    return W.consensus_sweep(frame, prices_of(panel), max_hold=12)
+
+
+_RP, _RM = list(W.RELAX_PRIMARY), list(W.RELAX_META)
+
+
+@query(f"""WITH {S.PREDS}, both_p AS (SELECT p.*, m.mean AS meta FROM preds p JOIN meta_preds m USING (ts, ticker, horizon)),
+  cuts AS ({' UNION ALL '.join(f"SELECT {p}::DOUBLE AS meta_percent, quantile_cont(meta, {1 - p / 100}) AS t_meta FROM both_p" for p in _RM)}),
+  grid0 AS (SELECT *, row_number() OVER (ORDER BY t_primary, meta_percent) AS pair FROM cuts, (SELECT unnest({_RP}::DOUBLE[]) AS t_primary)),
+  fits AS (SELECT b.ts, b.ticker, b.horizon, b.mean, pair FROM both_p b, grid0 g WHERE b.mean > t_primary AND b.meta > t_meta),
+  nb AS (SELECT pair, count(*) AS n_buy FROM fits GROUP BY pair HAVING count(*) >= 5), {trades_sql('SELECT * FROM fits SEMI JOIN nb USING (pair)')},
+  sized AS (SELECT *, 100000.0::DOUBLE AS invested, 100000.0::DOUBLE * return_pct AS pnl FROM t1), {_EQ_TAIL.replace('horizon', 'pair')},
+  a AS ({_ENDS.replace('horizon', 'pair')}), b AS ({_TM.replace('horizon', 'pair')}), c AS (SELECT pair, {_SH} AS sharpe FROM rets GROUP BY pair),
+  o AS (SELECT t_primary, meta_percent, t_meta, n_buy, coalesce(n_trades, 0) AS n_trades, coalesce(sharpe, 0) AS sharpe, coalesce(total_return, 0) AS total_return
+    FROM nb JOIN grid0 USING (pair) LEFT JOIN a USING (pair) LEFT JOIN b USING (pair) LEFT JOIN c USING (pair))
+  SELECT t_primary, meta_percent, {sel(['t_meta', 'sharpe', 'total_return'], 5)}, n_buy, n_trades FROM o""", digits=5)
+def q_relaxation_sweep(spark, sf):
+    panel = stored(spark, sf)
+    return W.relaxation_sweep(S.predictions(spark, sf, panel=panel), S.predictions(spark, sf, "meta", panel), prices_of(panel))
 
 
 _SL, _PTS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5], [0.0, 0.1, 0.3, 0.5, 0.7, 1.0]
@@ -337,16 +383,26 @@ def q_sizing_sweep(spark, sf):
     return W.sizing_sweep(trades_of(spark, sf)[0], _FR)
 
 
-@query(f"""{BOOK}, o AS (SELECT ticker, count(*) AS n_trades, avg(CAST(return_pct > 0 AS INT)) AS win_rate, arg_max(cash, entry_bar) - 1 AS total_return,
-    arg_max(cash, entry_bar) * any_value(c) AS final_equity FROM walk, cap WHERE taken GROUP BY ticker)
-  SELECT ticker, n_trades, {sel(['win_rate', 'total_return'], 4)}, {rnd('final_equity', 2)} AS final_equity FROM o""", digits=4, money=("final_equity",))
+TICKER_EQ = f"{TR}, sized AS (SELECT *, ticker AS book, 100000.0::DOUBLE AS invested, 100000.0::DOUBLE * return_pct AS pnl FROM t1), {_EQ_TAIL.replace('horizon', 'book')}"
+
+
+@query(f"""WITH {TICKER_EQ}, a AS ({_ENDS.replace('horizon', 'book')}), b AS ({_TM.replace('horizon', 'book')}),
+  c AS (SELECT book, {_SH} AS sharpe, min(drawdown) AS max_drawdown FROM rets GROUP BY book)
+  SELECT book AS ticker, n_trades, {sel(['total_return', 'sharpe', 'max_drawdown', 'win_rate'], 4)}, {rnd('final_equity', 2)} AS final_equity
+  FROM a JOIN b USING (book) JOIN c USING (book)""", digits=4, money=("final_equity",))
 def q_report_tables(spark, sf):
-    book, _ = book_of(spark, sf)
-    per = book.groupBy("ticker").agg(
-        F.count("*").alias("n_trades"),
-        P.win_rate_of().alias("win_rate"),
-        F.max_by("cash", "entry_bar").alias("final_equity"),
-        F.max_by(F.col("cash") * F.col("_n") / R.INITIAL_CAPITAL, "entry_bar").alias("_growth"),
-    ).withColumn("total_return", F.col("_growth") - 1.0)
-    flat = per.withColumns({"sharpe": F.lit(0.0), "max_drawdown": F.lit(0.0)})
-    return P.report_tables(flat, 8).select("ticker", "n_trades", "win_rate", "total_return", "final_equity")
+    """Every ticker on its own: independent trades at a tenth of the capital each."""
+    trades, prices = trades_of(spark, sf)
+    sized = materialize(R.position_budget(trades).withColumn("book", F.col("ticker")))
+    per = P.metrics_report(R.book_equity(sized, prices, run=["book"]), sized, ["book"])
+    return P.report_tables(per.withColumnRenamed("book", "ticker"), 8)
+
+
+@query(f"WITH {S.PREDS}, {BEST} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, horizon, {sel(['mean', 'std'], 4)} FROM ranked WHERE rk <= 5 AND mean > {T}", digits=4)
+def q_report_signals(spark, sf):
+    return P.signal_table(G.threshold_signals(S.predictions(spark, sf), T), 8)
+
+
+@query(f"WITH {EQ} SELECT horizon, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {rnd('equity', 2)} AS equity FROM equity", digits=2)
+def q_report_equity(spark, sf):
+    return P.equity_table(equity_of(spark, sf)[0], ["horizon"], 6)

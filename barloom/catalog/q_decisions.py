@@ -200,7 +200,7 @@ def q_primary_meta_filter(spark, sf):
     )
 
 
-CONS = f"""{S.PREDS}, {BEST}, cons AS (SELECT b.ts, ticker, horizon, b.mean AS p_long, b.std AS p_long_std, s.mean AS p_short, s.std AS p_short_std
+CONS = f"""{S.PREDS}, {BEST}, cons AS MATERIALIZED (SELECT b.ts, ticker, horizon, b.mean AS p_long, b.std AS p_long_std, s.mean AS p_short, s.std AS p_short_std
   FROM best b JOIN short_preds s USING (ts, ticker, horizon)),
 dec AS (SELECT *, p_long > 0.5 AS long_signal, p_short > 0.5 AS short_signal, p_long > 0.5 AND NOT p_short > 0.5 AS open_long,
   p_short > 0.5 AND NOT p_long > 0.5 AS close_long FROM cons)"""
@@ -265,8 +265,9 @@ def q_buys_per_ticker(spark, sf):
 
 
 @query(f"""WITH {S.PREDS}, {BEST}, a AS (SELECT ts, ticker, horizon AS best_horizon, mean AS expected_return, std AS uncertainty,
-    CASE WHEN std > 1e-9 THEN mean / std ELSE 0 END AS alert_strength FROM best)
-  SELECT ticker, {TS}, best_horizon, {sel(['expected_return', 'uncertainty', 'alert_strength'])},
+    CASE WHEN std > 1e-9 THEN mean / std ELSE 0 END AS alert_strength,
+    row_number() OVER (PARTITION BY ts ORDER BY mean DESC, ticker) AS rank FROM best)
+  SELECT ticker, {TS}, best_horizon, CAST(rank AS INT) AS rank, {sel(['expected_return', 'uncertainty', 'alert_strength'])},
     CAST(expected_return >= 0.6 AND uncertainty <= 0.2 AND alert_strength >= 2 AS INT) AS alert FROM a""")
 def q_alerts(spark, sf):
     return G.alerts(S.predictions(spark, sf), min_return=0.6, max_std=0.2)

@@ -87,12 +87,12 @@ def q_primary_wide_join(spark, sf):
     return H.primary_wide_join(b, S.predictions(spark, sf), HS)
 
 
-@query(f"""WITH {J}, r AS (SELECT horizon, CAST(actual >= 0.5 AS INT) AS y,
+@query(f"""WITH {JL}, r AS (SELECT horizon, CAST(actual >= 0.5 AS INT) AS y,
     rank() OVER (PARTITION BY horizon ORDER BY mean) + (count(*) OVER (PARTITION BY horizon, mean) - 1) / 2.0::DOUBLE AS rk FROM j),
   a AS (SELECT horizon, CAST(sum(y) AS BIGINT) AS n_pos, CAST(count(*) - sum(y) AS BIGINT) AS n_neg, sum(rk * y) AS s FROM r GROUP BY horizon)
   SELECT horizon, n_pos, n_neg, {rnd('((s - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos::DOUBLE * n_neg))')} AS auc FROM a""")
 def q_auc(spark, sf):
-    return H.auc(joined(spark, sf))
+    return H.auc(joined(spark, sf, "target_h"))
 
 
 _LL = ["logloss", "prior", "logloss_baseline", "lift"]
@@ -113,8 +113,8 @@ _PN = ["loss_real", "loss_null_mean", "loss_null_std", "loss_null_min", "p_value
 @query(f"""WITH {JL}, i AS (SELECT horizon, actual AS y, ln(mean / (1 - mean)) AS odds, ln(1 - mean) AS base,
     row_number() OVER (PARTITION BY horizon ORDER BY ts, ticker) - 1 AS i, count(*) OVER (PARTITION BY horizon) AS n FROM j),
   t AS (SELECT horizon, any_value(n) AS n, -(sum(y * odds) + sum(base)) / any_value(n) AS loss_real, sum(base) AS b FROM i GROUP BY horizon),
-  moved AS (SELECT horizon, k, (i * CASE WHEN n % 1000003 = 0 THEN 1000033 ELSE 1000003 END + (k + 1) * 7919) % n AS i
-            FROM i, (SELECT unnest(range(20)) AS k) WHERE y = 1),
+  hashed AS (SELECT horizon, k, y, row_number() OVER (PARTITION BY horizon, k ORDER BY md5(k || ':' || i)) - 1 AS i FROM i, (SELECT unnest(range(20)) AS k)),
+  moved AS (SELECT horizon, k, i FROM hashed WHERE y = 1),
   s AS (SELECT horizon, k, sum(odds) AS s FROM moved JOIN (SELECT horizon, i, odds FROM i) USING (horizon, i) GROUP BY horizon, k),
   z AS (SELECT horizon, t.n, loss_real, -(s + b) / t.n AS loss FROM s JOIN t USING (horizon)),
   o AS (SELECT horizon, any_value(n) AS n, any_value(loss_real) AS loss_real, avg(loss) AS loss_null_mean, stddev_pop(loss) AS loss_null_std,

@@ -171,11 +171,11 @@ def q_positioning_asof(spark, sf):
     return P.positioning_asof(P.build_positioning(S.positions(spark, sf)), S.bars(spark, sf))
 
 
-@query("""SELECT event_type AS secid, CASE event_type WHEN 'click' THEN 'CLK' WHEN 'view' THEN 'VIW' END AS spot,
-  count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2""")
+@query("""SELECT event_type AS secid, upper(left(event_type, 3)) AS spot, count(*) AS n FROM events GROUP BY 1, 2""")
 def q_futures_to_spot(spark, sf):
     e = S.table(spark, sf, "events").withColumnRenamed("event_type", "secid")
-    return P.futures_to_spot(e, mapping={"click": "CLK", "view": "VIW"}).groupBy("secid", "spot").agg(
+    kinds = [r.secid for r in e.select("secid").distinct().collect()]  # the five kinds of events
+    return P.futures_to_spot(e, mapping={k: k[:3].upper() for k in kinds}).groupBy("secid", "spot").agg(
         F.count("*").alias("n")
     )
 
@@ -243,13 +243,13 @@ def q_expiration_distance(spark, sf):
     return E.expiration_distance(b, S.expirations(spark, sf), asset_code="GOLD")
 
 
-@query(f"""WITH {S.EVENT_TICKS}, f AS (SELECT event_id,
-    least(1, greatest(0, (hour(ts) * 60 + minute(ts) - 420) / 525.0::DOUBLE)) AS frac, isodow(ts) - 1 AS dow, day(ts) AS dom FROM event_ticks)
+@query(f"""WITH {S.EVENT_ROWS}, f AS (SELECT event_id,
+    least(1, greatest(0, (hour(ts) * 60 + minute(ts) - 420) / 525.0::DOUBLE)) AS frac, isodow(ts) - 1 AS dow, day(ts) AS dom FROM event_rows)
   SELECT event_id, {', '.join(f"{rnd(f'{g}(2 * pi() * {x})')} AS {n}" for n, g, x in (
       ('time_sin_daily', 'sin', 'frac'), ('time_cos_daily', 'cos', 'frac'), ('dow_sin', 'sin', 'dow / 7.0::DOUBLE'),
       ('dow_cos', 'cos', 'dow / 7.0::DOUBLE'), ('dom_sin', 'sin', 'dom / 31.0::DOUBLE'), ('dom_cos', 'cos', 'dom / 31.0::DOUBLE')))} FROM f""")
 def q_cyclic_time(spark, sf):
-    out = I.cyclic_time(S.event_ticks(spark, sf))
+    out = I.cyclic_time(S.event_rows(spark, sf))
     return out.drop("ticker", "ts", "price", "qty")
 
 

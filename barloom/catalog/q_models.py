@@ -1,4 +1,4 @@
-"""Queries of learners, online replays and streams (rows-only unless SQL is given)."""
+"""Queries of learners and streams."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from barloom.catalog.q_evaluation import TS, joined
 from barloom.catalog.q_sources import landing
 from barloom.catalog.registry import query, rnd, rounded
-from barloom.operators import conformal as O
 from barloom.operators import models as M
 from barloom.operators import predictions as H
 from barloom.operators.splits import chrono_split, purge_tail
@@ -18,7 +17,7 @@ from barloom.session import checkpoint_dir, materialize
 from barloom.streaming import live as V
 
 FEATURES = ["lr_1", "lr_5", "vol_12", "rv_up_12", "rv_dn_12", "volume"]
-HS = (1, 6)
+HS = tuple(S.PRED_HORIZONS)
 
 
 def dataset(spark, sf):
@@ -29,7 +28,7 @@ def dataset(spark, sf):
 @query()
 def q_fit_per_horizon(spark, sf):
     d = dataset(spark, sf)
-    models = M.fit_per_horizon(d["train"], FEATURES, HS, validation=d["val"], learner=M.boosted(5, 3))
+    models = M.fit_per_horizon(d["train"], FEATURES, HS, validation=d["val"])
     scored = H.with_actuals(M.predict_long(models, d["test"], FEATURES), S.actuals(spark, sf, "target_h"))
     return H.auc(scored)
 
@@ -37,28 +36,27 @@ def q_fit_per_horizon(spark, sf):
 @query()
 def q_predict_long(spark, sf):
     d = dataset(spark, sf)
-    models = M.fit_per_horizon(d["train"], FEATURES, HS, learner=M.learners(5)["linear"])
+    models = M.fit_per_horizon(d["train"], FEATURES, HS, learner=M.learners()["linear"])
     return M.predict_long(models, d["test"], FEATURES)
 
 
 @query()
 def q_fit_ensemble(spark, sf):
     d = dataset(spark, sf)
-    bases = {**M.learners(3), "boosted": M.boosted(3, 3)}
-    return M.predict_ensemble(M.fit_ensemble(d["train"], FEATURES, (6,), bases=bases), d["test"], FEATURES)
+    return M.predict_ensemble(M.fit_ensemble(d["train"], FEATURES, HS), d["test"], FEATURES)
 
 
 @query()
 def q_oof_predictions(spark, sf):
     d = dataset(spark, sf)
-    out = M.oof_predictions(d["train"], FEATURES, (6,), n_splits=3, learner=M.learners(3)["linear"])
-    return out.select("ts", "ticker", "primary_h6")
+    out = M.oof_predictions(d["train"], FEATURES, HS, learner=M.learners()["linear"])
+    return out.select("ts", "ticker", *[f"primary_h{h}" for h in HS])
 
 
 @query()
 def q_meta_label_pipeline(spark, sf):
     d = dataset(spark, sf)
-    primary, meta = M.meta_label_pipeline(d["train"], FEATURES, (6,), n_splits=3, learner=M.learners(3)["linear"])
+    primary, meta = M.meta_label_pipeline(d["train"], FEATURES, HS, learner=M.learners()["linear"])
     p, m = M.predict_meta(primary, meta, d["test"], FEATURES)
     return p.select(*H.KEY3, F.col("mean").alias("primary")).join(m.select(*H.KEY3, F.col("mean").alias("meta")), H.KEY3)
 
@@ -66,7 +64,7 @@ def q_meta_label_pipeline(spark, sf):
 @query()
 def q_feature_importance_topn(spark, sf):
     d = dataset(spark, sf)
-    models = M.fit_per_horizon(d["train"], FEATURES, (6,), learner=M.boosted(3, 3))
+    models = M.fit_per_horizon(d["train"], FEATURES, HS)
     return M.feature_importance(models, FEATURES, spark, 20)
 
 
@@ -74,7 +72,7 @@ def q_feature_importance_topn(spark, sf):
 def q_model_registry(spark, sf):
     d = dataset(spark, sf)
     path = landing(spark, "models")
-    M.save_models(M.fit_per_horizon(d["train"], FEATURES, (6,), learner=M.boosted(3, 3)), path, spark, FEATURES)
+    M.save_models(M.fit_per_horizon(d["train"], FEATURES, HS), path, spark, FEATURES)
     models, features = M.load_models(path, spark)
     return M.predict_long(models, d["test"], features)
 
@@ -90,35 +88,6 @@ def q_batch_score(spark, sf):
     return M.batch_score(rows, ["lr_5", "vol_12"], _plain_model).select("ticker", "ts", "score")
 
 
-def halves(spark, sf):
-    """Predictions and labels before and after the middle of the time axis."""
-    panel = materialize(S.model_panel(spark, sf))
-    p, y = S.predictions(spark, sf, panel=panel), S.actuals(spark, sf, "target_h", panel=panel)
-    early = F.col("ts") < F.lit("1998-06-01").cast("timestamp")
-    return p.filter(~early), y.filter(~early), p.filter(early), y.filter(early)
-
-
-@query()
-def q_aci_replay(spark, sf):
-    return O.aci_replay(*halves(spark, sf), size=4096)
-
-
-@query()
-def q_dtaci_replay(spark, sf):
-    return O.dtaci_replay(*halves(spark, sf), steps=(0.005, 0.05), size=4096)
-
-
-@query()
-def q_aci_actions(spark, sf):
-    return O.aci_actions(materialize(O.aci_replay(*halves(spark, sf), size=4096)))
-
-
-@query()
-def q_isotonic_calibrate(spark, sf):
-    test, _, val, val_y = halves(spark, sf)
-    return M.isotonic_calibrate(test, val, val_y, list(S.PRED_HORIZONS))
-
-
 # --- streams: landed in time order, run once over everything, compared with SQL ---
 
 def run_to_table(df, spark, mode="append"):
@@ -131,10 +100,10 @@ def run_to_table(df, spark, mode="append"):
     return spark.read.schema(df.schema).parquet(f"{out}/table")
 
 
-def landed_ticks(spark, sf):
+def landed_ticks(spark, sf, rows=S.event_ticks):
     path = landing(spark, "ticks")
-    ticks = S.event_ticks(spark, sf)
-    ticks.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    ticks = rows(spark, sf)
+    ticks.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(path)
     return path, ticks.schema
 
 
@@ -147,17 +116,16 @@ _OHLCV = ["open", "high", "low", "close", "volume"]
   SELECT {rounded(_OHLCV, ['ticker'])} FROM b, m WHERE ts + INTERVAL 60 MINUTE <= mark""")
 def q_stream_bars(spark, sf):
     path, schema = landed_ticks(spark, sf)
-    # files are of one hour order but not sorted among themselves within a batch
-    ticks = V.read_parquet_stream(spark, path, schema, files_per_batch=1000)
+    ticks = V.read_parquet_stream(spark, path, schema)
     return run_to_table(V.stream_bars(ticks, 60, order="event_id"), spark)
 
 
-@query(f"WITH {S.EVENT_TICKS} SELECT event_id, ticker, {rnd('price')} AS price, {rnd('qty')} AS qty FROM event_ticks")
+@query(f"WITH {S.EVENT_ROWS} SELECT event_id, ticker, {rnd('price')} AS price, {rnd('qty')} AS qty FROM event_rows")
 def q_stream_dedupe(spark, sf):
-    path, schema = landed_ticks(spark, sf)
+    path, schema = landed_ticks(spark, sf, S.event_rows)
     again = spark.read.parquet(path)
     again.write.mode("append").parquet(path)
-    ticks = V.read_parquet_stream(spark, path, schema, files_per_batch=1000)
+    ticks = V.read_parquet_stream(spark, path, schema)
     return run_to_table(V.stream_dedupe(ticks, ["event_id"], lateness="60 days"), spark).drop("ts")
 
 
@@ -165,38 +133,20 @@ _AL = ["expected_return", "uncertainty", "alert_strength"]
 
 
 @query(f"""WITH {S.PREDS}, best AS (SELECT *, row_number() OVER (PARTITION BY ts, ticker ORDER BY mean DESC, horizon) AS rn FROM preds),
-  l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM best WHERE rn = 1),
-  o AS (SELECT ticker, ts, horizon AS best_horizon, mean AS expected_return, std AS uncertainty, CASE WHEN std > 1e-9 THEN mean / std ELSE 0 END AS alert_strength FROM l WHERE back = 1)
-  SELECT ticker, {TS}, best_horizon, {', '.join(f'{rnd(c)} AS {c}' for c in _AL)},
+  b1 AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY mean DESC, ticker) AS rank FROM best WHERE rn = 1),
+  l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) AS back FROM b1),
+  o AS (SELECT ticker, ts, horizon AS best_horizon, mean AS expected_return, std AS uncertainty, CASE WHEN std > 1e-9 THEN mean / std ELSE 0 END AS alert_strength, CAST(rank AS INT) AS rank FROM l WHERE back = 1)
+  SELECT ticker, {TS}, best_horizon, rank, {', '.join(f'{rnd(c)} AS {c}' for c in _AL)},
     CAST(expected_return >= 0.6 AND uncertainty <= 0.2 AND alert_strength >= 2 AS INT) AS alert FROM o""")
 def q_stream_latest_alerts(spark, sf):
     path, out, check = (landing(spark, n) for n in ("preds", "alerts", "check"))
     p = S.predictions(spark, sf)
-    p.repartitionByRange(3, "ts").write.parquet(path)
+    p.repartitionByRange("ts").write.parquet(path)
     stream = V.read_parquet_stream(spark, path, p.schema, files_per_batch=1)
     V.start_latest_alerts(stream, out, check, every=None, min_return=0.6, max_std=0.2).awaitTermination()
     return V.latest_alerts(spark, out)
 
 
-@query()
-def q_stream_aci(spark, sf):
-    test, y, val, val_y = halves(spark, sf)
-    scores = O.calibration_scores(val, val_y)
-    rows = O.critical_level(H.with_actuals(test, y, "left"), scores).select(*H.KEY3, "critical", "actual")
-    path = landing(spark, "levels")
-    rows = materialize(rows)
-    years = F.year("ts")
-    for year in range(1998, 2003):  # one file after another, in time order
-        part = rows.filter(years >= year) if year == 2002 else rows.filter(years == year)
-        part.coalesce(1).write.mode("append").parquet(path)
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    stream = V.read_parquet_stream(spark, path, rows.schema)
-    return run_to_table(V.stream_aci(stream), spark)
-
-
 @query(f"""WITH {S.BARS}, w AS (SELECT ticker, CAST(ts AS DATE) + 1 AS day, volume AS prior_volume FROM bars),
   g AS (SELECT b.ticker, b.ts, b.close, w.prior_volume FROM bars b ASOF LEFT JOIN w ON b.ticker = w.ticker AND CAST(b.ts AS DATE) >= w.day)
   SELECT {rounded(['close', 'prior_volume'], ['ticker'])} FROM g""")
@@ -207,5 +157,5 @@ def q_stream_asof_static(spark, sf):
     valid = materialize(V.validity_days(daily, days, ["prior_volume"]))
     path = landing(spark, "bars")
     bars.select("ticker", "ts", "close").write.parquet(path)
-    stream = V.read_parquet_stream(spark, path, bars.select("ticker", "ts", "close").schema, 1000)
+    stream = V.read_parquet_stream(spark, path, bars.select("ticker", "ts", "close").schema)
     return run_to_table(V.stream_asof_static(stream, valid, ["prior_volume"]), spark)

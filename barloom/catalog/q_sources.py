@@ -130,13 +130,13 @@ def q_canonical_columns(spark, sf):
 
 def feed(spark, sf):
     """Event rows delivered twice: the second delivery repeats all and changes a fifth."""
-    e = S.event_ticks(spark, sf).select("event_id", "ticker", "ts", "price")
+    e = S.event_rows(spark, sf).select("event_id", "ticker", "ts", "price")
     again = e.withColumn("price", F.when(F.col("event_id") % 5 == 0, F.col("price") + 1).otherwise(F.col("price")))
     return e.withColumn("SYSTIME", F.lit("2024-02-01 00:00:00")), again.withColumn("SYSTIME", F.lit("2024-02-02 00:00:00"))
 
 
-_FEED = f"""{S.EVENT_TICKS}, feed AS (SELECT event_id, ticker, price, '2024-02-01 00:00:00' AS s FROM event_ticks UNION ALL
-  SELECT event_id, ticker, CASE WHEN event_id % 5 = 0 THEN price + 1 ELSE price END, '2024-02-02 00:00:00' FROM event_ticks)"""
+_FEED = f"""{S.EVENT_ROWS}, feed AS (SELECT event_id, ticker, price, '2024-02-01 00:00:00' AS s FROM event_rows UNION ALL
+  SELECT event_id, ticker, CASE WHEN event_id % 5 = 0 THEN price + 1 ELSE price END, '2024-02-02 00:00:00' FROM event_rows)"""
 _DEDUP = f"""WITH {_FEED} SELECT event_id, ticker, {rnd('price')} AS price, max(s) AS "SYSTIME" FROM feed GROUP BY event_id, ticker, feed.price"""
 
 
@@ -193,11 +193,11 @@ def q_missing_keys(spark, sf):
     return N.missing_keys(want, have, ["c_custkey"])
 
 
-@query(f"""WITH {S.EVENT_TICKS}, o AS (SELECT ticker AS source, count(*) AS n_rows, count(DISTINCT date_trunc('day', ts)) AS n_days, min(ts) AS a, max(ts) AS b FROM event_ticks GROUP BY 1)
+@query(f"""WITH {S.EVENT_ROWS}, o AS (SELECT ticker AS source, count(*) AS n_rows, count(DISTINCT date_trunc('day', ts)) AS n_days, min(ts) AS a, max(ts) AS b FROM event_rows GROUP BY 1)
   SELECT source, n_rows, n_days, strftime(a, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_ts,
     {rnd('(n_rows / n_days)')} AS bars_per_day, {rnd('(n_rows / n_days / 105)')} AS coverage FROM o""")
 def q_source_profile(spark, sf):
-    return N.source_profile(S.event_ticks(spark, sf).withColumnRenamed("ticker", "source"))
+    return N.source_profile(S.event_rows(spark, sf).withColumnRenamed("ticker", "source"))
 
 
 @query(f"""WITH {S.PREDS} SELECT 'actuals' AS name, count(*) AS n, {rnd('sum(actual)', 3)} AS total FROM actuals

@@ -10,12 +10,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import TINY, or_zero, zero_to_null
-from barloom.operators.ranks import value_positions
-from barloom.session import materialize
 
 logger = logging.getLogger(__name__)
 
@@ -65,7 +63,7 @@ def _relative(c: str, mode: str) -> Column:
         return or_zero(F.col(c) / zero_to_null(f"_mean_{c}") - 1.0)
     if mode == "diff":
         return or_zero(F.col(c) - F.col(f"_mean_{c}"))
-    raise ValueError(f"mode must be 'ratio' or 'diff', got {mode!r}")
+    raise ValueError(f"relative values are a 'ratio' or a 'diff', not {mode!r}")
 
 
 def xs_features(
@@ -83,20 +81,16 @@ def xs_features(
         if c not in cols:
             logger.warning("cross-section: feature %s not found", c)
     if relative_mode not in (None, "ratio", "diff"):
-        raise ValueError(f"mode must be 'ratio' or 'diff', got {relative_mode!r}")
+        raise ValueError(f"relative values are a 'ratio' or a 'diff', not {relative_mode!r}")
     out = df
     if rank:
-        df = materialize(df)
-        out = df
-        for c in cols:
-            # ranks of the stored rows, so no pass repeats an earlier join
-            pos = value_positions(df, [ts], c, splits=4).select(
-                F.col(ts).alias("_rts"), F.col(c).alias("_rv"),
-                (F.col("below") + (F.col("cnt") + 1) / 2.0).alias(f"_r_{c}"),
-            )
-            out = out.join(
-                pos, (F.col(ts) == F.col("_rts")) & (F.col(c) == F.col("_rv")), "left"
-            ).drop("_rts", "_rv")
+        # a time holds one row per ticker; equal partitioning lets all features share one shuffle
+        def shared(c: str) -> Column:
+            order = Window.partitionBy(ts).orderBy(F.col(c).asc_nulls_last())
+            ties = F.count(F.lit(1)).over(Window.partitionBy(ts, c))
+            return F.when(F.col(c).isNotNull(), F.rank().over(order) + (ties - 1) / 2.0)
+
+        out = df.withColumns({f"_r_{c}": shared(c) for c in cols})
     out = _moments(out, df, cols, ts)
     made = {}
     for c in cols:
@@ -119,5 +113,5 @@ def xs_zscore(df: DataFrame, feature: str, ts: str = "ts") -> DataFrame:
 
 def xs_relative(df: DataFrame, feature: str, mode: str = "ratio", ts: str = "ts") -> DataFrame:
     if mode not in ("ratio", "diff"):
-        raise ValueError(f"mode must be 'ratio' or 'diff', got {mode!r}")
+        raise ValueError(f"relative values are a 'ratio' or a 'diff', not {mode!r}")
     return xs_features(df, [feature], rank=False, zscore=False, relative_mode=mode, ts=ts)

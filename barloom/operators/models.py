@@ -13,12 +13,11 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.operators.predictions import ensemble_moments, primary_wide_join, with_actuals
+from barloom.operators.predictions import ensemble_moments, primary_wide_join
 from barloom.operators.splits import forward_folds
 from barloom.operators.targets import meta_target
 from barloom.session import materialize
@@ -250,58 +249,3 @@ def batch_score(
             yield b.assign(**{name: pd.Series(model(b[cols]), index=b.index, dtype="float64")})
 
     return df.mapInPandas(score, schema)
-
-
-# --------------------------------------------------------------------------
-# isotonic calibration
-# --------------------------------------------------------------------------
-
-def fit_isotonic(
-    joined: DataFrame, horizons: Sequence[int], min_samples: int = 100
-) -> dict[int, IsotonicRegressionModel]:
-    """A monotone map per horizon with enough rows and two different outcomes.
-
-    Equal predictions are pooled into one weighted point first, so the fit sees
-    distinct values only.
-    """
-    pooled = materialize(
-        joined.groupBy("horizon", "mean").agg(
-            F.avg("actual").alias("label"), F.count("*").cast("double").alias("weight"),
-            F.min("actual").alias("_lo"), F.max("actual").alias("_hi"),
-        )
-    )
-    sizes = {
-        r["horizon"]: r
-        for r in pooled.groupBy("horizon").agg(
-            F.sum("weight").alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")
-        ).collect()
-    }
-    models = {}
-    for h in horizons:
-        s = sizes.get(h)
-        if s is None or s["n"] < min_samples or s["lo"] == s["hi"]:
-            continue
-        est = IsotonicRegression(featuresCol="mean", labelCol="label", weightCol="weight")
-        models[h] = est.fit(pooled.filter(C("horizon") == h))
-    return models
-
-
-def apply_isotonic(
-    predictions: DataFrame, models: dict[int, IsotonicRegressionModel]
-) -> DataFrame:
-    """Replace ``mean`` by its calibrated value; other horizons stay as they are."""
-    out = predictions.filter(~C("horizon").isin(list(models))) if models else predictions
-    for h, m in models.items():
-        made = m.setPredictionCol("_cal").transform(predictions.filter(C("horizon") == h))
-        out = out.unionByName(
-            made.withColumn("mean", C("_cal")).select(*predictions.columns)
-        )
-    return out
-
-
-def isotonic_calibrate(
-    predictions: DataFrame, val_predictions: DataFrame, val_actuals: DataFrame,
-    horizons: Sequence[int], min_samples: int = 100,
-) -> DataFrame:
-    models = fit_isotonic(with_actuals(val_predictions, val_actuals), horizons, min_samples)
-    return apply_isotonic(predictions, models)

@@ -64,6 +64,27 @@ def profit_factor_of(pnl: str = "pnl") -> Column:
     return F.when(losses <= 1e-12, endless).otherwise(gains / losses)
 
 
+def trade_sums(trades: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """What trade metrics are made of; sums of disjoint groups of trades add up."""
+    return trades.groupBy(*run).agg(
+        F.count("*").alias("n_trades"),
+        F.count_if(C("pnl") > 0).alias("_wins"),
+        or_zero(F.sum(F.when(C("pnl") > 0, C("pnl")))).alias("_gains"),
+        or_zero(-F.sum(F.when(C("pnl") < 0, C("pnl")))).alias("_losses"),
+    )
+
+
+def metrics_of_sums(sums: DataFrame) -> DataFrame:
+    endless = F.when(C("_gains") > 0, F.lit(float("inf"))).otherwise(0.0)
+    return sums.withColumns(
+        {
+            "win_rate": F.when(C("n_trades") > 0, C("_wins") / C("n_trades")).otherwise(0.0),
+            "profit_factor": F.when(C("_losses") <= 1e-12, endless).otherwise(C("_gains") / C("_losses")),
+            "total_pnl": C("_gains") - C("_losses"),
+        }
+    ).drop("_wins", "_gains", "_losses")
+
+
 def trade_metrics(trades: DataFrame, run: Sequence[str] = ()) -> DataFrame:
     return trades.groupBy(*run).agg(
         F.count("*").alias("n_trades"),
@@ -95,11 +116,16 @@ def metrics_report(
     equity: DataFrame, trades: DataFrame, run: Sequence[str] = (), ppy: float = TRADING_DAYS
 ) -> DataFrame:
     """All metrics, one row per run."""
+    return report_of(equity, trade_metrics(trades, run), run, ppy)
+
+
+def report_of(equity: DataFrame, deals: DataFrame, run: Sequence[str], ppy: float = TRADING_DAYS) -> DataFrame:
+    """All metrics from equity curves and trade metrics."""
     run = list(run)
     curve = drawdown(equity_returns(equity, run), run).groupBy(*run).agg(
         sharpe_of("ret", ppy).alias("sharpe"), F.min("drawdown").alias("max_drawdown")
     )
-    ends, deals = total_return(equity, run, ppy), trade_metrics(trades, run)
+    ends = total_return(equity, run, ppy)
     if run:
         out = curve.join(ends, run).join(deals, run, "left")
     else:
@@ -126,6 +152,7 @@ def random_entry_null(
     prices: DataFrame,
     *,
     n_agents: int = 100,
+    rates: DataFrame | None = None,
     probability: float = 0.05,
     avg_horizon: int = 5,
     cost: float = COST_PER_SIDE,
@@ -137,8 +164,13 @@ def random_entry_null(
     At each bar an agent enters with ``probability`` one ticker, drawn evenly,
     at its close and leaves ``avg_horizon`` +- 2 bars later at a close.  Trades
     are independent and sized as a fixed fraction; draws are integer hashes of
-    (agent, bar), so a rerun gives the same agents.
+    (agent, bar), so a rerun gives the same agents.  ``rates`` (one row of
+    ``strategy_rates``) stands in for ``probability`` and ``avg_horizon``.
     """
+    if rates is None:
+        rates = prices.sparkSession.range(1).select(
+            F.lit(probability).alias("probability"), F.lit(avg_horizon).alias("avg_horizon")
+        )
     tickers = prices.select("ticker").distinct()
     numbered = _number(tickers)
     indexed = on_axis(prices.select("ts", "ticker", "close")).join(numbered, "ticker")
@@ -146,18 +178,20 @@ def random_entry_null(
     last = axis.agg(F.max("bar").alias("_last")).crossJoin(
         tickers.agg(F.count("*").alias("_tickers"))
     )
-    lo, hi = max(avg_horizon - 2, 1), max(avg_horizon + 3, 2)
+    last = last.crossJoin(rates)
+    lo = F.greatest(C("avg_horizon") - 2, F.lit(1))
+    hi = F.greatest(C("avg_horizon") + 3, F.lit(2))
     draws = (
         axis.select("bar")
         .withColumn("agent", F.explode(F.sequence(F.lit(0), F.lit(n_agents - 1))))
         .crossJoin(F.broadcast(last))
-        .filter(hash_draw(7, ("agent", 1103515245), ("bar", 12345)) < probability)
+        .filter(hash_draw(7, ("agent", 1103515245), ("bar", 12345)) < C("probability"))
         .withColumns(
             {
                 "number": F.floor(
                     hash_draw(11, ("agent", 69069), ("bar", 1664525)) * C("_tickers")
                 ),
-                "hold": F.lit(lo)
+                "hold": lo
                 + F.floor(hash_draw(13, ("agent", 22695477), ("bar", 1013904)) * (hi - lo)),
             }
         )
@@ -184,6 +218,20 @@ def random_entry_null(
     )
 
 
+def strategy_rates(
+    signals: DataFrame, trades: DataFrame, prices: DataFrame, max_positions: int = 5
+) -> DataFrame:
+    """One row: entries per bar and slot (``probability``) and mean holding time
+    (``avg_horizon``) of a strategy, for agents that trade as often and as long."""
+    n = signals.agg(F.count_if(C("action") == "BUY").alias("_buys"))
+    bars = prices.agg(F.countDistinct("ts").alias("_bars"))
+    held = trades.agg(F.coalesce(F.rint(F.avg("horizon")), F.lit(5.0)).cast("int").alias("avg_horizon"))
+    rate = F.greatest(F.least(C("_buys") / (C("_bars") * max_positions), F.lit(1.0)), F.lit(1e-4))
+    return n.crossJoin(bars).crossJoin(held).select(
+        F.when(C("_buys") > 0, rate).otherwise(0.05).alias("probability"), "avg_horizon"
+    )
+
+
 def _number(tickers: DataFrame) -> DataFrame:
     from barloom.operators.blocks import index_rows
 
@@ -236,3 +284,16 @@ def report_tables(per_ticker: DataFrame, digits: int = 4) -> DataFrame:
             for c in ("total_return", "sharpe", "max_drawdown", "win_rate", "final_equity")
         ],
     ).orderBy("total_return")
+
+
+def signal_table(signals: DataFrame, digits: int = 4) -> DataFrame:
+    """Bought signals in time order, numbers rounded."""
+    numbers = [F.round(c, digits).alias(c) for c in ("mean", "std")]
+    return signals.filter(C("action") == "BUY").select("ts", "ticker", "horizon", *numbers).orderBy(
+        "ts", "ticker", "horizon"
+    )
+
+
+def equity_table(equity: DataFrame, run: Sequence[str] = (), digits: int = 2) -> DataFrame:
+    """Equity curves in time order, rounded."""
+    return equity.select(*run, "ts", F.round("equity", digits).alias("equity")).orderBy(*run, "ts")

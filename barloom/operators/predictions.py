@@ -116,10 +116,7 @@ def log_loss(
     ).drop("_share")
 
 
-# Fixed rule: label i of shuffle k is the label at (a*i + b*(k+1)) mod n, with a
-# the first of two primes that does not divide n, so every shuffle is a bijection.
-_PRIMES = (1000003, 1000033)
-_SHIFT = 7919
+# Fixed rule: shuffle k puts rows in the order of md5("k:i") of their positions i.
 
 
 def permutation_null(
@@ -147,12 +144,12 @@ def permutation_null(
         F.sum(C("_y") * C("_odds")).alias("_o"),
     )
     real = totals.withColumn("loss_real", -(C("_o") + C("_b")) / C("n"))
-    positives = rows.filter(C("_y") == 1).join(totals.select(group, "n"), group)
-    step = F.when(C("n") % _PRIMES[0] == 0, F.lit(_PRIMES[1])).otherwise(F.lit(_PRIMES[0]))
-    moved = positives.select(
-        group, "n", C(IDX).alias("_from"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("shuffle"),
-    ).withColumn(IDX, F.pmod(C("_from") * step + (C("shuffle") + 1) * _SHIFT, C("n")))
+    # each shuffle has a hash order of its own; the row at a place of the order lends its label to the
+    # row of that position. First hex digits deal the order out, so no task sorts a whole shuffle.
+    copies = rows.select(group, IDX, "_y", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("shuffle"))
+    hashed = copies.withColumn("_h", F.md5(F.concat_ws(":", "shuffle", IDX))).withColumnRenamed(IDX, "_from")
+    dealt = index_rows(hashed, (group, "shuffle"), "_h", bucket=F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    moved = dealt.filter(C("_y") == 1).select(group, "shuffle", IDX).join(totals.select(group), group)
     shuffled = (
         moved.join(rows.select(group, IDX, "_odds"), [group, IDX])
         .groupBy(group, "shuffle")

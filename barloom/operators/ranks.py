@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 
 from barloom.session import materialize
 
-SPLITS = 32
+ROWS = 100_000  #: distinct values meant for one sub-range
 
 
 def _spread(
-    df: DataFrame, group: Sequence[str], value: str, splits: int,
+    df: DataFrame, group: Sequence[str], value: str, splits: int | None,
     extra: dict[str, Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Counted distinct values with their sub-range, and the sub-range totals."""
-    if splits < 2:
-        raise ValueError(f"splits must be at least 2, got {splits}")
+    if splits is not None and splits < 2:
+        raise ValueError(f"a group needs two sub-ranges or more, not {splits}")
     keys = list(group)
     counts = (
         df.filter(F.col(value).isNotNull())
@@ -34,9 +34,13 @@ def _spread(
         .agg(F.count("*").alias("cnt"), *[c.alias(n) for n, c in (extra or {}).items()])
     )
     counts = materialize(counts)
+    if splits is None:
+        # all groups get the sub-ranges that the largest one needs
+        most = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        splits = max(2, -(-most // ROWS))
     probs = [i / splits for i in range(1, splits)]
     cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 1000).alias("_cuts")
+        F.percentile_approx(value, probs, max(1000, 20 * splits)).alias("_cuts")
     )
     placed = (
         counts.join(cuts, keys)
@@ -64,7 +68,7 @@ def _positions(placed: DataFrame, ranges: DataFrame, keys: list[str], value: str
 
 
 def value_positions(
-    df: DataFrame, group: Sequence[str], value: str, splits: int = SPLITS,
+    df: DataFrame, group: Sequence[str], value: str, splits: int | None = None,
     extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Per (group, distinct value): ``cnt`` rows and ``below`` rows of lower value.
@@ -77,7 +81,7 @@ def value_positions(
 
 
 def average_ranks(
-    df: DataFrame, group: Sequence[str], value: str, name: str = "rank", splits: int = SPLITS
+    df: DataFrame, group: Sequence[str], value: str, name: str = "rank", splits: int | None = None
 ) -> DataFrame:
     """Add the 1-based rank of ``value`` in its group, ties sharing their mean."""
     keys = list(group)
@@ -97,7 +101,7 @@ def quantiles(
     group: Sequence[str],
     value: str,
     probs: Sequence[float] | Column,
-    splits: int = SPLITS,
+    splits: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: rows (group, q, n, quantile).
 

@@ -250,6 +250,9 @@ def alerts(
         (C("expected_return") >= min_return)
         & (C("uncertainty") <= max_std)
         & (C("alert_strength") >= min_strength),
+    ).withColumn(
+        # the tickers of one time
+        "rank", F.row_number().over(Window.partitionBy("ts").orderBy(C("expected_return").desc(), "ticker"))
     )
 
 

@@ -11,11 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.performance import TRADING_DAYS, metrics_report, trade_metrics
+from barloom.operators.performance import (
+    TRADING_DAYS, metrics_of_sums, metrics_report, report_of, trade_metrics, trade_sums,
+)
+from barloom.operators.predictions import KEY3
+from barloom.operators.ranks import quantiles
 from barloom.operators.signals import best_horizon, top_k
 from barloom.operators.trades import (
-    COST_PER_SIDE, INITIAL_CAPITAL, book_equity, net_return, on_axis, position_budget,
-    signal_exit_pairs, trade_outcomes,
+    COST_PER_SIDE, INITIAL_CAPITAL, book_equity, book_marks, equity_of_marks, net_return, on_axis,
+    position_budget, signal_exit_pairs, trade_outcomes,
 )
 from barloom.session import materialize
 
@@ -23,6 +27,9 @@ C = F.col
 
 # The reported grids.
 SWEEP_THRESHOLDS = (0.51, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85)
+CONSENSUS_GRID = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75)
+RELAX_PRIMARY = (0.45, 0.50, 0.55)
+RELAX_META = (10.0, 20.0, 30.0, 50.0)
 
 
 def _values(xs: Sequence[float], name: str) -> Column:
@@ -52,22 +59,33 @@ def threshold_sweep(
     """One row per threshold: signals, trades, metrics and, with ``null`` (agents'
     final equities), the z-score.  Being in the top-k does not depend on the
     threshold, so each setting is a subset of the candidate trades."""
+    levels = sorted(float(t) for t in thresholds)
     prices = materialize(prices)
-    cand = materialize(top_k(best_horizon(predictions), k))
-    signals = cand.withColumn("action", F.lit("BUY"))
+    passed = sum((C("mean") > t).cast("int") for t in levels)
+    # a row is counted once, in the bin of the thresholds it passes; bins add up to the settings
+    cand = materialize(top_k(best_horizon(predictions), k).withColumn("_bin", passed))
+    buys = cand.filter(C("_bin") > 0).withColumn("action", F.lit("BUY"))
     trades = position_budget(
-        trade_outcomes(signals, prices, cost=cost), capital=capital, fraction=fraction
-    )
-    runs = materialize(
-        trades.select("*", _values(thresholds, "threshold")).filter(C("mean") > C("threshold"))
+        trade_outcomes(buys, prices, cost=cost, keep=["_bin"]), capital=capital, fraction=fraction
     )
-    n_buy = (
-        cand.select("mean", _values(thresholds, "threshold"))
-        .groupBy("threshold")
-        .agg(F.count_if(C("mean") > C("threshold")).alias("n_buy_signals"))
+    trades = materialize(trades)
+
+    def added(binned: DataFrame, *by: str) -> DataFrame:
+        mine = F.slice(F.array(*[F.lit(t) for t in levels]), F.lit(1), C("_bin"))
+        sums = [F.sum(c).alias(c) for c in binned.columns if c not in (*by, "_bin")]
+        return binned.withColumn("threshold", F.explode(mine)).groupBy("threshold", *by).agg(*sums)
+
+    axis, marked, realised = book_marks(trades, prices, run=["_bin"], cost=cost)
+    grid = cand.sparkSession.createDataFrame([(t,) for t in levels], "threshold double")
+    n_buy = grid.join(
+        added(cand.groupBy("_bin").agg(F.count("*").alias("n_buy_signals"))), "threshold", "left"
+    ).na.fill(0)
+    deals = metrics_of_sums(added(trade_sums(trades, ["_bin"])))
+    equity = equity_of_marks(
+        axis, added(marked, "bar"), added(realised, "bar"), run=["threshold"],
+        runs=deals.select("threshold"), capital=capital,
     )
-    equity = book_equity(runs, prices, run=["threshold"], capital=capital, cost=cost)
-    report = metrics_report(equity, runs, ["threshold"], ppy)
+    report = report_of(equity, deals, ["threshold"], ppy)
     out = n_buy.join(report, "threshold", "left").select(
         "threshold",
         "n_buy_signals",
@@ -92,35 +110,78 @@ def threshold_sweep(
 def consensus_sweep(
     frame: DataFrame,
     prices: DataFrame,
-    t_long: Sequence[float],
-    t_short: Sequence[float],
+    t_long: Sequence[float] = CONSENSUS_GRID,
+    t_short: Sequence[float] = CONSENSUS_GRID,
     *,
     max_hold: int = 48,
     cost: float = COST_PER_SIDE,
     fraction: float = 0.10,
+    capital: float = INITIAL_CAPITAL,
+    ppy: float = TRADING_DAYS,
 ) -> DataFrame:
-    """Trades and profit per pair of consensus thresholds."""
+    """Signals, trades and equity metrics of every pair of consensus thresholds.
+
+    A pair without trades keeps its row: the starting capital and zeros.
+    """
     for v in (*t_long, *t_short):
         if not 0.0 < v < 1.0:
-            raise ValueError(f"thresholds must be in (0, 1), got {v}")
+            raise ValueError(f"a consensus threshold lies between 0 and 1, not at {v}")
     grid = frame.select("ts", "ticker", "p_long", "p_short", _values(t_long, "t_long")).select(
         "*", _values(t_short, "t_short")
     )
     lo, hi = C("p_long") > C("t_long"), C("p_short") > C("t_short")
+    run = ["t_long", "t_short"]
+    prices = materialize(prices)
+    # only rows that open or close in a pair are stored
     decisions = materialize(
         grid.withColumns({"open_long": lo & ~hi, "close_long": hi & ~lo}).filter(
             C("open_long") | C("close_long")
         )
     )
-    pairs = signal_exit_pairs(
-        decisions, prices, max_hold=max_hold, cost=cost, keep=["t_long", "t_short"]
+    pairs = signal_exit_pairs(decisions, prices, max_hold=max_hold, cost=cost, keep=run)
+    sized = materialize(position_budget(pairs, capital=capital, fraction=fraction))
+    counts = decisions.groupBy(*run).agg(
+        F.count_if("open_long").alias("n_open_signals"), F.count_if("close_long").alias("n_close_signals")
     )
-    sized = position_budget(pairs, fraction=fraction)
-    return sized.groupBy("t_long", "t_short").agg(
-        F.count("*").alias("n_trades"),
-        F.avg((C("pnl") > 0).cast("double")).alias("win_rate"),
-        F.avg("return_pct").alias("mean_return"),
-        F.sum("pnl").alias("total_pnl"),
+    report = metrics_report(book_equity(sized, prices, run=run, capital=capital, cost=cost), sized, run, ppy)
+    every = frame.sparkSession.range(1).select(_values(t_long, "t_long")).select("*", _values(t_short, "t_short"))
+    found = every.join(counts, run, "left").join(report, run, "left")
+    return found.select(
+        *run,
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_open_signals", "n_close_signals", "n_trades")],
+        F.coalesce("final_equity", F.lit(float(capital))).alias("final_equity"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("total_return", "sharpe", "max_drawdown", "win_rate")],
+    )
+
+
+def relaxation_sweep(
+    primary: DataFrame, meta: DataFrame, prices: DataFrame, primary_levels: Sequence[float] = RELAX_PRIMARY,
+    meta_percents: Sequence[float] = RELAX_META, *, min_buys: int = 5, fraction: float = 0.10,
+    capital: float = INITIAL_CAPITAL, cost: float = COST_PER_SIDE, ppy: float = TRADING_DAYS,
+) -> DataFrame:
+    """Looser joint thresholds: a primary level with the top percent of the meta scores.
+
+    One row per pair with at least ``min_buys`` signals: the meta level, signals,
+    trades, Sharpe and return.
+    """
+    run = ["t_primary", "meta_percent"]
+    prices = materialize(prices)
+    both = primary.join(meta.select(*KEY3, C("mean").alias("meta")), list(KEY3))
+    both = materialize(both)
+    cuts = quantiles(both, [], "meta", [1.0 - p / 100.0 for p in meta_percents]).select(
+        F.round(100.0 * (1.0 - C("q")), 6).alias("meta_percent"), C("quantile").alias("t_meta")
+    )
+    levels = F.broadcast(cuts)  # one row per percent
+    fits = both.select("*", _values(primary_levels, "t_primary")).filter(C("mean") > C("t_primary"))
+    fits = fits.join(levels, C("meta") > C("t_meta")).withColumn("action", F.lit("BUY"))
+    fits = materialize(fits)
+    counts = fits.groupBy(*run, "t_meta").agg(F.count("*").alias("n_buy")).filter(C("n_buy") >= min_buys)
+    trades = trade_outcomes(fits.join(counts.select(*run), run, "left_semi"), prices, cost=cost, keep=run)
+    sized = materialize(position_budget(trades, capital=capital, fraction=fraction))
+    report = metrics_report(book_equity(sized, prices, run=run, capital=capital, cost=cost), sized, run, ppy)
+    return counts.join(report, run, "left").select(
+        *run, "t_meta", "n_buy", F.coalesce("n_trades", F.lit(0)).alias("n_trades"),
+        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "total_return")],
     )
 
 

@@ -9,15 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import or_zero
 from barloom.operators.asof import asof
-from barloom.operators.blocks import IDX, index_rows, running
-from barloom.operators.chain import replay_blocks
+from barloom.operators.blocks import running
 from barloom.operators.splits import time_index
 from barloom.session import materialize
 
@@ -171,7 +168,7 @@ def position_budget(
         own = C("size_fraction").cast("double") if "size_fraction" in trades.columns else F.lit(None)
         share = F.coalesce(own, F.lit(fraction))
     else:
-        raise ValueError(f"unknown sizing_mode: {mode!r}")
+        raise ValueError(f"no such way to size positions: {mode!r}")
     invested = F.least(share * capital, F.lit(cap * capital))
     return trades.withColumn("invested", invested).filter(C("invested") > 0).withColumn(
         "pnl", C("invested") * C("return_pct")
@@ -235,121 +232,26 @@ def signal_exit_pairs(
 
 
 # --------------------------------------------------------------------------
-# one position per ticker
+# one book per series
 # --------------------------------------------------------------------------
 
-def non_overlapping(
-    trades: DataFrame, key: Sequence[str] = ("ticker",), size: int = 4096
-) -> DataFrame:
-    """The trades a book of one open position per series would take.
-
-    Greedy in time: a signal acts when the series is free, and the series is
-    free again on the bar it leaves.  The state between blocks is the bar from
-    which the series is free.
-    """
-    indexed = index_rows(
-        trades.withColumn("_at", C("entry_bar") - 1), key, "_at", bucket=F.floor(C("_at") / BAR_BLOCK)
-    )
-
-    def chain(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the bar at which the series is free after the block, if
-        that row is taken."""
-        at = pdf["_at"].to_numpy()
-        free = pdf["exit_bar"].to_numpy()
-        nxt = np.searchsorted(at, free, side="left")
-        after = np.empty(len(at), dtype=np.int64)
-        for i in range(len(at) - 1, -1, -1):
-            after[i] = after[nxt[i]] if nxt[i] < len(at) else free[i]
-        return at, after
-
-    def advance(m: tuple[np.ndarray, np.ndarray], free: int) -> int:
-        at, after = m
-        i = int(np.searchsorted(at, free, side="left"))
-        return int(after[i]) if i < len(at) else free
-
-    def replay(pdf: pd.DataFrame, free: int) -> pd.DataFrame:
-        at, out = pdf["_at"].to_numpy(), pdf["exit_bar"].to_numpy()
-        taken = np.zeros(len(at), dtype=bool)
-        i = int(np.searchsorted(at, free, side="left"))
-        while i < len(at):
-            taken[i] = True
-            i = int(np.searchsorted(at, out[i], side="left"))
-        return pd.DataFrame({"taken": taken})
-
-    done = replay_blocks(
-        indexed, key=key, columns=["_at", "exit_bar"], initial=-1, summarise=chain,
-        advance=advance, replay=replay, output="taken boolean", size=size,
-    )
-    return done.filter(C("taken")).drop("taken", "_at", IDX)
-
-
-def compounding_cash(
-    trades: DataFrame, capital: str | Column, key: Sequence[str] = ("ticker",), size: int = 4096
+def per_series_book(
+    trades: DataFrame, *, capital: float = INITIAL_CAPITAL, fraction: float = 0.10,
+    key: Sequence[str] = ("ticker",),
 ) -> DataFrame:
-    """Invest all cash, at most the starting capital, in one trade after another.
+    """Independent books: capital split evenly over the series, a fixed share of it in every trade.
 
-    ``c -> c + min(c, 1) * r`` in units of the starting capital; a block of
-    trades is an increasing piecewise-linear map of its incoming cash.
-    Adds ``invested``, ``pnl`` and ``cash`` after the trade.
+    Adds ``invested``, ``pnl`` and ``cash``, the book's cash when the trade is closed (all trades
+    of its series that left by that bar are in it).
     """
-    cap = C(capital) if isinstance(capital, str) else capital
-    indexed = index_rows(trades, key, "entry_bar", bucket=F.floor(C("entry_bar") / BAR_BLOCK))
-
-    def lines(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-        """Corner points of the map and its slope beyond the last one."""
-        x = np.array([0.0])
-        y = np.array([0.0])
-        for r in pdf["return_pct"].to_numpy():
-            # outputs reach the cap of 1 on the last piece or inside
-            i = int(np.searchsorted(y, 1.0, side="left"))
-            if i == len(y):
-                at = x[-1] + (1.0 - y[-1])
-                x, y = np.append(x, at), np.append(y, 1.0)
-            elif y[i] > 1.0:
-                at = x[i - 1] + (1.0 - y[i - 1]) * (x[i] - x[i - 1]) / (y[i] - y[i - 1])
-                x, y = np.insert(x, i, at), np.insert(y, i, 1.0)
-            y = y + np.minimum(y, 1.0) * r
-        return x, y, 1.0
-
-    def advance(m: tuple[np.ndarray, np.ndarray, float], cash: float) -> float:
-        x, y, slope = m
-        if cash >= x[-1]:
-            return float(y[-1] + (cash - x[-1]) * slope)
-        return float(np.interp(cash, x, y))
-
-    def replay(pdf: pd.DataFrame, cash: float) -> pd.DataFrame:
-        invested, after = [], []
-        for r in pdf["return_pct"].to_numpy():
-            stake = min(cash, 1.0)
-            cash = cash + stake * r
-            invested.append(stake)
-            after.append(cash)
-        return pd.DataFrame({"_stake": invested, "_cash": after})
-
-    done = replay_blocks(
-        indexed, key=key, columns=["return_pct"], initial=1.0, summarise=lines, advance=advance,
-        replay=replay, output="_stake double, _cash double", size=size,
-    )
-    return done.withColumns(
-        {
-            "invested": C("_stake") * cap,
-            "pnl": C("_stake") * cap * C("return_pct"),
-            "cash": C("_cash") * cap,
-        }
-    ).drop("_stake", "_cash", IDX)
-
-
-def per_series_book(
-    trades: DataFrame, n_series: int | None = None, *, capital: float = INITIAL_CAPITAL,
-    key: Sequence[str] = ("ticker",), size: int = 4096,
-) -> DataFrame:
-    """Independent books: capital split evenly, one position at a time, compounding."""
-    taken = non_overlapping(trades, key, size)
-    if n_series is not None:
-        return compounding_cash(taken, F.lit(capital / n_series), key, size)
+    own = F.lit(capital) / C("_n")
     n = trades.select(*key).distinct().agg(F.count("*").alias("_n"))
-    with_n = taken.crossJoin(F.broadcast(n))
-    return compounding_cash(with_n, F.lit(capital) / C("_n"), key, size).drop("_n")
+    sized = trades.crossJoin(F.broadcast(n)).withColumn("invested", own * fraction)
+    sized = sized.withColumn("pnl", C("invested") * C("return_pct"))
+    closed = sized.groupBy(*key, "exit_bar", "_n").agg(F.sum("pnl").alias("_pnl"))
+    summed = running(closed, key, "exit_bar", {"_sum": ("sum", "_pnl")}, bucket=F.floor(C("exit_bar") / BAR_BLOCK))
+    cash = summed.select(*key, "exit_bar", (own + C("_sum")).alias("cash"))
+    return sized.drop("_n").join(cash, [*key, "exit_bar"])
 
 
 # --------------------------------------------------------------------------
@@ -367,6 +269,15 @@ def book_equity(
     Positions are open on bars ``entry-1 .. exit-1``: the money leaves at the
     signal bar.  A bar without a price of the ticker keeps the entry price.
     """
+    axis, marked, realised = book_marks(trades, prices, run=run, cost=cost)
+    runs = trades.select(*run).distinct() if run else None
+    return equity_of_marks(axis, marked, realised, run=run, runs=runs, capital=capital)
+
+
+def book_marks(
+    trades: DataFrame, prices: DataFrame, *, run: Sequence[str] = (), cost: float = COST_PER_SIDE
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The bar axis, and per run and bar the open profit (``_open``) and the realised one (``_pnl``)."""
     indexed = on_axis(prices)
     axis = indexed.select("ts", "bar").distinct()
     quantity = C("invested") * (1.0 - cost) / C("entry_price")
@@ -380,10 +291,16 @@ def book_equity(
         .agg(F.sum(C("_q") * F.coalesce("close", "entry_price") - C("invested")).alias("_open"))
     )
     realised = trades.groupBy(*run, C("exit_bar").alias("bar")).agg(F.sum("pnl").alias("_pnl"))
-    grid = axis
-    if run:
-        # the result itself: every run has a value on every bar
-        grid = axis.crossJoin(trades.select(*run).distinct())
+    return axis, marked, realised
+
+
+def equity_of_marks(
+    axis: DataFrame, marked: DataFrame, realised: DataFrame, *, run: Sequence[str] = (),
+    runs: DataFrame | None = None, capital: float = INITIAL_CAPITAL,
+) -> DataFrame:
+    """Equity of every run on every bar of the axis."""
+    # the result itself: every run has a value on every bar
+    grid = axis if runs is None else axis.crossJoin(runs)
     both = grid.join(marked, [*run, "bar"], "left").join(realised, [*run, "bar"], "left")
     both = both.withColumn("_pnl", or_zero("_pnl"))
     summed = running(

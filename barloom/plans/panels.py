@@ -97,7 +97,13 @@ DAYS = """days AS (
 
 
 def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").filter(F.col("value") > 0).select(
+    """Event rows with a price: bars and their logarithms need one above zero."""
+    return event_rows(spark, sf).filter(F.col("price") > 0)
+
+
+def event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All event rows."""
+    return table(spark, sf, "events").select(
         F.col("event_type").alias("ticker"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("value").alias("price"),
@@ -109,6 +115,7 @@ def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
 EVENT_TICKS = """event_ticks AS (
   SELECT event_type AS ticker, ts, value AS price, CAST(1 + user_id % 10 AS DOUBLE) AS qty, event_id
   FROM events WHERE value > 0)"""
+EVENT_ROWS = EVENT_TICKS.replace("event_ticks", "event_rows").replace(" WHERE value > 0", "")
 
 
 # --- daily side tables ----------------------------------------------------
@@ -420,7 +427,8 @@ EXPIRATIONS = """exps AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day,
 
 # --- predictions and outcomes ----------------------------------------------
 
-PRED_HORIZONS = {1: 1.0, 3: 0.8, 6: 0.6, 12: 0.4}
+# equal weights: the day of the month decides which horizon has the best mean
+PRED_HORIZONS = {1: 0.8, 3: 0.8, 6: 0.8, 12: 0.8}
 COST = 0.0005
 
 
@@ -489,12 +497,12 @@ def _lr(h: int) -> str:
 PANEL = f"""{BARS}, p0 AS (SELECT *, ln(close / nullif(lag(close) OVER s, 0)) AS lr_1,
     {', '.join(f"CASE WHEN lead(open) OVER s IS NOT NULL AND lead(close, {h}) OVER s IS NOT NULL THEN {_lr(h)} END AS lr_h{h}" for h in PRED_HORIZONS)}
   FROM bars WINDOW s AS (PARTITION BY ticker ORDER BY ts)),
-panel AS (SELECT *, CASE WHEN count(lr_1) {_W5} = 5 THEN sum(lr_1) {_W5} END AS lr_5,
+panel AS MATERIALIZED (SELECT *, CASE WHEN count(lr_1) {_W5} = 5 THEN sum(lr_1) {_W5} END AS lr_5,
     CASE WHEN count(lr_1) {_W12} = 12 THEN stddev_samp(lr_1) {_W12} END AS vol_12,
     {', '.join(f"CAST(CASE WHEN lr_h{h} > 0 THEN 1 WHEN lr_h{h} IS NOT NULL THEN 0 END AS FLOAT) AS target_h{h}" for h in PRED_HORIZONS)}
   FROM p0)"""
 PREDS = f"""{PANEL}, ks(horizon, k) AS (VALUES {', '.join(f'({h}, {k}::DOUBLE)' for h, k in PRED_HORIZONS.items())}),
-pr AS (SELECT ts, ticker, horizon, k * lr_5 + 0.1::DOUBLE * ((day(ts) * horizon) % 7 - 3) AS score, vol_12 / 4 AS std, volume FROM panel, ks
+pr AS MATERIALIZED (SELECT ts, ticker, horizon, k * lr_5 + 0.1::DOUBLE * ((day(ts) * horizon) % 7 - 3) AS score, vol_12 / 4 AS std, volume FROM panel, ks
        WHERE lr_5 IS NOT NULL AND vol_12 IS NOT NULL),
 preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-score)) AS mean, std FROM pr),
 short_preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-(-score - 0.1::DOUBLE))) AS mean, std FROM pr),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +29,9 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the cluster's own, a private one only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = current.get() if current.isDefined() else None
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="barloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    """Folder for stored intermediate tables: the cluster's own, beside its warehouse if unset."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    return (told or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:

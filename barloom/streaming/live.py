@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from barloom.operators.bars import order_key
@@ -18,9 +15,14 @@ C = F.col
 
 
 def read_parquet_stream(
-    spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
 ) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """Landed files as a stream.  Without ``files_per_batch`` a run over what is there is one
+    batch, so its result does not depend on how the rows were cut into files."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def stream_bars(
@@ -90,14 +92,23 @@ def latest_alerts_sink(path: str, **rules) -> Callable[[DataFrame, int], None]:
             F.max_by(F.struct(*[c for c in fresh.columns if c != "ticker"]), "ts").alias("_r")
         ).select("ticker", "_r.*")
         newest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        # readers may hold the version before; older ones go
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return upsert
 
 
 def latest_alerts(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version").alias("version"))
-    return versions.join(F.broadcast(newest), "version").drop("version")
+    """The newest complete version, by folder name."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [
+        int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(root)
+        if x.getPath().getName().startswith("version=")
+        and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))
+    ]
+    return spark.read.parquet(f"{path}/version={max(done)}")
 
 
 def start_latest_alerts(
@@ -110,51 +121,3 @@ def start_latest_alerts(
     )
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return writer.trigger(**trigger).start()
-
-
-class LevelProcessor(StatefulProcessor):
-    """Online conformal level of one horizon.
-
-    Rows carry ``ts``, ``ticker``, ``critical`` (the level above which a positive
-    row is missed) and ``actual`` (null while unknown).  A row is answered with
-    the level before it; its own label then moves the level.
-    """
-
-    def __init__(self, step: float, target: float, low: float, high: float) -> None:
-        self.step, self.target, self.low, self.high = step, target, low, high
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", "alpha double")
-
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
-        a = self.level.get()[0] if self.level.exists() else self.target
-        chunk = pd.concat(list(rows)).sort_values(["ts", "ticker"])
-        levels = []
-        for y, c in zip(chunk["actual"], chunk["critical"]):
-            levels.append(a)
-            if pd.isna(y):
-                continue
-            miss = y >= 0.5 and a > c
-            a = min(max(a + self.step * (self.target - miss), self.low), self.high)
-        self.level.update((float(a),))
-        yield chunk[["ts", "ticker"]].assign(horizon=key[0], alpha=levels)[
-            ["ts", "ticker", "horizon", "alpha"]
-        ]
-
-    def close(self) -> None:
-        pass
-
-
-def stream_aci(
-    rows: DataFrame, *, step: float = 0.005, target: float = 0.1, low: float = 0.001, high: float = 0.5
-) -> DataFrame:
-    """Levels per horizon as rows arrive in time order; feed it labels when known
-    (a label needs its horizon of bars to arrive)."""
-    return rows.groupBy("horizon").transformWithStateInPandas(
-        LevelProcessor(step, target, low, high),
-        outputStructType="ts timestamp, ticker string, horizon int, alpha double",
-        outputMode="Append",
-        timeMode="None",
-    )

@@ -18,7 +18,8 @@ from barloom.operators import splits as S
 from barloom.operators import targets as T
 from barloom.operators import thresholds as D
 from barloom.operators import trades as R
-from barloom.operators.models import apply_isotonic, fit_isotonic
+from barloom.operators import performance as PF
+from barloom.operators import sweeps as W
 from barloom.sources import incremental as N
 from barloom.sources import landed as L
 
@@ -221,16 +222,6 @@ def test_kelly(spark):
     assert got == [0.0, 0.125, 0.2]
 
 
-def test_isotonic_pools_ties(spark):
-    x, y = [0.1, 0.2, 0.2, 0.3, 0.4] * 25, [0.0, 1, 0, 0, 1] * 25
-    p = pd.DataFrame({"ts": daily(125), "ticker": "a", "horizon": 6, "mean": x, "std": 0.0, "actual": y})
-    df = spark.createDataFrame(p)
-    out = apply_isotonic(df.drop("actual"), fit_isotonic(df, [6])).orderBy("ts").limit(5)
-    got = [round(r["mean"], 6) for r in out.collect()]
-    assert got == [0.0, 0.333333, 0.333333, 0.333333, 1.0]
-    assert fit_isotonic(df.limit(50), [6]) == {}
-
-
 # --- trades --------------------------------------------------------------------
 
 def prices(spark, n=20, low=None):
@@ -261,33 +252,63 @@ def test_stop_price(spark):
     assert (t["exit_price"], t["exit_reason"], t["exit_bar"]) == (98.0, "stop_loss", 3)
 
 
-def test_one_position_per_ticker(spark):
-    s = pd.concat([signal(spark, 0), signal(spark, 2)])
-    t = R.trade_outcomes(spark.createDataFrame(s), spark.createDataFrame(prices(spark)))
-    assert t.count() == 2 and R.non_overlapping(t).count() == 1
-
-
-@pytest.mark.parametrize("size", [3, 17, 1000])
-def test_book_equals_walk(spark, size):
-    rng = np.random.default_rng(5)
-    rows = []
-    for k in ("a", "b"):
-        for at in sorted(rng.choice(400, 150, replace=False)):
-            rows.append((k, int(at) + 1, int(at) + 1 + int(rng.integers(1, 9)), float(rng.normal(0.0, 0.1))))
-    df = pd.DataFrame(rows, columns=["ticker", "entry_bar", "exit_bar", "return_pct"])
-    want = []
-    for k, g in df.groupby("ticker"):
-        free, cash = -1, 1.0
-        for r in g.itertuples():
-            if r.entry_bar - 1 < free:
-                continue
-            stake = min(cash, 1.0)
-            cash += stake * r.return_pct
-            want.append((k, r.entry_bar, cash))
-            free = r.exit_bar
-    got = R.per_series_book(spark.createDataFrame(df), 2, capital=2.0, size=size).orderBy("ticker", "entry_bar").collect()
-    assert [(r["ticker"], r["entry_bar"]) for r in got] == [w[:2] for w in want]
-    np.testing.assert_allclose([r["cash"] for r in got], [w[2] for w in want], rtol=1e-12)
+def test_book_per_series(spark):
+    rows = [("a", 1, 4, 0.1), ("a", 2, 4, -0.2), ("a", 6, 9, 0.3), ("b", 1, 2, 0.5)]
+    df = spark.createDataFrame(rows, ["ticker", "entry_bar", "exit_bar", "return_pct"])
+    got = {(r["ticker"], r["entry_bar"]): r for r in R.per_series_book(df, capital=2000.0, fraction=0.5).collect()}
+    assert len(got) == 4 and all(r["invested"] == 500.0 for r in got.values())
+    assert [round(got[k]["cash"], 6) for k in (("a", 1), ("a", 2), ("a", 6), ("b", 1))] == [950.0, 950.0, 1100.0, 1250.0]
+
+
+def test_sizing_modes(spark):
+    t = spark.createDataFrame([(0.3, 0.1), (0.0, 0.1), (None, 0.1)], "size_fraction double, return_pct double")
+    own = R.position_budget(t, mode="signal_kelly", capital=1000.0, fraction=0.1, cap=0.2).orderBy("invested").collect()
+    assert [r["invested"] for r in own] == [100.0, 200.0]
+    with pytest.raises(ValueError):
+        R.position_budget(t, mode="?")
+
+
+def test_profit_target(spark):
+    p = prices(spark)
+    t = R.trade_outcomes(spark.createDataFrame(signal(spark, 0, 5)), spark.createDataFrame(p), profit_target=0.02).first()
+    assert t["exit_reason"] == "profit_target" and round(t["exit_price"] / t["entry_price"], 9) == 1.02
+
+
+def test_rates_of_a_strategy(spark):
+    p = spark.createDataFrame(prices(spark))
+    s = spark.createDataFrame(pd.concat([signal(spark, b, h) for b, h in ((0, 3), (1, 3), (2, 6))]))
+    r = PF.strategy_rates(s, R.trade_outcomes(s, p), p, max_positions=2).first()
+    assert (round(r["probability"], 9), r["avg_horizon"]) == (3 / 40, 4)
+    none = PF.strategy_rates(s.limit(0), R.trade_outcomes(s.limit(0), p), p).first()
+    assert (none["probability"], none["avg_horizon"]) == (0.05, 5)
+
+
+def test_threshold_sweep_adds_up(spark):
+    p = pd.concat([prices(spark).assign(ticker=k) for k in "ab"])
+    f = pd.DataFrame([(daily(20)[b], k, h, m, 0.1) for b, k, h, m in
+                      ((0, "a", 2, 0.52), (1, "b", 3, 0.61), (5, "a", 2, 0.9), (6, "b", 2, 0.4))],
+                     columns=["ts", "ticker", "horizon", "mean", "std"])
+    got = {r["threshold"]: r for r in W.threshold_sweep(spark.createDataFrame(f), spark.createDataFrame(p), (0.5, 0.6, 0.95)).collect()}
+    assert [(got[t]["n_buy_signals"], got[t]["n_trades"]) for t in (0.5, 0.6, 0.95)] == [(3, 3), (2, 2), (0, 0)]
+    assert got[0.95]["final_equity"] == R.INITIAL_CAPITAL
+    s = spark.createDataFrame(f[f["mean"] > 0.6].assign(action="BUY"))
+    alone = R.position_budget(R.trade_outcomes(s, spark.createDataFrame(p)))
+    want = PF.metrics_report(R.book_equity(alone, spark.createDataFrame(p)), alone).first()
+    for c in ("final_equity", "sharpe", "max_drawdown", "win_rate", "profit_factor"):
+        assert math.isclose(got[0.6][c], want[c], rel_tol=1e-9, abs_tol=1e-12), c
+
+
+def test_consensus_sweep_keeps_empty_pairs(spark):
+    p = spark.createDataFrame(prices(spark))
+    f = pd.DataFrame([(daily(20)[1], "a", 3, 0.9, 0.1), (daily(20)[4], "a", 3, 0.1, 0.9)],
+                     columns=["ts", "ticker", "horizon", "p_long", "p_short"])
+    f = spark.createDataFrame(f)
+    got = {(r["t_long"], r["t_short"]): r for r in W.consensus_sweep(f, p, (0.5, 0.95), (0.5, 0.95), max_hold=12).collect()}
+    assert len(got) == 4
+    assert [(got[k]["n_open_signals"], got[k]["n_close_signals"], got[k]["n_trades"]) for k in sorted(got)] == [(1, 1, 1), (1, 0, 1), (0, 1, 0), (0, 0, 0)]
+    assert got[0.95, 0.5]["final_equity"] == R.INITIAL_CAPITAL
+    with pytest.raises(ValueError):
+        W.consensus_sweep(f, p, (1.0,), (0.5,))
 
 
 # --- sources -------------------------------------------------------------------

@@ -2,10 +2,9 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+import pytest
 
 from barloom.operators.bars import resample_ohlcv, ticks_as_bars
-from barloom.operators.conformal import replay_levels
 from barloom.streaming import live as V
 
 
@@ -25,35 +24,33 @@ def test_bars_and_late_rows(spark, tmp_path):
     src = tmp_path / "in"
     for part in (df.iloc[:100], df.iloc[100:], df.iloc[:1].assign(price=9999.0)):
         spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(str(src))
-    stream = V.read_parquet_stream(spark, str(src), spark.createDataFrame(df).schema)
+    stream = V.read_parquet_stream(spark, str(src), spark.createDataFrame(df).schema, 1)
     got = run(V.stream_bars(stream, 5), spark, tmp_path).orderBy("ts").toPandas()
     batch = resample_ohlcv(ticks_as_bars(spark.createDataFrame(df)), 5).orderBy("ts").toPandas()
     assert 0 < len(got) < len(batch)
     pd.testing.assert_frame_equal(got, batch.iloc[: len(got)][got.columns.tolist()])
 
 
-def test_levels(spark, tmp_path):
-    rng = np.random.default_rng(0)
-    n = 90
-    df = pd.DataFrame(
-        {
-            "ts": pd.date_range("2024-01-01", periods=n, freq="D").repeat(2), "ticker": "a",
-            "horizon": np.tile([1, 3], n).astype("int32"), "critical": rng.uniform(0, 0.4, 2 * n),
-            "actual": rng.integers(0, 2, 2 * n).astype(float),
-        }
-    )
-    rows = spark.createDataFrame(df).withColumn("horizon", F.col("horizon").cast("int"))
+@pytest.mark.parametrize("files", [4, 40, 400])
+def test_rows_do_not_depend_on_the_files(spark, tmp_path, files):
+    ts = pd.date_range("2024-01-02 07:00", periods=1200, freq="1min")
+    df = pd.DataFrame({"ticker": "a", "ts": ts, "price": np.arange(1200.0), "qty": 1.0, "event_id": np.arange(1200)})
+    rows = spark.createDataFrame(df)
     src = str(tmp_path / "in")
-    for lo, hi in (("2024-01-01", "2024-02-01"), ("2024-02-01", "2024-03-01"), ("2024-03-01", "2025-01-01")):
-        rows.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(src)
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    rows.repartition(files).write.parquet(src)
     stream = V.read_parquet_stream(spark, src, rows.schema)
-    got = run(V.stream_aci(stream, step=0.05), spark, tmp_path).toPandas()
-    indexed = rows.withColumn("_idx", F.datediff("ts", F.lit("2024-01-01")).cast("bigint"))
-    want = replay_levels(indexed, 0.05, size=16).toPandas()
-    both = got.merge(want, on=["ts", "horizon"])
-    assert len(both) == 2 * n
-    np.testing.assert_allclose(both["alpha_x"], both["alpha_y"], atol=1e-12)
+    got = run(V.stream_bars(stream, 5, order="event_id"), spark, tmp_path).orderBy("ts").toPandas()
+    batch = resample_ohlcv(ticks_as_bars(rows), 5).orderBy("ts").toPandas()
+    assert len(got) == 237
+    pd.testing.assert_frame_equal(got, batch.iloc[: len(got)][got.columns.tolist()])
+
+
+def test_alert_versions_are_bounded(spark, tmp_path):
+    f = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=6), "ticker": "a", "horizon": 1, "mean": np.linspace(0.1, 0.6, 6), "std": 0.1})
+    src, out = str(tmp_path / "in"), tmp_path / "alerts"
+    for i in range(6):
+        spark.createDataFrame(f.iloc[i : i + 1]).coalesce(1).write.mode("append").parquet(src)
+    stream = V.read_parquet_stream(spark, src, spark.createDataFrame(f).schema, 1)
+    V.start_latest_alerts(stream, str(out), str(tmp_path / "check"), every=None).awaitTermination()
+    assert len(list(out.glob("version=*"))) == 2
+    assert [str(r["ts"].date()) for r in V.latest_alerts(spark, str(out)).collect()] == ["2024-01-06"]
