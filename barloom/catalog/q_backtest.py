@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.q_decisions import BEST, CONS
 from barloom.catalog.q_evaluation import sel
+from barloom.catalog.q_sources import landing
 from barloom.catalog.registry import query, rnd
 from barloom.operators import performance as P
 from barloom.operators import signals as G
@@ -13,6 +14,7 @@ from barloom.operators import sweeps as W
 from barloom.operators import trades as R
 from barloom.plans import panels as S
 from barloom.session import materialize
+from barloom.sources import incremental as N
 
 T = 0.6
 FEE = "0.0005::DOUBLE"
@@ -406,3 +408,31 @@ def q_report_signals(spark, sf):
 @query(f"WITH {EQ} SELECT horizon, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {rnd('equity', 2)} AS equity FROM equity", digits=2)
 def q_report_equity(spark, sf):
     return P.equity_table(equity_of(spark, sf)[0], ["horizon"], 6)
+
+
+# name -> (SQL rows, the number summed)
+_ARTIFACTS = {
+    "signals": ("buys", "mean"), "predictions": ("preds", "mean"), "prices": ("bars", "close"), "equity": ("equity", "equity"),
+    "trades": ("sized", "pnl"), "per_ticker_metrics": ("per_ticker", "total_pnl"), "metrics": ("per_horizon", "total_pnl"),
+}
+
+
+@query(f"""WITH {EQ}, per_horizon AS ({_TM}), per_ticker AS ({_TM.replace('horizon', 'ticker')})
+  {' UNION ALL '.join(f"SELECT '{n}' AS name, count(*) AS n, {rnd(f'sum({c})', 2)} AS total FROM {t}" for n, (t, c) in _ARTIFACTS.items())}""", digits=2)
+def q_run_artifacts(spark, sf):
+    """All tables of a run, saved and read back."""
+    root, panel = landing(spark, "runs"), stored(spark, sf)
+    predictions = S.predictions(spark, sf, panel=panel)
+    signals = G.threshold_signals(predictions, T).filter("action = 'BUY'")
+    sized = materialize(R.position_budget(R.trade_outcomes(signals, prices_of(panel))).withColumn("book", F.col("ticker")))
+    equity = materialize(R.book_equity(sized, prices_of(panel), run=["horizon"]))
+    alone = R.book_equity(sized, prices_of(panel), run=["book"])
+    N.save_run(spark, root, "r1", {
+        "signals": signals, "predictions": predictions, "prices": prices_of(panel), "equity": equity, "trades": sized,
+        "per_ticker_metrics": P.metrics_report(alone, sized, ["book"]), "metrics": P.metrics_report(equity, sized, ["horizon"]),
+    })
+    out = None
+    for name, (_, c) in _ARTIFACTS.items():
+        part = N.load_run(spark, root, "r1", name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(c).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -142,10 +142,15 @@ def q_prior_bias(spark, sf):
     return H.prior_bias(joined(spark, sf, "target_h"))
 
 
-@query(f"""WITH {S.PREDS}, o AS (SELECT horizon, max(mean) - min(mean) AS range, avg(std) AS mean_std FROM preds GROUP BY horizon)
-  SELECT horizon, {sel(['range', 'mean_std'])}, CAST(range >= 0.15 AS INT) AS range_ok, CAST(mean_std >= 0.02 AS INT) AS std_ok FROM o""")
+@query(f"""WITH {JL}, o AS (SELECT horizon, max(mean) - min(mean) AS range, avg(std) AS mean_std FROM preds GROUP BY horizon),
+  l AS (SELECT horizon, avg(CAST(mean < 0.5 AS INT)) AS alpha FROM j WHERE actual >= 0.5 GROUP BY horizon)
+  SELECT horizon, {sel(['range', 'mean_std', 'alpha'])}, CAST(range >= 0.15 AS INT) AS range_ok, CAST(mean_std >= 0.02 AS INT) AS std_ok,
+    CAST(alpha BETWEEN 0.05 AND 0.45 AS INT) AS alpha_ok FROM o LEFT JOIN l USING (horizon)""")
 def q_acceptance_checks(spark, sf):
-    return H.acceptance_checks(S.predictions(spark, sf))
+    """The level checked is the share of positive outcomes that a cut at one half misses."""
+    known = joined(spark, sf, "target_h")
+    missed = known.filter("actual >= 0.5").groupBy("horizon").agg(F.avg((F.col("mean") < 0.5).cast("int")).alias("alpha"))
+    return H.acceptance_checks(S.predictions(spark, sf), missed)
 
 
 def _ranks(x: str) -> str:

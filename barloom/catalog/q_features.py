@@ -255,19 +255,16 @@ def q_cyclic_time(spark, sf):
 
 # --- cross section --------------------------------------------------------
 
-_DUM = ["S1", "S2", "S3"]
-
-
-@query(f"""WITH {S.BARS} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
-  {', '.join(f'''{rnd(f"max(close) FILTER (ticker = '{t}')")} AS {t}''' for t in _DUM)} FROM bars GROUP BY ts""")
+@query(f"""WITH {S.BARS}, b AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ticker, {rnd('close')} AS close FROM bars)
+  PIVOT b ON ticker USING max(close) GROUP BY ts""")
 def q_panel_wide(spark, sf):
-    return X.panel_wide(S.bars(spark, sf), "close", _DUM)
+    return X.panel_wide(S.bars(spark, sf), "close", S.tickers(spark, sf))
 
 
-@query(f"""WITH {S.BARS} SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
-  {', '.join(f"CAST(ticker = '{t}' AS INT)::DOUBLE AS tid_{t}" for t in _DUM)} FROM bars""")
+@query(f"""WITH {S.BARS}, b AS (SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'tid_' || ticker AS tid FROM bars)
+  PIVOT b ON tid USING CAST(count(*) AS DOUBLE) GROUP BY ticker, ts""")
 def q_ticker_dummies(spark, sf):
-    return I.ticker_dummies(S.bars(spark, sf).select("ticker", "ts"), _DUM)
+    return I.ticker_dummies(S.bars(spark, sf).select("ticker", "ts"), S.tickers(spark, sf))
 
 
 _ROC = f"""r AS (SELECT ticker, ts, volume, close / nullif(lag(close, 5) OVER s, 0) - 1 AS roc_5 FROM bars {S.SERIES})"""

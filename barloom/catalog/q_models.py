@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.q_evaluation import TS, joined
 from barloom.catalog.q_sources import landing
+from barloom.catalog.q_targets import _PURGED, _SPLIT
 from barloom.catalog.registry import query, rnd, rounded
 from barloom.operators import models as M
 from barloom.operators import predictions as H
-from barloom.operators.splits import chrono_split, purge_tail
+from barloom.operators.splits import chrono_split, forward_folds, purge_tail
+from barloom.operators.targets import targets_long
 from barloom.plans import panels as S
 from barloom.session import checkpoint_dir, materialize
 from barloom.streaming import live as V
@@ -25,6 +27,39 @@ def dataset(spark, sf):
     return {s: rows.filter(F.col("split") == s) for s in ("train", "val", "test")}
 
 
+_ROWS = f"{S.PANEL}, {_SPLIT}, {_PURGED}"
+_KNOWN = "lr_1 IS NOT NULL AND lr_5 IS NOT NULL AND vol_12 IS NOT NULL"
+
+
+@query(f"""WITH {_ROWS} SELECT horizon, count(*) AS n_rows, count(*) AS n_probable, 1 AS better FROM purged, (SELECT unnest({list(HS)}) AS horizon)
+  WHERE split = 'test' AND {_KNOWN} GROUP BY horizon""")
+def q_learner_checks(spark, sf):
+    """Every horizon learned from a planted signal: all test rows scored with probabilities, far better than chance."""
+    d = dataset(spark, sf)
+    planted = {f"target_h{h}": (F.col("lr_5") > 0).cast("float") for h in HS}
+    models = M.fit_per_horizon(d["train"].withColumns(planted), FEATURES, HS, learner=M.learners()["linear"])
+    test = materialize(d["test"].withColumns(planted))
+    scored = materialize(M.predict_long(models, test, FEATURES))
+    rows = scored.groupBy("horizon").agg(F.count("*").alias("n_rows"), F.count_if(F.col("mean").between(0, 1)).alias("n_probable"))
+    quality = H.auc(H.with_actuals(scored, targets_long(test, HS, "target_h")))
+    return rows.join(quality.select("horizon", (F.col("auc") > 0.9).cast("int").alias("better")), "horizon")
+
+
+@query(f"""WITH {_ROWS}, t AS (SELECT *, row_number() OVER (ORDER BY ts, ticker) - 1 AS i, count(*) OVER () AS n FROM purged WHERE split = 'train'),
+  f AS (SELECT *, i >= n - 5 * floor(n / 6) AS tested FROM t)
+  {' UNION ALL '.join(f"SELECT {h} AS horizon, count(*) AS n_rows, count(*) FILTER (NOT tested) AS n_first, count(*) FILTER (tested AND {_KNOWN} AND target_h{h} IS NOT NULL) AS n_scored FROM f" for h in HS)}""")
+def q_oof_checks(spark, sf):
+    """Out-of-fold rows: all come back, the first block has no score, every other known row has one."""
+    train = materialize(dataset(spark, sf)["train"])
+    out = materialize(M.oof_predictions(train, FEATURES, HS, learner=M.learners()["linear"]))
+    folds = forward_folds(train).select("ts", "ticker", "fold")
+    both = out.join(folds, ["ts", "ticker"])
+    per = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"primary_h{h}").alias("p")) for h in HS])).alias("x")
+    return both.select("fold", per).groupBy("x.horizon").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("fold").isNull()).alias("n_first"), F.count("x.p").alias("n_scored")
+    )
+
+
 @query()
 def q_fit_per_horizon(spark, sf):
     d = dataset(spark, sf)

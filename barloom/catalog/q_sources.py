@@ -66,7 +66,7 @@ def q_scan_ticker_files(spark, sf):
     """Lands the bars as CSV files per ticker, then reads the folder."""
     root = landing(spark, "moved")
     text = S.bars(spark, sf).select("ticker", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), *OHLCV)
-    text.repartition("ticker").write.partitionBy("ticker").option("header", True).csv(root)
+    text.repartitionByRange("ticker", "ts").write.partitionBy("ticker").option("header", True).csv(root)
     return L.scan_ticker_files(spark, root, files="ticker=*/*.csv", ticker="ticker=([^/]+)/")
 
 
@@ -148,13 +148,11 @@ def q_dedupe_rows(spark, sf):
 
 @query(_DEDUP)
 def q_incremental_merge(spark, sf):
-    a, b = feed(spark, sf)
+    a, b = (x.withColumn("month", F.date_format("ts", "yyyy-MM")) for x in feed(spark, sf))
     path = landing(spark, "events")
-    N.save_merged(a, path, ["ticker"])
-    merged = N.incremental_merge(spark.read.parquet(path), b)
-    out = landing(spark, "events")
-    N.save_merged(merged, out, ["ticker"])
-    return spark.read.schema(merged.schema).parquet(out).drop("ts")
+    N.save_partitions(a, path, ["month"])
+    N.merge_into(path, b, ["month"])
+    return spark.read.schema(b.schema).parquet(path).drop("ts", "month")
 
 
 _SPANS = f"{S.BARS}, spans AS (SELECT ticker, CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM bars GROUP BY ticker)"
@@ -200,17 +198,6 @@ def q_source_profile(spark, sf):
     return N.source_profile(S.event_rows(spark, sf).withColumnRenamed("ticker", "source"))
 
 
-@query(f"""WITH {S.PREDS} SELECT 'actuals' AS name, count(*) AS n, {rnd('sum(actual)', 3)} AS total FROM actuals
-  UNION ALL SELECT 'predictions', count(*), {rnd('sum(mean)', 3)} FROM preds""", digits=3)
-def q_run_artifacts(spark, sf):
-    root = landing(spark, "runs")
-    panel = S.model_panel(spark, sf)
-    N.save_run(spark, root, "r1", {"predictions": S.predictions(spark, sf, panel=panel), "actuals": S.actuals(spark, sf, panel=panel)})
-    p = N.load_run(spark, root, "r1", "predictions").agg(F.lit("predictions").alias("name"), F.count("*").alias("n"), F.sum("mean").alias("total"))
-    a = N.load_run(spark, root, "r1", "actuals").agg(F.lit("actuals").alias("name"), F.count("*").alias("n"), F.sum("actual").alias("total"))
-    return p.unionByName(a)
-
-
 # --- full panels ------------------------------------------------------------
 
 _FAMILIES = [
@@ -247,6 +234,6 @@ def q_feature_panel(spark, sf):
     filled = B.macro_join_ffill({c: macro.filter(F.col(c).isNotNull()).select("ts", F.col(c).alias("value")) for c in "ofp"})
     fp = feature_panel(
         S.bars(spark, sf), macro=filled, indexes=B.index_panel(S.index_d(spark, sf), ["AVG", "MAX"]),
-        horizons=list(S.PRED_HORIZONS), tickers=["S1", "S2"],
+        horizons=list(S.PRED_HORIZONS), tickers=S.tickers(spark, sf),
     )
     return fp.frame.select("ticker", "ts", *_FP)

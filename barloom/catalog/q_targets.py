@@ -183,6 +183,13 @@ def q_tabular_rows(spark, sf):
     return T.tabular_rows(S.model_panel(spark, sf), ["lr_5", "vol_12"], 6, "ticker", "ts")
 
 
+@query(f"""WITH {S.PREDS}, k AS (SELECT DISTINCT ts, ticker FROM preds)
+  SELECT ticker, {TS}, {', '.join(f"{rnd(f'coalesce(CAST(lr_h{h} AS DOUBLE), 0)', 5)} AS lr_h{h}" for h in H)} FROM k JOIN panel USING (ts, ticker)""", digits=5)
+def q_wide_targets(spark, sf):
+    panel = materialize(S.model_panel(spark, sf))
+    return T.wide_targets(S.predictions(spark, sf, panel=panel), panel, H)
+
+
 @query(f"""WITH {S.PANEL}, t AS (SELECT * FROM panel WHERE target_h6 IS NOT NULL),
   m AS (SELECT avg(CAST(target_h6 >= 0.5 AS INT)) <= 0.5 AS up FROM t)
   SELECT ticker, {TS}, target_h6::DOUBLE AS target_h6 FROM t, m WHERE (target_h6 >= 0.5) = up""")

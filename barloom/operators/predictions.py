@@ -209,7 +209,7 @@ def acceptance_checks(
     predictions: DataFrame, alphas: DataFrame | None = None, *,
     min_range: float = 0.15, min_std: float = 0.02, alpha_range: tuple[float, float] = (0.05, 0.45),
 ) -> DataFrame:
-    """Collapse checks per horizon; ``alphas``: (horizon, alpha) of an online run."""
+    """Collapse checks per horizon; ``alphas``: a level (horizon, alpha) to check as well."""
     out = predictions.groupBy("horizon").agg(
         (F.max("mean") - F.min("mean")).alias("range"), F.avg("std").alias("mean_std")
     ).withColumns(
@@ -228,7 +228,7 @@ def rank_ic(
 ) -> DataFrame:
     """Spearman correlation of prediction and outcome, raw and clipped."""
     if not 0.0 < bound <= 1.0:
-        raise ValueError(f"bound must be in (0, 1], got {bound}")
+        raise ValueError(f"the clip of a correlation lies in (0, 1], not at {bound}")
     keys = list(group)
     both = materialize(
         joined.filter(C("mean").isNotNull() & C("actual").isNotNull()).select(

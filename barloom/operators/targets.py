@@ -157,6 +157,16 @@ def attach_targets(
     return predictions.select(ts, *key, "horizon").join(long, [ts, *key, "horizon"])
 
 
+def wide_targets(
+    predictions: DataFrame, wide: DataFrame, horizons: Sequence[int], prefix: str = "lr_h", *,
+    key: Sequence[str] = ("ticker",), ts: str = "ts",
+) -> DataFrame:
+    """Targets of the predicted (ts, key), one column per horizon, 0 where unknown."""
+    have = [f"{prefix}{h}" for h in horizons if f"{prefix}{h}" in wide.columns]
+    filled = wide.select(ts, *key, *[F.coalesce(C(c).cast("double"), F.lit(0.0)).alias(c) for c in have])
+    return predictions.select(ts, *key).distinct().join(filled, [ts, *key])
+
+
 def label_audit(
     labelled: DataFrame, horizon: int, *, entry_cost: float, exit_cost: float,
     tolerance: float = 1e-4, key: Sequence[str] = ("ticker",), ts: str = "ts",

@@ -96,6 +96,12 @@ DAYS = """days AS (
   GROUP BY ticker, ts)"""
 
 
+def tickers(spark: SparkSession, sf: str) -> list[str]:
+    """Names of all series, for tables with a column each."""
+    rows = table(spark, sf, "supplier").select("s_suppkey").distinct().orderBy("s_suppkey").collect()
+    return [f"S{r.s_suppkey}" for r in rows]
+
+
 def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
     """Event rows with a price: bars and their logarithms need one above zero."""
     return event_rows(spark, sf).filter(F.col("price") > 0)

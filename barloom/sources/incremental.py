@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import flag
+from barloom.session import materialize
 
 C = F.col
 RECEIVED = "SYSTIME"
@@ -28,11 +29,24 @@ def incremental_merge(existing: DataFrame, chunk: DataFrame, received: str = REC
     return dedupe_rows(existing.unionByName(chunk, allowMissingColumns=True), received)
 
 
-def save_merged(merged: DataFrame, path: str, partition_by: Sequence[str]) -> None:
-    """Rewrite only the partitions the merge touched."""
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *partition_by
-    ).parquet(path)
+def save_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Write a table of partitions; those of ``df`` replace older ones, others stay."""
+    df.repartition(*partition_by).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*partition_by).parquet(path)
+
+
+def merge_into(path: str, chunk: DataFrame, partition_by: Sequence[str], received: str = RECEIVED) -> None:
+    """Merge a chunk into a stored table in place, reading and rewriting only its partitions.
+
+    The merged partitions are stored before they replace the old ones, so a lost
+    job leaves the table as it was or can be repeated.
+    """
+    spark = chunk.sparkSession
+    touched = chunk.select(*partition_by).distinct()
+    have = spark.read.schema(chunk.schema).parquet(path).join(touched, list(partition_by), "left_semi")
+    merged = materialize(incremental_merge(have.select(*chunk.columns), chunk, received))
+    save_partitions(merged, path, partition_by)
 
 
 def newest(df: DataFrame, key: Sequence[str] = (), ts: str = "ts") -> DataFrame:
@@ -43,7 +57,7 @@ def newest(df: DataFrame, key: Sequence[str] = (), ts: str = "ts") -> DataFrame:
 def month_chunks(df: DataFrame, start: str, end: str, months: int) -> DataFrame:
     """Half-open chunks of ``[start, end)`` date columns, the last one clipped."""
     if months <= 0:
-        raise ValueError("batch_months must be > 0")
+        raise ValueError(f"a chunk takes a month or more, not {months}")
     s, e = F.to_date(start), F.to_date(end)
     starts = F.sequence(s, F.date_sub(e, 1), F.make_ym_interval(F.lit(0), F.lit(months)))
     keep = [c for c in df.columns if c not in (start, end)]

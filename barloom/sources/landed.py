@@ -52,15 +52,23 @@ def scan_ticker_files(
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A table of ``sink_parquet`` or any other; the month of the folders is not a column."""
+    return spark.read.parquet(path).drop(MONTH)
 
 
 def sink_raw_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def sink_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ("ticker",)) -> None:
-    df.write.mode("overwrite").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
+MONTH = "_month"
+
+
+def sink_parquet(df: DataFrame, path: str, ts: str = "ts", key: Sequence[str] = ("ticker",)) -> None:
+    """One folder per month; rows are dealt by ranges of month, key and time, so a hot key is many
+    tasks, a month few files, and row groups of a key lie together."""
+    monthly = df.withColumn(MONTH, F.date_format(ts, "yyyy-MM"))
+    ranged = monthly.repartitionByRange(MONTH, *key, ts).sortWithinPartitions(MONTH, *key, ts)
+    ranged.write.mode("overwrite").option("compression", "snappy").partitionBy(MONTH).parquet(path)
 
 
 _BLOCK = "struct<columns:array<string>,data:array<array<string>>>"
