@@ -11,7 +11,7 @@ from pyspark.sql.types import IntegralType
 
 from barloom.functions.columns import num, or_zero
 from barloom.operators.asof import asof, forward_fill
-from barloom.operators.blocks import HaloBlocks, over_blocks
+from barloom.operators.blocks import IDX, HaloBlocks, over_blocks
 
 # Session of the exchange (UTC) and trading days of a year.
 SESSION_START = "07:00:00"
@@ -190,7 +190,7 @@ def index_logret_on_grid(
 ) -> DataFrame:
     """Index closes on the bar grid first, then log-returns on that grid, null -> 0."""
     cols = [c for c in panel.columns if c.endswith("_close")]
-    grid = bars.select(*key, ts)
+    grid = bars.select(*key, ts, *[c for c in (IDX,) if c in bars.columns])
     times = grid.select(ts).distinct()
     on_time = asof(times, panel, key=(), ts=ts, values=cols)
     aligned = grid.join(on_time, ts)

@@ -177,18 +177,20 @@ def smooth(
         scaled = F.coalesce(u, F.lit(0.0)) * F.pow(F.lit(decay), -F.col("_r"))
         local[f"_z_{out}"] = F.pow(F.lit(decay), F.col("_r")) * F.sum(scaled).over(inner)
     df = df.withColumns(local)
-    done = {}
-    for out, (x, decay, first) in inputs.items():
-        z = F.col(f"_z_{out}")
-        total = F.when(F.col("_r") == SCAN - 1, z)
+    # the first row of an inner block looks back at the last rows of the earlier ones, at fixed distances
+    carries = {}
+    for out, (_, decay, _) in inputs.items():
         carry = F.lit(0.0)
-        for m in range(1, math.ceil(memory(decay) / SCAN) + 1):
-            frame = Window.partitionBy(*b.key, BLK).orderBy("_sub").rangeBetween(-m, -m)
-            carry = carry + F.coalesce(F.max(total).over(frame), F.lit(0.0)) * (
-                decay ** (SCAN * (m - 1))
-            )
-        done[out] = F.when(i >= first, z + F.pow(F.lit(decay), F.col("_r") + 1) * carry)
-    return df.withColumns(done).drop("_sub", "_r", *local)
+        for m in range(math.ceil(memory(decay) / SCAN)):
+            total = F.lag(f"_z_{out}", 1 + SCAN * m).over(b.window)
+            carry = carry + F.coalesce(total, F.lit(0.0)) * decay ** (SCAN * m)
+        carries[f"_c_{out}"] = F.when(F.col("_r") == 0, carry)
+    df = df.withColumns(carries)
+    done = {}
+    for out, (_, decay, first) in inputs.items():
+        before = F.coalesce(F.first(f"_c_{out}").over(inner), F.lit(0.0))
+        done[out] = F.when(i >= first, F.col(f"_z_{out}") + F.pow(F.lit(decay), F.col("_r") + 1) * before)
+    return df.withColumns(done).drop("_sub", "_r", *local, *carries)
 
 
 # --------------------------------------------------------------------------

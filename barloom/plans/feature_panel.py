@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom.operators import indicators as I
 from barloom.operators.asof import asof
 from barloom.operators.bars import drop_null_rows, index_logret_on_grid
-from barloom.operators.blocks import HaloBlocks, over_blocks
+from barloom.operators.blocks import IDX, HaloBlocks, index_rows, over_blocks
 from barloom.operators.splits import chrono_split, purge_tail, scaler_fit, scaler_transform
 from barloom.operators.targets import HORIZONS, label_columns, norm_log_return
 from barloom.session import materialize
@@ -46,6 +46,8 @@ def feature_panel(
     column per code.  Close and volume count as features, the other prices not.
     """
     bars = bars.select("ticker", "ts", "open", "high", "low", "close", "volume")
+    # stored with their positions once: indicators, returns and targets cut blocks from the same rows
+    bars = materialize(index_rows(bars, ("ticker",), "ts"))
     labels = horizons if mode == "classification" else ()
 
     def targets(df: DataFrame, b: HaloBlocks) -> DataFrame:
@@ -53,7 +55,7 @@ def feature_panel(
             label_columns(b, labels, cost, cost, label_smoothing, swap_long_short)
         )
 
-    out = I.indicator_panel(bars, use_temporal=False, **panel)
+    out = I.indicator_panel(bars, use_temporal=False, **panel).drop(IDX)
     out = I.cyclic_time(out, exchange=exchange)
     if macro is not None:
         cols = [c for c in macro.columns if c != "ts"]
@@ -61,7 +63,7 @@ def feature_panel(
         out = out.join(asof(times, macro, key=(), values=cols), "ts")
     for closes in (indexes, metals):
         if closes is not None:
-            out = out.join(index_logret_on_grid(bars, closes), ["ticker", "ts"])
+            out = out.join(index_logret_on_grid(bars, closes).drop(IDX), ["ticker", "ts"])
     features = [c for c in out.columns if c not in NOT_FEATURES]
     if mode == "classification":
         made = over_blocks(bars, targets, back=0, ahead=max(horizons))
