@@ -2,7 +2,7 @@
 
 Terms are hashed byte trigrams of the whole text, and one for words that repeat the word
 before them (weighted ``REPEATS`` times, as trigrams say little about order). The labelled fit sample (at most
-``FIT_ROWS`` rows, chosen by a hash of doc_id, a documented bound) gives term weights and,
+``FIT_ROWS`` rows and ``FIT_BYTES`` of whole texts, in the order of a hash of doc_id, a documented bound) gives term weights and,
 by a truncated singular value decomposition, a latent-semantic space of ``LATENT``
 dimensions. The labelled vectors are broadcast: FIT_ROWS x LATENT floats, 1 MB. Every
 document is projected, its cosines to all labelled vectors come from exact products of
@@ -21,12 +21,13 @@ from operator import eq
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.common import add_columns, crc_mod
 
 TERMS, LATENT, NEIGHBOURS, POWER = 4096, 64, 15, 4
 REPEATS = 4.0
-FIT_ROWS = 4000
+FIT_ROWS, FIT_BYTES = 4000, 24 << 20
 FOLDS = 5
 
 
@@ -91,12 +92,27 @@ def vote(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out fold: (text, label), ordered by hash."""
+    """Labelled documents outside the held-out fold, ``rows`` and ``FIT_BYTES`` at most, in the order of
+    a hash: (doc_id, text, __y). Texts are taken whole; only ids and lengths of ``rows`` rows pass the driver here.
+    """
     known = labels.select(F.col("doc_id"), F.col(label).alias("__y")).where(F.col("__y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(crc_mod(F.col("doc_id"), FOLDS) != 0).dropDuplicates(["doc_id"])
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # ids only; the bound is FIT_ROWS
-    wanted = F.broadcast(known)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id").select("doc_id", "text", "__y")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("__place", F.monotonically_increasing_id())
+    spark = docs.sparkSession
+    order = {r.doc_id: (r["__place"], r["__y"]) for r in known.collect()}
+    if not order:
+        return docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(0).alias("__y")).where("false")
+    wanted = F.broadcast(spark.createDataFrame([(k,) for k in order], docs.select("doc_id").schema))
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(wanted, "doc_id")
+    sizes = {r.doc_id: r["size"] for r in sized.groupBy("doc_id").agg(F.sum("size").alias("size")).collect()}
+    taken, used = [], 0
+    for k in sorted(sizes, key=lambda k: order[k][0]):
+        if used + sizes[k] <= FIT_BYTES:
+            used += sizes[k]
+            taken.append((k, order[k][1]))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("__y", T.IntegerType())])
+    chosen = F.broadcast(spark.createDataFrame(taken, schema))
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, "doc_id").select("doc_id", "text", "__y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:

@@ -9,8 +9,8 @@ of the text is read. A document's score is the calibrated logit of its most toxi
 
 Labels mark documents, so training starts with every window of a toxic document as
 positive, then keeps of each toxic document the windows that the network itself finds
-toxic. The fit sample holds at most ``FIT_ROWS`` labelled rows outside the held-out fold
-(a documented bound); it is trained on the driver and the weights (under 2 MB) are
+toxic. The fit sample holds at most ``FIT_ROWS`` labelled rows and 24 MB of whole texts
+outside the held-out fold (a documented bound); it is trained on the driver and the weights (under 2 MB) are
 broadcast. Scoring is one Arrow pass without a shuffle: windows of a batch are run
 ``CHUNK`` at a time, so memory does not follow the length of a text.
 
@@ -32,7 +32,7 @@ from barloom.llm.quality import sample
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORD_DIM, CHAR_DIM, CHARS = 8, 8, 4096
 MIN_DOCS, MAX_WORDS = 4, 8000
-FIT_ROWS, EPOCHS, BATCH, RATE = 4000, 3, 256, 0.01
+FIT_ROWS, EPOCHS, BATCH, RATE = 4000, 5, 256, 0.005
 CHUNK = 2048
 _KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
 F4 = np.float32
