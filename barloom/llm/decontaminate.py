@@ -143,7 +143,8 @@ def of_size(rows: DataFrame, items: DataFrame, size: int, numbers: list[int]) ->
     keys = keys.select("item", "n", "item_fp", "b.block", "b.value", F.explode(near).alias("mask"))
     keys = keys.withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
     posts = windows.select("row", "start", "n", "fp", F.explode(blocks(F.col("fp"))).alias("b")).select("row", "start", "n", "fp", "b.block", "b.value")
-    pairs = posts.join(keys, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    # the planner sees only the few item rows before the explode; the posted keys must not be broadcast
+    pairs = posts.join(keys.hint("merge"), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     pairs = pairs.select("row", "start", "n", "item").distinct()
 
     # exact similarity of the multisets
