@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.ipc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -190,11 +190,18 @@ class SequenceFile:
         return out
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI of the file system that Spark would take for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+
 def write(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, folder: str | None = None, length: int = LENGTH) -> tuple[str, DataFrame]:
     """Write the shards; returns their folder and the stored index (doc_id, shard, at, n_tokens)."""
     path = tokenizer or tokenizer_file(TOKENIZER)
     folder = folder or new_path(docs.sparkSession, "token-ids")
-    folder = folder if ":" in folder else f"file://{folder}"
+    folder = qualified(docs.sparkSession, folder)
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches):
