@@ -16,7 +16,7 @@ broadcast. Scoring is one Arrow pass without a shuffle: windows of a batch are r
 
 Null and empty texts, or texts without words, get the share of label 1 in the fit sample;
 without labels of the fit fold every score is 0.5 and predicted is 1. Repeated rows score
-alike; rows of null doc_id are scored and never train.
+alike up to single precision; rows of null doc_id are scored and never train.
 """
 
 from __future__ import annotations

@@ -37,6 +37,6 @@ def test_edges(spark, module):
     assert got.columns == ["doc_id", "score"] and got.count() == 7
     assert all(0 <= r.score <= 1 for r in got.collect())
     pair = [r.score for r in got.where("doc_id = 5").collect()]
-    assert pair[0] == pair[1]
+    assert abs(pair[0] - pair[1]) < 1e-6  # rows of a matrix product differ in the last bits
     assert m.score(docs, m.train(docs, labels.where("false")), ["doc_id"]).where("score = 0.5").count() == 7
     assert m.score(docs.where("false"), model, ["doc_id"]).count() == 0
