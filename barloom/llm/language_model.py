@@ -332,7 +332,17 @@ def averaged(copies: DataFrame, like: dict) -> dict:
 def frequent(table: DataFrame) -> Words:
     """The words whose counts are broadcast, and the totals."""
     total = table.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = table.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(FREQUENT - 1).collect()
+    # the least count class above which there are fewer than FREQUENT words: sixteen classes to a doubling
+    level = F.floor(16 * F.log2("n"))
+    classes = table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    least, words = None, 0
+    for c in classes:
+        words += c["count"]
+        if words >= FREQUENT:
+            break
+        least = c.level
+    chosen = [] if least is None else table.where((F.length("word") > 0) & (level >= least)).collect()
+    top = sorted(chosen, key=lambda r: (-r.n, bytes(r.word)))
     end = table.where(F.length("word") == 0).select("n").first()
     return Words([END, *(bytes(r.word) for r in top)], [end.n if end else 0, *(r.n for r in top)], total.n or 0, total.v)
 
