@@ -6,14 +6,15 @@ is the nearest lifted vector, whatever the norms. Its ``PREFIX`` nearest pivots
 are posted, with their ranks, in the pivots' inverted files; a query ranks rows by the
 footrule distance of the permutations, in which a pivot outside the prefix stands at rank
 ``PREFIX``; that distance falls as the sum of ``PREFIX - max(rank in query, rank in row)``
-over shared pivots grows. The ``SHARE`` best rows of a shard are reranked by the exact inner product.
+over shared pivots grows. The ``SHARE`` best rows of a shard, and all that tie
+with the last of them, are reranked by the exact inner product.
 
 The index is split by rows: a shard packs about ``SHARD_ROWS`` rows, their vectors and the
 inverted files over them into one record. Half of all (pivot, row) pairs are posted, so a file is
 stored densely, one byte a row, which is smaller than lists of pairs; a pivot near to a third
 of all vectors has one file per shard like any other. Blocks of ``BLOCK`` queries meet every
 shard, as stated query sets against all rows in blocks do; the best of each shard are merged.
-Pivots are a bounded sample (``PIVOTS`` rows, the least hashes); every row is indexed.
+Pivots are a bounded sample (``PIVOTS`` distinct vectors, the least hashes); every row is indexed.
 
 Recall on the tables is tested against brute force (0.9 at least). Vectors that are null, zero, hold
 null or non-finite components, or differ in length from most others take no part, neither as
@@ -63,8 +64,8 @@ def orders(lifted: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def pivots_of(v: DataFrame, most: float) -> np.ndarray:
     """A bounded sample of distinct vectors, lifted."""
-    drawn = v.select("vec", F.xxhash64("vec").alias("h"), "id").orderBy("h", "id").limit(4 * PIVOTS)
-    kept = drawn.dropDuplicates(["h"]).orderBy("h").limit(PIVOTS).collect()
+    drawn = v.select(F.xxhash64("vec").alias("h"), "id").groupBy("h").agg(F.min("id").alias("id")).orderBy("h").limit(PIVOTS)
+    kept = v.join(F.broadcast(drawn), "id").orderBy("h").collect()
     return lift(np.array([r.vec for r in kept], np.float64), most)
 
 
@@ -112,7 +113,8 @@ def search(index: DataFrame, queries: DataFrame, n_queries: int, most: float, pi
             wanted = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
             for i, qid in enumerate(qids):
                 distance = np.maximum(files[near[i]], ranks).sum(0, dtype=np.uint16)
-                best = np.argpartition(distance, wanted - 1)[:wanted] if wanted < len(ids) else np.arange(len(ids))
+                # all rows that tie with the last of the share are reranked with it
+                best = np.flatnonzero(distance <= np.partition(distance, wanted - 1)[wanted - 1])
                 best = best[ids[best] != qid]
                 score = x[best] @ q[i]
                 top = np.lexsort((ids[best], -score))[:k]

@@ -51,3 +51,26 @@ def test_edges(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 0.5), (2, 1, 0, 0.5), (2, 2, 1, 0.5)]
     assert permutation_index.nearest(df.where("false"), F.col("id") % 2 == 0).count() == 0
     assert permutation_index.nearest(df.where("vec_id = 0"), F.col("id") % 2 == 0).count() == 0
+
+
+def test_a_third_of_equal_vectors(spark):
+    """The smallest ids of the group stay, and each of its copies is one pivot at most."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 16))
+    x[rng.permutation(3000)[:1000]] = x[0] = rng.standard_normal(16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in permutation_index.nearest(df, F.col("id") % 50 == 0, 20).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    group = np.flatnonzero((x == x[0]).all(1)).tolist()
+    asked = [q for q in group if q % 50 == 0]
+    assert asked
+    for q in asked:
+        assert got[q] == [i for i in group if i != q][:20]
+
+
+def test_pivots_of_repeated_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.standard_normal((140, 8)), 20, axis=0)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, vec array<double>")
+    assert len(np.unique(permutation_index.pivots_of(v, 10.0), axis=0)) == permutation_index.PIVOTS
