@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
+"""Benchmark decontamination: item-sized windows at shared shingles, exact check.
 
 An item of ``L`` words has ``n`` shingles of ``SHINGLE`` words (a shorter one has one shingle, all its
 words). A document holds it if some window of ``n`` shingles has a weighted Jaccard similarity of
@@ -8,10 +8,9 @@ words). A document holds it if some window of ``n`` shingles has a weighted Jacc
    shingle of the text one at least is the item's (``stride_of`` gives the largest step for which that holds).
    Only documents with a seed go on, and only windows that start at a shared shingle and hold enough of them: a
    best window starts at one. This loses no window of the required similarity.
-2. The windows' fingerprints (majority bits of the shingle hashes) meet the items' in ``BLOCKS`` blocks of 16
-   bits: two fingerprints within ``RADIUS`` bits differ by at most ``RADIUS // BLOCKS`` in one block, and
-   the items post every value that near, so no pair within the radius is missed. Windows meet items of their own size only.
-3. Pairs within the radius are verified by the exact similarity of their shingle multisets.
+2. Every such window is compared with the items of its own size that share shingles with it, by the exact
+   similarity of their shingle multisets. There is no fingerprint in between: two fingerprints of similar windows
+   may be any number of bits apart, so a radius would only lose hits.
 
 All on DataFrame functions. The items' shingles are broadcast if their counted number is at most ``SMALL``, likewise
 the keys of seeded documents; beyond that the joins shuffle. A passage in a third of all documents
@@ -32,9 +31,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import row_key, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 15, 4
 SMALL = 200_000
-_LANES = 0x0001000100010001
 
 
 def words(text: Column) -> Column:
@@ -60,39 +57,19 @@ def stride_of(sizes: list[int]) -> int:
     return max([s for s in range(1, 9) if holds(s)], default=1)
 
 
-def fingerprint(grams: Column) -> Column:
-    """Majority bits of an array of hashes; four counters of 16 bits are summed at a time."""
-    n, out = F.size(grams), F.lit(0).cast("bigint")
-
-    def counted(s: int) -> Column:
-        return F.aggregate(grams, F.lit(0).cast("bigint"), lambda a, g: a + F.shiftrightunsigned(g, s).bitwiseAND(F.lit(_LANES)))
-
-    for s in range(16):
-        lanes = counted(s)
-        for k in range(4):
-            count = F.shiftrightunsigned(lanes, 16 * k).bitwiseAND(F.lit(0xFFFF))
-            bit = 1 << (s + 16 * k)
-            out = out.bitwiseOR(F.when(2 * count > n, F.lit(bit if bit < 1 << 63 else bit - (1 << 64)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return out
-
-
-def block(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("int")
-
-
 def hinted(df: DataFrame) -> DataFrame:
     """The frame with a broadcast hint if its counted rows are few."""
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item, size, n, grams, fp): distinct item texts, the words of a shingle and the number of shingles."""
+    """(item, item_id, size, n, grams): distinct item texts, the words of a shingle and the number of shingles."""
     cut = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     named = cut.groupBy("w").agg(F.min("item_id").alias("item_id")).withColumn("item", F.xxhash64("w"))
     sized = named.withColumn("size", F.least(F.size("w"), F.lit(SHINGLE)))
     grams = F.coalesce(*[F.when(F.col("size") == k, shingles(F.col("w"), k)) for k in range(1, SHINGLE + 1)])
     made = stored(sized.select("item", "item_id", "size", grams.alias("grams")), "items")
-    return made.withColumns({"n": F.size("grams"), "fp": fingerprint(F.col("grams"))})
+    return made.withColumn("n", F.size("grams"))
 
 
 def found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -134,25 +111,14 @@ def of_size(rows: DataFrame, items: DataFrame, size: int, numbers: list[int]) ->
     per_row = cells.groupBy("row").agg(F.collect_list(F.struct("start", "n", "m")).alias("cells"))
     cutout = F.transform("cells", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.slice(F.col("all"), c["start"] + 1, c["m"]).alias("grams")))
     windows = per_row.join(texts, "row").select("row", F.explode(cutout).alias("c")).select("row", "c.start", "c.n", "c.grams")
-    windows = stored(windows.withColumn("fp", fingerprint(F.col("grams"))), "windows")
-
-    # multi-index blocks: windows post their own value, items every value within the share of the radius
-    near = F.filter(F.sequence(F.lit(0), F.lit((1 << 16) - 1)), lambda x: F.bit_count(x) <= RADIUS // BLOCKS)
-    blocks = lambda fp: F.array(*[F.struct(F.lit(k).alias("block"), block(fp, k).alias("value")) for k in range(BLOCKS)])
-    keys = items.select("item", "n", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"))).alias("b"))
-    keys = keys.select("item", "n", "item_fp", "b.block", "b.value", F.explode(near).alias("mask"))
-    keys = keys.withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-    posts = windows.select("row", "start", "n", "fp", F.explode(blocks(F.col("fp"))).alias("b")).select("row", "start", "n", "fp", "b.block", "b.value")
-    # the planner sees only the few item rows before the explode; the posted keys must not be broadcast
-    pairs = posts.join(keys.hint("merge"), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = pairs.select("row", "start", "n", "item").distinct()
+    windows = stored(windows, "windows")
 
     # exact similarity of the multisets
     held = windows.select("row", "start", "n", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
     held = held.groupBy("row", "start", "n", "m", "gram").agg(F.count(F.lit(1)).alias("own"))
     shared = held.join(hinted(counts), ["gram", "n"]).groupBy("row", "start", "n", "m", "item").agg(F.sum(F.least("own", "times")).alias("both"))
     alike = (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("similarity")
-    sure = shared.select("row", "start", "n", "item", alike).where(F.col("similarity") >= SIMILARITY).join(pairs, ["row", "start", "n", "item"], "left_semi")
+    sure = shared.select("row", "start", "n", "item", alike).where(F.col("similarity") >= SIMILARITY)
     best = sure.groupBy("row", "item").agg(F.max(F.struct("similarity", -F.col("start"))).alias("b"))
     named = best.join(items.select("item", "item_id"), "item")
     return named.select("row", "item_id", (-F.col("b.col2")).cast("int").alias("start"), "b.similarity")

@@ -89,3 +89,25 @@ def test_edits_edges_and_short_items(spark):
     assert lost <= 2
     assert decontaminate.marked(df, bench.where("false"), ["doc_id"]).where("contaminated").count() == 0
     assert decontaminate.marked(df.where("false"), bench, ["doc_id"]).count() == 0
+
+
+def test_no_window_at_the_bound_is_lost(spark):
+    """Copies of items with edits down to 0.8, whatever the distance of their fingerprints."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, [rnd.choice(words) for _ in range(n)]) for i, n in enumerate([13, 22, 31, 40, 60, 100])]
+    docs, want = [], {}
+    for k in range(1500):
+        i, item = items[k % len(items)]
+        n, piece = len(item) - 4, list(item)
+        cut = max(c for c in range(n) if 5 * (n - c) >= 4 * (n + c))  # shingles that may differ
+        if rnd.random() < 0.5:  # new words at one end, each takes one shingle
+            piece[len(piece) - cut :] = [f"x{k}.{j}" for j in range(cut)]
+        else:
+            piece[:cut] = [f"x{k}.{j}" for j in range(cut)]
+        docs.append((k, " ".join([f"y{k}.{j}" for j in range(20)] + piece + [f"z{k}.{j}" for j in range(20)])))
+        want[k] = i
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = {r.doc_id: r.item_id for r in decontaminate.marked(df, bench, ["doc_id"]).where("contaminated").collect()}
+    assert got == want
