@@ -6,8 +6,8 @@ training rows (crc32 of doc_id modulo ``FOLDS`` not 0) give the base score and t
 other words one class of their own. P(word) = P(class | state) P(word | class, state); within the class of other
 words a word has its smoothed share of their counts, unseen words one share together, so a text's probability is proper.
 
-Training starts from the counts (output biases are log frequencies) and goes over a fixed share of
-the training documents, one in ``1 / SHARE`` by hash in each of ``ROUNDS`` rounds, so it grows with the corpus: every
+Training starts from the counts (output biases are log frequencies) and goes over all training
+documents once, one in ``ROUNDS`` by hash in each of ``ROUNDS`` rounds: every
 task trains its own copy by truncated backpropagation, ``WINDOW`` steps at a time with the state carried on,
 and the copies are averaged by tokens in a tree of ``FAN`` each. No document passes the driver.
 
@@ -37,7 +37,7 @@ from barloom.llm.common import arrow_type, crc_mod, stored
 
 FOLDS, SHORT, CLASS, FREQUENT = 10, 2048, 64, 65_536
 HIDDEN, WINDOW, LANES = 16, 32, 512
-SHARE, ROUNDS, TRAIN_LANES, RATE, FAN = 1 / 32, 2, 64, 0.01, 32
+ROUNDS, TRAIN_LANES, RATE, FAN = 2, 64, 0.01, 32
 BUFFER, FLUSH = 1_000_000, 200_000
 END = b""  #: no word is empty
 F4 = np.float32
@@ -295,7 +295,6 @@ def train(docs: DataFrame, words: Words) -> dict:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(words)
     rows = train_rows(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    buckets = round(1 / SHARE)
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(p)
 
@@ -308,7 +307,7 @@ def train(docs: DataFrame, words: Words) -> dict:
             if t.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(t.seen)]), pa.array([dump(t.p)])], names=["task", "seen", "p"])
 
-        mine = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) == k).select("text")
+        mine = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k).select("text")
         copies = stored(mine.mapInArrow(run, "task bigint, seen double, p binary"), "lm-copies")
         p = averaged(copies, p)
     return p

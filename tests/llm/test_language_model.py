@@ -126,3 +126,17 @@ def test_edges(spark):
         assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:5]
         assert math.isclose(r.base_score, w[5], rel_tol=1e-9, abs_tol=1e-9)
     assert lm.scores(df.where("false")).count() == 0
+
+
+def test_training_sees_every_token(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(i % 40 + 1))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, averaged = [], lm.averaged
+
+    def spy(copies, like):
+        seen.append(sum(r.seen for r in copies.collect()))
+        return averaged(copies, like)
+
+    monkeypatch.setattr(lm, "averaged", spy)
+    lm.train(df, lm.frequent(lm.counts(lm.train_rows(df))))
+    assert sum(seen) == next(plain(rows))[4]
