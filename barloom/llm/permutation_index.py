@@ -18,8 +18,8 @@ Pivots are a bounded sample (``PIVOTS`` distinct vectors, the least hashes); eve
 
 Recall on the tables is tested against brute force (0.9 at least). Vectors that are null, zero, hold
 null or non-finite components, or differ in length from most others take no part, neither as
-queries nor as candidates; null ids do not either. Equal scores go to the smaller id. A row repeated
-under one id is one candidate. Fewer candidates than asked: all of them. Empty tables give no rows.
+queries nor as candidates; null ids do not either. Equal scores go to the smaller id. Rows of one id
+are one candidate, by the least of their vectors. Fewer candidates than asked: all of them. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -41,11 +41,11 @@ def usable(v: Column) -> Column:
 
 
 def vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec, part): usable vectors of the commonest length, one row per id."""
+    """(id, vec, part): usable vectors of the commonest length, one row per id, the least vector."""
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     v = v.where(F.col("id").isNotNull() & usable(F.col("vec")))
     common = v.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    return v.where(F.size("vec") == (common[0].dims if common else 0)).dropDuplicates(["id"])
+    return v.where(F.size("vec") == (common[0].dims if common else 0)).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
 def matrix(column: pd.Series) -> np.ndarray:

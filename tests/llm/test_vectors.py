@@ -74,3 +74,11 @@ def test_pivots_of_repeated_vectors(spark):
     x = np.repeat(rng.standard_normal((140, 8)), 20, axis=0)
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, vec array<double>")
     assert len(np.unique(permutation_index.pivots_of(v, 10.0), axis=0)) == permutation_index.PIVOTS
+
+
+def test_one_id_with_two_vectors(spark):
+    for order in (1, -1):
+        rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [0.5, 9.0]), (1, [3.0, 1.0])][::order]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+        got = permutation_index.nearest(df, F.col("id") == 0, 20).collect()
+        assert [(r.vec_id, r.score) for r in got] == [(1, 0.5)]
