@@ -5,14 +5,15 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in one Arrow batch: bounds what a Python worker holds, whatever the length of the texts.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: a batch ends at the first bound it meets, so a worker holds 16 MB of texts or one longer text.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 #: ASCII white space, as the contracts spell it.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,9 +23,20 @@ def ready(spark: SparkSession) -> SparkSession:
     """Session settings of the Arrow passes."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Greater Arrow batches for the jobs started inside; the bound of their bytes stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import arrow_ids, decontaminate, language_model, line_dedup, permutation_index, pieces, quality, secrets, simhash, toxicity
+from barloom.llm import arrow_ids, decontaminate, language_model, line_dedup, ngram_join, permutation_index, pieces, quality, secrets, simhash, toxicity
 from barloom.llm.common import crc_mod, table
 
 
@@ -84,5 +84,22 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op6_language_model, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces)}
-ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL}
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and its component under Jaccard similarity."""
+    found = ngram_join.similar_texts(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+SHINGLES_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w),
+  g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+  r AS (SELECT doc_id, doc_id AS node FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.node = p.a)
+SELECT s.doc_id, len(any_value(s.grams))::BIGINT AS n_shingles, min(r.node) AS component_id FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op6_language_model, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces, op12_ngram_join)}
+ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL, "op12_ngram_join": SHINGLES_SQL}
