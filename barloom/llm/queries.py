@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import arrow_ids, decontaminate, language_model, line_dedup, ngram_join, permutation_index, pieces, quality, secrets, simhash, toxicity
+from barloom.llm import arrow_ids, decontaminate, hard_negatives, language_model, line_dedup, ngram_join, permutation_index, pieces, quality, secrets, simhash, toxicity
 from barloom.llm.common import crc_mod, table
 
 
@@ -84,6 +84,26 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every fiftieth vector."""
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, relabelled)
+
+
+NEGATIVES_SQL = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  c AS (SELECT id, label, unnest(vec) AS x, unnest(range(len(vec))) AS d FROM v),
+  s AS (SELECT a.id AS anchor_id, b.id, any_value(a.label) = any_value(b.label) AS same, sum(a.x * b.x)::BIGINT AS score
+    FROM c a JOIN c b ON a.d = b.d AND a.id <> b.id WHERE a.id % 50 = 0 GROUP BY a.id, b.id),
+  p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) <= 3"""
+
+
 def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and its component under Jaccard similarity."""
     found = ngram_join.similar_texts(table(spark, sf_dir, "documents"))
@@ -91,7 +111,8 @@ def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHINGLES_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS words FROM documents),
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS words FROM documents),
   s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
     ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS grams FROM w),
   g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
@@ -101,5 +122,5 @@ SHINGLES_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_
 SELECT s.doc_id, len(any_value(s.grams))::BIGINT AS n_shingles, min(r.node) AS component_id FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op6_language_model, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces, op12_ngram_join)}
-ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL, "op12_ngram_join": SHINGLES_SQL}
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op6_language_model, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces, op11_hard_negatives, op12_ngram_join)}
+ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_ngram_join": SHINGLES_SQL}
