@@ -11,9 +11,9 @@ allow the similarity; they expand to members, whose parity sketches give an uppe
 left is compared by the sets themselves, made from the whole texts.
 
 Only components count, so pairs of one component need no comparison. A shingle of at most ``FEW``
-groups gives its pairs at once. In a greater one all groups are compared with one of them, members of a group with its
-least; then all pairs that are still in different components are compared, the posts of a shingle in
-blocks of about ``BLOCK`` groups, each pair of blocks a task's worth of its own. No pair is left out.
+groups gives its pairs at once. In a greater one all groups are compared with two of them, members of a group with its
+least; then all pairs that are still in different components are compared, first their sketches, the posts of a shingle
+in blocks of about ``BLOCK`` nodes, each pair of blocks a task's worth of its own. No pair is left out.
 
 Rows that repeat an id or a text are rows of one node; null texts are empty; a null id gets the least id of its
 component, if there is one. No rows give no rows. Other columns, whatever their names, are not read. Long texts are
@@ -336,9 +336,10 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def stars(crowd: DataFrame) -> DataFrame:
-    """Group pairs (a, b) of every post of a crowd with one of the crowd, which differs from shingle to shingle."""
-    first = crowd.groupBy("gram").agg(F.min_by(F.struct("grp", "n", "pos"), F.xxhash64("grp", "gram")).alias("p"))
-    met = crowd.join(first, "gram").where("grp <> p.grp")
+    """Group pairs (a, b) of every post of a crowd with two of the crowd, which differ from shingle to shingle."""
+    post, drawn = F.struct("grp", "n", "pos"), F.xxhash64("grp", "gram")
+    first = crowd.groupBy("gram").agg(F.array(F.min_by(post, drawn), F.max_by(post, drawn)).alias("p"))
+    met = crowd.join(first.select("gram", F.explode("p").alias("p")), "gram").where("grp <> p.grp")
     return met.where(may("n", "pos", "p.n", "p.pos")).select(F.col("grp").alias("a"), F.col("p.grp").alias("b"))
 
 
@@ -346,41 +347,70 @@ def may(n: str, pos: str, m: str, at: str) -> str:
     return f"9 * least({n} - {pos}, {m} - {at}) >= 4 * ({n} + {m}) and 5 * least({n}, {m}) >= 4 * greatest({n}, {m})"
 
 
-def across(crowd: DataFrame, roots: DataFrame) -> DataFrame:
-    """Group pairs (a, b) of crowds that are not known to lie in one component; ``roots`` has (grp, low, high)."""
-    rooted = stored(crowd.join(roots, "grp"), "join-rooted")
-    open_ = rooted.groupBy("gram").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count(F.lit(1)).alias("m"))
-    open_ = open_.where("least <> most").select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    placed = rooted.join(open_, "gram").withColumn("part", F.pmod(F.hash("grp"), F.col("parts")))
+def folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, one a row, folded to ``size`` bytes."""
+    while x.shape[1] > size:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def pairs_allowed(marks: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``sketches_allow`` for the rows ``i`` against ``j``."""
+    length, ok = np.array([len(m) for m in marks]), np.zeros(len(i), bool)
+    kinds = {k: np.flatnonzero(length == k) for k in np.unique(length)}
+    held = {k: np.frombuffer(b"".join(marks[x] for x in at), np.uint8).reshape(len(at), -1) for k, at in kinds.items()}
+    place = np.zeros(len(marks), np.int64)
+    for at in kinds.values():
+        place[at] = np.arange(len(at))
+    for k in kinds:
+        for m in kinds:
+            which = np.flatnonzero((length[i] == k) & (length[j] == m))
+            left, right = folded(held[k], min(k, m)), folded(held[m], min(k, m))
+            for part in np.array_split(which, len(which) // (1 << 14) + 1):
+                sizes = n[i[part]] + n[j[part]]
+                differ = np.bitwise_count(left[place[i[part]]] ^ right[place[j[part]]]).sum(1, dtype=np.int64)
+                ok[part] = differ <= sizes - 2 * -(-4 * sizes // 9)
+    return ok
+
+
+def across(crowd: DataFrame, rooted: DataFrame, spread: DataFrame, facts: DataFrame) -> DataFrame:
+    """Node pairs (a, b) of crowds in different components that size, position and sketches allow."""
+    open_ = crowd.join(spread, "grp").groupBy("gram").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    posts = crowd.join(open_.where("least <> most").select("gram"), "gram", "left_semi").join(rooted, "grp").drop("grp")
+    posts = stored(posts, "join-crowds")
+    parts = posts.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    met = posts.select("node").distinct()
+    marks = facts.where("sketch is not null").join(met, "node", "left_semi").groupBy("node").agg(F.max("sketch").alias("sketch"))
+    placed = posts.join(parts, "gram").withColumn("part", F.pmod(F.hash("node"), F.col("parts"))).join(marks, "node")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    cells = placed.select("gram", "grp", "n", "pos", "low", "high", "part", other)
-    cells = cells.select("gram", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "n", "grp", "pos", "low", "high")
+    cells = placed.select("gram", "node", "n", "pos", "root", "sketch", "part", other)
+    cells = cells.select("gram", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "n", "node", "pos", "root", "sketch")
+    fields = ["part", "j", "n", "node", "pos", "root", "sketch"]
 
     def run(batches):
         def marked():
             for b in batches:
                 cols = {f: b.column(k) for k, f in enumerate(b.schema.names)}
                 cell = mix(mix(cols["gram"].to_numpy().view(np.uint64)) ^ (cols["i"].to_numpy().astype(np.uint64) << np.uint64(32) | cols["j"].to_numpy().astype(np.uint64)))
-                fields = ["part", "j", "n", "grp", "pos", "low", "high"]
                 yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), *[cols[f] for f in fields]], names=["gram", *fields])
 
         for rows, run_of, _ in buckets(marked(), 1 << 62):
             edges = np.flatnonzero(np.concatenate([[True], run_of[1:] != run_of[:-1], [True]]))
             for lo, hi in zip(edges[:-1], edges[1:]):
-                part, j, n, grp, pos, low, high = (rows[c][lo:hi].astype(np.int64) for c in ("part", "j", "n", "grp", "pos", "low", "high"))
-                left = np.flatnonzero(part != j) if (part != j).any() else np.arange(hi - lo)
+                part, j, n, node, pos, root = (rows[c][lo:hi].astype(np.int64) for c in fields[:-1])
+                sketches = list(rows["sketch"][lo:hi])
                 right = np.flatnonzero(part == j)
-                if not len(right):
-                    continue
-                for at in range(0, len(left), 512):
-                    x = left[at : at + 512, None]
-                    ok = allowed(n[x], pos[x], n[right][None], pos[right][None]) & (grp[x] != grp[right][None])
-                    ok &= ~((low[x] == high[x]) & (low[x] == low[right][None]) & (high[x] == high[right][None]))
-                    p, q = np.nonzero(ok)
-                    if len(p):
-                        a, b = grp[left[at + p]], grp[right[q]]
-                        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                        yield batch("a bigint, b bigint", pairs[:, 0], pairs[:, 1])
+                left = np.flatnonzero(part != j) if (part != j).any() else right
+                for at in range(0, len(left) if len(right) else 0, 256):
+                    x = left[at : at + 256, None]
+                    p, q = np.nonzero(allowed(n[x], pos[x], n[right][None], pos[right][None]) & (root[x] < root[right][None]))
+                    p, q = left[at + p], right[q]
+                    if left is not right:
+                        y, z = np.nonzero(allowed(n[x], pos[x], n[right][None], pos[right][None]) & (root[x] > root[right][None]))
+                        p, q = np.concatenate([p, left[at + y]]), np.concatenate([q, right[z]])
+                    ok = pairs_allowed(sketches, n, p, q)
+                    if ok.any():
+                        yield batch("a bigint, b bigint", np.minimum(node[p], node[q])[ok], np.maximum(node[p], node[q])[ok])
 
     return cells.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
@@ -410,14 +440,15 @@ def roots_of(texts: DataFrame, facts: DataFrame) -> DataFrame:
     mixed = spread.join(many, "grp").where("low <> high").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
     a, b = (spread.join(leaders, "grp").select(F.col("grp").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}"), F.col("members").alias(f"m_{x}")) for x in "ab")
     apart = pairs.join(a, "a").join(b, "b").where("(m_a > 1 or m_b > 1) and not (low_a = high_a and low_a = low_b and low_a = high_b)").select("a", "b")
-    more = stored(mixed.unionByName(apart).unionByName(across(crowd, spread)).distinct(), "join-across")
+    more = mixed.unionByName(apart)
     a, b = (rooted.select(F.col("grp").alias(x), F.col("node").alias(f"node_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
     second = more.join(a, "a").join(b, "b").where("root_a <> root_b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    second = stored(ordered_pairs(second).join(first, ["a", "b"], "left_anti"), "join-pairs")
+    second = ordered_pairs(second.unionByName(across(crowd, rooted, spread, facts)))
+    second = stored(second.join(first, ["a", "b"], "left_anti"), "join-pairs")
     if not second.isEmpty():
         found = verified(second, facts, texts)
         roots = stored(components(links.unionByName(found)), "join-roots")
-    for x in (met, leaders, first, second, rooted, spread, more, links):
+    for x in (met, leaders, first, second, rooted, spread, links):
         forget(x)
     return roots
 
