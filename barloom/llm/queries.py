@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import arrow_ids, decontaminate, hard_negatives, language_model, line_dedup, ngram_join, permutation_index, pieces, quality, secrets, simhash, toxicity
+from barloom.llm import arrow_ids, collocations, decontaminate, hard_negatives, language_model, line_dedup, ngram_join, permutation_index, pieces, quality, secrets, simhash, toxicity
 from barloom.llm.common import crc_mod, table
 
 
@@ -122,5 +122,33 @@ SHINGLES_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_
 SELECT s.doc_id, len(any_value(s.grams))::BIGINT AS n_shingles, min(r.node) AS component_id FROM s JOIN r ON s.doc_id = r.doc_id GROUP BY s.doc_id"""
 
 
-QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op6_language_model, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces, op11_hard_negatives, op12_ngram_join)}
-ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_ngram_join": SHINGLES_SQL}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+COLLOCATIONS_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+  g AS (SELECT lang, 1 AS k, unnest(words) AS gram FROM w
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM w
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) FROM w),
+  f AS MATERIALIZED (SELECT lang, k, gram, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+  t AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+  c AS MATERIALIZED (SELECT lang, k, gram, f, string_split(gram, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+  u AS (SELECT lang, gram, f, 1 AS cut, words[1] AS first, array_to_string(words[2:], ' ') AS rest FROM c
+    UNION ALL SELECT lang, gram, f, 2, words[1] || ' ' || words[2], words[3] FROM c WHERE k = 3),
+  s AS (SELECT u.lang, u.gram, cut, u.f AS a, y.f AS l, z.f AS r, 1000000 * u.f * u.f // (y.f * z.f) AS score
+    FROM u JOIN f y ON y.lang = u.lang AND y.gram = u.first JOIN f z ON z.lang = u.lang AND z.gram = u.rest),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) = 1),
+  d AS (SELECT lang, part, max(f) AS f FROM (SELECT lang, f, words[1] || ' ' || words[2] AS part FROM c WHERE k = 3
+    UNION ALL SELECT lang, f, words[2] || ' ' || words[3] FROM c WHERE k = 3) GROUP BY lang, part),
+  o AS (SELECT b.lang, gram AS phrase, a, l, r, score FROM b LEFT JOIN d ON d.lang = b.lang AND d.part = b.gram
+    WHERE d.f IS NULL OR 100 * d.f < 50 * a)
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+  r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o JOIN t ON o.lang = t.lang
+QUALIFY row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+QUERIES = {f.__name__: f for f in (op1_permutation_index, op2_toxicity, op3_simhash, op4_line_dedup, op5_secrets, op6_language_model, op7_quality, op8_decontaminate, op9_arrow_ids, op10_pieces, op11_hard_negatives, op12_ngram_join, op13_collocations)}
+ORACLES: dict[str, str] = {"op4_line_dedup": LINES_SQL, "op5_secrets": secrets.SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_ngram_join": SHINGLES_SQL, "op13_collocations": COLLOCATIONS_SQL}
