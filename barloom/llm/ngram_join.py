@@ -415,8 +415,8 @@ def across(crowd: DataFrame, rooted: DataFrame, spread: DataFrame, facts: DataFr
     return cells.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j").mapInArrow(run, "a bigint, b bigint")
 
 
-def roots_of(texts: DataFrame, facts: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that have a similar one; texts are (doc_id, key, text)."""
+def roots_of(texts: DataFrame, facts: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all nodes that have a similar one; texts are (doc_id, key, text), ``seeds`` pairs of keys (a, b) to compare first."""
     met = stored(meet(posts_of(texts, frequent(facts))), "join-met")
     members = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("node"), F.col("b").alias("grp")).distinct()
     leaders = members.groupBy("grp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members"))
@@ -430,7 +430,11 @@ def roots_of(texts: DataFrame, facts: DataFrame) -> DataFrame:
 
     many = leaders.where("members > 1")
     inside = members.join(many, "grp").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    first = stored(ordered_pairs(leads(pairs.unionByName(stars(crowd).distinct())).unionByName(inside)), "join-pairs")
+    first = leads(pairs.unionByName(stars(crowd).distinct())).unionByName(inside)
+    if seeds is not None:
+        a, b = (facts.where("n > 0").select(F.col("key").alias(x), F.col("node").alias(f"n{x}")).distinct() for x in "ab")
+        first = first.unionByName(seeds.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    first = stored(ordered_pairs(first), "join-pairs")
     links = verified(first, facts, texts)
     roots = stored(components(links), "join-roots")
 
@@ -453,18 +457,24 @@ def roots_of(texts: DataFrame, facts: DataFrame) -> DataFrame:
     return roots
 
 
-def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, node, n, component_id) of every row: ``component_id`` is the least id reachable by links."""
+def text_key(text: str = "text"):
+    """Names a text; a null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seeds: DataFrame | None = None) -> DataFrame:
+    """(doc_id, key, n, root, component_id) of every row: ``component_id`` is the least id reachable by links, ``root``
+    names the component, ``key`` the text (``text_key``). ``seeds`` are pairs of keys (a, b) that are compared first."""
     spark = docs.sparkSession
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(whole).alias("key"), whole.cast("binary").alias("text"))
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_key(text).alias("key"), whole.cast("binary").alias("text"))
     with batch_rows(spark, 1 << 14):
         facts = stored(facts_of(texts), "join-facts")
-        roots = roots_of(texts, facts)
+        roots = roots_of(texts, facts, seeds)
     rows = facts.where("node is not null").select("doc_id", "key", "node", "n")
-    ids = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    ids = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     ids = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = ids.join(named, "root").select("node", "component_id")
-    out = rows.join(named, "node", "left")
+    named = ids.join(named, "root").select("node", "root", "component_id")
+    out = rows.join(named, "node").select("doc_id", "key", "n", "root", "component_id")
     return out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))

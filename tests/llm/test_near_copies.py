@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline as cp
-from barloom.llm import near_copies
+from barloom.llm import ngram_join
 
 
 def shingles(text):
@@ -47,8 +47,11 @@ def edited(rnd, words, vocabulary, edits):
 def check(spark, rows):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute(rows)
-    got = {r.doc_id: r.component_id for r in near_copies.groups(df.withColumn("row", cp.row_key()), "row").collect()}
-    assert got == want
+    got = {r.doc_id: r for r in ngram_join.similar_texts(df).collect()}
+    assert {d: r.n for d, r in got.items()} == {d: len(shingles(t)) for d, t in rows}
+    # texts without words link with nothing, to the pipeline they are copies
+    assert {d: r.component_id for d, r in got.items() if r.n} == {d: want[d] for d, r in got.items() if r.n}
+    assert all(r.component_id == d for d, r in got.items() if not r.n)
     kept = [r.doc_id for r in cp.drop_copies(spark, df, "").collect()]
     assert sorted(kept) == sorted(set(want.values()))
     return want
@@ -77,4 +80,23 @@ def test_crowd_with_a_passage(spark):
     rows = [edited(rnd, base, words, rnd.choice([0, 1, 2, 3, 4, 6, 9])) for _ in range(300)]
     want = check(spark, [(i, " ".join(r)) for i, r in enumerate(rows)])
     assert 1 < len(set(want.values())) < 200
-    assert near_copies.groups(spark.createDataFrame([], "doc_id bigint, text string, row string"), "row").count() == 0
+    assert ngram_join.similar_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_blocks_groups_and_odd_rows(spark, monkeypatch):
+    """Small bounds: crowds in several blocks, groups of several members, repeated ids and texts, clashing columns."""
+    monkeypatch.setattr(ngram_join, "FEW", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "LOCAL_TIMES", 10**6)
+    rnd = random.Random(13)
+    words = [f"w{i}" for i in range(2000)]
+    rows = []
+    for n, copies in ((60, 40), (120, 40), (20, 20)):
+        base = [rnd.choice(words) for _ in range(n)]
+        rows += [edited(rnd, base, words, rnd.choice([0, 1, 1, 2, 3])) for _ in range(copies)]
+    want = check(spark, [(i, " ".join(r)) for i, r in enumerate(rows)])
+    assert 1 < len(set(want.values())) < len(rows)
+    text = " ".join(rows[0])
+    odd = [(1, text, 5, "x"), (1, text, 6, "y"), (None, text, 7, "z"), (3, text.upper(), None, None), (None, None, 1, "n"), (4, "", 1, "n")]
+    found = ngram_join.similar_texts(spark.createDataFrame(odd, "doc_id bigint, text string, n int, root string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.n > 0) for r in found) == [(0, 0, False), (0, 1, True), (1, 1, True), (1, 1, True), (3, 1, True), (4, 4, False)]
