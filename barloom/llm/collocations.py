@@ -312,7 +312,7 @@ def collocations(docs: DataFrame, top: int = 2000, lang: str = "lang", text: str
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("text"))
     bits = min(20, max(5, int(2 * texts.rdd.getNumPartitions() - 1).bit_length()))
-    with batch_rows(spark, 1 << 12):
+    with batch_rows(spark, 1 << 12, 8 << 20):
         small = frequent(small_counts(texts, bits))
         triples = frequent(triple_counts(texts, small.where("size = 2"), bits))
     counts = small.unionByName(triples)

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows and bytes of one Arrow batch: a batch ends at the first bound it meets, so a worker holds 16 MB of texts or one longer text.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: Rows and bytes of one Arrow batch: a batch ends at the first bound it meets, so a worker holds 4 MB of texts or one longer text.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 #: ASCII white space, as the contracts spell it.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,13 +28,14 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Greater Arrow batches for the jobs started inside; the bound of their bytes stays."""
+def batch_rows(spark: SparkSession, rows: int, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of other bounds for the jobs started inside."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        ready(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ from barloom.llm.words import mix, shingle_sets
 SHINGLE, FEW, BLOCK = 5, 64, 4096
 #: Shingles that are ordered by how often they are met: a bound of what is broadcast. Any order is right.
 FREQUENT = 1 << 18
-WINDOW, LOCAL_TIMES, LEAST_BITS, MOST_FILTER_BITS = 1 << 22, 3, 512, 1 << 27
+WINDOW, LOCAL_TIMES, LEAST_BITS, MOST_FILTER_BITS = 1 << 20, 3, 512, 1 << 27
 
 
 def needed(n: int) -> int:

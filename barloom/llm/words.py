@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; a longer part is only taken for a longer word.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 SPACES = b" \t\n\x0b\x0c\r"
