@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.q_evaluation import HS, J, JL, TS, joined, sel
 from barloom.catalog.registry import query, rnd
 from barloom.operators import signals as G
+from barloom.operators.isotonic import isotonic_calibrate
 from barloom.operators import thresholds as T
 from barloom.plans import panels as S
 from barloom.session import materialize
@@ -39,6 +40,22 @@ def q_calibrate_bayes(spark, sf):
     return T.calibrate_bayes(joined(spark, sf), COST)
 
 
+@query(f"""WITH {JL}, x AS (SELECT *, round_even(mean * 1000, 0) / 1000 AS x FROM j),
+  e AS (SELECT horizon FROM j GROUP BY horizon HAVING count(*) >= 100 AND min(actual) < max(actual)),
+  d AS (SELECT horizon, x, count(*) AS n, sum(actual) AS y FROM x SEMI JOIN e USING (horizon) GROUP BY ALL),
+  c AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM d WINDOW w AS (PARTITION BY horizon ORDER BY x)),
+  m AS (SELECT a.horizon, a.i AS ai, b.i AS bi, min((b.cy - a.cy + a.y) / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.horizon, a.i ORDER BY b.i DESC) AS v
+    FROM c a JOIN c b ON a.horizon = b.horizon AND a.i <= b.i),
+  f AS (SELECT horizon, bi AS i, max(v) AS v FROM m GROUP BY ALL),
+  o AS (SELECT ts, ticker, x.horizon, coalesce(v, mean) AS mean FROM x LEFT JOIN c ON c.horizon = x.horizon AND c.x = x.x
+    LEFT JOIN f ON f.horizon = c.horizon AND f.i = c.i)
+  SELECT ticker, {TS}, horizon, {sel(['mean'])} FROM o""")
+def q_isotonic_calibrate(spark, sf):
+    """Scores at three digits replaced by their isotonic frequencies, horizon by horizon."""
+    rows = materialize(joined(spark, sf, "target_h"))
+    return isotonic_calibrate(rows, rows, digits=3).select("ticker", "ts", "horizon", "mean")
+
+
 _QS = list(T.GAIN_QUANTILES)
 
 
