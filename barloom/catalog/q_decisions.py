@@ -208,7 +208,7 @@ def q_joint_percentile_grid(spark, sf):
     return T.joint_threshold_grid(m, primary_percentiles=_PP)
 
 
-@query(f"""WITH {S.PREDS}, o AS (SELECT p.ts, ticker, horizon, p.mean, m.mean AS meta, p.std FROM preds p JOIN meta_preds m USING (ts, ticker, horizon))
+@query(f"""WITH {S.PREDS}, o AS (SELECT * FROM both_preds)
   SELECT ticker, {TS}, horizon, {sel(['mean', 'meta', 'std'])}, CASE WHEN mean > 0.55 AND meta > 0.5 THEN 'BUY' ELSE 'HOLD' END AS action FROM o""")
 def q_primary_meta_filter(spark, sf):
     panel = materialize(S.model_panel(spark, sf))
@@ -251,8 +251,8 @@ def q_consensus_summary(spark, sf):
 
 
 @query(f"""WITH {S.PREDS}, o AS (SELECT ts, ticker, horizon, CAST(least(0.2::DOUBLE, greatest(0.0::DOUBLE,
-    greatest(0, p.mean - 0.5::DOUBLE) / 0.5::DOUBLE * (greatest(0, m.mean - 0.5::DOUBLE) / 0.5::DOUBLE) * 0.5::DOUBLE)) AS FLOAT)::DOUBLE AS size_fraction
-    FROM preds p JOIN meta_preds m USING (ts, ticker, horizon))
+    greatest(0, mean - 0.5::DOUBLE) / 0.5::DOUBLE * (greatest(0, meta - 0.5::DOUBLE) / 0.5::DOUBLE) * 0.5::DOUBLE)) AS FLOAT)::DOUBLE AS size_fraction
+    FROM both_preds)
   SELECT ticker, {TS}, horizon, {rnd('size_fraction')} AS size_fraction FROM o""")
 def q_kelly_size(spark, sf):
     panel = materialize(S.model_panel(spark, sf))

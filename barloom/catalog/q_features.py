@@ -255,16 +255,18 @@ def q_cyclic_time(spark, sf):
 
 # --- cross section --------------------------------------------------------
 
-@query(f"""WITH {S.BARS}, b AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ticker, {rnd('close')} AS close FROM bars)
-  PIVOT b ON ticker USING max(close) GROUP BY ts""")
+@query(f"WITH {S.BARS} SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ticker, {rnd('max(close)')} AS close FROM bars GROUP BY bars.ts, ticker")
 def q_panel_wide(spark, sf):
-    return X.panel_wide(S.bars(spark, sf), "close", S.tickers(spark, sf))
+    """The cells of the wide panel."""
+    return X.panel_cells(X.panel_wide(S.bars(spark, sf), "close"), "close")
 
 
-@query(f"""WITH {S.BARS}, b AS (SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'tid_' || ticker AS tid FROM bars)
-  PIVOT b ON tid USING CAST(count(*) AS DOUBLE) GROUP BY ticker, ts""")
+@query(f"""WITH {S.BARS}
+  SELECT ticker, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ticker AS tid, 1.0::DOUBLE AS value, CAST(ticker = 'S1' AS INT)::DOUBLE AS "tid_S1" FROM bars""")
 def q_ticker_dummies(spark, sf):
-    return I.ticker_dummies(S.bars(spark, sf).select("ticker", "ts"), S.tickers(spark, sf))
+    """The entries of the sparse one-hot vectors, and one indicator read from them."""
+    rows = I.ticker_dummies(S.bars(spark, sf).select("ticker", "ts"))
+    return rows.select("ticker", "ts", I.dummy("S1"), F.explode("tid").alias("tid", "value"))
 
 
 _ROC = f"""r AS (SELECT ticker, ts, volume, close / nullif(lag(close, 5) OVER s, 0) - 1 AS roc_5 FROM bars {S.SERIES})"""

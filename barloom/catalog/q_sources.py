@@ -10,6 +10,7 @@ from barloom.catalog import q_indicators  # noqa: F401  (registers the families)
 from barloom.catalog.registry import ORACLES, query, rnd, rounded
 from barloom.operators import bars as B
 from barloom.operators import indicators as I
+from barloom.operators.indicators import dummy
 from barloom.plans import panels as S
 from barloom.plans.feature_panel import feature_panel
 from barloom.session import checkpoint_dir
@@ -234,6 +235,6 @@ def q_feature_panel(spark, sf):
     filled = B.macro_join_ffill({c: macro.filter(F.col(c).isNotNull()).select("ts", F.col(c).alias("value")) for c in "ofp"})
     fp = feature_panel(
         S.bars(spark, sf), macro=filled, indexes=B.index_panel(S.index_d(spark, sf), ["AVG", "MAX"]),
-        horizons=list(S.PRED_HORIZONS), tickers=S.tickers(spark, sf),
+        horizons=list(S.PRED_HORIZONS), dummies=True,
     )
-    return fp.frame.select("ticker", "ts", *_FP)
+    return fp.frame.withColumn("tid_S1", dummy("S1")).select("ticker", "ts", *_FP)

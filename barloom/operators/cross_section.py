@@ -18,13 +18,18 @@ from barloom.functions.columns import TINY, or_zero, zero_to_null
 logger = logging.getLogger(__name__)
 
 
-def panel_wide(
-    df: DataFrame, feature: str, tickers: Sequence[str], *, ticker: str = "ticker", ts: str = "ts"
-) -> DataFrame:
-    """One column per named ticker."""
-    return df.groupBy(ts).agg(
-        *[F.max(F.when(F.col(ticker) == t, F.col(feature))).alias(t) for t in tickers]
-    )
+def panel_wide(df: DataFrame, feature: str, *, ticker: str = "ticker", ts: str = "ts") -> DataFrame:
+    """One row per time, the values of all tickers in one map: as many columns however many tickers there are.
+
+    A ticker of several rows at a time has the greatest value, nulls and null tickers are not in the map.
+    """
+    cells = df.filter(F.col(ticker).isNotNull() & F.col(feature).isNotNull()).groupBy(ts, ticker).agg(F.max(feature).alias("_v"))
+    return cells.groupBy(ts).agg(F.map_from_entries(F.collect_list(F.struct(ticker, "_v"))).alias(feature))
+
+
+def panel_cells(wide: DataFrame, feature: str, *, ticker: str = "ticker", ts: str = "ts") -> DataFrame:
+    """The rows (time, ticker, value) of a wide panel."""
+    return wide.select(ts, F.explode(feature).alias(ticker, feature))
 
 
 def _moments(rows: DataFrame, df: DataFrame, cols: Sequence[str], ts: str) -> DataFrame:

@@ -422,10 +422,18 @@ def window_instance_norm(df, b, window=384, cols=("close", "volume"), eps=1e-5):
     )
 
 
-def ticker_dummies(df: DataFrame, tickers: Sequence[str], ticker: str = "ticker") -> DataFrame:
-    return df.withColumns(
-        {f"tid_{t}": flag(C(ticker) == t).cast("double") for t in tickers}
-    )
+def ticker_dummies(df: DataFrame, ticker: str = "ticker") -> DataFrame:
+    """``tid``: the one-hot vector of the ticker, sparse, as a map of the names whose indicator is one.
+
+    No list of tickers is gathered and no column is added per ticker; a null ticker has an empty vector.
+    """
+    none = F.create_map().cast("map<string,double>")
+    return df.withColumn("tid", F.when(C(ticker).isNull(), none).otherwise(F.create_map(C(ticker), F.lit(1.0))))
+
+
+def dummy(name: str) -> Column:
+    """The indicator of one ticker, read from ``tid``."""
+    return F.coalesce(F.element_at("tid", F.lit(name)), F.lit(0.0)).alias(f"tid_{name}")
 
 
 BASIC: tuple[Family, ...] = (

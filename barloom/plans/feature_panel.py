@@ -36,7 +36,7 @@ def feature_panel(
     cost: float = 0.0005,
     label_smoothing: float = 0.0,
     swap_long_short: bool = False,
-    tickers: Sequence[str] | None = None,
+    dummies: bool = False,
     exchange: bool = True,
     **panel,
 ) -> FeatureFrame:
@@ -44,6 +44,7 @@ def feature_panel(
 
     ``macro`` has one filled row per date, ``indexes``/``metals`` one close
     column per code.  Close and volume count as features, the other prices not.
+    ``dummies`` adds the sparse one-hot vector ``tid``.
     """
     bars = bars.select("ticker", "ts", "open", "high", "low", "close", "volume")
     # stored with their positions once: indicators, returns and targets cut blocks from the same rows
@@ -72,9 +73,8 @@ def feature_panel(
         made = norm_log_return(bars, horizons)
         keep = [f"target_h{h}" for h in horizons]
     out = out.join(made.select("ticker", "ts", *keep), ["ticker", "ts"])
-    if tickers is not None:
-        out = I.ticker_dummies(out, tickers)
-        features += [f"tid_{t}" for t in tickers]
+    if dummies:
+        out = I.ticker_dummies(out)
     return FeatureFrame(out, features)
 
 

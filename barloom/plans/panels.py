@@ -96,12 +96,6 @@ DAYS = """days AS (
   GROUP BY ticker, ts)"""
 
 
-def tickers(spark: SparkSession, sf: str) -> list[str]:
-    """Names of all series, for tables with a column each."""
-    rows = table(spark, sf, "supplier").select("s_suppkey").distinct().orderBy("s_suppkey").collect()
-    return [f"S{r.s_suppkey}" for r in rows]
-
-
 def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
     """Event rows with a price: bars and their logarithms need one above zero."""
     return event_rows(spark, sf).filter(F.col("price") > 0)
@@ -514,5 +508,7 @@ preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-score)) AS mean, std FROM pr
 short_preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-(-score - 0.1::DOUBLE))) AS mean, std FROM pr),
 meta_preds AS (SELECT ts, ticker, horizon,
     1 / (1 + exp(-(0.5::DOUBLE * score + (volume - 40.0::DOUBLE) / 40.0::DOUBLE))) AS mean, std FROM pr),
+both_preds AS (SELECT ts, ticker, horizon, 1 / (1 + exp(-score)) AS mean,
+    1 / (1 + exp(-(0.5::DOUBLE * score + (volume - 40.0::DOUBLE) / 40.0::DOUBLE))) AS meta, std FROM pr),
 actuals AS ({' UNION ALL '.join(f"SELECT ts, ticker, {h} AS horizon, CAST(lr_h{h} AS DOUBLE) AS actual FROM panel WHERE lr_h{h} IS NOT NULL" for h in PRED_HORIZONS)}),
 labels_l AS (SELECT ts, ticker, horizon, CAST(actual > 0 AS INT)::DOUBLE AS actual FROM actuals)"""
