@@ -12,6 +12,7 @@ from barloom.operators import performance as P
 from barloom.operators import signals as G
 from barloom.operators import sweeps as W
 from barloom.operators import trades as R
+from barloom.operators.single_book import single_position_book
 from barloom.plans import panels as S
 from barloom.session import materialize
 from barloom.sources import incremental as N
@@ -103,6 +104,20 @@ def q_per_series_book(spark, sf):
     return R.per_series_book(trades_of(spark, sf)[0]).select("ticker", "horizon", "entry_bar", "exit_bar", "invested", "pnl", "cash")
 
 
+@query(f"""WITH RECURSIVE {TR}, u AS MATERIALIZED (SELECT * FROM t1 QUALIFY row_number() OVER (PARTITION BY ticker, entry_bar ORDER BY mean DESC, horizon, exit_bar) = 1),
+  nx AS MATERIALIZED (SELECT a.ticker, a.entry_bar, b.entry_bar AS nxt FROM u a ASOF JOIN u b ON a.ticker = b.ticker AND b.entry_bar >= greatest(a.exit_bar, a.entry_bar + 1)),
+  chain AS (SELECT ticker, min(entry_bar) AS entry_bar FROM u GROUP BY ticker UNION ALL SELECT c.ticker, n.nxt FROM chain c JOIN nx n ON n.ticker = c.ticker AND n.entry_bar = c.entry_bar),
+  cap AS (SELECT 1000000.0::DOUBLE / count(DISTINCT ticker) AS c FROM u),
+  o AS (SELECT u.ticker, horizon, u.entry_bar, exit_bar, return_pct, c * exp(sum(ln(1 + return_pct)) OVER w) AS cash,
+      c * exp(sum(ln(1 + return_pct)) OVER w - ln(1 + return_pct)) AS invested FROM u JOIN chain ON chain.ticker = u.ticker AND chain.entry_bar = u.entry_bar, cap
+    WINDOW w AS (PARTITION BY u.ticker ORDER BY u.entry_bar))
+  SELECT ticker, horizon, entry_bar, exit_bar, {rnd('ln(invested)')} AS log_invested, {rnd('ln(cash)')} AS log_cash, {rnd('return_pct')} AS return_pct FROM o""")
+def q_single_position_book(spark, sf):
+    """One open position per series, the whole cash of the series in it; amounts as logarithms, since they grow by factors."""
+    book = single_position_book(trades_of(spark, sf)[0])
+    return book.select("ticker", "horizon", "entry_bar", "exit_bar", F.log("invested").alias("log_invested"), F.log("cash").alias("log_cash"), "return_pct")
+
+
 @query(f"""WITH {TR}, z AS (SELECT t1.*, CAST(least(0.2::DOUBLE, greatest(0, t1.mean - 0.5::DOUBLE) / 0.5::DOUBLE
     * (greatest(0, m.mean - 0.5::DOUBLE) / 0.5::DOUBLE) * 0.5::DOUBLE) AS FLOAT)::DOUBLE AS f FROM t1 JOIN meta_preds m ON m.ts = t1.signal_ts AND m.ticker = t1.ticker AND m.horizon = t1.horizon),
   o AS (SELECT ticker, horizon, entry_bar, least(f, 0.1::DOUBLE) * 1000000.0::DOUBLE AS invested, least(f, 0.1::DOUBLE) * 1000000.0::DOUBLE * return_pct AS pnl FROM z WHERE f > 0)
