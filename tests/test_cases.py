@@ -177,9 +177,11 @@ def test_auc_matches_pairs(spark):
 
 
 def test_joint_grid_matches_brute_force(spark):
-    rng = np.random.default_rng(2)
-    m = pd.DataFrame({"primary": rng.uniform(0.3, 0.8, 400), "meta": rng.uniform(0, 0.5, 400)})
-    m["lr"] = (m.primary + m.meta) * 0.005 + rng.normal(0, 0.002, 400)
+    # returns fall with the score, but for a planted cell: primary over 0.6 and the upper fifth of the meta scores
+    draw = np.random.RandomState(77)
+    m = pd.DataFrame({"primary": draw.beta(5, 4, 900), "meta": draw.exponential(0.2, 900)})
+    planted = (m.primary > 0.6) & (m.meta > np.percentile(m.meta, 80))
+    m["lr"] = np.where(planted, 0.02, -0.01 * m.primary) + draw.standard_t(8, 900) / 1000
     got = D.joint_threshold_grid(spark.createDataFrame(m), min_trades=50).toPandas()
     best, pick = -np.inf, None
     for t in D.PRIMARY_THRESHOLDS:
@@ -191,7 +193,7 @@ def test_joint_grid_matches_brute_force(spark):
             if len(sub) >= 50 and sub.lr.mean() - 0.001 > best:
                 best, pick = sub.lr.mean() - 0.001, (t, pct)
     chosen = got[got.chosen].iloc[0]
-    assert (chosen.t_primary, chosen.meta_pct) == pick
+    assert (chosen.t_primary, chosen.meta_pct) == pick and chosen.t_primary >= 0.6 and chosen.meta_pct <= 20
     none = D.joint_threshold_grid(spark.createDataFrame(m), min_trades=10**6).toPandas()
     assert none.chosen.sum() == 1
 
