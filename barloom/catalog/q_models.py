@@ -12,10 +12,12 @@ from barloom.catalog.q_targets import _PURGED, _SPLIT
 from barloom.catalog.registry import query, rnd, rounded
 from barloom.operators import models as M
 from barloom.operators import predictions as H
-from barloom.operators.splits import chrono_split, forward_folds, purge_tail
+from barloom.operators.blocks import over_blocks
+from barloom.operators.splits import chrono_split, class_weights, forward_folds, purge_tail
 from barloom.operators.targets import targets_long
 from barloom.plans import panels as S
 from barloom.session import checkpoint_dir, materialize
+from barloom.streaming import late as W
 from barloom.streaming import live as V
 
 FEATURES = ["lr_1", "lr_5", "vol_12", "rv_up_12", "rv_dn_12", "volume"]
@@ -60,6 +62,51 @@ def q_oof_checks(spark, sf):
     )
 
 
+_PLANTED = {h: f"lr_5 > {0.02 * i + 0.1}" for i, h in enumerate(HS)}
+
+
+def planted(df):
+    return df.withColumns({f"target_h{h}": F.when(F.expr(rule), 1.0).otherwise(0.0).cast("float") for h, rule in _PLANTED.items()})
+
+
+@query(f"""WITH {_ROWS}, l AS ({' UNION ALL '.join(f"SELECT {h} AS horizon, split, CAST({rule} AS INT) AS y FROM purged WHERE {_KNOWN}" for h, rule in _PLANTED.items())}),
+  w AS (SELECT horizon, count(*) FILTER (split = 'test' AND y = 1) AS n_up, count(*) FILTER (split = 'test') AS n_rows FROM l GROUP BY horizon)
+  SELECT horizon, n_rows, n_up, 1 AS found_more, 1 AS better FROM w""")
+def q_fit_weighted(spark, sf):
+    """Fits with the class weights of their horizon: a rare planted class is found at least as often as without, and well ranked."""
+    d = dataset(spark, sf)
+    train = materialize(planted(d["train"].dropna(subset=FEATURES)))
+    test = materialize(planted(d["test"].dropna(subset=FEATURES)))
+    weights = class_weights(targets_long(train, HS, "target_h"))
+    truth = targets_long(test, HS, "target_h")
+    found = {}
+    for name, extra in (("plain", None), ("weighted", weights)):
+        models = M.fit_per_horizon(train, FEATURES, HS, learner=M.learners()["linear"], class_weights=extra)
+        found[name] = materialize(H.with_actuals(M.predict_long(models, test, FEATURES), truth))
+    hits = F.count_if((F.col("mean") >= 0.5) & (F.col("actual") >= 0.5))
+    plain = found["plain"].groupBy("horizon").agg(hits.alias("n_plain"))
+    made = found["weighted"].groupBy("horizon").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("actual") >= 0.5).alias("n_up"), hits.alias("n_hits")
+    )
+    quality = H.auc(found["weighted"]).select("horizon", (F.col("auc") > 0.9).cast("int").alias("better"))
+    more = (F.col("n_hits") >= F.col("n_plain")).cast("int").alias("found_more")
+    return made.join(plain, "horizon").join(quality, "horizon").select("horizon", "n_rows", "n_up", more, "better")
+
+
+_FAMILIES = ", ".join(f"('{f.rpartition('_')[0] or f}')" for f in FEATURES)
+
+
+@query(f"""WITH {S.PANEL}, f(family) AS (VALUES {_FAMILIES}), n AS (SELECT family, count(*) AS n_features FROM f GROUP BY family),
+  h AS (SELECT DISTINCT unnest({list(HS)}) AS horizon FROM panel)
+  SELECT horizon, family, n_features, CAST(family = 'lr' AS INT) AS leads FROM h, n""")
+def q_feature_families(spark, sf):
+    """Important features counted per family; the planted signal's family leads."""
+    train = materialize(planted(dataset(spark, sf)["train"]))
+    models = M.fit_per_horizon(train, FEATURES, HS)
+    made = M.family_counts(M.feature_importance(models, FEATURES, spark, len(FEATURES)))
+    return made.select("horizon", "family", "n_features", (F.col("best_rank") == 1).cast("int").alias("leads"))
+
+
 @query()
 def q_fit_per_horizon(spark, sf):
     d = dataset(spark, sf)
@@ -194,3 +241,44 @@ def q_stream_asof_static(spark, sf):
     bars.select("ticker", "ts", "close").write.parquet(path)
     stream = V.read_parquet_stream(spark, path, bars.select("ticker", "ts", "close").schema)
     return run_to_table(V.stream_asof_static(stream, valid, ["prior_volume"]), spark)
+
+
+WAIT, SPAN = 91, 182
+
+
+def landed_labels(spark, sf):
+    """Predictions, and labels with the bar that makes them known, landed in order of their times."""
+    panel = materialize(S.model_panel(spark, sf))
+    p = S.predictions(spark, sf, panel=panel).select("ts", "ticker", "horizon", (F.rint(F.col("mean") * 1e6) / 1e6).alias("mean"))
+
+    def known(df, b):
+        cells = [F.struct(F.lit(h).alias("horizon"), F.lead("ts", h).over(b.window).alias("known_at"), F.col(f"target_h{h}").cast("double").alias("actual")) for h in HS]
+        return df.withColumn("_told", F.array(*cells))
+
+    told = over_blocks(panel.select("ticker", "ts", *[f"target_h{h}" for h in HS]), known, back=0, ahead=max(HS))
+    labels = told.select("ts", "ticker", F.explode("_told").alias("t")).select("ts", "ticker", "t.*").dropna()
+    paths = []
+    for df, time in ((p, "ts"), (labels, "known_at")):
+        path = landing(spark, "late")
+        df.repartitionByRange(4, time).sortWithinPartitions(time).write.parquet(path)
+        paths.append((path, df.schema))
+    return paths
+
+
+@query(f"""WITH {S.PREDS}, k AS ({' UNION ALL '.join(f"SELECT ts, ticker, {h} AS horizon, lead(ts, {h}) OVER s AS known_at, CAST(target_h{h} AS DOUBLE) AS actual FROM panel WINDOW s AS (PARTITION BY ticker ORDER BY ts)" for h in HS)}),
+  j AS (SELECT ticker, horizon, known_at, round_even(mean * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE AS mean, actual FROM preds JOIN k USING (ts, ticker, horizon)
+    WHERE actual IS NOT NULL AND known_at BETWEEN ts AND ts + INTERVAL {WAIT} DAY),
+  s AS (SELECT horizon, date_diff('day', DATE '1970-01-01', CAST(known_at AS DATE)) // {SPAN} AS w, abs(mean - actual) AS s FROM j),
+  r AS (SELECT *, row_number() OVER (PARTITION BY horizon, w ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY horizon, w) AS n FROM s),
+  e AS (SELECT *, least(1.0::DOUBLE, (1 - 0.1::DOUBLE) * (1 + 1.0::DOUBLE / n)) * (n - 1) AS pos FROM r),
+  v AS (SELECT horizon, w, any_value(n) AS n, any_value(pos) AS pos, max(s) FILTER (i = floor(pos)) AS lo, max(s) FILTER (i = least(ceil(pos), n - 1)) AS hi FROM e GROUP BY ALL),
+  q AS (SELECT horizon, w, n, lo + (hi - lo) * (pos - floor(pos)) AS q FROM v),
+  b AS (SELECT *, lag(q) OVER (PARTITION BY horizon ORDER BY w) AS q0 FROM q),
+  c AS (SELECT horizon, w, avg(CAST(s <= q0 AS INT)) AS coverage FROM s JOIN b USING (horizon, w) GROUP BY ALL)
+  SELECT horizon, strftime(DATE '1970-01-01' + CAST(w * {SPAN} AS INT), '%Y-%m-%d') AS window_start, n AS n_calibration, {rnd('q')} AS quantile,
+    {rnd('greatest(q, 1 - q)')} AS threshold, {rnd('coverage')} AS coverage FROM b JOIN c USING (horizon, w)""")
+def q_stream_late_labels(spark, sf):
+    """Predictions wait in a stream-stream join for labels of later bars; windows of known labels are calibrated."""
+    (p, ps), (a, as_) = landed_labels(spark, sf)
+    pairs = W.late_labels(V.read_parquet_stream(spark, p, ps), V.read_parquet_stream(spark, a, as_), f"{WAIT} days")
+    return W.window_calibration(run_to_table(pairs, spark), SPAN)

@@ -59,6 +59,7 @@ def fit_per_horizon(
     *,
     validation: DataFrame | None = None,
     weight: str | None = None,
+    class_weights: DataFrame | None = None,
     learner: object | None = None,
     prefix: str = "target_h",
 ) -> dict[int, Model]:
@@ -66,8 +67,13 @@ def fit_per_horizon(
 
     With ``validation`` boosting stops when it no longer improves there.  A
     horizon without a target column, or with a single class, is skipped.
+    ``class_weights`` has ``w_pos`` and ``w_neg`` per horizon; they multiply the
+    row weights of the column ``weight``, if both are given.
     """
     models: dict[int, Model] = {}
+    # one row per horizon
+    told = [] if class_weights is None else class_weights.filter(C("horizon").isin(list(horizons))).collect()
+    per_class = {r["horizon"]: (r["w_pos"], r["w_neg"]) for r in told}
     for h in horizons:
         target = f"{prefix}{h}"
         if target not in train.columns:
@@ -75,12 +81,15 @@ def fit_per_horizon(
         est = (learner or boosted()).copy()
         keep = [weight] if weight else []
         rows = _rows(train, features, target, keep).withColumn("_val", F.lit(False))
-        if weight:
-            est = est.setWeightCol(weight)
+        if weight or h in per_class:
+            est = est.setWeightCol("_weight")
         if validation is not None and isinstance(est, GBTClassifier):
             held = _rows(validation, features, target, keep).withColumn("_val", F.lit(True))
             rows = rows.unionByName(held)
             est = est.setValidationIndicatorCol("_val")
+        own = C(weight) if weight else F.lit(1.0)
+        up, down = per_class.get(h, (1.0, 1.0))
+        rows = rows.withColumn("_weight", own * F.when(C("label") == 1.0, up).otherwise(down))
         rows = materialize(rows)
         classes = rows.filter(~C("_val")).agg(F.countDistinct("label").alias("n")).first()["n"]
         if classes < 2:
@@ -219,6 +228,14 @@ def feature_importance(
     return ranked.withColumn("family", F.regexp_replace("feature", r"_[^_]*$", ""))
 
 
+def family_counts(importance: DataFrame) -> DataFrame:
+    """Per horizon and family of ``feature_importance``: its features among the top, their share of the
+    importance and the best of their ranks."""
+    return importance.groupBy("horizon", "family").agg(
+        F.count("*").alias("n_features"), F.sum("importance").alias("importance"), F.min("rank").alias("best_rank")
+    )
+
+
 def save_models(models: dict[int, Model], path: str, spark: SparkSession, features: Sequence[str]) -> None:
     """Spark ML models per horizon and a manifest table."""
     for h, m in models.items():
