@@ -37,10 +37,11 @@ from barloom.llm.common import arrow_type, crc_mod, stored
 
 FOLDS, SHORT, CLASS, FREQUENT = 10, 2048, 64, 65_536
 HIDDEN, WINDOW, LANES = 16, 32, 512
-ROUNDS, TRAIN_LANES, RATE, FAN = 2, 64, 0.01, 32
-BUFFER, FLUSH = 1_000_000, 200_000
+ROUNDS, TRAIN_LANES, RATE, FAN = 2, 128, 0.01, 32
+BUFFER, FLUSH = 1_000_000, 400_000
 END = b""  #: no word is empty
 F4 = np.float32
+ONES = np.ones(SHORT // CLASS + CLASS + 1, F4)
 LOG10 = float(np.log(10))
 
 
@@ -140,59 +141,86 @@ def initial(words: Words, seed: int = 0) -> dict[str, np.ndarray]:
     return {k: np.ascontiguousarray(v, F4) for k, v in p.items()}
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def states(p: dict, gates: np.ndarray, sym: np.ndarray, start: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """States before each step of a window, and the one after it; gates: input products of the symbols."""
+    """States before each step of a window, and the one after it; gates: input products of the symbols.
+
+    Inside, lanes are the last axis, so gates are whole rows; ``keep`` gets them as they are.
+    """
     k = HIDDEN
-    out = np.empty((*sym.shape, k), F4)
+    out = np.empty((len(sym), k, sym.shape[1]), F4)
+    u, uc = np.ascontiguousarray(-p["u"][:, : 2 * k].T), np.ascontiguousarray(p["u"][:, 2 * k :].T)
+    go = (~start).astype(F4)
+    inputs = np.ascontiguousarray(gates[sym].transpose(0, 2, 1))
+    h = h.T
     for t in range(len(sym)):
-        h = out[t] = h * ~start[t][:, None]
-        g = gates[sym[t]]
-        zr = sigmoid(g[:, : 2 * k] + h @ p["u"][:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        rs = r * h
-        c = np.tanh(g[:, 2 * k :] + rs @ p["u"][:, 2 * k :])
+        h = np.multiply(h, go[t], out=out[t])
+        zr = u @ h
+        zr -= inputs[t, : 2 * k]
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        rs = zr[k:] * h
+        c = uc @ rs
+        c += inputs[t, 2 * k :]
+        np.tanh(c, out=c)
         if keep is not None:
-            keep.append((z, r, rs, c))
-        h = h + z * (c - h)
-    return out, h
+            keep.append((zr, rs, c))
+        step = c - h
+        step *= zr[:k]
+        step += h
+        h = step
+    return out.transpose(0, 2, 1), h.T
+
+
+def steady(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether products of states, all within -1 and 1, and the weights of a class can neither overflow nor all vanish."""
+    reach = np.abs(w).sum(-2)
+    return ((b + reach).max(-1) < 60) & ((b - reach).max(-1) > -60)
+
+
+def softmax(s: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probabilities of the columns ``at``, and the unscaled exponentials with their sums; not ``plain``: the
+    largest product of each row is taken off first."""
+    x = s @ w
+    x += b
+    if not plain:
+        x -= x.max(1, keepdims=True)
+    out = x[np.arange(len(s)), at]
+    e = np.exp(x, out=x)
+    total = e @ ONES[: e.shape[1]]
+    return out - np.log(total), e, total
+
+
+def slopes(s: np.ndarray, w: np.ndarray, e: np.ndarray, total: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients of the negative log probabilities: of weights, biases and states."""
+    e[np.arange(len(s)), at] -= total
+    share = 1 / total
+    return (s * share[:, None]).T @ e, share @ e, (e @ w.T) * share[:, None]
 
 
 def likelihood(p: dict, s: np.ndarray, sym: np.ndarray, g: dict | None = None) -> np.ndarray:
     """Natural log probabilities of flat symbols; with ``g``, gradients of the negative sum and ``g['s']``."""
     cls = np.where(sym > 0, (sym - 1) // CLASS + 1, 0)
-    rows = np.arange(len(sym))
-    x = s @ p["cw"] + p["cb"]
-    x -= x.max(1, keepdims=True)
-    e = np.exp(x)
-    total = e.sum(1)
-    out = x[rows, cls] - np.log(total)
+    out, e, total = softmax(s, p["cw"], p["cb"], cls, bool(steady(p["cw"], p["cb"])))
     if g is not None:
-        e /= total[:, None]
-        e[rows, cls] -= 1
-        g["cw"], g["cb"], g["s"] = s.T @ e, e.sum(0), e @ p["cw"].T
+        g["cw"], g["cb"], g["s"] = slopes(s, p["cw"], e, total, cls)
         g["ow"], g["ob"] = np.zeros_like(p["ow"]), np.zeros_like(p["ob"])
-    order = np.argsort(cls, kind="stable")
+    plain = steady(p["ow"], p["ob"]).tolist()
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     cuts = np.searchsorted(cls[order], np.arange(1, len(p["ob"]) + 2))
-    for c in range(len(p["ob"])):
-        at = order[cuts[c] : cuts[c + 1]]
-        if not len(at):
+    order, cuts = order[cuts[0] :], cuts - cuts[0]
+    sorted_s, inside = s[order], (sym[order] - 1) % CLASS
+    more, ds = np.empty(len(order), F4), np.empty_like(sorted_s)
+    for c, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if lo == hi:
             continue
-        inside = (sym[at] - 1) % CLASS
-        x = s[at] @ p["ow"][c] + p["ob"][c]
-        x -= x.max(1, keepdims=True)
-        e = np.exp(x)
-        total = e.sum(1)
-        k = np.arange(len(at))
-        out[at] += x[k, inside] - np.log(total)
+        own = sorted_s[lo:hi], p["ow"][c]
+        more[lo:hi], e, total = softmax(*own, p["ob"][c], inside[lo:hi], plain[c])
         if g is not None:
-            e /= total[:, None]
-            e[k, inside] -= 1
-            g["ow"][c], g["ob"][c] = s[at].T @ e, e.sum(0)
-            g["s"][at] += e @ p["ow"][c].T
+            g["ow"][c], g["ob"][c], ds[lo:hi] = slopes(*own, e, total, inside[lo:hi])
+    out[order] += more
+    if g is not None:
+        g["s"][order] += ds
     return out
 
 
@@ -214,28 +242,59 @@ class Trainer:
         n = max(1, int(real.sum()))
         ds = np.zeros((s.size // k, k), F4)
         ds[real] = g.pop("s")
-        ds = ds.reshape(s.shape)
-        g["u"], dh, dg = np.zeros_like(p["u"]), np.zeros_like(h), np.zeros((*sym.shape, 3 * k), F4)
+        ds = np.ascontiguousarray(ds.reshape(s.shape).transpose(0, 2, 1))
+        at = s.transpose(0, 2, 1)
+        dh, dg = np.zeros_like(ds[0]), np.empty((len(sym), 3 * k, sym.shape[1]), F4)
+        uc, uzr = np.ascontiguousarray(p["u"][:, 2 * k :]), np.ascontiguousarray(p["u"][:, : 2 * k])
+        go = (~start).astype(F4)
         for t in range(len(sym) - 1, -1, -1):
-            z, r, rs, c = kept[t]
-            dc = dh * z * (1 - c * c)
-            drs = dc @ p["u"][:, 2 * k :].T
-            dzr = np.concatenate([dh * (c - s[t]) * z * (1 - z), drs * s[t] * r * (1 - r)], 1)
-            g["u"][:, 2 * k :] += rs.T @ dc
-            g["u"][:, : 2 * k] += s[t].T @ dzr
-            dg[t] = np.concatenate([dzr, dc], 1)
-            dh = (dh * (1 - z) + drs * r + dzr @ p["u"][:, : 2 * k].T + ds[t]) * ~start[t][:, None]
-        per = np.zeros((len(p["emb"]), 3 * k), F4)
-        np.add.at(per, sym.ravel(), dg.reshape(-1, 3 * k))
-        g["w"], g["b"], g["emb"] = p["emb"].T @ per, per.sum(0), per @ p["w"].T
+            zr, rs, c = kept[t]
+            dz = dh * zr[:k]
+            dc = np.multiply(dz, 1 - c * c, out=dg[t, 2 * k :])
+            drs = uc @ dc
+            np.multiply(dz, c - at[t], out=dg[t, :k])
+            np.multiply(drs, rs, out=dg[t, k : 2 * k])
+            dzr = dg[t, : 2 * k]
+            dzr *= 1 - zr
+            dh -= dz
+            drs *= zr[k:]
+            dh += drs
+            dh += uzr @ dzr
+            dh += ds[t]
+            dh *= go[t]
+        flat = dg.transpose(0, 2, 1).reshape(-1, 3 * k)
+        before, reset = s.reshape(-1, k), np.stack([x[1] for x in kept]).transpose(0, 2, 1).reshape(-1, k)
+        g["u"] = np.concatenate([before.T @ flat[:, : 2 * k], reset.T @ flat[:, 2 * k :]], 1)
+        # one sum per symbol: equal symbols side by side
+        order = np.argsort(sym.ravel().astype(np.int16), kind="stable")
+        by = sym.ravel()[order]
+        cuts = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+        met, per = by[cuts], np.add.reduceat(flat[order], cuts, axis=0)
+        g["w"], g["b"], g["emb"] = p["emb"][met].T @ per, per.sum(0), np.zeros_like(p["emb"])
+        g["emb"][met] = per @ p["w"].T
         self.steps += 1
         self.seen += n
+        rate, far = RATE / (1 - 0.9**self.steps), 1 / (1 - 0.99**self.steps)
         for name, v in p.items():
             m, q = self.m[name]
-            x = g[name] / n
-            m += 0.1 * (x - m)
-            q += 0.01 * (x * x - q)
-            v -= (RATE * (m / (1 - 0.9**self.steps)) / (np.sqrt(q / (1 - 0.99**self.steps)) + 1e-8)).astype(F4)
+            x = g[name]
+            x /= n
+            x -= m
+            x *= 0.1
+            m += x
+            # the squared gradient, from the moved mean: x holds a tenth of what it moved by
+            x *= 9
+            x += m
+            x *= x
+            x -= q
+            x *= 0.01
+            q += x
+            np.multiply(q, far, out=x)
+            np.sqrt(x, out=x)
+            x += 1e-8
+            np.divide(m, x, out=x)
+            x *= rate
+            v -= x
         return last
 
     def train(self, symbols: list[np.ndarray]) -> None:
@@ -357,16 +416,17 @@ def scores(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", id_type), *T._parse_datatype_string("uid bigint, n_tokens bigint, n_known bigint, base double, lm double, rare array<struct<word:binary,times:int>>")])
 
     def run(batches):
+        from collections import Counter
+
         from pyspark import TaskContext
 
         words, p = shared.value
         uid = TaskContext.get().partitionId() << 32
-        rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
-        first = None
         for ids, texts in buffered(batches, 2):
             parts = [tokens(t or b"") for t in texts]
             size = np.fromiter(map(len, parts), np.int64, len(parts))
-            flat = words.ids([*chain.from_iterable(parts)])
+            every = [*chain.from_iterable(parts)]
+            flat = words.ids(every)
             cuts = np.concatenate([[0], np.cumsum(size)])
             known = flat >= 0
             base = np.add.reduceat(np.where(known, words.base[flat], 0), cuts[:-1])
@@ -374,12 +434,18 @@ def scores(docs: DataFrame) -> DataFrame:
             n_known = np.add.reduceat((known & (words.n[flat] > 0)).astype(np.int64), cuts[:-1])
             sym = words.symbols(flat)
             lm = score(p, [sym[a:b] for a, b in zip(cuts, cuts[1:])]) / LOG10 + other
-            rare: list[dict] = [{} for _ in parts]
-            for at, d in zip(np.flatnonzero(~known).tolist(), np.repeat(np.arange(len(parts)), size)[~known].tolist()):
-                w = parts[d][at - cuts[d]]
-                rare[d][w] = rare[d].get(w, 0) + 1
+            unknown = np.flatnonzero(~known)
+            rare, ends = [every[i] for i in unknown.tolist()], np.searchsorted(unknown, cuts).tolist()
+            words_of, times_of, offsets = [], [], [0]
+            for a, b in zip(ends, ends[1:]):
+                if b > a:
+                    n = Counter(rare[a:b])
+                    words_of += n.keys()
+                    times_of += n.values()
+                offsets.append(len(words_of))
+            pairs = pa.StructArray.from_arrays([pa.array(words_of, pa.binary()), pa.array(times_of, pa.int32())], ["word", "times"])
             first = pa.array(ids, arrow_type(id_type))
-            rare_col = pa.array([[{"word": w, "times": n} for w, n in r.items()] for r in rare], rare_type)
+            rare_col = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
             cols = [first, pa.array(np.arange(uid, uid + len(ids))), pa.array(size), pa.array(n_known), pa.array(base), pa.array(lm), rare_col]
             uid += len(ids)
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
