@@ -124,8 +124,28 @@ def q_predict_long(spark, sf):
 
 @query()
 def q_fit_ensemble(spark, sf):
+    """Boosting, extra trees and ordered boosting: mean and deviation of the three."""
     d = dataset(spark, sf)
-    return M.predict_ensemble(M.fit_ensemble(d["train"], FEATURES, HS), d["test"], FEATURES)
+    models = M.fit_tree_ensemble(d["train"], FEATURES, HS, validation=d["val"])
+    return H.ensemble_moments(M.tree_members(models, d["test"], FEATURES))
+
+
+@query(f"""WITH {_ROWS}, m(member) AS (VALUES ('boosted'), ('extra_trees'), ('ordered'))
+  SELECT horizon, member, count(*) AS n_rows, count(*) AS n_probable, 1 AS better FROM purged, (SELECT unnest({list(HS)}) AS horizon), m
+  WHERE split = 'test' AND {_KNOWN} GROUP BY horizon, member""")
+def q_ensemble_checks(spark, sf):
+    """Every member learns a planted signal of every horizon: all test rows scored with probabilities, far better than chance."""
+    d = dataset(spark, sf)
+    train, test = planted(d["train"]), materialize(planted(d["test"]))
+    scored = materialize(M.tree_members(M.fit_tree_ensemble(train, FEATURES, HS), test, FEATURES))
+    rows = scored.groupBy("horizon", "member").agg(F.count("*").alias("n_rows"), F.count_if(F.col("mean").between(0, 1)).alias("n_probable"))
+    truth = targets_long(test, HS, "target_h")
+    found = None
+    for name in ("boosted", "extra_trees", "ordered"):
+        part = H.auc(H.with_actuals(scored.filter(F.col("member") == name).drop("member"), truth))
+        part = part.select("horizon", F.lit(name).alias("member"), (F.col("auc") > 0.9).cast("int").alias("better"))
+        found = part if found is None else found.unionByName(part)
+    return rows.join(found, ["horizon", "member"])
 
 
 @query()

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from barloom.operators.predictions import ensemble_moments, primary_wide_join
 from barloom.operators.splits import forward_folds
 from barloom.operators.targets import meta_target
+from barloom.operators.trees import TreeModel, fit_extra_trees, fit_ordered_boosting, predict_trees, tree_rows
 from barloom.session import materialize
 
 C = F.col
@@ -140,6 +141,37 @@ def predict_ensemble(
     return ensemble_moments(out)
 
 
+def fit_tree_ensemble(
+    train: DataFrame, features: Sequence[str], horizons: Sequence[int], *,
+    validation: DataFrame | None = None, weight: str | None = None, prefix: str = "target_h",
+    rounds: int = 20, n_trees: int = 20, depth: int = 5,
+) -> tuple[dict[int, Model], dict[str, TreeModel]]:
+    """Gradient boosting per horizon, and extra trees and ordered boosting of all horizons together.
+
+    Early stopping on ``validation`` is for the first alone; ``weight`` goes to all three.
+    """
+    boost = fit_per_horizon(
+        train, features, horizons, validation=validation, weight=weight, prefix=prefix, learner=boosted(rounds)
+    )
+    rows = tree_rows(train, features, horizons, prefix=prefix, weight=weight)
+    return boost, {
+        "extra_trees": fit_extra_trees(rows, n_trees=n_trees, depth=depth),
+        "ordered": fit_ordered_boosting(rows, n_rounds=max(1, rounds // 2)),
+    }
+
+
+def tree_members(
+    models: tuple[dict[int, Model], dict[str, TreeModel]], df: DataFrame, features: Sequence[str]
+) -> DataFrame:
+    """(ts, ticker, horizon, member, mean, std) of all three members; horizons that all of them know."""
+    boost, trees = models
+    shared = set(boost).intersection(*[set(m.horizons) for m in trees.values()])
+    if not shared:
+        raise ValueError("no fitted horizon")
+    first = predict_long({h: boost[h] for h in sorted(shared)}, df, features).withColumn("member", F.lit("boosted"))
+    return first.unionByName(predict_trees(trees, df).filter(C("horizon").isin(sorted(shared))))
+
+
 def oof_predictions(
     train: DataFrame, features: Sequence[str], horizons: Sequence[int], *,
     n_splits: int = 5, learner: object | None = None, prefix: str = "target_h",
