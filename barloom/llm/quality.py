@@ -10,8 +10,8 @@ blocks, and the ``NEIGHBOURS`` nearest vote with ``cosine ** POWER`` as weight.
 
 Scoring is one pass over the rows without a shuffle. Null and empty texts have no terms;
 their score is the share of label 1 in the fit sample. Without labels of the fit share the
-score is 0.5. Neighbours of equal cosine are ranked by their place in the sample, so repeated
-rows score alike. Rows of null doc_id are scored; they never train.
+score is 0.5. Cosines count in steps of 1 / ``STEPS``, above the rounding of a matrix product; neighbours of equal cosine
+are ranked by their place in the sample, so repeated rows score alike. Rows of null doc_id are scored; they never train.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from barloom.llm.common import add_columns, crc_mod
 
 TERMS, LATENT, NEIGHBOURS, POWER = 4096, 64, 15, 4
 REPEATS = 4.0
+STEPS = 1 << 20
 FIT_ROWS, FIT_BYTES = 4000, 24 << 20
 FOLDS = 5
 
@@ -83,8 +84,11 @@ def vote(model: dict, texts: list[bytes]) -> np.ndarray:
         size = np.linalg.norm(z, axis=1, keepdims=True)
         near = (z / np.maximum(size, 1e-9)) @ model["z"].T
         k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(near, top, 1), 1e-6) ** POWER
+        # whole steps of the cosine, then the place from the end: no two neighbours rank alike
+        level = np.rint(near.astype(np.float64) * STEPS).astype(np.int64)
+        rank = level * near.shape[1] - np.arange(near.shape[1])
+        top = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+        w = np.maximum(np.take_along_axis(level, top, 1) / STEPS, 1e-6) ** POWER
         score = (w * model["y"][top]).sum(1) / w.sum(1)
         some = (c.sum(1) > 0) & (size[:, 0] > 1e-9)
         out[i : i + block][some] = score[some]

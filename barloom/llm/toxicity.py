@@ -11,8 +11,10 @@ Labels mark documents, so training starts with every window of a toxic document
 positive, then keeps of each toxic document the windows that the network itself finds
 toxic. The fit sample holds at most ``FIT_ROWS`` labelled rows and 24 MB of whole texts
 outside the held-out fold (a documented bound); it is trained on the driver and the weights (under 2 MB) are
-broadcast. Scoring is one Arrow pass without a shuffle: windows of a batch are run
-``CHUNK`` at a time, so memory does not follow the length of a text.
+broadcast. An epoch trains on at most ``EPOCH_TOXIC`` toxic windows of the sample and on as many clean ones as there are toxic ones in it, or
+``EPOCH_CLEAN`` where there are fewer toxic ones; all are drawn anew each epoch. These bounds are part of the bound of the label
+sample and touch no scored text. Scoring is one Arrow pass without a shuffle over all windows of all texts, ``CHUNK`` at a
+time; a worker holds the windows of one batch, which is 4 MB of texts or one longer text.
 
 Null and empty texts, or texts without words, get the share of label 1 in the fit sample;
 without labels of the fit fold every score is 0.5 and predicted is 1. Repeated rows score
@@ -33,6 +35,7 @@ WINDOW, STRIDE, HIDDEN = 32, 16, 8
 WORD_DIM, CHAR_DIM, CHARS = 8, 8, 4096
 MIN_DOCS, MAX_WORDS = 4, 8000
 FIT_ROWS, EPOCHS, BATCH, RATE = 4000, 5, 256, 0.005
+EPOCH_TOXIC, EPOCH_CLEAN = 12_000, 6000
 CHUNK = 2048
 _KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
 F4 = np.float32
@@ -245,8 +248,8 @@ def fit(texts: list[bytes], labels: list[int], seed: int = 0) -> dict:
             np.maximum.at(best, owner, logit)
             pos = pos[(logit[pos] >= 0) | (logit[pos] == best[owner[pos]])]
         for _ in range(EPOCHS):
-            some = rng.choice(neg, min(len(neg), max(len(pos), 6000)), replace=False)
-            order = rng.permutation(np.concatenate([rng.choice(pos, min(len(pos), 12000), replace=False), some]))
+            some = rng.choice(neg, min(len(neg), max(len(pos), EPOCH_CLEAN)), replace=False)
+            order = rng.permutation(np.concatenate([rng.choice(pos, min(len(pos), EPOCH_TOXIC), replace=False), some]))
             share = len(pos) / (len(pos) + len(some))
             for i in range(0, len(order), BATCH):
                 rows = order[i : i + BATCH]
