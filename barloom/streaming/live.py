@@ -74,49 +74,79 @@ def validity_days(daily: DataFrame, days: DataFrame, values: Sequence[str], key:
     return asof(grid, right, key=key, ts="day", values=values, bucket=F.year("day"))
 
 
-def latest_alerts_sink(path: str, **rules) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: one table version per batch with the newest forecast
-    of every ticker seen so far, replacing older ones.
+FOLD_EVERY = 16
 
-    A batch is a version folder named by its id, so a repeated batch overwrites
-    itself and readers take the newest version.
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """The newest row of every ticker; of one time, that of the later batch."""
+    values = [c for c in rows.columns if c != "ticker"]
+    return rows.groupBy("ticker").agg(
+        F.max_by(F.struct(*values), F.struct("ts", "_batch")).alias("_r")
+    ).select("ticker", "_r.*")
+
+
+def _written(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Batch ids of the complete ``kind=`` folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [(x.getPath(), x.getPath().getName().partition("=")) for x in fs.listStatus(root)]
+    return sorted(
+        int(name[2]) for where, name in names
+        if name[0] == kind and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(where, "_SUCCESS"))
+    )
+
+
+def _parts(spark: SparkSession, path: str, last: int, before: int) -> list[str]:
+    """The newest base older than batch ``before`` and the changes after it, up to batch ``last``."""
+    bases = [b for b in _written(spark, path, "base") if b < before]
+    since = bases[-1] if bases else -1
+    changes = [f"{path}/change={d}" for d in _written(spark, path, "change") if since < d <= last]
+    return [f"{path}/base={since}"] * (since >= 0) + changes
+
+
+def latest_alerts_sink(path: str, fold_every: int = FOLD_EVERY, **rules) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of the newest forecast of every ticker, as changes on a base.
+
+    A batch writes the tickers it holds and no others, into a folder named by its id, so a repeated
+    batch overwrites itself. Every ``fold_every`` batches the changes are folded into a new base;
+    the one before and its changes stay until the next fold, as readers may hold them.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = alerts(batch, **rules)
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/version={batch_id - 1}")
-            fresh = fresh.unionByName(old)
-        newest = fresh.groupBy("ticker").agg(
-            F.max_by(F.struct(*[c for c in fresh.columns if c != "ticker"]), "ts").alias("_r")
-        ).select("ticker", "_r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        # readers may hold the version before; older ones go
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        fresh = _newest(alerts(batch, **rules).withColumn("_batch", F.lit(batch_id).cast("bigint")))
+        fresh.write.mode("overwrite").parquet(f"{path}/change={batch_id}")
+        if (batch_id + 1) % fold_every:
+            return
+        parts = _parts(spark, path, batch_id, batch_id)
+        _newest(spark.read.schema(fresh.schema).parquet(*parts)).write.mode("overwrite").parquet(f"{path}/base={batch_id}")
+        held = batch_id - fold_every
+        gone = [f"change={d}" for d in _written(spark, path, "change") if d <= held]
+        gone += [f"base={b}" for b in _written(spark, path, "base") if b < held]
+        for name in gone:
+            old = spark._jvm.org.apache.hadoop.fs.Path(path, name)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return upsert
 
 
 def latest_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version, by folder name."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [
-        int(x.getPath().getName().partition("=")[2]) for x in fs.listStatus(root)
-        if x.getPath().getName().startswith("version=")
-        and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))
-    ]
-    return spark.read.parquet(f"{path}/version={max(done)}")
+    """The newest row of every ticker over the base and the changes since."""
+    last = max(_written(spark, path, "change") + _written(spark, path, "base"), default=-1)
+    if last < 0:
+        raise ValueError(f"nothing written yet under {path}")
+    return _newest(spark.read.parquet(*_parts(spark, path, last, last + 1))).drop("_batch")
 
 
 def start_latest_alerts(
-    predictions: DataFrame, path: str, checkpoint: str, every: str | None = "900 seconds", **rules
+    predictions: DataFrame, path: str, checkpoint: str, every: str | None = "900 seconds",
+    fold_every: int = FOLD_EVERY, **rules,
 ):
     """Run the alert table at a cadence, or once over what is there (``every=None``)."""
     writer = (
-        predictions.writeStream.foreachBatch(latest_alerts_sink(path, **rules))
+        predictions.writeStream.foreachBatch(latest_alerts_sink(path, fold_every, **rules))
         .option("checkpointLocation", checkpoint)
     )
     trigger = {"availableNow": True} if every is None else {"processingTime": every}

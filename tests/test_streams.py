@@ -45,12 +45,31 @@ def test_rows_do_not_depend_on_the_files(spark, tmp_path, files):
     pd.testing.assert_frame_equal(got, batch.iloc[: len(got)][got.columns.tolist()])
 
 
-def test_alert_versions_are_bounded(spark, tmp_path):
-    f = pd.DataFrame({"ts": pd.date_range("2024-01-01", periods=6), "ticker": "a", "horizon": 1, "mean": np.linspace(0.1, 0.6, 6), "std": 0.1})
+def test_alert_batches_write_their_own_tickers(spark, tmp_path):
+    """Many tickers once, then two a batch: later batches write two rows, folders stay bounded, the newest rows are right."""
+    first = pd.DataFrame({"ts": pd.Timestamp("2024-01-01"), "ticker": [f"t{i:03d}" for i in range(200)], "horizon": 1, "mean": np.linspace(0.1, 0.9, 200), "std": 0.1})
+    later = [first.iloc[[i, 199 - i]].assign(ts=pd.Timestamp("2024-01-02") + pd.Timedelta(days=i), mean=0.2 + 0.05 * i) for i in range(9)]
     src, out = str(tmp_path / "in"), tmp_path / "alerts"
-    for i in range(6):
-        spark.createDataFrame(f.iloc[i : i + 1]).coalesce(1).write.mode("append").parquet(src)
-    stream = V.read_parquet_stream(spark, src, spark.createDataFrame(f).schema, 1)
-    V.start_latest_alerts(stream, str(out), str(tmp_path / "check"), every=None).awaitTermination()
-    assert len(list(out.glob("version=*"))) == 2
-    assert [str(r["ts"].date()) for r in V.latest_alerts(spark, str(out)).collect()] == ["2024-01-06"]
+    for part in [first, *later]:
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(src)
+    stream = V.read_parquet_stream(spark, src, spark.createDataFrame(first).schema, 1)
+    V.start_latest_alerts(stream, str(out), str(tmp_path / "check"), every=None, fold_every=4).awaitTermination()
+    written = {p.name: spark.read.parquet(str(p)).count() for p in out.glob("*=*")}
+    assert sorted(written) == ["base=3", "base=7", *[f"change={i}" for i in range(4, 10)]]
+    assert all(n == (200 if name.startswith("base") else 2) for name, n in written.items())
+    got = V.latest_alerts(spark, str(out)).toPandas().set_index("ticker").sort_index()
+    want = pd.concat([first, *later]).sort_values("ts", kind="stable").groupby("ticker").last()
+    assert list(got.index) == list(want.index)
+    assert (got["ts"] == want["ts"]).all() and np.allclose(got["expected_return"], want["mean"])
+
+
+def test_a_repeated_alert_batch_changes_nothing(spark, tmp_path):
+    f = spark.createDataFrame(pd.DataFrame({"ts": pd.Timestamp("2024-01-01"), "ticker": ["a", "b"], "horizon": 1, "mean": [0.3, 0.4], "std": 0.1}))
+    out = str(tmp_path / "alerts")
+    with pytest.raises(ValueError):
+        V.latest_alerts(spark, out)
+    write = V.latest_alerts_sink(out, fold_every=2)
+    for batch, rows in ((0, f), (1, f.where("ticker = 'b'")), (1, f.where("ticker = 'b'")), (2, f.limit(0)), (3, f.limit(0)), (3, f.limit(0))):
+        write(rows, batch)
+    got = V.latest_alerts(spark, out)
+    assert "_batch" not in got.columns and [r["ticker"] for r in got.orderBy("ticker").collect()] == ["a", "b"]
