@@ -20,6 +20,7 @@ Null and empty texts hold the end id only. Null doc_ids come first, equal ones b
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from array import array
 
@@ -126,7 +127,7 @@ class SequenceWriter:
         self.fs, root = pa.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
         self.final = f"{root}/{name}"
-        self.part = f"{self.final}.{id(self)}.tmp"
+        self.part = f"{self.final}.{uuid.uuid4().hex}.tmp"
         self.length, self.sequences = length, sequences
         self.schema, self.dtype = file_schema(length, wide), np.dtype("<u4" if wide else "<u2")
         self.sink = self.fs.open_output_stream(self.part)
