@@ -153,3 +153,25 @@ def test_ranks_and_quantiles(spark, bars, splits):
     for r in q.itertuples():
         want = np.quantile(b.loc[b.ticker == r.ticker, "close"], r.q)
         assert abs(r.quantile - want) < 1e-9
+
+
+@pytest.mark.parametrize("splits", [2, 7, 64, 1000])
+def test_quantiles_sort_only_the_ranges_they_need(spark, splits):
+    """Uneven values, ties and a group of one row: exact, by plans that never deal rows by their group alone."""
+    r = np.random.default_rng(3)
+    v = np.concatenate([r.normal(size=3000) ** 3, np.repeat(0.25, 900), [np.nan] * 5])
+    b = pd.DataFrame({"g": np.where(np.arange(len(v)) % 3 == 0, "a", "b"), "v": v})
+    b.loc[len(b)] = ["one", 4.5]
+    df = spark.createDataFrame(b).withColumn("v", F.nanvl("v", F.lit(None))).repartition(5)
+    probs = [0.0, 0.01, 0.333, 0.5, 0.9, 1.0]
+    frame = quantiles(df, ["g"], "v", probs, splits=splits)
+    got = {(x.g, x.q): (x.n, x.quantile) for x in frame.collect()}
+    assert len(got) == 3 * len(probs)
+    for (g, q), (n, x) in got.items():
+        known = b.loc[b.g == g, "v"].dropna()
+        assert n == len(known) and abs(x - np.quantile(known, q)) < 1e-12
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(filter" not in plan and "strategy=broadcast" in plan
+    ranks = average_ranks(df, ["g"], "v", splits=splits).filter("v is not null").toPandas()
+    for _, rows in ranks.groupby("g"):
+        np.testing.assert_allclose(rows["rank"].astype(float), rows.v.rank())
