@@ -20,6 +20,7 @@ from barloom.session import materialize
 
 C = F.col
 BAR_BLOCK = 4096
+MARK_BLOCK = 64  #: bars whose closes of a ticker meet a trade as one row
 
 # Costs per side and starting capital.
 COST_PER_SIDE = 0.0005
@@ -281,12 +282,25 @@ def book_marks(
     indexed = on_axis(prices)
     axis = indexed.select("ts", "bar").distinct()
     quantity = C("invested") * (1.0 - cost) / C("entry_price")
-    held = trades.select(
-        *run, "ticker", "entry_price", "invested", quantity.alias("_q"),
-        F.explode(F.sequence(C("entry_bar") - 1, C("exit_bar") - 1)).alias("bar"),
+    # a trade meets the closes of a block of bars in one row; its bars are made after the join and
+    # summed at once, so they are never shuffled
+    block = F.floor(C("bar") / MARK_BLOCK).alias("_blk")
+    at = F.map_from_entries(F.collect_list(F.struct(C("bar") - F.floor(C("bar") / MARK_BLOCK) * MARK_BLOCK, "close")))
+    closes = indexed.select("ticker", "bar", "close").groupBy("ticker", block).agg(at.alias("_at")).select(
+        "ticker", "_blk",
+        F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(MARK_BLOCK - 1).cast("bigint")), lambda i: F.try_element_at("_at", i)).alias("_closes"),
     )
+    first, last = C("entry_bar") - 1, C("exit_bar") - 1
+    spans = trades.select(
+        *run, "ticker", "entry_price", "invested", quantity.alias("_q"), first.alias("_first"), last.alias("_last"),
+        F.explode(F.sequence(F.floor(first / MARK_BLOCK), F.floor(last / MARK_BLOCK))).alias("_blk"),
+    )
+    start = C("_blk") * MARK_BLOCK
+    bars = F.sequence(F.greatest("_first", start), F.least("_last", start + (MARK_BLOCK - 1)))
     marked = (
-        held.join(indexed.select("ticker", "bar", "close"), ["ticker", "bar"], "left")
+        spans.join(closes, ["ticker", "_blk"], "left")
+        .select(*run, "entry_price", "invested", "_q", "_closes", start.alias("_start"), F.explode(bars).alias("bar"))
+        .withColumn("close", F.get("_closes", (C("bar") - C("_start")).cast("int")))
         .groupBy(*run, "bar")
         .agg(F.sum(C("_q") * F.coalesce("close", "entry_price") - C("invested")).alias("_open"))
     )

@@ -345,3 +345,43 @@ def test_files(spark, tmp_path):
     kr = tmp_path / "k.xml"
     kr.write_text('<E xmlns:w="http://example.org"><w:KR><w:DT>2024-01-01</w:DT><w:Rate>16,0</w:Rate></w:KR><w:KR><w:DT>2024-01-02</w:DT></w:KR></E>')
     assert [r["key_rate"] for r in L.scan_key_rates(spark, str(kr)).collect()] == [16.0]
+
+
+def test_permutation_null_by_hand(spark):
+    """Labels dealt by the order of md5("k:i"); the starts of the buckets go to the copies, which travel once."""
+    from hashlib import md5
+
+    from barloom.operators.predictions import permutation_null
+
+    n, k = 60, 5
+    y, p = [float(i * 7 % 3 == 0) for i in range(n)], [0.05 + 0.9 * (i * 37 % n) / n for i in range(n)]
+    df = frame(spark, ts=daily(n), ticker=["a"] * n, horizon=[1] * n, mean=p, actual=y)
+    out = permutation_null(df, k)
+    null = []
+    for s in range(k):
+        order = sorted(range(n), key=lambda i: md5(f"{s}:{i}".encode()).hexdigest())
+        moved = [y[i] for i in order]
+        null.append(-sum(math.log(q if one else 1 - q) for one, q in zip(moved, p)) / n)
+    got = out.first()
+    assert math.isclose(got["loss_null_mean"], sum(null) / k) and math.isclose(got["loss_null_min"], min(null))
+    assert "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_book_marks_of_long_and_gappy_trades(spark):
+    """Trades over several blocks of bars; a bar without a close keeps the entry price. Bars are not shuffled."""
+    n, gaps = 200, {5, 64, 130, 199}
+    close = {b: 10.0 + b % 17 for b in range(n) if b not in gaps}
+    days = daily(n)
+    p = frame(spark, ts=[days[b] for b in close] + list(days), ticker=["a"] * len(close) + ["b"] * n, close=[*close.values(), *[1.0] * n])
+    held = [(1, "a", 10.0, 3, 4, 100.0, 1.0), (1, "a", 12.0, 1, 199, 50.0, 2.0), (2, "a", 20.0, 64, 129, 70.0, 3.0), (2, "c", 5.0, 128, 140, 10.0, 0.0)]
+    t = spark.createDataFrame(held, "run int, ticker string, entry_price double, entry_bar bigint, exit_bar bigint, invested double, pnl double")
+    _, marked, _ = R.book_marks(t, p, run=["run"], cost=0.01)
+    want = {}
+    for run, ticker, price, entry, leave, money, _ in held:
+        for b in range(entry - 1, leave):
+            now = close.get(b, price) if ticker == "a" else price
+            want[run, b] = want.get((run, b), 0.0) + money * 0.99 / price * now - money
+    got = {(r["run"], r["bar"]): r["_open"] for r in marked.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence(greatest") < plan.index("Join LeftOuter")
