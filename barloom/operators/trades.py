@@ -58,7 +58,7 @@ def trade_outcomes(
     buys = (
         signals.filter(C("action") == "BUY")
         .select("ts", "ticker", "horizon", "mean", *keep)
-        .join(axis, "ts")
+        .join(F.broadcast(axis), "ts")
         .crossJoin(F.broadcast(last_bar))
         .filter(C("bar") + 1 + C("horizon") <= C("_last"))
         .withColumnRenamed("ts", "signal_ts")
@@ -92,7 +92,7 @@ def trade_outcomes(
     )
     ends = axis.select(C("bar").alias("exit_bar"), C("ts").alias("_end_ts"))
     trades = (
-        trades.join(ends, "exit_bar")
+        trades.join(F.broadcast(ends), "exit_bar")
         .withColumn("close_ts", F.coalesce("close_ts", "_end_ts"))
         .drop("_end_ts")
     )
@@ -188,7 +188,8 @@ def signal_exit_pairs(
     indexed = on_axis(prices)
     axis = indexed.select("ts", "bar").distinct()
     last_bar = indexed.agg(F.max("bar").alias("_last"))
-    dec = decisions.join(axis, "ts")
+    # one row a time: signals stay where they are
+    dec = decisions.join(F.broadcast(axis), "ts")
     opens = (
         dec.filter(C("open_long"))
         .select("ticker", C("ts").alias("signal_ts"), (C("bar") + 1).alias("bar"), "p_long", *keep)
