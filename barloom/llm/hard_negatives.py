@@ -8,7 +8,8 @@ A shard holds the components of about ``SHARD_ROWS`` rows and, per dimension, th
 An anchor reads every list from the end that its component's sign prefers (sorted access), scores each row it meets from all
 its components (random access) and adds up what the next row of each list could give at most: the threshold.
 No row that was not met scores more, so the search of a shard ends once the threshold is strictly below the k-th score
-of every window, or below the window itself; ties at that score are met before. Lists are read in steps that double.
+of every window, or below the window itself; ties at that score are met before. Lists are read in steps that double, until
+few rows are left. Only rows that can lie in a window are sorted.
 
 Shards stay where they are: blocks of ``BLOCK`` anchors are dealt to all of them, as a stated query set against all
 rows in blocks is, and only k rows a window leave a shard; ranks are cut before they are shuffled.
@@ -29,6 +30,7 @@ from barloom.llm.common import forget, stored
 
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 3, 50, 95
 SHARD_ROWS, BLOCK = 8192, 256
+LEFT = 16  #: the rest of a shard is scored at once when it is less than one in so many rows
 NEVER = np.int64(-(1 << 62))
 
 
@@ -61,7 +63,12 @@ class Shard:
 
     def scores(self, rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         if self.real is not None and np.abs(anchor).max(initial=0) < 1 << 20:
-            return (self.real[rows] @ anchor.astype(np.float64)).astype(np.int64)
+            real = anchor.astype(np.float64)
+            # many rows are read in one pass, a copy of them costs more than the others' products
+            many = 4 * len(rows) > len(self.ids)
+            sums = np.einsum("rd,d->r", self.real if many else self.real[rows], real)
+            sums = sums[rows] if many else sums
+            return sums.astype(np.int64)
         return self.x[rows] @ anchor
 
     def best(self, anchor: np.ndarray, eligible: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -69,35 +76,37 @@ class Shard:
         n = len(self.ids)
         dims = np.flatnonzero(anchor)
         up = anchor[dims] > 0
-        met = np.zeros(n, bool)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        depth = 0
-        step = max(16, n // 32)
+        met, scores = np.zeros(n, bool), np.zeros(n, np.int64)
+        depth, step = 0, max(16, n // 32)
         while True:
             deeper = min(n, depth + step) if len(dims) else n
-            new = np.zeros(n, bool)
-            if deeper == n:
-                new[:] = True
-            else:
-                new[self.lists[dims[up], n - deeper : n - depth].ravel()] = True
-                new[self.lists[dims[~up], depth:deeper].ravel()] = True
-            new &= ~met
-            met |= new
-            fresh = np.flatnonzero(new & eligible)
-            rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, self.scores(fresh, anchor)])
-            order = np.lexsort((self.ids[rows], -scores))
-            rows, scores = rows[order], scores[order]
-            down = -100 * scores
-            first, last = np.searchsorted(down, -high, "left"), np.searchsorted(down, -low, "right")
-            depth, step = deeper, 2 * step
+            seen = met.copy()
+            if deeper < n:
+                seen[self.lists[dims[up], n - deeper : n - depth].ravel()] = True
+                seen[self.lists[dims[~up], depth:deeper].ravel()] = True
+            if deeper == n or (n - np.count_nonzero(seen)) * LEFT < n:
+                seen[:], deeper = True, n  # the few left are scored at once: their lists are longer than they
+            fresh = np.flatnonzero(seen & ~met & eligible)
+            scores[fresh] = self.scores(fresh, anchor)
+            met, depth, step = seen, deeper, 2 * step
+            # rows below all windows are not sorted; the others stand by id, as the shard does
+            rows = np.flatnonzero(met & eligible & (100 * scores >= low.min()))
+            sums = np.sort(100 * scores[rows])
+            first, last = np.searchsorted(sums, low, "left"), np.searchsorted(sums, high, "right")
+            full = last - first >= k
+            kth = np.where(full, sums[np.maximum(last - k, 0)], low) if len(sums) else low
             if depth == n:
                 break
             at = np.where(up, n - 1 - depth, depth)
             threshold = int(self.values[dims, at] @ anchor[dims])
-            kth = np.where(last - first >= k, 100 * scores[np.minimum(first + k, len(scores)) - 1] if len(scores) else 0, low)
             if (100 * threshold < kth).all():
                 break
-        return [(rows[a : min(a + k, b)], scores[a : min(a + k, b)]) for a, b in zip(first, last)]
+        out, sums = [], 100 * scores[rows]
+        for least, most in zip(kth, high):
+            held = rows[(sums >= least) & (sums <= most)]
+            held = held[np.argsort(-scores[held], kind="stable")][:k]
+            out.append((held, scores[held]))
+        return out
 
 
 def shards_of(v: DataFrame, count: int, dims: int) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from barloom.llm import collocations, hard_negatives
@@ -43,6 +44,27 @@ def test_hard_negatives(spark, monkeypatch):
     assert hard_negatives.mine(df.where("false"), F.col("id") % 50 == 0, F.col("label")).count() == 0
 
 
+def test_search_sorts_only_rows_of_a_window(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, dims = 4096, 64
+    x, labels = rng.integers(-64, 65, (n, dims)), rng.integers(0, 4, n)
+    lists = np.argsort(x, axis=0, kind="stable").T.astype(np.int32)
+    shard = hard_negatives.Shard(*(np.ascontiguousarray(a).tobytes() for a in (np.arange(n) * 3, labels, x, lists)))
+    sorted_rows = []
+    for name in ("sort", "lexsort", "argsort"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda a, *more, plain=plain, **kw: sorted_rows.append(np.shape(a)[-1]) or plain(a, *more, **kw))
+    for i in range(0, n, 400):
+        scores = x @ x[i]
+        best = np.partition(scores, -6)[-6:-1]
+        eligible = labels != labels[i]
+        got = shard.best(x[i], eligible, 50 * best, 95 * best, 3)
+        for b, (rows, found) in zip(best, got):
+            fit = sorted((-s, r) for r, s in enumerate(scores.tolist()) if eligible[r] and 50 * b <= 100 * s <= 95 * b)[:3]
+            assert [(-s, r) for r, s in zip(rows.tolist(), found.tolist())] == fit
+    assert sum(sorted_rows) < 11 * n / 2  # half a shard per search; all rows were sorted once a step
+
+
 def plain_collocations(rows, top):
     f, out = defaultdict(Counter), []
     for lang, text in rows:
