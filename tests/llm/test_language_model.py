@@ -70,6 +70,37 @@ def test_state_is_carried_over_whole_documents():
         assert np.allclose(lm.score(p, docs, lanes), want, rtol=1e-4)
 
 
+def test_long_documents_go_on_beside_the_next(monkeypatch):
+    _, p, rng = small()
+    exact = {k: v.astype(float) for k, v in p.items()}
+    blocks = []
+    plain_states = lm.states
+
+    def spy(p, gates, sym, *more):
+        blocks.append(sym.shape)
+        return plain_states(p, gates, sym, *more)
+
+    monkeypatch.setattr(lm, "states", spy)
+    for most in (lm.BUFFER, 500):
+        monkeypatch.setattr(lm, "BUFFER", most)
+        scorer, waiting, got = lm.Scorer(p, 8), [], []
+        parts = [[rng.integers(0, 152, n).astype(np.int32) for n in [900, *rng.integers(1, 60, 40)]] for _ in range(4)] + [[]]
+        blocks.clear()
+        for i, part in enumerate(parts):
+            waiting += part
+            sums, left = scorer.run(part, last=i == 4)
+            got += [(waiting[k], sums[k]) for k in range(len(waiting)) if k not in set(left.tolist())]
+            waiting = [waiting[k] for k in left]
+        assert not waiting and len(got) == 164
+        assert np.allclose([x for _, x in got], [walk(exact, d) for d, _ in got], rtol=1e-4)
+        if most > 500:  # all four long ones at once, where each ran on alone before
+            assert sum(steps for steps, _ in blocks) < 2 * 900
+    t = lm.Trainer(p)
+    for part in parts:
+        t.train(part, last=not part)
+    assert t.seen == sum(map(len, sum(parts, []))) and not t.lanes.left
+
+
 def test_probabilities_sum_to_one():
     words, p, rng = small()
     s = rng.standard_normal((3, lm.HIDDEN)).astype(np.float32)
