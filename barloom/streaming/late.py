@@ -8,15 +8,24 @@ coverage and thresholds are sums and exact quantiles over its windows, with no r
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.thresholds import conformal_two_sided
+from barloom.session import checkpoint_dir
 
 C = F.col
 EPOCH = "1970-01-01"
+SLICE = "_span"
+FILES = 8  #: files of a landed span, and of a batch
+
+
+def span_of(time: str, days: int) -> Column:
+    """Number of the span of ``days`` since the epoch."""
+    return F.floor(F.datediff(F.to_date(time), F.to_date(F.lit(EPOCH))) / days)
 
 
 def late_labels(
@@ -41,6 +50,28 @@ def late_labels(
     )
 
 
+def by_span(rows: DataFrame, time: str, days: int) -> DataFrame:
+    """``rows`` stored in a folder per span of ``days``, many files a span; rows without a time match nothing and are left out."""
+    path = f"{checkpoint_dir(rows.sparkSession)}/streams/{uuid.uuid4().hex}"
+    timed = rows.where(C(time).isNotNull()).withColumn(SLICE, span_of(time, days))
+    timed.repartitionByRange(SLICE, time, *[c for c in rows.columns if c != time]).write.partitionBy(SLICE).parquet(path)
+    return rows.sparkSession.read.schema(timed.schema).parquet(path)
+
+
+def land_spans(rows: DataFrame, path: str, files: int = FILES) -> None:
+    """Land a table of ``by_span``, each span in a write of its own, so that files are older the earlier their span.
+
+    A stream takes files by age. Rows of a span may come in any order, so a stream of several batches
+    needs a lateness of a span; it then loses none, wherever its batches begin, and its state holds
+    the wait and a few spans, whatever the length of the table.
+    """
+    spans = sorted(r[0] for r in rows.select(SLICE).distinct().collect())
+    if not spans:
+        rows.drop(SLICE).write.parquet(path)
+    for span in spans:
+        rows.where(C(SLICE) == span).drop(SLICE).repartition(files).write.mode("append").parquet(path)
+
+
 def window_calibration(
     pairs: DataFrame, days: int, alpha: float = 0.1, *, by: str = "horizon", known: str = "known_at"
 ) -> DataFrame:
@@ -48,8 +79,7 @@ def window_calibration(
     threshold, and the coverage of the quantile of the window before (null in the first one)."""
     if days < 1:
         raise ValueError(f"a window takes a day or more, not {days}")
-    span = F.floor(F.datediff(F.to_date(known), F.to_date(F.lit(EPOCH))) / days)
-    rows = pairs.filter(C("mean").isNotNull() & C("actual").isNotNull() & C(known).isNotNull()).withColumn("window", span)
+    rows = pairs.filter(C("mean").isNotNull() & C("actual").isNotNull() & C(known).isNotNull()).withColumn("window", span_of(known, days))
     made = conformal_two_sided(rows, alpha, group=[by, "window"])
     # one row per window: the frame below orders a short table
     order = Window.partitionBy(by).orderBy("window")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.catalog.q_models import run_to_table
+from barloom.catalog.registry import QUERIES
 from barloom.sources.incremental import save_partitions
 from barloom.streaming import late as W
 from barloom.streaming import live as V
@@ -61,6 +62,38 @@ def test_state_holds_the_wait_only(spark, tmp_path):
     assert len(q.recentProgress) >= 10 and max(held) < (len(preds) + len(labels)) / 2
 
 
+@pytest.mark.parametrize("batch", [2, 3])
+def test_spans_land_in_order_and_lose_no_pair(spark, tmp_path, batch):
+    """Rows dealt anyhow land a span after the other; batches may begin inside a span."""
+    preds, labels = rows()
+    sides = []
+    for name, data, schema, time in (("p", preds, P, "ts"), ("l", labels, L, "known_at")):
+        df = spark.createDataFrame(data[::-1], schema)
+        W.land_spans(W.by_span(df, time, 7), str(tmp_path / name), 2)
+        sides.append(V.read_parquet_stream(spark, str(tmp_path / name), df.schema, batch))
+    q = (
+        W.late_labels(*sides, "5 days", lateness="7 days").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(availableNow=True).start(str(tmp_path / "out"))
+    )
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = {
+        (ts, t, k, m, y) for ts, t, _, m in preds for lts, lt, _, k, y in labels
+        if t is not None and (ts, t) == (lts, lt) and ts <= k <= ts + dt.timedelta(days=5)
+    }
+    assert len(got) == len(want) and {(r.ts, r.ticker, r.known_at, r.mean, r.actual) for r in got} == want
+    held = [s["numRowsTotal"] for r in q.recentProgress for s in r["stateOperators"]]
+    assert len(q.recentProgress) >= 8 and max(held) < (len(preds) + len(labels)) / 2
+
+
+def test_the_query_runs_in_batches(spark, monkeypatch):
+    asked = []
+    read = V.read_parquet_stream
+    monkeypatch.setattr(V, "read_parquet_stream", lambda *a: asked.append(a) or read(*a))
+    assert QUERIES["stream_late_labels"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(asked) == 2 and all(len(a) == 4 and a[3] for a in asked)
+
+
 def test_windows(spark):
     _, labels = rows()
     pairs = spark.createDataFrame([(*r, 0.25) for r in labels], L + ", mean double")
