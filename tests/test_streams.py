@@ -1,9 +1,12 @@
 """A replayed stream gives the batch result."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from barloom.catalog import load
 from barloom.operators.bars import resample_ohlcv, ticks_as_bars
 from barloom.streaming import live as V
 
@@ -73,3 +76,16 @@ def test_a_repeated_alert_batch_changes_nothing(spark, tmp_path):
         write(rows, batch)
     got = V.latest_alerts(spark, out)
     assert "_batch" not in got.columns and [r["ticker"] for r in got.orderBy("ticker").collect()] == ["a", "b"]
+
+
+def test_the_alert_query_takes_many_files_a_batch(spark, monkeypatch):
+    """Batches of eight files, however many the landed table has."""
+    seen, last = [], V.latest_alerts
+    monkeypatch.setattr(V, "latest_alerts", lambda s, path: seen.append(path) or last(s, path))
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # few small rows would be put together again
+    spark.conf.set(merge, "false")
+    try:
+        got = load()[0]["stream_latest_alerts"](spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset(merge)
+    assert got > 0 and len(list(Path(seen[0].removeprefix("file:")).glob("change=*"))) <= -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
