@@ -175,3 +175,12 @@ def test_quantiles_sort_only_the_ranges_they_need(spark, splits):
     ranks = average_ranks(df, ["g"], "v", splits=splits).filter("v is not null").toPandas()
     for _, rows in ranks.groupby("g"):
         np.testing.assert_allclose(rows["rank"].astype(float), rows.v.rank())
+
+
+def test_chained_families_share_one_sort(spark, bars):
+    """A sort between two families would hold their wide rows in a task's memory."""
+    plan = I.indicator_panel(spark.createDataFrame(bars))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") > 10
+    executed = I.indicator_panel(spark.createDataFrame(bars))._jdf.queryExecution().executedPlan().toString()
+    blocks = [line for line in executed.splitlines() if "Sort [" in line and "_blk" in line]
+    assert len(blocks) == 1
