@@ -385,3 +385,27 @@ def test_book_marks_of_long_and_gappy_trades(spark):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
     plan = marked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("explode(sequence(greatest") < plan.index("Join LeftOuter")
+
+
+def test_microstructure_panel_folds_once(spark):
+    """Orders per trade come from the fold of the snapshots, not from a second reading of them."""
+    from barloom.operators.microstructure import microstructure_panel, order_to_trade
+
+    trades = spark.createDataFrame([("A", "2024-01-01", 4.0), ("A", "2024-01-02", 0.0)], "ticker string, ts string, trades double")
+    orders = spark.createDataFrame([("A", "2024-01-01", 6.0), ("B", "2024-01-01", 5.0)], "ticker string, ts string, put_orders double")
+    out = microstructure_panel(trades=trades, orders=orders)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {tuple(r) for r in out.select("ticker", "ts", "aps_order_to_trade").collect()}
+    assert got == {("A", "2024-01-01", 1.5), ("A", "2024-01-02", 0.0), ("B", "2024-01-01", 0.0)}
+    assert got == {tuple(r) for r in order_to_trade(orders, trades).collect()}
+
+
+def test_concentration_takes_the_last_time_whole(spark):
+    from barloom.operators.microstructure import concentration_asof
+
+    rows = [("A", "2024-01-01", "10:00:00", "x", 0.4), ("A", "2024-01-01", "18:40:00", "y", 0.3), ("A", "2024-01-01", "10:00:00", "y", 0.2)]
+    metrics = spark.createDataFrame(rows, "ticker string, tradedate string, tradetime string, metric string, value double")
+    bars = spark.createDataFrame([("A", "2024-01-01", 7), ("A", "2024-01-03", 8)], "ticker string, ts string, n int").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = concentration_asof(metrics, bars, ["x", "y"], keep=["n"]).orderBy("ts").collect()
+    assert [(r.n, r.aps_hi2_x, r.aps_hi2_y) for r in out] == [(7, 0.0, 0.0), (8, 0.0, 0.3)]
