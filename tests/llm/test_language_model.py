@@ -171,3 +171,12 @@ def test_training_sees_every_token(spark, monkeypatch):
     monkeypatch.setattr(lm, "averaged", spy)
     lm.train(df, lm.frequent(lm.counts(lm.train_rows(df))))
     assert sum(seen) == next(plain(rows))[4]
+
+
+def test_whole_texts_are_looked_up_as_words_are():
+    from barloom.llm import language_model as lm
+
+    words = lm.Words([b"", *[b"w%d" % i for i in range(lm.SHORT + 5)]], [1] * (lm.SHORT + 6), lm.SHORT + 6, lm.SHORT + 6)
+    texts = [b"W1 w2 unseen", b"", None, b"w%d w%d" % (lm.SHORT - 2, lm.SHORT)]
+    got = words.texts(texts)
+    assert [x.tolist() for x in got] == [words.symbols(words.ids(lm.tokens(t or b""))).tolist() for t in texts]
