@@ -11,8 +11,8 @@ No row that was not met scores more, so the search of a shard ends once the thre
 of every window, or below the window itself; ties at that score are met before. Lists are read in steps that double, until
 few rows are left. Only rows that can lie in a window are sorted.
 
-Shards stay where they are: blocks of ``BLOCK`` anchors are dealt to all of them, as a stated query set against all
-rows in blocks is, and only k rows a window leave a shard; ranks are cut before they are shuffled.
+Blocks of ``BLOCK`` anchors are dealt to all shards, as a stated query set against all rows in blocks is, and come after their
+shard in one task; only k rows a window leave a shard, and ranks are cut before they are shuffled.
 
 Rows whose id, label or vector is null, or which hold a null or non-finite component, take no part. Rows of one id are one
 row, that of the least vector, then the least label. Fewer rows than asked: all of them. No rows give no rows. Other columns are not read.
@@ -125,24 +125,32 @@ def shards_of(v: DataFrame, count: int, dims: int) -> DataFrame:
 
 
 def over_shards(shards: DataFrame, count: int, anchors: DataFrame, n: int, find, schema: str) -> DataFrame:
-    """``find(shard, anchor row)`` for every anchor on every shard."""
+    """``find(shard, anchor row)`` for every anchor on every shard.
+
+    A task holds one shard at a time and takes the blocks that follow it: no side is broadcast, since the dealt blocks
+    are as many as shards times blocks, and no shard is copied to its blocks.
+    """
     blocks = max(1, -(-n // BLOCK))
     row = F.struct("id", "label", "vec", "scores", "others")
     packed = anchors.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(row).alias("anchors"))
-    dealt = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).drop("block")
+    dealt = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    held = shards.withColumn("block", F.lit(-1).cast("bigint"))
+    both = held.unionByName(dealt, allowMissingColumns=True)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         held, name = None, None
         for b in batches:
             for r in b.itertuples():
-                if r.shard != name:
+                if r.block < 0:
                     held, name = Shard(r.ids, r.labels, r.vecs, r.lists), r.shard
-                made = [x for a in r.anchors for x in find(held, a)]
+                    continue
+                # a shard without rows has no record
+                made = [x for a in r.anchors for x in find(held, a)] if r.shard == name else []
                 if made:
                     yield pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*made)))))
 
-    return dealt.join(shards, "shard").mapInPandas(run, schema)
+    return both.repartition(2 * count, "shard").sortWithinPartitions("shard", "block").mapInPandas(run, schema)
 
 
 def mine(df: DataFrame, is_anchor: Column, label: Column, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

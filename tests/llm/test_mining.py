@@ -44,6 +44,26 @@ def test_hard_negatives(spark, monkeypatch):
     assert hard_negatives.mine(df.where("false"), F.col("id") % 50 == 0, F.col("label")).count() == 0
 
 
+def test_no_side_of_the_search_is_broadcast(spark, monkeypatch):
+    """Dealt blocks are as many as shards times blocks: broadcast, they would all pass through the driver."""
+    monkeypatch.setattr(hard_negatives, "SHARD_ROWS", 50)
+    monkeypatch.setattr(hard_negatives, "BLOCK", 4)
+    plans, over = [], hard_negatives.over_shards
+
+    def seen(*args):
+        found = over(*args)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(hard_negatives, "over_shards", seen)
+    rnd = random.Random(2)
+    rows = [(i, [rnd.randrange(-8, 9) / 8 for _ in range(5)], rnd.randrange(3)) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = hard_negatives.mine(df, F.col("id") % 50 == 0, F.col("label"))
+    assert {tuple(r) for r in got.collect()} == plain_negatives(rows)
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_search_sorts_only_rows_of_a_window(monkeypatch):
     rng = np.random.default_rng(3)
     n, dims = 4096, 64
