@@ -30,6 +30,7 @@ SWEEP_THRESHOLDS = (0.51, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85)
 CONSENSUS_GRID = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75)
 RELAX_PRIMARY = (0.45, 0.50, 0.55)
 RELAX_META = (10.0, 20.0, 30.0, 50.0)
+WORD = 62  #: settings in one bit set
 
 
 def _values(xs: Sequence[float], name: str) -> Column:
@@ -126,25 +127,67 @@ def consensus_sweep(
     for v in (*t_long, *t_short):
         if not 0.0 < v < 1.0:
             raise ValueError(f"a consensus threshold lies between 0 and 1, not at {v}")
-    grid = frame.select("ts", "ticker", "p_long", "p_short", _values(t_long, "t_long")).select(
-        "*", _values(t_short, "t_short")
-    )
-    lo, hi = C("p_long") > C("t_long"), C("p_short") > C("t_short")
+    longs, shorts = (sorted({float(t) for t in ts}) for ts in (t_long, t_short))
     run = ["t_long", "t_short"]
     prices = materialize(prices)
-    # only rows that open or close in a pair are stored
-    decisions = materialize(
-        grid.withColumns({"open_long": lo & ~hi, "close_long": hi & ~lo}).filter(
-            C("open_long") | C("close_long")
-        )
+    # a row is stored once, by the levels it passes on either side; the pairs it opens or closes are a bit set
+    places = [(a, b) for a in range(len(longs)) for b in range(len(shorts))]
+    words = [places[i : i + WORD] for i in range(0, len(places), WORD)]
+    word = F.explode(F.sequence(F.lit(0), F.lit(len(words) - 1))).alias("_word")
+
+    def passed(x: str, levels: list[float]) -> Column:
+        return sum((C(x) > t).cast("int") for t in levels)
+
+    def pairs_where(holds) -> Column:
+        """The bit set of the row's word of pairs (a, b) for which ``holds(levels passed, a, b)``."""
+        cells = [
+            F.lit(sum(1 << k for k, (a, b) in enumerate(w) if holds(i, j, a, b))).cast("bigint")
+            for w in words for i in range(len(longs) + 1) for j in range(len(shorts) + 1)
+        ]
+        at = (C("_word") * (len(longs) + 1) + C("_i")) * (len(shorts) + 1) + C("_j")
+        return F.get(F.array(*cells), at)
+
+    sides = {
+        "open_long": pairs_where(lambda i, j, a, b: a < i and not b < j),
+        "close_long": pairs_where(lambda i, j, a, b: b < j and not a < i),
+    }
+    seen = frame.filter(C("p_long").isNotNull() & C("p_short").isNotNull())
+    seen = seen.select("ts", "ticker", passed("p_long", longs).alias("_i"), passed("p_short", shorts).alias("_j"))
+    # a row acts in a pair that one of its sides passes and the other does not
+    acts = ((C("_i") > 0) & (C("_j") < len(shorts))) | ((C("_j") > 0) & (C("_i") < len(longs)))
+    seen = materialize(seen.filter(acts))
+
+    spelt = F.array(*[
+        F.array(*[F.struct(F.lit(longs[a]).alias("t_long"), F.lit(shorts[b]).alias("t_short")) for a, b in w])
+        for w in words
+    ])
+
+    def pairs_in(x: str) -> Column:
+        """The pairs of a bit set."""
+        word_pairs = F.get(spelt, C("_word"))
+        return F.filter(word_pairs, lambda _, k: F.getbit(C(x), k) == 1)
+
+    def added(binned: DataFrame, *by: str, of: str = "_runs") -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in binned.columns if c not in (*by, of, "_word")]
+        each = binned.withColumn("_pair", F.explode(pairs_in(of)))
+        return each.select("*", "_pair.*").groupBy(*run, *by).agg(*sums)
+
+    pairs = signal_exit_pairs(
+        seen.select("*", word).withColumns(sides), prices, max_hold=max_hold, cost=cost, keep=["_word"], runs="_runs"
     )
-    pairs = signal_exit_pairs(decisions, prices, max_hold=max_hold, cost=cost, keep=run)
     sized = materialize(position_budget(pairs, capital=capital, fraction=fraction))
-    counts = decisions.groupBy(*run).agg(
-        F.count_if("open_long").alias("n_open_signals"), F.count_if("close_long").alias("n_close_signals")
+    bins = materialize(seen.groupBy("_i", "_j").count()).select("*", word).withColumns(sides)
+    counts = None
+    for side, n in (("open_long", "n_open_signals"), ("close_long", "n_close_signals")):
+        part = added(bins.select("_word", side, C("count").alias(n)), of=side)
+        counts = part if counts is None else counts.join(part, run, "full")
+    deals = metrics_of_sums(added(trade_sums(sized, ["_word", "_runs"])))
+    axis, marked, realised = book_marks(sized, prices, run=["_word", "_runs"], cost=cost)
+    equity = equity_of_marks(
+        axis, added(marked, "bar"), added(realised, "bar"), run=run, runs=deals.select(*run), capital=capital
     )
-    report = metrics_report(book_equity(sized, prices, run=run, capital=capital, cost=cost), sized, run, ppy)
-    every = frame.sparkSession.range(1).select(_values(t_long, "t_long")).select("*", _values(t_short, "t_short"))
+    report = report_of(equity, deals, run, ppy)
+    every = frame.sparkSession.range(1).select(_values(longs, "t_long")).select("*", _values(shorts, "t_short"))
     found = every.join(counts, run, "left").join(report, run, "left")
     return found.select(
         *run,

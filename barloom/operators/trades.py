@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import or_zero
@@ -178,50 +178,74 @@ def position_budget(
 
 def signal_exit_pairs(
     decisions: DataFrame, prices: DataFrame, *, max_hold: int = 48, cost: float = COST_PER_SIDE,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), runs: str | None = None,
 ) -> DataFrame:
     """Each open decision with its exit: the first close decision at or after the
     entry bar, or ``max_hold`` bars, leaving at the next open.
 
-    Every open decision is treated on its own; no slot or cash limits.
+    Every open decision is treated on its own; no slot or cash limits.  An exit lies
+    within ``max_hold`` bars, so a decision looks no further, in blocks of bars.
+    With ``runs``, ``open_long`` and ``close_long`` are bit sets of runs that share
+    their rows: a decision gives one row per exit, ``runs`` is the set that leaves there.
     """
     indexed = on_axis(prices)
     axis = indexed.select("ts", "bar").distinct()
     last_bar = indexed.agg(F.max("bar").alias("_last"))
+    carried = [c for c in ("p_long",) if c in decisions.columns]
     # one row a time: signals stay where they are
-    dec = decisions.join(F.broadcast(axis), "ts")
+    dec = decisions.join(F.broadcast(axis), "ts").select(
+        "ticker", "bar", C("ts").alias("signal_ts"), *carried, *keep,
+        *[F.coalesce(C(c).cast("bigint"), F.lit(0)).alias(c) for c in ("open_long", "close_long")],
+    ).filter((C("open_long") != 0) | (C("close_long") != 0))
+    # rows within reach of an earlier block are copied to it
+    size, reach = max(BAR_BLOCK, max_hold + 1), max(max_hold, 0) + 1
+    blocks = F.array_distinct(F.array(F.floor(C("bar") / size), F.floor((C("bar") - reach) / size)))
+    ahead = Window.partitionBy("ticker", *keep, "_blk").orderBy("bar").rangeBetween(1, reach)
+    later = F.collect_list(F.when(C("close_long") != 0, F.struct("bar", C("close_long").alias("set")))).over(ahead)
     opens = (
-        dec.filter(C("open_long"))
-        .select("ticker", C("ts").alias("signal_ts"), (C("bar") + 1).alias("bar"), "p_long", *keep)
-    )
-    closes = dec.filter(C("close_long")).select(
-        "ticker", "bar", C("bar").alias("_close"), *keep
-    )
-    group = ("ticker", *keep)
-    exits = asof(
-        opens.select(*group, "bar").distinct(), closes, key=group, ts="bar",
-        direction="forward", bucket=_bucket(), values=["_close"],
+        dec.withColumn("_blk", F.explode(blocks))
+        .withColumn("_later", later)
+        .filter((C("open_long") != 0) & (C("_blk") == F.floor(C("bar") / size)))
+        .withColumn("entry_bar", C("bar") + 1)
+        .select("ticker", "signal_ts", "entry_bar", *carried, *keep, "open_long", "_later")
     )
+    # the sets that leave at each later close decision, in order of the bars; the others leave at the last bar
+    due = C("entry_bar") + max_hold
+    none = F.array().cast("array<struct<stop:bigint,set:bigint,reason:string>>")
+
+    def leaving(held: Column, x: Column) -> Column:
+        out = held["left"].bitwiseAND(x["set"])
+        mine = F.array(F.struct(x["bar"].alias("stop"), out.alias("set"), F.lit("signal").alias("reason")))
+        gone = (out != 0) & (x["bar"] <= due)
+        return F.struct(
+            F.when(gone, held["left"] - out).otherwise(held["left"]).alias("left"),
+            F.when(gone, F.concat(held["done"], mine)).otherwise(held["done"]).alias("done"),
+        )
+
+    def ended(held: Column) -> Column:
+        rest = F.array(F.struct(due.alias("stop"), held["left"].alias("set"), F.lit("max_hold").alias("reason")))
+        return F.when(held["left"] != 0, F.concat(held["done"], rest)).otherwise(held["done"])
+
+    begun = F.struct(C("open_long").alias("left"), none.alias("done"))
+    exits = F.aggregate(F.array_sort("_later"), begun, leaving, ended)
     entry = indexed.select(
-        "ticker", "bar", C("ts").alias("open_ts"), C("open").alias("entry_price")
+        "ticker", C("bar").alias("entry_bar"), C("ts").alias("open_ts"), C("open").alias("entry_price")
     ).filter(C("entry_price") > 0)
     paired = (
-        opens.join(entry, ["ticker", "bar"])
-        .join(exits, [*group, "bar"])
+        opens.join(entry, ["ticker", "entry_bar"])
         .crossJoin(F.broadcast(last_bar))
-        .withColumn("_stop", F.least(C("_close"), C("bar") + max_hold))
-        .withColumn("exit_reason", F.when(C("_close") == C("_stop"), "signal").otherwise("max_hold"))
-        .withColumn("horizon", C("_stop") - C("bar"))
-        .withColumn("entry_bar", C("bar"))
-        .drop("bar", "_close")
+        .withColumn("_exit", F.explode(exits))
+        .withColumns({"_stop": C("_exit.stop"), "exit_reason": C("_exit.reason"), "horizon": C("_exit.stop") - C("entry_bar")})
     )
+    if runs:
+        paired = paired.withColumn(runs, C("_exit.set"))
+    paired = materialize(paired.drop("_exit", "_later", "open_long"))
     quotes = indexed.select(
         "ticker", "bar", C("bar").alias("exit_bar"), C("ts").alias("close_ts"), C("open").alias("exit_price")
     )
-    paired = materialize(paired)
-    due = paired.select("ticker", (C("_stop") + 1).alias("bar")).distinct()
+    due_bars = paired.select("ticker", (C("_stop") + 1).alias("bar")).distinct()
     leave = asof(
-        due, quotes, key=("ticker",), ts="bar", direction="forward", bucket=_bucket(),
+        due_bars, quotes, key=("ticker",), ts="bar", direction="forward", bucket=_bucket(),
         values=["exit_bar", "close_ts", "exit_price"],
     ).select("ticker", (C("bar") - 1).alias("_stop"), "exit_bar", "close_ts", "exit_price")
     out = paired.join(leave, ["ticker", "_stop"]).withColumns(
