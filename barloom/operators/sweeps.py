@@ -207,21 +207,41 @@ def relaxation_sweep(
     One row per pair with at least ``min_buys`` signals: the meta level, signals,
     trades, Sharpe and return.
     """
-    run = ["t_primary", "meta_percent"]
+    run, bins = ["t_primary", "meta_percent"], ["_i", "_m"]
+    levels = sorted({float(t) for t in primary_levels})
     prices = materialize(prices)
-    both = primary.join(meta.select(*KEY3, C("mean").alias("meta")), list(KEY3))
+    both = primary.select(*KEY3, "mean").join(meta.select(*KEY3, C("mean").alias("meta")), list(KEY3))
     both = materialize(both)
     cuts = quantiles(both, [], "meta", [1.0 - p / 100.0 for p in meta_percents]).select(
-        F.round(100.0 * (1.0 - C("q")), 6).alias("meta_percent"), C("quantile").alias("t_meta")
+        C("quantile").alias("t_meta"), F.round(100.0 * (1.0 - C("q")), 6).alias("meta_percent")
     )
-    levels = F.broadcast(cuts)  # one row per percent
-    fits = both.select("*", _values(primary_levels, "t_primary")).filter(C("mean") > C("t_primary"))
-    fits = fits.join(levels, C("meta") > C("t_meta")).withColumn("action", F.lit("BUY"))
-    fits = materialize(fits)
-    counts = fits.groupBy(*run, "t_meta").agg(F.count("*").alias("n_buy")).filter(C("n_buy") >= min_buys)
-    trades = trade_outcomes(fits.join(counts.select(*run), run, "left_semi"), prices, cost=cost, keep=run)
+    # one row: the cuts from the lowest on
+    cuts = F.broadcast(materialize(cuts.agg(F.array_sort(F.collect_list(F.struct("t_meta", "meta_percent"))).alias("_cuts"))))
+    # a row is stored once, by the number of levels and cuts it passes; its trade is the same in every pair
+    passed = {
+        "_i": sum((C("mean") > t).cast("int") for t in levels),
+        "_m": F.size(F.filter("_cuts", lambda x: C("meta") > x["t_meta"])),
+    }
+    fits = both.crossJoin(cuts).withColumns(passed).filter((C("_i") > 0) & (C("_m") > 0))
+    fits = materialize(fits.select(*KEY3, "mean", *bins, F.lit("BUY").alias("action")))
+
+    def added(binned: DataFrame, *by: str) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in binned.columns if c not in (*by, *bins)]
+        mine = F.slice(F.array(*[F.lit(t) for t in levels]), F.lit(1), C("_i"))
+        each = binned.crossJoin(cuts).withColumn("t_primary", F.explode(mine))
+        each = each.withColumn("_cut", F.explode(F.slice("_cuts", F.lit(1), C("_m"))))
+        return each.select("*", "_cut.*").groupBy(*run, "t_meta", *by).agg(*sums)
+
+    counts = added(fits.groupBy(*bins).agg(F.count("*").alias("n_buy"))).filter(C("n_buy") >= min_buys)
+    trades = trade_outcomes(fits, prices, cost=cost, keep=bins)
     sized = materialize(position_budget(trades, capital=capital, fraction=fraction))
-    report = metrics_report(book_equity(sized, prices, run=run, capital=capital, cost=cost), sized, run, ppy)
+    deals = metrics_of_sums(added(trade_sums(sized, bins)).drop("t_meta"))
+    axis, marked, realised = book_marks(sized, prices, run=bins, cost=cost)
+    equity = equity_of_marks(
+        axis, added(marked, "bar").drop("t_meta"), added(realised, "bar").drop("t_meta"), run=run,
+        runs=deals.select(*run), capital=capital,
+    )
+    report = report_of(equity, deals, run, ppy)
     return counts.join(report, run, "left").select(
         *run, "t_meta", "n_buy", F.coalesce("n_trades", F.lit(0)).alias("n_trades"),
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "total_return")],
