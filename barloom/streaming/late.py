@@ -20,7 +20,8 @@ from barloom.session import checkpoint_dir
 C = F.col
 EPOCH = "1970-01-01"
 SLICE = "_span"
-FILES = 8  #: files of a landed span, and of a batch
+FILES = 8  #: files of a landed write, and of a batch
+ROWS = 500_000  #: rows of a write of several spans
 
 
 def span_of(time: str, days: int) -> Column:
@@ -58,18 +59,28 @@ def by_span(rows: DataFrame, time: str, days: int) -> DataFrame:
     return rows.sparkSession.read.schema(timed.schema).parquet(path)
 
 
-def land_spans(rows: DataFrame, path: str, files: int = FILES) -> None:
+def land_spans(rows: DataFrame, path: str, files: int = FILES, least: int = 0) -> int:
     """Land a table of ``by_span``, each span in a write of its own, so that files are older the earlier their span.
 
-    A stream takes files by age. Rows of a span may come in any order, so a stream of several batches
-    needs a lateness of a span; it then loses none, wherever its batches begin, and its state holds
-    the wait and a few spans, whatever the length of the table.
+    Consecutive spans of fewer than ``least`` rows together land in one write: a batch has a cost of its own,
+    whatever it holds. Gives the number of spans, gaps included, of the widest write.
+
+    A stream takes files by age. Rows of a write may come in any order, so a stream of several batches
+    needs a lateness of the widest one; it then loses none, wherever its batches begin, and its state holds
+    the wait and a few writes, whatever the length of the table.
     """
-    spans = sorted(r[0] for r in rows.select(SLICE).distinct().collect())
-    if not spans:
+    writes, held, size = [], [], 0
+    for span, n in rows.groupBy(SLICE).count().orderBy(SLICE).collect():
+        held, size = [*held, span], size + n
+        if size >= least:
+            writes.append(held)
+            held, size = [], 0
+    writes += [held] if held else []
+    if not writes:
         rows.drop(SLICE).write.parquet(path)
-    for span in spans:
-        rows.where(C(SLICE) == span).drop(SLICE).repartition(files).write.mode("append").parquet(path)
+    for spans in writes:
+        rows.where(C(SLICE).isin(spans)).drop(SLICE).repartition(files).write.mode("append").parquet(path)
+    return max((spans[-1] - spans[0] + 1 for spans in writes), default=1)
 
 
 def window_calibration(

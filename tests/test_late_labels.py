@@ -86,6 +86,27 @@ def test_spans_land_in_order_and_lose_no_pair(spark, tmp_path, batch):
     assert len(q.recentProgress) >= 8 and max(held) < (len(preds) + len(labels)) / 2
 
 
+@pytest.mark.parametrize("least, batch", [(60, 2), (60, 3), (10**6, 2)])
+def test_small_spans_land_together_and_lose_no_pair(spark, tmp_path, least, batch):
+    """A batch has a cost of its own, so spans of few rows share one; batches may begin inside a write."""
+    preds, labels = rows()
+    sides, spans = [], []
+    for name, data, schema, time in (("p", preds, P, "ts"), ("l", labels, L, "known_at")):
+        df = spark.createDataFrame(data[::-1], schema)
+        spans.append(W.land_spans(W.by_span(df, time, 7), str(tmp_path / name), 2, least=least))
+        assert len(list((tmp_path / name).glob("*.parquet"))) == (2 if least > 1000 else 6)
+        sides.append(V.read_parquet_stream(spark, str(tmp_path / name), df.schema, batch))
+    pairs = W.late_labels(*sides, "5 days", lateness=f"{7 * max(spans)} days")
+    q = pairs.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = {
+        (ts, t, k, m, y) for ts, t, _, m in preds for lts, lt, _, k, y in labels
+        if t is not None and (ts, t) == (lts, lt) and ts <= k <= ts + dt.timedelta(days=5)
+    }
+    assert len(got) == len(want) and {(r.ts, r.ticker, r.known_at, r.mean, r.actual) for r in got} == want
+
+
 def test_the_query_runs_in_batches(spark, monkeypatch):
     asked = []
     read = V.read_parquet_stream
