@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import batch_rows, forget, stored
 from barloom.llm.components import components
-from barloom.llm.words import mix, shingle_sets
+from barloom.llm.words import mix, shingle_bags, shingle_sets
 
 SHINGLE, FEW, BLOCK = 5, 64, 4096
 #: Shingles that are ordered by how often they are met: a bound of what is broadcast. Any order is right.
@@ -478,3 +478,24 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     named = ids.join(named, "root").select("node", "root", "component_id")
     out = rows.join(named, "node").select("doc_id", "key", "n", "root", "component_id")
     return out.withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def similar_bags(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text keys whose multisets of shingles have a Jaccard similarity of 4/5 or more; texts are (key, text as binary)."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().select(F.col("key").alias("node"), "key")
+    held = stored(texts_by_key(texts, keys), "join-texts")
+    a, b = (held.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+
+    def run(batches):
+        for x in batches:
+            keep = []
+            for i in range(x.num_rows):
+                (one,), (other,) = (shingle_bags(x.column(c).slice(i, 1), SHINGLE) for c in (2, 3))
+                grams, times = np.unique(one, return_counts=True)
+                more, other_times = np.unique(other, return_counts=True)
+                _, p, q = np.intersect1d(grams, more, assume_unique=True, return_indices=True)
+                both = int(np.minimum(times[p], other_times[q]).sum())
+                keep.append(9 * both >= 4 * (len(one) + len(other)))
+            yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")

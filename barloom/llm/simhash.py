@@ -230,10 +230,18 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, ``keep``, fp, component_id (least doc_id of the component) of every row."""
+    return groups_and_links(docs, keep, text, shingle)[0]
+
+
+def groups_and_links(
+    docs: DataFrame, keep: tuple[str, ...] = (), text: str = "text", shingle: int = SHINGLE
+) -> tuple[DataFrame, DataFrame]:
+    """What ``groups`` gives, and the links (a, b) of fingerprints that made the groups."""
     rows = stored(fingerprints(docs, ["doc_id", *keep], text, shingle), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
-    roots = stored(components(links(nodes)), "roots")
+    linked = stored(links(nodes), "links")
+    roots = stored(components(linked), "roots")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", *keep, "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", *keep, "fp", "component_id"), linked

@@ -107,14 +107,18 @@ def chained(x: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's shingles of ``k`` words; fewer words: one, all of them; none: empty."""
+def shingle_bags(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's shingles of ``k`` words, repeats included; fewer words: one, all of them; none: empty."""
     words, _, _, first, _ = spans(texts)
     grams, out = chained(words, k), []
     for lo, hi in zip(first[:-1], first[1:]):
         if hi - lo < k:
             out.append(chained(words[lo:hi], int(hi - lo)) if hi > lo else words[:0])
-            continue
-        g = np.sort(grams[lo : hi - k + 1])
-        out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
+        else:
+            out.append(np.sort(grams[lo : hi - k + 1]))
     return out
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles, as ``shingle_bags`` has them."""
+    return [g[np.concatenate([[True], g[1:] != g[:-1]])] if len(g) else g for g in shingle_bags(texts, k)]

@@ -100,3 +100,19 @@ def test_blocks_groups_and_odd_rows(spark, monkeypatch):
     odd = [(1, text, 5, "x"), (1, text, 6, "y"), (None, text, 7, "z"), (3, text.upper(), None, None), (None, None, 1, "n"), (4, "", 1, "n")]
     found = ngram_join.similar_texts(spark.createDataFrame(odd, "doc_id bigint, text string, n int, root string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.n > 0) for r in found) == [(0, 0, False), (0, 1, True), (1, 1, True), (1, 1, True), (3, 1, True), (4, 4, False)]
+
+
+def test_simhash_links_texts_of_similar_multisets(spark):
+    """A passage many times over with other ends: the sets are apart, fingerprints and multisets are not."""
+    rnd = random.Random(17)
+    words = [f"w{i}" for i in range(4000)]
+    new = lambda n: [rnd.choice(words) for _ in range(n)]
+    passage, other = new(11), new(11)
+    rows = [passage * 60 + new(12) for _ in range(4)]  # copies of each other
+    rows += [passage * 20 + new(12), other * 60 + new(12), new(100)]  # as near by fingerprint but not by multiset, and others
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    assert len(set(brute(rows).values())) == len(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in cp.drop_copies(spark, df, "").collect()) == [0, 4, 5, 6]
+    found = {r.doc_id: r.component_id for r in ngram_join.similar_texts(df).collect()}
+    assert found == {i: i for i, _ in rows}  # the join of sets is as it was
