@@ -20,6 +20,8 @@ from barloom.session import materialize
 
 #: Score buckets of the as-of alignment; a bucket is a task's share of one key at least.
 BUCKETS = 4096
+#: Steps that are broadcast; more are aligned by a shuffle of the rows.
+STEPS_SENT = 1 << 18
 
 
 def _pool(rows: Iterator[tuple]) -> list[list]:
@@ -103,18 +105,35 @@ def _rounded(x: Column, digits: int | None) -> Column:
     return x if digits is None else F.rint(x * 10.0**digits) / 10.0**digits
 
 
+def _by_halving(known: DataFrame, steps: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows with the step at or below (``_below``) and the next one (``_at``): the steps go to the rows, which stay where they are."""
+    held = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "value"))).alias("_steps"))
+    rows = known.join(F.broadcast(held), key, "left").withColumn("_sub", F.lit(0))
+    for i in range(most.bit_length() - 1, -1, -1):
+        passed = F.get("_steps", F.col("_sub") + (2**i - 1))["lo"] <= F.col("_x")
+        rows = rows.withColumn("_sub", F.col("_sub") + F.when(passed, 2**i).otherwise(0))
+    before = F.when(F.col("_sub") > 0, F.get("_steps", F.col("_sub") - 1))
+    return rows.select("_p", key, "_x", before.alias("_below"), F.get("_steps", F.col("_sub")).alias("_at"))
+
+
+def _by_asof(known: DataFrame, steps: DataFrame, key: str) -> DataFrame:
+    """``_by_halving`` for any number of steps."""
+    bucket = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("_x"))) * BUCKETS)
+    s = steps.select(key, F.col("lo").alias("_x"), F.struct("lo", "hi", "value").alias("_at"))
+    below = asof(known, s, key=(key,), ts="_x", values=["_at"], bucket=bucket).withColumnRenamed("_at", "_below")
+    return asof(below, s, key=(key,), ts="_x", values=["_at"], direction="forward", bucket=bucket)
+
+
 def isotonic_apply(
     predictions: DataFrame, steps: DataFrame, *, score: str = "mean", key: str = "horizon", digits: int | None = None
 ) -> DataFrame:
     """Predictions with calibrated scores: the value of the step, between two steps a line, beyond the ends the
     value of the last one. Keys without steps and null scores stay as they are."""
     columns: Sequence[str] = predictions.columns
-    bucket = F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("_x"))) * BUCKETS)
     rows = predictions.select(F.struct(*columns).alias("_p"), F.col(key).alias(key), _rounded(F.col(score), digits).alias("_x"))
     known = rows.filter(F.col(key).isNotNull() & F.col("_x").isNotNull())
-    s = steps.select(key, F.col("lo").alias("_x"), F.struct("lo", "hi", "value").alias("_at"))
-    below = asof(known, s, key=(key,), ts="_x", values=["_at"], bucket=bucket).withColumnRenamed("_at", "_below")
-    both = asof(below, s, key=(key,), ts="_x", values=["_at"], direction="forward", bucket=bucket)
+    most, held = steps.groupBy(key).count().agg(F.max("count"), F.sum("count")).first()
+    both = _by_halving(known, steps, key, most or 0) if (held or 0) <= STEPS_SENT else _by_asof(known, steps, key)
     b, a, x = F.col("_below"), F.col("_at"), F.col("_x")
     line = b["value"] + (a["value"] - b["value"]) * (x - b["hi"]) / (a["lo"] - b["hi"])
     value = (

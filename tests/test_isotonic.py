@@ -63,3 +63,22 @@ def test_ties_small_keys_and_nulls(spark):
     assert got == sorted([(1, 0.0), (1, third), (1, third), (1, third), (1, third), (1, 1.0)] + [(2, 0.5)] * 10 + [(3, 0.5), (3, 0.6), (0, 0.2)])
     assert out.count() == len(rows) and out.columns == df.columns
     assert isotonic_calibrate(df.filter("false"), df.filter("false")).count() == 0
+
+
+def test_rows_stay_where_steps_are_few(spark, monkeypatch):
+    """Both ways give each row the same value; with few steps the rows are not shuffled."""
+    from barloom.operators import isotonic as I
+
+    steps = [(1, 0.1, 0.1, 0.0), (1, 0.3, 0.5, 0.25), (1, 0.6, 0.6, 0.5), (1, 0.8, 0.9, 1.0), (2, 0.5, 0.5, 0.7)]
+    s = spark.createDataFrame(steps, "horizon int, lo double, hi double, value double").localCheckpoint()
+    xs = [None, 0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.55, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0, float("nan"), -0.5]
+    rows = [(i, h, x) for i, (h, x) in enumerate((h, x) for h in (1, 2, 3, None) for x in xs)]
+    p = spark.createDataFrame(rows, "id int, horizon int, mean double").localCheckpoint()
+    few = I.isotonic_apply(p, s)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Window" not in plan and "SortMergeJoin" not in plan
+    got = sorted(map(str, few.collect()))
+    monkeypatch.setattr(I, "STEPS_SENT", 0, raising=False)
+    assert got == sorted(map(str, I.isotonic_apply(p, s).collect()))
+    line = next(r.mean for r in few.collect() if r.id == 3)
+    assert abs(line - 0.125) < 1e-12
