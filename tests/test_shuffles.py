@@ -30,3 +30,15 @@ def test_copies_travel_without_their_hash(spark, monkeypatch):
         assert math.isclose(got[h]["loss_null_std"], math.sqrt(sum((x - mean) ** 2 for x in null) / k))
     dealt = [p.split("RepartitionByExpression")[1].split("\n")[1] for p in plans if "RepartitionByExpression" in p]
     assert len(dealt) == 1 and "_copy" in dealt[0] and "unhex" not in dealt[0]
+
+
+def test_members_travel_as_plain_values(spark):
+    """Moments are made after the exchange: no partial sums, which are wider than a value, before it."""
+    rows = [("2024-01-01", "a", h, 0.1 * m, 0.0) for h in (1, 2) for m in range(4)] + [("2024-01-01", "b", 1, 0.5, 0.0), ("2024-01-02", "b", 1, None, 0.0)]
+    df = spark.createDataFrame(rows, "ts string, ticker string, horizon int, mean double, std double")
+    out = H.ensemble_moments(df)
+    got = {(r.ts, r.ticker, r.horizon): (r.mean, r.std) for r in out.collect()}
+    assert len(got) == 4 and got["2024-01-01", "b", 1] == (0.5, 0.0) and got["2024-01-02", "b", 1] == (None, None)
+    assert all(math.isclose(a, b) for h in (1, 2) for a, b in zip(got["2024-01-01", "a", h], (0.15, math.sqrt(0.0125))))
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and plan.index("partial_avg") < plan.index("Exchange")
